@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.tables import table
-from assayer.llm import bpe, lines, secrets
+from assayer.llm import bpe, decontaminate, langid, lines, secrets, toxicity
 
 
 def vocabulary() -> str:
@@ -15,6 +15,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.scored(docs, grammar, into="score")
+    return out.select("doc_id", (langid.remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -24,14 +31,50 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(langid.remainder(F.col("doc_id"), 4) != 2))
+    out = langid.predicted(docs, model)
+    return out.select("doc_id", (langid.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "language.*")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.tokenized(docs, vocabulary(), digest=True).select("doc_id", "bpe.*")
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op3_line_dedup": op3_line_dedup, "op7_bpe": op7_bpe}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_secrets": op2_secrets,
+    "op3_line_dedup": op3_line_dedup,
+    "op6_language": op6_language,
+    "op7_bpe": op7_bpe,
+    "op10_decontamination": op10_decontamination,
+}
+
+#: Windows aligned to a shared shingle, compared exactly, without fingerprints.
+LEAKS_SQL = r"""
+WITH w AS (SELECT doc_id AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT id, len(w) - 4 AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS s FROM w WHERE len(w) >= 5),
+bs AS (SELECT id, len(w) - 4 AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS s FROM b WHERE len(w) >= 5),
+de AS (SELECT id, n, unnest(s) AS h, unnest(range(0, n)) AS pos FROM ds),
+be AS (SELECT id, n, unnest(s) AS h, unnest(range(0, n)) AS pos FROM bs),
+win AS (SELECT DISTINCT de.id AS doc_id, be.n AS size, greatest(0, least(de.n - be.n, greatest(0, de.pos - be.pos))) AS start FROM de JOIN be USING (h)),
+ws AS (SELECT doc_id, size, start, least(size, len(s)) AS own, unnest(s[start + 1 : start + size]) AS h FROM win JOIN ds ON ds.id = doc_id),
+wc AS (SELECT doc_id, size, start, own, h, count(*) AS c FROM ws GROUP BY ALL),
+bc AS (SELECT id AS item_id, n AS size, h, count(*) AS c FROM be GROUP BY ALL),
+shared AS (SELECT doc_id, item_id, wc.size, start, own, sum(least(wc.c, bc.c)) AS both_n FROM wc JOIN bc ON wc.h = bc.h AND wc.size = bc.size GROUP BY ALL),
+scored AS (SELECT *, both_n::DOUBLE / (own + size - both_n)::DOUBLE AS similarity FROM shared),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM scored WHERE similarity >= 0.8)
+SELECT doc_id, item_id, start AS start_word, size + 4 AS n_words, similarity FROM ranked WHERE r = 1"""
 
 ORACLE_SQL = {
+    "op10_decontamination": LEAKS_SQL,
     "op3_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, pos, l AS line, translate(trim(l, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
