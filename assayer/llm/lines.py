@@ -11,7 +11,6 @@ Defined results: null or empty text is one empty line; if a doc_id repeats its r
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,28 +24,21 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
 
 
-def reassembled(text: str | None, drops) -> tuple[str, int, int]:
-    """The kept text, the number of lines and the number dropped."""
-    lines = (text or "").split("\n")
-    if drops is None or not len(drops):
-        return text or "", len(lines), 0
-    away = set(drops)
-    return "\n".join([x for i, x in enumerate(lines) if i not in away]), len(lines), len(away)
+def reassembled(lines: Column, drops: Column) -> Column:
+    """The lines without those at the positions ``drops`` (null: none), joined. ``lines`` has to be a column: an
+    expression would be evaluated again for each line."""
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops)
+    return F.array_join(F.when(drops.isNull(), lines).otherwise(F.transform(left, lambda i: F.get(lines, i))), "\n")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """One row per document: doc_id, text (kept lines joined by a line feed), n_lines, n_dropped."""
     docs = one_row_per_id(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("doc_id", "pos", line_key(F.col("line")).alias("key"))
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line")).select("doc_id", "pos", line_key(F.col("line")).alias("key"))
     lines = lines.where(F.length("key") >= min_chars).select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     # per (hash, document) first, whatever the group's size; then per hash, with map-side combining
     held = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     frequent = held.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
     gone = lines.join(frequent, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_list("pos").alias("drops"))
-
-    @F.pandas_udf("struct<text:string,n_lines:bigint,n_dropped:bigint>")
-    def kept(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(map(reassembled, texts, drops), columns=["text", "n_lines", "n_dropped"])
-
-    out = docs.join(gone, "doc_id", "left").select("doc_id", kept("text", "drops").alias("r"))
-    return out.select("doc_id", "r.text", "r.n_lines", "r.n_dropped")
+    both = docs.join(gone, "doc_id", "left").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), "drops")
+    return both.select("doc_id", reassembled(F.col("lines"), F.col("drops")).alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
