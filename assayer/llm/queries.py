@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.tables import table
-from assayer.llm import bpe, decontaminate, langid, lines, secrets, toxicity
+from assayer.llm import bpe, decontaminate, langid, lines, secrets, substrings, toxicity
 
 
 def vocabulary() -> str:
@@ -31,6 +31,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(langid.remainder(F.col("doc_id"), 4) != 2))
@@ -43,6 +48,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(docs, vocabulary(), digest=True).select("doc_id", "bpe.*")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_words(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,8 +61,10 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
     "op3_line_dedup": op3_line_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language": op6_language,
     "op7_bpe": op7_bpe,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
