@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.tables import table
-from assayer.llm import bpe, decontaminate, langid, lines, secrets, substrings, toxicity
+from assayer.llm import bpe, decontaminate, embeddings, langid, lines, minhash, secrets, substrings, toxicity
 
 
 def vocabulary() -> str:
@@ -31,6 +31,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.dedup_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -53,6 +57,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,10 +69,12 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
     "op3_line_dedup": op3_line_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language": op6_language,
     "op7_bpe": op7_bpe,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
 }
 
