@@ -229,29 +229,37 @@ def automaton(content: str) -> Automaton:
     return _compiled[key]
 
 
-def encoder(spark: SparkSession, path: str, digest: bool = False):
-    """A vectorised function of a text column: its ids (binary) and decoded text, or only their digests."""
+FIELDS = {"n_tokens": "bigint", "ids": "binary", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def _sha256(x: bytes) -> str:
+    return hashlib.sha256(x).hexdigest()
+
+
+def encoder(spark: SparkSession, path: str, fields: tuple[str, ...]):
+    """A vectorised function of a text column to a struct of some of FIELDS."""
     with open(path, encoding="utf-8") as f:  # the driver reads the vocabulary; it has a fixed size
         content = spark.sparkContext.broadcast(f.read())
-    kind = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>" if digest else "struct<n_tokens:bigint,ids:binary,decoded:string>"
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("struct<" + ",".join(f"{x}:{FIELDS[x]}" for x in fields) + ">")
     def run(texts: pd.Series) -> pd.DataFrame:
         a = automaton(content.value)
         rows = []
         for t in texts:
             ids = a.encode(t or "")
-            text = a.decode(ids)
-            if digest:
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
-            else:
-                rows.append((len(ids) // 4, ids, text))
-        return pd.DataFrame(rows, columns=["n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+            text = a.decode(ids) if "decoded" in fields or "decoded_sha256" in fields else ""
+            made = {"n_tokens": len(ids) // 4, "ids": ids, "decoded": text}
+            if "ids_sha256" in fields:
+                made["ids_sha256"] = _sha256(ids)
+            if "decoded_sha256" in fields:
+                made["decoded_sha256"] = _sha256(text.encode("utf-8", "surrogatepass"))
+            rows.append([made[x] for x in fields])
+        return pd.DataFrame(rows, columns=list(fields))
 
     return run
 
 
-def tokenized(docs: DataFrame, path: str, text: str | Column = "text", into: str = "bpe", digest: bool = False) -> DataFrame:
-    """``docs`` with a struct column ``into``: n_tokens, ids, decoded (``digest``: sha256 of either instead)."""
-    run = encoder(docs.sparkSession, path, digest)
+def tokenized(docs: DataFrame, path: str, text: str | Column = "text", into: str = "bpe", fields: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """``docs`` with a struct column ``into`` of the named FIELDS."""
+    run = encoder(docs.sparkSession, path, fields)
     return docs.withColumn(into, run(F.col(text) if isinstance(text, str) else text))

@@ -49,7 +49,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.tokenized(docs, vocabulary(), digest=True).select("doc_id", "bpe.*")
+    return bpe.tokenized(docs, vocabulary(), fields=("n_tokens", "ids_sha256", "decoded_sha256")).select("doc_id", "bpe.*")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
