@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.grades import band, interpolate, num
+from assayer.functions.grades import band, interpolate
 from assayer.operators import grading as G
 from assayer.plans import criteria as C
 from assayer.plans import scoring_sql as S
@@ -106,9 +106,9 @@ def tag_rank(spark, sf_dir):
     """1 + how many complete cards score higher; counts per score first, so only the scores are ranked."""
     df = G.tag(_conditions(spark, sf_dir)).select("id", "tag_score", "altered", (F.size(G.missing_areas()) == 0).alias("complete"))
     df = df.where("complete and not altered").select("id", "tag_score")
-    counts = df.groupBy("tag_score").agg(F.count(F.lit(1)).alias("n"))
-    higher = counts.select(F.col("tag_score").alias("other"), F.col("n").alias("others"))  # at most 901 scores
-    place = counts.join(F.broadcast(higher), F.col("other") > F.col("tag_score"), "left").groupBy("tag_score").agg((F.coalesce(F.sum("others"), F.lit(0)) + 1).alias("place"))
+    before = Window.orderBy(F.col("tag_score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy("tag_score").agg(F.count(F.lit(1)).alias("n"))  # at most 901 rows
+    place = counts.select("tag_score", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("place"))
     return df.join(F.broadcast(place), "tag_score").select("id", "tag_score", "place")
 
 
