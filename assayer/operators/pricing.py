@@ -13,7 +13,7 @@ GRADE_KEYS = ((9.5, "box-only-price"), (9, "graded-price"), (8, "new-price"), (7
 # Price keys of a 10, by company; the second one for the higher label.
 TEN_KEYS = {"PSA": ("manual-only-price", "manual-only-price"), "BGS": ("bgs-10-price", "condition-20-price"), "CGC": ("condition-17-price", "condition-19-price"), "TAG": ("condition-21-price", "condition-21-price")}
 # Sites whose prices are not taken.
-BLOCKED = ("cardladder.com",)
+BLOCKED = ("pricecharting.com",)
 
 
 def sales_stats(sales: DataFrame, by: list[str], price: str, when: str, tie: list[str], fixed: Column) -> DataFrame:
