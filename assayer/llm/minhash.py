@@ -62,9 +62,16 @@ def min_max_bands(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(keys + BAND)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: whole texts and their sets are held for a few rows at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             for first, sets in shingle_sets(texts, k):
@@ -88,7 +95,7 @@ def _signatures(k: int):
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.to_pydict()
             own = {}
             for first, sets in shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]], k):

@@ -7,10 +7,12 @@ as one packed string to the bucket of the minimiser's hash; equal windows have e
 Documents are dealt to pages by a hash of doc_id, once; every later step reuses that exchange:
 
 1. each page sends the distinct minimiser hashes it has (8 bytes each) to buckets;
-2. a bucket answers each page with those that occur elsewhere too, and marks those that very many pages have (*hot*);
+2. a bucket answers each page with those that occur elsewhere too, and marks those that very many pages have, or one
+   page very often (*hot*);
 3. a page packs the super-k-mers with these minimisers. Equal strings of a page travel once, the others are repeats
-   already. A hot minimiser's windows travel one by one, each to the bucket of its own hash, so that a passage which a
-   third of all documents share spreads out by its different surroundings, and meets as one entry a page;
+   already. A hot minimiser's windows travel one by one as 128-bit digests, each to the bucket of its own hash, so that
+   a passage which a third of all documents share spreads out by its different surroundings, and a window meets as one
+   entry a page;
 4. a bucket compares strings exactly and answers each page with runs of repeated windows;
 5. a page takes the covered units out of its documents.
 
@@ -20,7 +22,6 @@ strings. Nothing is dropped or capped, nothing goes to the driver.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from math import ceil
 
@@ -30,11 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.tables import one_row_per_id
-from assayer.llm.arrays import BYTES, U, chunks, joined, sliding_argmin, window_hashes, word_hashes, words_in
-
-#: A minimiser that this many pages have is hot.
-HOT_PAGES = 64
-HASH = ~U(1)
+from assayer.llm.arrays import BYTES, U, chunks, joined, mixed, sliding_argmin, window_hashes, word_hashes, words_in
+
+#: A minimiser that this many pages have, or one page has this many times, is hot.
+HOT_PAGES, HOT_TIMES = 1024, 24
+#: Hashes without their two lowest bits, which say: more than once in a page (or: hot, in answers); hot.
+HASH = ~U(3)
+#: Bytes of a window's digest; packed strings are longer.
+DIGEST = 16
+#: Bytes of strings that a bucket compares at once; whole groups of a minimiser stay together.
+BATCH = 2 << 20
 RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("size", "<i4"), ("page", "<i4")])
 
@@ -76,11 +82,7 @@ class Kind:
             def span(s, n, a=a, b=b):
                 return (a[s], b[s + n - 1 + w - 1]) if self.unit == "word" else (s, s + n - 1 + w)
 
-            yield data, i + text, s - counts[text], n, mh[place[s]], s, span, (lambda s, v=values: window_hashes_at(v, s, w) & HASH)
-
-
-def window_hashes_at(values: np.ndarray, s: np.ndarray, w: int) -> np.ndarray:
-    return window_hashes(values, w)[s]
+            yield data, i + text, s - counts[text], n, mh[place[s]], s, span, (lambda s, v=values: (window_hashes(v, w)[s], window_hashes(mixed(v), w)[s]))
 
 
 def pages(docs: DataFrame) -> int:
@@ -94,7 +96,7 @@ def pages(docs: DataFrame) -> int:
 def paged(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, int]:
     docs = one_row_per_id(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
     n = pages(docs)
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(4 * n)).cast("int").alias("page"), "doc_id", "text").repartition(n, "page"), n
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(2 * n)).cast("int").alias("page"), "doc_id", "text").repartition(n, "page"), n
 
 
 def _texts(table: pa.Table, kind: Kind) -> tuple[np.ndarray, list[bytes]]:
@@ -122,18 +124,49 @@ def _entry_arrays(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, kind)
 
 
+def _digests(head: np.ndarray, order: np.ndarray, strings: list[bytes], same_document: bool) -> Iterator[pa.RecordBatch]:
+    """Runs of single windows that came as digests, sorted by key, document and start: all but each digest's first."""
+    at = np.flatnonzero(head["size"] == DIGEST)
+    first: dict[bytes, int] = {}
+    hit = np.zeros(len(at), bool)
+    for k, (i, doc) in enumerate(zip(order[at].tolist(), head["doc"][at].tolist(), strict=True)):
+        own = first.setdefault(strings[i], k)
+        hit[k] = own != k and (same_document or doc != head["doc"][at[own]])
+    yield from _runs(head[at], hit, np.ones(len(at), np.int64))
+
+
+def _runs(head: np.ndarray, hit: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of marked windows, by page; hit: all windows of all strings, size: windows of each string."""
+    if not hit.any():
+        return
+    at = np.cumsum(size) - size
+    first = np.zeros(len(hit), bool)
+    first[at] = True
+    start = np.flatnonzero(hit & (first | ~np.concatenate([[False], hit[:-1]])))
+    last = np.flatnonzero(hit & np.concatenate([first[1:] | ~hit[1:], [True]]))
+    entry = np.searchsorted(at, start, "right") - 1
+    runs = np.zeros(len(start), RUN)
+    runs["doc"], runs["start"], runs["n"] = head["doc"][entry], head["start"][entry] + start - at[entry], last - start + 1
+    page = head["page"][entry]
+    order = np.argsort(page, kind="stable")
+    page, runs = page[order], runs[order]
+    edges = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1], [True]]))
+    yield pa.record_batch({"page": pa.array(page[edges[:-1]], pa.int32()), "runs": pa.array([runs[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
+
+
 def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare: Callable) -> tuple[DataFrame, DataFrame]:
     """(pages of documents, runs: page, runs binary). ``compare(entries, strings)`` marks, for strings sorted by
-    document and start, each window that an earlier string has: a list of boolean arrays. ``same_document``: an earlier
+    key, document and start, each window that an earlier string of the key has: all windows' marks in one array, and
+    the number of windows of each string. ``same_document``: an earlier
     start in the same document counts too."""
     base, n = paged(docs, "doc_id", "text")
-    buckets = 4 * n
+    buckets = n
 
     def minimisers(table: pa.Table) -> pa.Table:
         _, texts = _texts(table, kind)
         found = [c[4] for c in kind.cut(texts)]
         keys, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U), np.zeros(0, int))
-        keys = keys | (count > 1).astype(U)
+        keys = keys | (count > 1).astype(U) | ((count >= HOT_TIMES).astype(U) << U(1))
         rows = [(b, keys[at].tobytes()) for b, at in _split(_bucket(keys & HASH, buckets), buckets)]
         page = _page(table)
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "page": pa.array([page] * len(rows), pa.int32()), "keys": pa.array([x for _, x in rows], pa.binary())})
@@ -152,9 +185,9 @@ def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare:
         own = keys & HASH
         head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         size = np.diff(np.append(head, len(own)))
-        many = np.bitwise_or.reduceat(keys & U(1), head).astype(bool)
-        told = np.repeat((size > 1) | many, size)
-        answer = own | np.repeat(size >= HOT_PAGES, size).astype(U)
+        flags = np.bitwise_or.reduceat(keys & ~HASH, head)
+        told = np.repeat((size > 1) | (flags > 0), size)
+        answer = own | np.repeat((size >= HOT_PAGES) | (flags > 1), size).astype(U)
         own, at = answer[told], at[told]
         order = np.argsort(at, kind="stable")
         own, at = own[order], at[order]
@@ -184,8 +217,9 @@ def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare:
                 if len(at):
                     step = np.arange(int(n_[at].sum())) - np.repeat(np.cumsum(n_[at]) - n_[at], n_[at])
                     s1 = np.repeat(s[at], n_[at]) + step
-                    a, b = span(s1, np.ones(len(s1), np.int64))
-                    pieces += zip(np.repeat(docs_[text[at]], n_[at]).tolist(), (np.repeat(start[at], n_[at]) + step).tolist(), [1] * len(s1), window_key(s1).tolist(), [data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)], strict=True)
+                    h1, h2 = window_key(s1)
+                    digests = np.stack([h1, h2], 1).astype("<u8").tobytes()
+                    pieces += zip(np.repeat(docs_[text[at]], n_[at]).tolist(), (np.repeat(start[at], n_[at]) + step).tolist(), [1] * len(s1), (h1 & HASH).tolist(), [digests[i : i + DIGEST] for i in range(0, len(digests), DIGEST)], strict=True)
             pieces.sort(key=lambda p: (p[0], p[1]))
             for doc, start, n_, key, string in pieces:
                 k = best.setdefault(string, len(entries))
@@ -206,7 +240,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare:
                     out["bucket"].append(bucket)
                     out["entries"].append(head[at].tobytes())
                     out["runs"].append(None)
-                    out["strings"].append(b"".join([entries[i][4] for i in at]))
+                    out["strings"].append(pa.compress(b"".join([entries[i][4] for i in at]), codec="zstd", asbytes=True))
         return pa.table({
             "bucket": pa.array(out["bucket"], pa.int32()),
             "page": pa.array([r[0] if r else -1 for r in out["runs"]], pa.int32()),
@@ -219,26 +253,41 @@ def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare:
         heads, strings = [], []
         for batch in batches:
             rows = batch.to_pydict()
-            for page, runs, entries, packed_ in zip(rows["page"], rows["runs"], rows["entries"], rows["strings"], strict=True):
+            for page, runs, entries, raw in zip(rows["page"], rows["runs"], rows["entries"], rows["strings"], strict=True):
                 if runs:
                     yield pa.record_batch({"page": pa.array([page], pa.int32()), "runs": pa.array([runs], pa.binary())})
                 if entries:
                     h = np.frombuffer(entries, ENTRY)
+                    raw = pa.decompress(raw, int(h["size"].sum()), codec="zstd", asbytes=True)
                     stops = np.cumsum(h["size"]).tolist()
                     heads.append(h)
-                    strings += [packed_[b - s : b] for b, s in zip(stops, h["size"].tolist(), strict=True)]
+                    strings += [raw[b - s : b] for b, s in zip(stops, h["size"].tolist(), strict=True)]
         if not heads:
             return
         head = np.concatenate(heads)
         order = np.lexsort((head["start"], head["doc"], head["key"]))
-        head, strings = head[order], [strings[i] for i in order]
-        found = defaultdict(list)
-        for e, hit in zip(head, compare(head, strings), strict=True):
-            if hit.any():
-                edge = np.flatnonzero(np.diff(hit.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-                found[int(e["page"])] += [(int(e["doc"]), int(e["start"]) + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])]
-        for page, runs in found.items():
-            yield pa.record_batch({"page": pa.array([page], pa.int32()), "runs": pa.array([np.array(runs, RUN).tobytes()], pa.binary())})
+        head = head[order]
+        yield from _digests(head, order, strings, same_document)
+        order, head = order[head["size"] != DIGEST], head[head["size"] != DIGEST]
+        if not len(head):
+            return
+        # one batch after another, each of whole groups; a group of one string has nothing to compare
+        same = head["key"][1:] == head["key"][:-1]
+        alone = ~np.concatenate([[False], same]) & ~np.concatenate([same, [False]])
+        head, order = head[~alone], order[~alone]
+        if not len(head):
+            return
+        edge = np.flatnonzero(np.concatenate([[True], head["key"][1:] != head["key"][:-1]]))
+        total = np.concatenate([[0], np.cumsum(head["size"])])
+        a = 0
+        while a < len(head):
+            b = int(np.searchsorted(total, total[a] + BATCH))
+            k = int(np.searchsorted(edge, max(b, a + 1)))
+            b = int(edge[k]) if k < len(edge) else len(head)
+            own = head[a:b]
+            hit, size = compare(own, [strings[i] for i in order[a:b]])
+            yield from _runs(own, hit, size)
+            a = b
 
     asked = base.groupBy("page").applyInArrow(minimisers, "bucket int, page int, keys binary").repartition(n, "bucket")
     answers = asked.mapInArrow(shared, "page int, keys binary").repartition(n, "page")

@@ -17,34 +17,45 @@ from assayer.llm.arrays import BYTES, U, prefix_hashes, run_hash
 SEPARATOR = 0xFF
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` (rounded up to 8 times a power of 2) bytes, by prefix doubling."""
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Order of all suffixes, each read up to its first SEPARATOR (then by place), by prefix doubling. ``data`` ends
+    with a separator. The order is total, so that LF keeps the order of suffixes behind one byte."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     first = np.zeros(n, U)
     for j in range(8):
         first = (first << U(8)) | padded[j : j + n].astype(U)
+    ends = np.flatnonzero(data == SEPARATOR)
+    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # bytes before the separator
+    over = left < 8
+    first[over] &= ~((U(1) << (U(8) * (7 - left[over]).astype(U))) - U(1))
     order = np.argsort(first, kind="stable")
-    width = 8
-    ordered = first[order]
+    ordered, width = first[order], 8
     while True:
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        new = np.concatenate([[0], np.cumsum((ordered[1:] != ordered[:-1]) | over[order[1:]])])
+        if new[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = new
-        if width >= depth or new[-1] == n - 1:
-            return order
         after = np.zeros(n, np.int64)
-        after[: max(0, n - width)] = rank[width:] + 1
+        after[: max(0, n - width)] = rank[width:]
         key = (rank.astype(U) << U(32)) | after.astype(U)
-        order = np.argsort(key, kind="stable")
+        # only suffixes that still share a rank have to move
+        tied = np.zeros(n, bool)
+        tied[1:] = new[1:] == new[:-1]
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)
+        own = order[at]
+        order[at] = own[np.argsort(key[own], kind="stable")]
         ordered = key[order]
         width *= 2
+        over = left < width
 
 
 class RunLengthIndex:
-    def __init__(self, data: np.ndarray, depth: int) -> None:
+    def __init__(self, data: np.ndarray) -> None:
         """``data``: uint8, ends with SEPARATOR."""
-        order = suffix_array(data, depth)
+        order = suffix_array(data)
         n = self.n = len(data)
         bwt = data[order - 1]
         head = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))

@@ -1,13 +1,13 @@
 """Substring deduplication: word windows by super-k-mer partitioning, and byte windows by a run-length index.
 
 ``dedup_words`` removes each word covered by a window of ``w`` words whose sequence also starts in a document with a
-smaller doc_id. In the bucket of a minimiser the windows of all strings are sorted by hash, neighbours are compared
-exactly, and every window gets the smallest document that has it.
+smaller doc_id. In the bucket of a minimiser the windows of all strings are sorted by two 64-bit hashes (by their words,
+should those disagree), and every window gets the smallest document that has it.
 
 ``dedup_bytes`` removes each byte covered by a string of ``w`` bytes that also starts earlier (smaller doc_id, or earlier
-in the same document). In a bucket, the earliest string of every minimiser goes into a run-compressed Burrows-Wheeler
-transform with sampled run ends; the other strings stream through it, and windows whose matching statistics reach ``w``
-are marked. What is left of them is indexed and streamed again, until no two strings with one minimiser are left.
+in the same document). In a bucket, the earlier half of each minimiser's strings goes into a run-compressed Burrows-Wheeler
+transform with sampled run ends; the other half streams through it, and windows whose matching statistics reach ``w``
+are marked; then the halves are halved.
 
 Both judge the input, not what is left. Defined results: null text is empty; rows without doc_id are left out; if a
 doc_id repeats, its rows are collapsed first (``one_row_per_id``); extra columns are not read.
@@ -20,69 +20,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.arrays import joined, window_hashes, word_hashes, words_in
+from assayer.llm.arrays import joined, mixed, window_hashes, word_hashes, words_in
 from assayer.llm.repeats import Kind, applied, covered, repeated_windows
 from assayer.llm.rindex import RunLengthIndex, long_matches
 
 
-def sorted_windows(head: np.ndarray, strings: list[bytes], w: int) -> list[np.ndarray]:
+def sorted_windows(head: np.ndarray, strings: list[bytes], w: int) -> tuple[np.ndarray, np.ndarray]:
     """Which windows of w words a string of a smaller document has."""
     data, starts = joined(strings)
     a, b, counts = words_in(data, starts)
     size = np.diff(counts) - w + 1
     at = np.arange(int(size.sum())) + np.repeat(counts[:-1] - (np.cumsum(size) - size), size)
-    h = window_hashes(word_hashes(data, a, b), w)[at]
+    words = word_hashes(data, a, b)
+    h, check = window_hashes(words, w)[at], window_hashes(mixed(words), w)[at]
     doc = np.repeat(head["doc"], size)
     order = np.lexsort((doc, h))
-    h, doc_, at_ = h[order], doc[order], at[order]
+    h, check, doc_ = h[order], check[order], doc[order]
     new = np.concatenate([[True], h[1:] != h[:-1]])
-    raw, low, high = data.tobytes(), a[at_], b[at_ + w - 1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    for i in np.flatnonzero(~new):  # equal hashes: compare the words themselves
-        if raw[low[i] : high[i]] != raw[low[first[i]] : high[first[i]]]:
-            return _exact_windows(raw, a, b, at, doc, size, w)
     late = np.zeros(len(at), bool)
-    late[order] = doc_ > doc_[first]
-    return np.split(late, np.cumsum(size)[:-1])
-
-
-def _exact_windows(raw: bytes, a: np.ndarray, b: np.ndarray, at: np.ndarray, doc: np.ndarray, size: np.ndarray, w: int) -> list[np.ndarray]:
-    """The same without hashes, should two different windows ever share one."""
-    least: dict[bytes, int] = {}
-    keys = [raw[a[i] : b[i + w - 1]] for i in at]
-    for k, d in zip(keys, doc.tolist(), strict=True):
-        least[k] = min(d, least.get(k, d))
-    return np.split(np.array([d > least[k] for k, d in zip(keys, doc.tolist(), strict=True)], bool), np.cumsum(size)[:-1])
-
-
-def indexed_windows(head: np.ndarray, strings: list[bytes], w: int) -> list[np.ndarray]:
-    """Which windows of w bytes an earlier string has; strings come by key, document and start."""
+    if (check[1:] == check[:-1])[~new[1:]].all():
+        late[order] = doc_ > doc_[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+    else:  # two different windows share a hash: compare the words themselves
+        raw, least = data.tobytes(), {}
+        keys = [raw[a[i] : b[i + w - 1]] for i in at]
+        for k, d in zip(keys, doc.tolist(), strict=True):
+            least[k] = min(d, least.get(k, d))
+        late[:] = [d > least[k] for k, d in zip(keys, doc.tolist(), strict=True)]
+    return late, size
+
+
+def indexed_windows(head: np.ndarray, strings: list[bytes], w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of w bytes an earlier string has; strings come by key, document and start.
+
+    The strings of a minimiser are halved again and again: the earlier halves are indexed, the later halves stream
+    through the index, and windows found are taken out of them. What is left of a later half has no window of an earlier
+    one, so on the next level, where all pairs of halves share an index, nothing matches a later string."""
     out = [np.zeros(len(s) - w + 1, bool) for s in strings]
+    key = head["key"]
+    groups: list[list[int]] = []  # places of distinct strings with one key
     seen: dict[bytes, int] = {}
-    left = []  # key, string's place, first window, bytes
     for i, s in enumerate(strings):
         if seen.setdefault(s, i) != i:
             out[i][:] = True
+        elif groups and key[groups[-1][0]] == key[i]:
+            groups[-1].append(i)
         else:
-            left.append((int(head["key"][i]), i, 0, s))
-    while left:
-        refs, rest = [], []
-        groups: dict[int, list] = {}
-        for piece in left:
-            groups.setdefault(piece[0], []).append(piece)
-        for pieces in groups.values():
-            if len(pieces) > 1:
-                refs.append(pieces[0])
-                rest += pieces[1:]
-        if not rest:
-            break
-        index = RunLengthIndex(np.frombuffer(b"\xff".join([*(p[3] for p in refs), b""]), np.uint8), w + 8)
-        left = []
-        for (key, i, at, s), hit in zip(rest, long_matches(index, [p[3] for p in rest], w), strict=True):
-            out[i][at : at + len(hit)] |= hit
-            edge = np.flatnonzero(np.diff((~hit).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-            left += [(key, i, at + int(x), s[x : y + w - 1]) for x, y in zip(edge[::2], edge[1::2])]
-    return out
+            groups.append([i])
+    level = [g for g in groups if len(g) > 1]
+    while level:
+        early = [i for g in level for i in g[: (len(g) + 1) // 2]]
+        late = [i for g in level for i in g[(len(g) + 1) // 2 :]]
+        texts = [strings[i][a : b + w - 1] for i in early for a, b in _free(out[i])]
+        pieces = [(i, a, strings[i][a : b + w - 1]) for i in late for a, b in _free(out[i])]
+        if texts and pieces:
+            index = RunLengthIndex(np.frombuffer(b"\xff".join([*texts, b""]), np.uint8))
+            for (i, a, _), hit in zip(pieces, long_matches(index, [p[2] for p in pieces], w), strict=True):
+                out[i][a : a + len(hit)] |= hit
+        level = [h for g in level for h in (g[: (len(g) + 1) // 2], g[(len(g) + 1) // 2 :]) if len(h) > 1]
+    return np.concatenate(out), np.array([len(x) for x in out])
+
+
+def _free(marked: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of unmarked windows."""
+    if not marked.any():
+        return [(0, len(marked))]
+    edge = np.flatnonzero(np.diff((~marked).view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
+    return list(zip(edge[::2], edge[1::2]))
 
 
 def dedup_words(docs: DataFrame, doc: str = "doc_id", text: str = "text", w: int = 13, m: int = 3) -> DataFrame:
