@@ -85,7 +85,7 @@ ORACLE_SQL = {
     "q_auc": f"WITH {_LABELLED} " + _auc_sql("lang", "l", "n_chars"),
     "q_recall_at_fpr": f"""WITH {_LABELLED}, t AS (SELECT DISTINCT lang, n_chars AS thr FROM l UNION SELECT DISTINCT lang, 0 FROM l),
       s AS (SELECT t.lang, thr, count(*) FILTER (WHERE quality = 1 AND n_chars > thr) AS tp, count(*) FILTER (WHERE quality <> 1 AND n_chars > thr) AS fp, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality <> 1) AS n FROM t JOIN l ON l.lang = t.lang GROUP BY ALL)
-      SELECT lang, arg_min(tp::DOUBLE / p, thr) AS recall FROM s WHERE p > 0 AND n > 0 AND fp::DOUBLE / n <= 0.10 GROUP BY lang""",
+      SELECT lang, arg_min(tp::DOUBLE / p, thr) FILTER (WHERE p > 0 AND n > 0 AND fp::DOUBLE / n <= 0.10) AS recall FROM s GROUP BY lang""",
     "q_paired_stats": f"""WITH {_LABELLED} SELECT lang, count(*) AS areas, count(*) FILTER (WHERE quality = 1) AS positive, count(*) FILTER (WHERE quality <> 1) AS clean,
       avg((n_chars % 7 > 0)::INT) FILTER (WHERE quality <> 1) AS flag_rate_a, avg((doc_id % 5 > 0)::INT) FILTER (WHERE quality <> 1) AS flag_rate_b, avg((n_chars % 7 > 0)::INT) FILTER (WHERE quality = 1) AS recall_a, avg((doc_id % 5 > 0)::INT) FILTER (WHERE quality = 1) AS recall_b FROM l GROUP BY lang""",
     "q_bootstrap_ci": f"""WITH {_LABELLED}, u AS (SELECT source, r.range AS replicate, (ascii(md5(r.range || '/' || source)[1]) + ascii(md5(r.range || '/' || source)[2])) % 3 AS w FROM (SELECT DISTINCT source FROM l), range(100) r),
