@@ -40,7 +40,7 @@ HASH = ~U(3)
 #: Bytes of a window's digest; packed strings are longer.
 DIGEST = 16
 #: Bytes of strings that a bucket compares at once; whole groups of a minimiser stay together.
-BATCH = 2 << 20
+BATCH = 3 << 20
 RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("size", "<i4"), ("page", "<i4")])
 
@@ -124,15 +124,19 @@ def _entry_arrays(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, kind)
 
 
-def _digests(head: np.ndarray, order: np.ndarray, strings: list[bytes], same_document: bool) -> Iterator[pa.RecordBatch]:
-    """Runs of single windows that came as digests, sorted by key, document and start: all but each digest's first."""
-    at = np.flatnonzero(head["size"] == DIGEST)
+def _told(page: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+    """Runs by page."""
+    order = np.argsort(page, kind="stable")
+    page, runs = page[order], runs[order]
+    edges = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1], [True]]))
+    return pa.record_batch({"page": pa.array(page[edges[:-1]], pa.int32()), "runs": pa.array([runs[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
+
+
+def _again(head: np.ndarray, strings: list[bytes], same_document: bool) -> np.ndarray:
+    """Which strings came before as a whole; strings are sorted by key, document and start."""
     first: dict[bytes, int] = {}
-    hit = np.zeros(len(at), bool)
-    for k, (i, doc) in enumerate(zip(order[at].tolist(), head["doc"][at].tolist(), strict=True)):
-        own = first.setdefault(strings[i], k)
-        hit[k] = own != k and (same_document or doc != head["doc"][at[own]])
-    yield from _runs(head[at], hit, np.ones(len(at), np.int64))
+    own = np.array([first.setdefault(s, i) for i, s in enumerate(strings)])
+    return (own != np.arange(len(own))) & (same_document | (head["doc"] != head["doc"][own]))
 
 
 def _runs(head: np.ndarray, hit: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -147,11 +151,7 @@ def _runs(head: np.ndarray, hit: np.ndarray, size: np.ndarray) -> Iterator[pa.Re
     entry = np.searchsorted(at, start, "right") - 1
     runs = np.zeros(len(start), RUN)
     runs["doc"], runs["start"], runs["n"] = head["doc"][entry], head["start"][entry] + start - at[entry], last - start + 1
-    page = head["page"][entry]
-    order = np.argsort(page, kind="stable")
-    page, runs = page[order], runs[order]
-    edges = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1], [True]]))
-    yield pa.record_batch({"page": pa.array(page[edges[:-1]], pa.int32()), "runs": pa.array([runs[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
+    yield _told(head["page"][entry], runs)
 
 
 def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare: Callable) -> tuple[DataFrame, DataFrame]:
@@ -267,14 +267,18 @@ def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare:
         head = np.concatenate(heads)
         order = np.lexsort((head["start"], head["doc"], head["key"]))
         head = head[order]
-        yield from _digests(head, order, strings, same_document)
-        order, head = order[head["size"] != DIGEST], head[head["size"] != DIGEST]
-        if not len(head):
-            return
-        # one batch after another, each of whole groups; a group of one string has nothing to compare
-        same = head["key"][1:] == head["key"][:-1]
-        alone = ~np.concatenate([[False], same]) & ~np.concatenate([same, [False]])
-        head, order = head[~alone], order[~alone]
+        strings = [strings[i] for i in order]
+        again = _again(head, strings, same_document)
+        if again.any():
+            whole = np.zeros(int(again.sum()), RUN)
+            for name in ("doc", "start", "n"):
+                whole[name] = head[name][again]
+            yield _told(head["page"][again], whole)
+        # what is left is compared, batch by batch of whole groups; digests and strings alone in their group are done
+        at = np.flatnonzero(~again & (head["size"] != DIGEST))
+        same = head["key"][at][1:] == head["key"][at][:-1]
+        at = at[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(at) else at
+        head, strings = head[at], [strings[i] for i in at]
         if not len(head):
             return
         edge = np.flatnonzero(np.concatenate([[True], head["key"][1:] != head["key"][:-1]]))
@@ -285,7 +289,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare:
             k = int(np.searchsorted(edge, max(b, a + 1)))
             b = int(edge[k]) if k < len(edge) else len(head)
             own = head[a:b]
-            hit, size = compare(own, [strings[i] for i in order[a:b]])
+            hit, size = compare(own, strings[a:b])
             yield from _runs(own, hit, size)
             a = b
 

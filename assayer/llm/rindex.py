@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from assayer.llm.arrays import BYTES, U, prefix_hashes, run_hash
+from assayer.llm.arrays import BASE_INVERSE, BYTES, U, powers, prefix_hashes, run_hash
 
 #: A byte that UTF-8 text never has, between and after strings.
 SEPARATOR = 0xFF
@@ -74,16 +74,17 @@ class RunLengthIndex:
 
     def shared(self, prefix: np.ndarray, at: np.ndarray, stop: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
         """Length, at most ``most``, that pattern[at:stop] and text[place:] have in common; by hashes and bisection."""
+        back = powers(BASE_INVERSE, max(self.n, len(prefix)) + 1)
+        a, b = back[at], back[place]
+        p, q = prefix[at], self.prefix[place]
         low = np.zeros(len(at), np.int64)
         high = np.minimum(np.minimum(stop - at, self.n - place), most)
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
-            mid = (low + high + 1) // 2
-            same = run_hash(prefix, at, at + mid) == run_hash(self.prefix, place, place + mid)
-            low = np.where(open_ & same, mid, low)
-            high = np.where(open_ & ~same, mid - 1, high)
+        while (low < high).any():
+            mid = (low + high + 1) >> 1
+            same = (prefix[at + mid] - p) * a == (self.prefix[place + mid] - q) * b
+            low = np.where(same, mid, low)
+            high = np.where(same, high, np.maximum(mid - 1, low))
+        return low
 
     def pointers(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, prefix: np.ndarray, most: int) -> np.ndarray:
         """For each place of ``data`` in a pattern [start, stop): a place of the text with its longest match, -1 if none."""
@@ -110,10 +111,9 @@ class RunLengthIndex:
                 both = np.flatnonzero(has_next & has_prev)
                 take_next = has_next.copy()
                 if len(both):
-                    a, z = at[off[both]] + 1, end[off[both]]
-                    with_next = self.shared(prefix, a, z, self.at_start[nxt[both]], most)
-                    with_prev = self.shared(prefix, a, z, self.at_end[prv[both]], most)
-                    take_next[both] = with_next > with_prev
+                    a, z = np.tile(at[off[both]] + 1, 2), np.tile(end[off[both]], 2)
+                    common = self.shared(prefix, a, z, np.concatenate([self.at_start[nxt[both]], self.at_end[prv[both]]]), most)
+                    take_next[both] = common[: len(both)] > common[len(both) :]
                 new_run = np.where(take_next, nxt, prv)
                 none = ~(has_next | has_prev)
                 new_row = np.where(take_next, self.start[new_run], np.append(self.start[1:], self.n)[new_run] - 1)
