@@ -72,7 +72,7 @@ def same_number(a: Column, b: Column) -> Column:
 
 
 def first_year(c: Column) -> Column:
-    return F.expr("cast(null as int)") if c is None else F.regexp_extract(c, r"\b(\d{4})\b", 1).try_cast("int")
+    return F.regexp_extract(c, r"\b(\d{4})\b", 1).try_cast("int")
 
 
 def card_key(name: Column, set_: Column, number: Column) -> Column:

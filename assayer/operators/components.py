@@ -29,8 +29,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``id``, ``component`` (the smallest id reachable) of every id that has an edge to another. Nulls and loops are
     ignored; ids can be of any ordered type."""
-    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    now, before = written(now, "edges"), None
+    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
+    before = None
     for _ in range(max_rounds):
         now = written(_small_star(_large_star(now)), "edges")
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()

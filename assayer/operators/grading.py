@@ -4,10 +4,15 @@
 side and component seen, limited and in_hand flags (``seen_front_corners`` and so on). ``defects``: id, side, component,
 cap, severity, confirmed, qualifier, fatal, pos. Defects are reduced in one aggregation by id (with map-side combining);
 every rule after that is a projection, so a whole report costs one shuffle of each input.
+
+The rules' columns don't depend on a table; they are built once in a process, as stages that add columns one after
+another.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +34,17 @@ def _parts(test: Column, name: str) -> list[Column]:
     ]
 
 
-def reduced(defects: DataFrame) -> DataFrame:
-    """One row per id: the facts of each area, of each area without one qualifier's defects, qualifiers and fatality."""
+Stages = tuple[dict[str, Column], ...]
+
+
+def added(df: DataFrame, stages: Stages) -> DataFrame:
+    for columns in stages:
+        df = df.withColumns(columns)
+    return df
+
+
+@cache
+def _facts() -> tuple[Column, ...]:
     aggs = [F.bool_or(F.col("confirmed") & F.col("fatal")).alias("altered")]
     heavy = F.col("confirmed") & F.col("severity").isin("moderate", "major")
     for side, comp in AREAS:
@@ -40,7 +54,12 @@ def reduced(defects: DataFrame) -> DataFrame:
         aggs.append(F.min(F.when(hit, F.col("pos"))).alias(f"first_{q}"))
         for side in C.SIDES:
             aggs += _parts((F.col("side") == side) & (F.col("component") == comp) & ~hit, f"{side}_{comp}_no{q}")
-    return defects.groupBy("id").agg(*aggs)
+    return tuple(aggs)
+
+
+def reduced(defects: DataFrame) -> DataFrame:
+    """One row per id: the facts of each area, of each area without one qualifier's defects, qualifiers and fatality."""
+    return defects.groupBy("id").agg(*_facts())
 
 
 def is_assessed(side: str, comp: str) -> Column:
@@ -74,10 +93,9 @@ def is_assessed_without(side: str, comp: str, suffix: str) -> Column:
     return hand | (~(limited & ~hand) & (seen | F.col(f"worst_{side}_{comp}{suffix}").isNotNull()))
 
 
-def conditions(cards: DataFrame, defects: DataFrame) -> DataFrame:
-    """``cards`` with assessed_*, cond_<side>_<component>, cond_<component>, graded shares and worst and best axes."""
-    out = cards.join(reduced(defects), "id", "left").withColumn("altered", F.coalesce("altered", F.lit(False)))
-    out = out.withColumns({f"assessed_{s}_{c}": is_assessed(s, c) for s, c in AREAS})
+@cache
+def _condition_stages() -> Stages:
+    first = {"altered": F.coalesce("altered", F.lit(False))} | {f"assessed_{s}_{c}": is_assessed(s, c) for s, c in AREAS}
     made = {}
     for s, c in AREAS:
         n = f"{s}_{c}"
@@ -87,8 +105,12 @@ def conditions(cards: DataFrame, defects: DataFrame) -> DataFrame:
     for s, a in AXES:
         share = F.col(f"{s}_{a}")
         made[f"graded_{s}_{a}"] = F.when(F.col(f"{s}_{a}_unread"), F.greatest(share, num(C.UNREAD_SHARE))).otherwise(share)
-    out = out.withColumns(made)
-    return out.withColumns({f"{k}_{s}": f(f"graded_{s}_lr", f"graded_{s}_tb") for s in C.SIDES for k, f in (("most", F.greatest), ("least", F.least))})
+    return first, made, {f"{k}_{s}": f(f"graded_{s}_lr", f"graded_{s}_tb") for s in C.SIDES for k, f in (("most", F.greatest), ("least", F.least))}
+
+
+def conditions(cards: DataFrame, defects: DataFrame) -> DataFrame:
+    """``cards`` with assessed_*, cond_<side>_<component>, cond_<component>, graded shares and worst and best axes."""
+    return added(cards.join(reduced(defects), "id", "left"), _condition_stages())
 
 
 def centering(scheme: str) -> Column:
@@ -115,86 +137,102 @@ def _grades(labels) -> list[float]:
     return [float(g) for g, _ in labels]
 
 
-def psa(df: DataFrame) -> DataFrame:
-    """Adds psa_centering, psa_<component>, psa_body, psa_overall, psa_label, psa_tier, psa_qualifiers, psa_alternatives."""
+@cache
+def _psa_stages() -> Stages:
     g = _grades(C.PSA)
-    df = df.withColumns({"psa_centering": centering("PSA")} | {f"psa_{c}": floor_to(g, F.least(num(10), ceiling(f"cond_{c}"))) for c in C.COMPONENTS})
-    df = df.withColumn("psa_body", F.least(*[F.col(f"psa_{c}") for c in C.COMPONENTS]))
-    df = df.withColumn("psa_overall", floor_to(g, F.least("psa_body", "psa_centering")))
+    parts = {"psa_centering": centering("PSA")} | {f"psa_{c}": floor_to(g, F.least(num(10), ceiling(f"cond_{c}"))) for c in C.COMPONENTS}
+    body = {"psa_body": F.least(*[F.col(f"psa_{c}") for c in C.COMPONENTS])}
+    overall = {"psa_overall": floor_to(g, F.least("psa_body", "psa_centering"))}
     alts = {}
     for q, comp in C.QUALIFIERS:
         rest = [F.col(f"psa_{c}") for c in C.COMPONENTS if c != comp]
-        body = F.least(floor_to(g, F.least(num(10), F.coalesce(_both(comp, f"_no{q}"), num(C.FLAWLESS)))), *rest)
-        alts[f"psa_without_{q}"] = F.when(F.col(f"first_{q}").isNotNull(), floor_to(g, F.least(body, F.col("psa_centering"))))
-    df = df.withColumns(alts)
+        without = F.least(floor_to(g, F.least(num(10), F.coalesce(_both(comp, f"_no{q}"), num(C.FLAWLESS)))), *rest)
+        alts[f"psa_without_{q}"] = F.when(F.col(f"first_{q}").isNotNull(), floor_to(g, F.least(without, F.col("psa_centering"))))
     found = F.array_sort(F.filter(F.array(*[F.struct(F.col(f"first_{q}").alias("pos"), F.lit(q).alias("q"), F.col(f"psa_without_{q}").alias("alt")) for q, _ in C.QUALIFIERS]), lambda x: x["pos"].isNotNull()))
     off = F.col("psa_centering") < F.col("psa_body")
-    df = df.withColumn("psa_found", found)
     better = F.transform(F.filter("psa_found", lambda x: x["alt"] > F.col("psa_overall")), lambda x: F.concat(F.lit("PSA "), format_g(x["alt"]), F.lit(" "), x["q"]))
-    return df.withColumns({
+    return parts, body, overall, alts, {"psa_found": found}, {
         "psa_qualifiers": F.concat(F.when(off, F.array(F.lit("OC"))).otherwise(F.array().cast("array<string>")), F.transform("psa_found", lambda x: x["q"])),
         "psa_alternatives": F.concat(F.when(off, F.array(F.concat(F.lit("PSA "), format_g(F.col("psa_body")), F.lit(" OC")))).otherwise(F.array().cast("array<string>")), better),
         "psa_grade": F.col("psa_overall"),
         "psa_label": label_of(C.PSA, F.col("psa_overall")),
         "psa_tier": place_of(C.PSA, F.col("psa_overall")),
-    })
+    }
+
+
+def psa(df: DataFrame) -> DataFrame:
+    """Adds psa_centering, psa_<component>, psa_body, psa_overall, psa_label, psa_tier, psa_qualifiers, psa_alternatives."""
+    return added(df, _psa_stages())
 
 
 def _sorted_subs(prefix: str) -> Column:
     return F.array_sort(F.array(*[F.col(f"{prefix}_{k}") for k in ("centering", *C.COMPONENTS)]))
 
 
-def bgs(df: DataFrame) -> DataFrame:
+@cache
+def _bgs_stages() -> Stages:
     g = _grades(C.BGS)
     sub = lambda x: F.when(x >= C.FLAWLESS, num(10)).otherwise(floor_to(g, F.least(x, num(9.5))))
-    df = df.withColumns({"bgs_centering": centering("BGS")} | {f"bgs_{c}": sub(ceiling(f"cond_{c}")) for c in C.COMPONENTS})
-    df = df.withColumn("bgs_subs", _sorted_subs("bgs"))
+    parts = {"bgs_centering": centering("BGS")} | {f"bgs_{c}": sub(ceiling(f"cond_{c}")) for c in C.COMPONENTS}
     low, second = F.get("bgs_subs", 0), F.get("bgs_subs", 1)
     raw = F.when(low == second, low).when(second - low >= C.OUTLIER_GAP, F.least(low + C.OUTLIER_BONUS, second)).otherwise(F.least(low + C.MAX_ABOVE_LOWEST, second))
     raw = F.when((raw >= 9.5) & (low < 9), num(9)).otherwise(raw)
     tens = F.size(F.filter("bgs_subs", lambda s: s >= 10))
     raw = F.when((raw >= 10) & ((tens < 3) | (low < 9.5)), num(9.5)).otherwise(raw)
-    df = df.withColumn("bgs_grade", floor_to(g, raw))
     black = low == 10
-    return df.withColumns({"bgs_label": F.when(black, C.BLACK_LABEL).otherwise(label_of(C.BGS, F.col("bgs_grade"))), "bgs_tier": F.when(black, 0).otherwise(place_of(C.BGS, F.col("bgs_grade"), 1))})
+    shown = {"bgs_label": F.when(black, C.BLACK_LABEL).otherwise(label_of(C.BGS, F.col("bgs_grade"))), "bgs_tier": F.when(black, 0).otherwise(place_of(C.BGS, F.col("bgs_grade"), 1))}
+    return parts, {"bgs_subs": _sorted_subs("bgs")}, {"bgs_grade": floor_to(g, raw)}, shown
 
 
-def cgc(df: DataFrame) -> DataFrame:
+def bgs(df: DataFrame) -> DataFrame:
+    """Adds bgs_centering, bgs_<component>, bgs_grade, bgs_label, bgs_tier."""
+    return added(df, _bgs_stages())
+
+
+@cache
+def _cgc_stages() -> Stages:
     g = _grades(C.CGC)
-    df = df.withColumns({"cgc_centering": centering("CGC")} | {f"cgc_{c}": floor_to(g, ceiling(f"cond_{c}")) for c in C.COMPONENTS})
-    df = df.withColumn("cgc_subs", _sorted_subs("cgc"))
+    parts = {"cgc_centering": centering("CGC")} | {f"cgc_{c}": floor_to(g, ceiling(f"cond_{c}")) for c in C.COMPONENTS}
     low, second = F.get("cgc_subs", 0), F.get("cgc_subs", 1)
-    df = df.withColumn("cgc_overall", floor_to(g, F.when((low >= 9.5) | (low == second), low).otherwise(F.least(low + C.MAX_ABOVE_LOWEST, second, num(9.5)))))
-    return df.withColumns({"cgc_grade": F.least("cgc_overall", num(10)), "cgc_label": label_of(C.CGC, F.col("cgc_overall")), "cgc_tier": place_of(C.CGC, F.col("cgc_overall"))})
+    overall = {"cgc_overall": floor_to(g, F.when((low >= 9.5) | (low == second), low).otherwise(F.least(low + C.MAX_ABOVE_LOWEST, second, num(9.5))))}
+    return parts, {"cgc_subs": _sorted_subs("cgc")}, overall, {"cgc_grade": F.least("cgc_overall", num(10)), "cgc_label": label_of(C.CGC, F.col("cgc_overall")), "cgc_tier": place_of(C.CGC, F.col("cgc_overall"))}
 
 
-def tag(df: DataFrame) -> DataFrame:
-    """The eight area scores are summed in a fixed order, so that the double result is the same everywhere."""
-    df = df.withColumns({f"tag_{s}_centering": interpolate(C.TAG_CENTERING_POINTS[s], F.col(f"most_{s}")) for s in C.SIDES} | {f"tag_{s}_{c}": as_of(C.TAG_CONDITION_POINTS, ceiling(f"cond_{s}_{c}")) for s, c in AREAS})
+def cgc(df: DataFrame) -> DataFrame:
+    """Adds cgc_centering, cgc_<component>, cgc_overall, cgc_grade, cgc_label, cgc_tier."""
+    return added(df, _cgc_stages())
+
+
+@cache
+def _tag_stages() -> Stages:
+    points = {f"tag_{s}_centering": interpolate(C.TAG_CENTERING_POINTS[s], F.col(f"most_{s}")) for s in C.SIDES} | {f"tag_{s}_{c}": as_of(C.TAG_CONDITION_POINTS, ceiling(f"cond_{s}_{c}")) for s, c in AREAS}
     areas = [(s, f"tag_{s}_{k}") for s in C.SIDES for k in ("centering", *C.COMPONENTS)]
     mean = num(0)
     for s, a in areas:
         mean = mean + F.col(a) * num(C.TAG_SIDE_WEIGHTS[s] / 4)
     w = C.TAG_WEAKEST_WEIGHT
-    df = df.withColumns({"tag_centering": centering("TAG"), "tag_raw": num(w) * F.least(*[F.col(a) for _, a in areas]) + num(1 - w) * mean})
+    raw = {"tag_centering": centering("TAG"), "tag_raw": num(w) * F.least(*[F.col(a) for _, a in areas]) + num(1 - w) * mean}
     cap = None  # a point below the band above the first one that the centering grade reaches
     for above, (_, grade, _) in zip((None, *C.TAG_BANDS), C.TAG_BANDS, strict=False):
         test, value = F.col("tag_centering") >= grade, F.lit(None).cast("double") if above is None else num(above[0] - 1)
         cap = F.when(test, value) if cap is None else cap.when(test, value)
     capped = F.least(F.col("tag_raw"), cap)  # least skips a null cap
-    df = df.withColumn("tag_score", F.rint(F.greatest(num(100), F.least(num(1000), capped))).cast("int"))
-    return df.withColumns({"tag_grade": F.least(band(C.TAG_BANDS, F.col("tag_score"), 1), num(10)), "tag_label": band(C.TAG_BANDS, F.col("tag_score"), 2), "tag_tier": F.coalesce(*[F.when(F.col("tag_score") >= b[0], i) for i, b in enumerate(C.TAG_BANDS)], F.lit(len(C.TAG_BANDS) - 1))})
+    score = {"tag_score": F.rint(F.greatest(num(100), F.least(num(1000), capped))).cast("int")}
+    shown = {"tag_grade": F.least(band(C.TAG_BANDS, F.col("tag_score"), 1), num(10)), "tag_label": band(C.TAG_BANDS, F.col("tag_score"), 2), "tag_tier": F.coalesce(*[F.when(F.col("tag_score") >= b[0], i) for i, b in enumerate(C.TAG_BANDS)], F.lit(len(C.TAG_BANDS) - 1))}
+    return points, raw, score, shown
+
+
+def tag(df: DataFrame) -> DataFrame:
+    """Adds tag_<area>, tag_score, tag_grade, tag_label, tag_tier. The eight area scores are summed in a fixed order, so
+    that the double result is the same everywhere."""
+    return added(df, _tag_stages())
 
 
 GRADERS = {"PSA": psa, "BGS": bgs, "CGC": cgc, "TAG": tag}
 
 
-def report(cards: DataFrame, defects: DataFrame) -> DataFrame:
-    """All schemes: <scheme>_grade, _label and _tier as reported, unassessed areas, complete, best_fit, best_shot."""
-    df = conditions(cards, defects)
-    for grader in GRADERS.values():
-        df = df.transform(grader)
-    df = df.withColumn("missing", missing_areas())
+@cache
+def _report_stages() -> Stages:
     incomplete = (F.size("missing") > 0) & ~F.col("altered")
     out = {"complete": ~incomplete, "unassessed": F.when(incomplete, F.col("missing")).otherwise(F.array().cast("array<string>"))}
     for name in GRADERS:
@@ -203,10 +241,20 @@ def report(cards: DataFrame, defects: DataFrame) -> DataFrame:
         out[f"{k}_grade"] = F.when(F.col("altered"), num(0)).otherwise(F.col(f"{k}_grade"))
         out[f"{k}_label"] = F.when(F.col("altered"), C.ALTERED_LABELS[name]).when(incomplete, F.concat(F.lit("Up to "), label, F.lit(" · incomplete"))).otherwise(label)
         out[f"{k}_tier"] = F.when(F.col("altered"), 99).when(~incomplete, F.col(f"{k}_tier"))
-    df = df.withColumns(out).withColumn("tag_score", F.when(~F.col("altered"), F.col("tag_score")))
+    out["tag_score"] = F.when(~F.col("altered"), F.col("tag_score"))
     ranked = F.array(*[F.struct(F.col(f"{n.lower()}_tier").alias("tier"), F.lit(i).alias("i"), F.lit(n).alias("scheme")) for i, n in enumerate(GRADERS)])
-    df = df.withColumn("best_fit", F.when(F.col("complete"), F.array_min(ranked)["scheme"]))
+    fit = {"best_fit": F.when(F.col("complete"), F.array_min(ranked)["scheme"])}
     # the display rule differs: Black Label above Pristine above the numeric grade, altered below all
     rank = lambda k: F.when(F.col("altered"), num(-1)).when(F.col(f"{k}_label").contains("Black Label"), num(11)).when(F.col(f"{k}_label").contains("Pristine"), num(10.5)).otherwise(F.col(f"{k}_grade"))
     shots = F.array(*[F.struct(rank(n.lower()).alias("rank"), F.lit(-i).alias("i"), F.lit(n).alias("scheme")) for i, n in enumerate(GRADERS)])
-    return df.withColumns({"best_shot": F.array_max(shots)["scheme"], "best_shot_rank": F.array_max(shots)["rank"]})
+    return {"missing": missing_areas()}, out, fit | {"best_shot": F.array_max(shots)["scheme"], "best_shot_rank": F.array_max(shots)["rank"]}
+
+
+def report(cards: DataFrame, defects: DataFrame) -> DataFrame:
+    """All schemes: <scheme>_grade, _label and _tier as reported, unassessed areas, complete, best_fit, best_shot."""
+    df = conditions(cards, defects)
+    # schemes don't read each other's columns: their stages of equal depth are added together
+    own = [_psa_stages(), _bgs_stages(), _cgc_stages(), _tag_stages()]
+    for depth in range(max(map(len, own))):
+        df = df.withColumns({k: v for s in own if depth < len(s) for k, v in s[depth].items()})
+    return added(df, _report_stages())
