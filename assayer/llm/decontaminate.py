@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.tables import written
+
 WORDS = 5
 SIMILARITY = 0.8
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
@@ -69,7 +71,7 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per contaminated (document, item): doc_id, item_id, start_word (first best window), n_words, similarity."""
-    items = _items(benchmark, item, item_text)
+    items = written(_items(benchmark, item, item_text), "items")  # else its hashes are made again for every use
     sizes = {r["n"]: (r["shingles"], r["items"]) for r in items.groupBy("n").agg(F.sum(F.size("shingles")).alias("shingles"), F.count(F.lit(1)).alias("items")).collect()}
     small = sum(s for s, _ in sizes.values()) <= BROADCAST_SHINGLES
     near = F.broadcast if small else (lambda df: df)
