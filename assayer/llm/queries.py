@@ -95,7 +95,52 @@ scored AS (SELECT *, both_n::DOUBLE / (own + size - both_n)::DOUBLE AS similarit
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM scored WHERE similarity >= 0.8)
 SELECT doc_id, item_id, start AS start_word, size + 4 AS n_words, similarity FROM ranked WHERE r = 1"""
 
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+#: All pairs of vectors, then closure.
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+edge AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+lab(id, l) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, l.l FROM lab l JOIN edge e ON e.a = l.id),
+c AS (SELECT id, min(l) AS component_id FROM lab GROUP BY id), n AS (SELECT a, count(*) AS n FROM edge GROUP BY a)
+SELECT id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.id"""
+
+#: Every window of every document, by its words.
+WINDOWS_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+least AS (SELECT s, min(doc_id) AS first_doc FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM win JOIN least USING (s) WHERE doc_id > first_doc),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.pos) AS t, count(*) AS n FROM word w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN kept k USING (doc_id)"""
+
+#: Every byte window, as text of hexadecimal digits.
+BYTES_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+isle AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM dup)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM isle GROUP BY doc_id, k),
+next AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS c FROM span),
+kept AS (SELECT n.doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, substr(any_value(h), 1, 2 * min(a)) || string_agg(substr(h, 2 * b + 1, coalesce(2 * (c - b), len(h))), '' ORDER BY a) AS t FROM next n JOIN d USING (doc_id) GROUP BY n.doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+#: Pairs that share a shingle, counted exactly, then closure.
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+edge AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_n >= 80 * (x.n + y.n - both_n)),
+lab(id, l) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, l.l FROM lab l JOIN edge e ON e.a = l.id),
+c AS (SELECT id, min(l) AS component_id FROM lab GROUP BY id)
+SELECT id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.id"""
+
 ORACLE_SQL = {
+    "op4_embedding_dedup": VECTORS_SQL,
+    "op5_suffix_dedup": BYTES_SQL,
+    "op8_substring_dedup": WINDOWS_SQL,
+    "op9_minhash": NEAR_SQL,
     "op10_decontamination": LEAKS_SQL,
     "op3_line_dedup": r"""
 WITH lines AS (
