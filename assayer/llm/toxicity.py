@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 MIN_CONTEXTS = 8
 STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
@@ -128,9 +128,14 @@ def learn_lexicon(texts: list[str], labels: list[int], min_contexts: int = MIN_C
     size, docs = [0, 0], [Counter(), Counter()]
     for words, label in zip(split, labels, strict=True):
         size[label] += len(words)
-        docs[label].update(units(set(words)))
+        if label:
+            docs[1].update(units(set(words)))
     if not size[0] or not size[1]:
         return {}, {}
+    docs[1] = Counter({w: n for w, n in docs[1].items() if 2 * n >= min_contexts})
+    for words, label in zip(split, labels, strict=True):
+        if not label:
+            docs[0].update(units(set(words)) & docs[1].keys())
     able = {w for w, n in docs[1].items() if 2 * n >= min_contexts and docs[0].get(w, 0) <= max(1, 0.02 * n)}
     contexts: list[dict[str, set[int]]] = [defaultdict(set), defaultdict(set)]
     for words, label in zip(split, labels, strict=True):
