@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,9 @@ def one_row_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
     df = df.select(key, value).where(F.col(key).isNotNull())
     repeated = df.groupBy(key).count().where("count > 1").limit(1).count()
     return df.groupBy(key).agg(F.min(value).alias(value)) if repeated else df
+
+
+def apart(*keys: str) -> list[Column]:
+    """The keys as columns that the planner takes for new ones. A table that was aggregated by the keys gets an exchange
+    of its own when it is joined by them, and only then can adaptive execution split the other side's skewed keys."""
+    return [F.greatest(k, k).alias(k) for k in keys]
