@@ -25,10 +25,6 @@ REPORT = (
 )
 
 
-def schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)
-
-
 def json_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """One object a line; blank lines are skipped, broken ones kept in ``_corrupt_record``."""
     return spark.read.option("mode", "PERMISSIVE").schema(ddl + ", _corrupt_record string").json(path)
