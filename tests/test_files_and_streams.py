@@ -104,3 +104,22 @@ def test_paced_slots_equal_the_recurrence(spark):
     df = spark.createDataFrame(rows, "lane string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     got = sorted((r.lane, r.start_us) for r in S.paced_slots(df, "lane", "ts", 2000).collect())
     assert got == [("a", 0), ("a", 2_000_000), ("a", 4_000_000), ("a", 10_000_000), ("b", 5_000_000)]
+
+
+def test_latest_with_state_equals_batch(events, tmp_path):
+    batch, stream = events
+    spark = batch.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        seen = run(S.latest_stream(stream, "user_id", "ts", "event_id"), "latest_s", "update", tmp_path / "s")
+        got = {k: max((r.micros, r.id) for r in rows)[1] for k, rows in _by_key(seen.collect()).items()}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert got == {r.user_id: r.event_id for r in S.latest(batch, "user_id", "ts", "event_id").collect()}
+
+
+def _by_key(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.key, []).append(r)
+    return out
