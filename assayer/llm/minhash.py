@@ -7,7 +7,8 @@ permutations each: two sets with J = 0.8 miss all bands with probability (1 - 0.
 
 Equal sets are one class, with its smallest doc_id; bands, candidates and links are between classes. A candidate is first
 compared with the smallest class of its band bucket (a star, never all pairs of a bucket), then, where a bucket still
-spans several components, with the other components' members. Every link is confirmed on full shingle sets.
+spans several components, with those members of the other components whose sizes and parity bitmaps allow the wanted
+similarity (a bound, not an estimate: no link is lost). Every link is confirmed on full shingle sets.
 Components are contracted by ``operators.components``.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; fewer words than a shingle are
@@ -23,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.tables import one_row_per_id, written
+from assayer.functions.tables import apart, one_row_per_id, written
 from assayer.llm.arrays import U, _splitmix, chunks, joined, mixed, run_hash, prefix_hashes, word_hashes, words_in
 from assayer.operators.components import components
 
 PERMUTATIONS, BANDS = 64, 32
+#: Longs of a set's parity bitmap: each shingle toggles one bit, so two bitmaps differ in at most as many bits as the sets
+#: differ in shingles.
+LONGS = 32
 FACTOR = _splitmix(PERMUTATIONS, 101) | U(1)
 SHIFT = _splitmix(PERMUTATIONS, 202)
 BAND = _splitmix(BANDS, 303)
@@ -62,6 +66,15 @@ def min_max_bands(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(keys + BAND)
 
 
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """The sets' parity bitmaps, LONGS 64-bit numbers each."""
+    size = 64 * LONGS
+    flat = np.concatenate(sets)
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    odd = np.bincount(own * size + ((flat >> U(13)) % U(size)).astype(np.int64), minlength=len(sets) * size) & 1
+    return np.packbits(odd.reshape(len(sets), size).astype(np.uint8), axis=1).view(np.int64)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Smaller batches: whole texts and their sets are held for a few rows at a time."""
     for batch in batches:
@@ -77,17 +90,17 @@ def _signatures(k: int):
             for first, sets in shingle_sets(texts, k):
                 size = np.array([len(s) for s in sets])
                 full = np.flatnonzero(size)
-                bands = np.zeros((len(sets), BANDS), U)
+                bands, bits = np.zeros((len(sets), BANDS), U), np.zeros((len(sets), LONGS), np.int64)
                 s1, s2 = np.zeros(len(sets), U), np.zeros(len(sets), U)
                 if len(full):
                     some = [sets[i] for i in full]
-                    bands[full] = min_max_bands(some)
+                    bands[full], bits[full] = min_max_bands(some), parity(some)
                     at = np.concatenate([[0], np.cumsum(size[full])[:-1]])
                     flat = np.concatenate(some)
                     s1[full] = mixed(np.add.reduceat(mixed(flat ^ U(0x5555)), at) + size[full].astype(U))
                     s2[full] = np.add.reduceat(mixed(flat ^ U(0x123456789ABCDEF)), at)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-                yield pa.record_batch([pa.array(ids[first : first + len(sets)]), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists], ["doc_id", "n", "s1", "s2", "bands"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().view(np.int64))) for x in (bands, bits)]
+                yield pa.record_batch([pa.array(ids[first : first + len(sets)]), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *lists], ["doc_id", "n", "s1", "s2", "bands", "bits"])
 
     return run
 
@@ -116,14 +129,14 @@ def _confirm(k: int, percent: int):
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     docs = one_row_per_id(docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    signed = written(docs.mapInArrow(_signatures(k), "doc_id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"), "signatures")
+    signed = written(docs.mapInArrow(_signatures(k), "doc_id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>, bits array<bigint>"), "signatures")
     classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"))
-    member = written(signed.where("n > 0").select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "class"), "members")
+    member = written(signed.where("n > 0").join(classes.select(*apart("s1", "s2"), "class"), ["s1", "s2"]).select("doc_id", "class", "n", "bands", "bits"), "members")
 
-    first = member.where("doc_id = class").select("doc_id")
-    rows = signed.join(first, "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub")
-    bucket = written(rows.join(hubs, "key"), "buckets")  # doc_id, n, key, hub of buckets with company
+    firsts = member.where("doc_id = class")
+    rows = firsts.select("doc_id", "n", F.explode("bands").alias("key"))
+    hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    bucket = written(rows.join(hubs.select(*apart("key"), F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), "key"), "buckets")  # buckets with company
     able = written(docs.join(bucket.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
     def alike(x: str, y: str):  # J cannot reach the limit otherwise
@@ -135,39 +148,23 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
         both = with_x.join(able.select(F.col("doc_id").alias("y"), F.col("text").alias("other")), "y").select("x", "y", "text", "other")
         return written(both.mapInArrow(_confirm(k, percent), "a bigint, b bigint"), "links")
 
-    size = bucket.select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")).distinct()
-    stars = bucket.where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("bands"), F.first("n").alias("n"))
-    stars = written(stars.join(size, "hub").where(alike("n", "hub_n")).select(F.col("doc_id").alias("x"), F.col("hub").alias("y"), "bands"), "stars")
-    best = stars.groupBy("x").agg(F.max_by("y", F.struct("bands", -F.col("y"))).alias("y"))
-    tested, links = [written(best, "pairs")], []
-    links.append(confirmed(tested[0]))
-    for last in (False, True):
-        found = components(_union(links))
-        label = found.select(F.col("id").alias("doc_id"), "component")
-        if not last:  # the other hubs, where they aren't connected yet
-            lx, ly = (found.select(F.col("id").alias(s), F.col("component").alias(f"c{s}")) for s in "xy")
-            pairs = stars.join(tested[0], ["x", "y"], "left_anti").join(lx, "x", "left").join(ly, "y", "left")
-            pairs = pairs.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
-        else:  # members of different components in one bucket
-            own = bucket.join(label, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-            mixed_ = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            own = own.join(mixed_, "key")
-            other = own.select("key", F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = own.join(other, "key").where((F.col("c") > F.col("d")) & alike("n", "m")).select(F.greatest("doc_id", "y").alias("x"), F.least("doc_id", "y").alias("y")).distinct()
-            for t in tested:
-                pairs = pairs.join(t.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")), ["x", "y"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.limit(1).count():
-            tested.append(pairs)
-            links.append(confirmed(pairs))
-    found = components(_union(links)).withColumnsRenamed({"id": "class", "component": "reached"})
-    out = signed.select("doc_id", "n").join(member, "doc_id", "left").join(found, "class", "left")
-    component = F.coalesce("reached", "class", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
+    # a star in each bucket, then members of different components in one bucket
+    stars = written(bucket.where((F.col("doc_id") != F.col("hub")) & alike("n", "hub_n")).select(F.col("doc_id").alias("x"), F.col("hub").alias("y")).distinct(), "pairs")
+    links = confirmed(stars)
+    label = components(links).select(F.col("id").alias("doc_id"), "component")
+    own = bucket.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    split = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(*apart("key"))
+    own = own.join(split, "key").join(firsts.select("doc_id", "n", "bits"), "doc_id")
+    other = own.select("key", F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("other_bits"))
+    # sets with the wanted similarity differ in at most this share of their shingles, and bitmaps in no more bits
+    differing = sum((F.bit_count(F.get("bits", i).bitwiseXOR(F.get("other_bits", i))) for i in range(LONGS)), F.lit(0))
+    near = differing * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    met = own.join(other, (own["key"] == other["key"]) & (F.col("c") > F.col("d")) & alike("n", "m") & near)
+    rest = written(met.select(F.greatest("doc_id", "y").alias("x"), F.least("doc_id", "y").alias("y")).distinct().join(stars, ["x", "y"], "left_anti"), "pairs")
+    if rest.limit(1).count():
+        links = written(links.union(confirmed(rest)), "links")
+        label = components(links).select(F.col("id").alias("doc_id"), "component")
+    reached = label.select(F.col("doc_id").alias("class"), F.col("component").alias("reached"))
+    out = member.select("doc_id", "n", "class").join(reached, "class", "left").select("doc_id", "n", F.coalesce("reached", "class").alias("component"))
+    out = out.union(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
