@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.tables import one_row_per_id
+from assayer.functions.tables import apart, one_row_per_id
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\x0c\r"
@@ -39,6 +39,6 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", min_ch
     # per (hash, document) first, whatever the group's size; then per hash, with map-side combining
     held = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     frequent = held.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
-    gone = lines.join(frequent, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_list("pos").alias("drops"))
+    gone = lines.join(frequent.select(*apart("h1", "h2"), "keeper"), ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_list("pos").alias("drops"))
     both = docs.join(gone, "doc_id", "left").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), "drops")
     return both.select("doc_id", reassembled(F.col("lines"), F.col("drops")).alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
