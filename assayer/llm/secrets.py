@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.tables import written
+from assayer.functions.tables import apart, written
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -76,7 +76,7 @@ def scan(docs: DataFrame, text: str = "text", doc: str = "doc_id", owner: str =
     held = seen.where("size(found) > 0").select("doc_id", "owner", F.explode(F.array_distinct(F.transform("found", lambda x: x["value"]))).alias("value")).distinct()
     by_owner = held.groupBy("value", "owner").agg(F.count("doc_id").alias("n"))
     counted = by_owner.groupBy("value").agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners"))
-    verdict = counted.select("value", ((F.col("owners") >= owners_of_example) | (F.col("repositories") >= repositories_of_example)).alias("example"))
+    verdict = counted.select(*apart("value"), ((F.col("owners") >= owners_of_example) | (F.col("repositories") >= repositories_of_example)).alias("example"))
     by_doc = held.join(verdict, "value").groupBy("doc_id").agg(F.collect_set(F.when(F.col("example"), F.col("value"))).alias("examples"), F.collect_set(F.when(~F.col("example"), F.col("value"))).alias("live"))
     both = seen.join(by_doc, "doc_id", "left")
     told = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"), x["value"].alias("value"), F.when(F.array_contains("live", x["value"]), "live").otherwise("example").alias("verdict")))
