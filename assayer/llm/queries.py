@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.tables import table
 from assayer.llm import bpe, decontaminate, embeddings, langid, lines, minhash, secrets, substrings, toxicity
+from assayer.llm.session import tuned
 
 
 def vocabulary() -> str:
@@ -16,18 +17,18 @@ def vocabulary() -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
     grammar = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
     out = toxicity.scored(docs, grammar, into="score")
     return out.select("doc_id", (langid.remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+    return secrets.digest(secrets.scan(table(tuned(spark), sf_dir, "documents")))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    out = lines.dedup_lines(table(tuned(spark), sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -36,33 +37,33 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substrings.dedup_bytes(table(spark, sf_dir, "documents"))
+    out = substrings.dedup_bytes(table(tuned(spark), sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(langid.remainder(F.col("doc_id"), 4) != 2))
     out = langid.predicted(docs, model)
     return out.select("doc_id", (langid.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "language.*")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
     return bpe.tokenized(docs, vocabulary(), fields=("n_tokens", "ids_sha256", "decoded_sha256")).select("doc_id", "bpe.*")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substrings.dedup_words(table(spark, sf_dir, "documents"))
+    out = substrings.dedup_words(table(tuned(spark), sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+    return minhash.near_duplicates(table(tuned(spark), sf_dir, "documents"), k=4)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {

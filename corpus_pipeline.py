@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from assayer.functions.tables import table, written
 from assayer.llm import bpe, decontaminate, lines, minhash, toxicity
 from assayer.llm.queries import vocabulary
+from assayer.llm.session import tuned
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC = 0.7
@@ -20,7 +21,7 @@ TOXIC = 0.7
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar scores below TOXIC."""
-    grammar = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    grammar = toxicity.fitted(docs, table(tuned(spark), sf_dir, "labels"))
     return toxicity.scored(docs, grammar, into="_score").where(F.col("_score") < TOXIC).select(*COLUMNS)
 
 
@@ -33,6 +34,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    tuned(spark)
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
@@ -45,6 +47,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers) and the decoded text's digest."""
+    tuned(spark)
     out = bpe.tokenized(docs, vocabulary(), fields=("n_tokens", "ids", "decoded_sha256"))
     return out.select("doc_id", "lang", "source", "bpe.*")
 
