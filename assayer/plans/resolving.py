@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,13 +185,18 @@ _COMP = _NEAR + """, edge AS (SELECT a, b FROM near UNION SELECT b, a FROM near)
 comp AS (SELECT id AS doc_id, min(l) AS grp FROM lab GROUP BY id)"""
 
 
-def near_pairs(spark, sf_dir):
-    return R.near_pairs(fingerprints(spark, sf_dir), "doc_id", "bits", 2)
+def near_pairs(spark, sf_dir, distance=2):
+    return R.near_pairs(fingerprints(spark, sf_dir), "doc_id", "bits", distance)
 
 
-def near_groups(spark, sf_dir):
+def near_groups(spark, sf_dir, distance=2):
     items = fingerprints(spark, sf_dir)
-    return R.grouped(items.select("doc_id"), "doc_id", R.near_pairs(items, "doc_id", "bits", 2)).select("doc_id", F.col("group").alias("grp"))
+    return R.grouped(items.select("doc_id"), "doc_id", R.near_pairs(items, "doc_id", "bits", distance)).select("doc_id", F.col("group").alias("grp"))
+
+
+#: The reference's radius; the queries without it in their name keep the radius of their SQL.
+NEAR_DISTANCE = 4
+_NEAR4, _COMP4 = (x.replace("<= 2", f"<= {NEAR_DISTANCE}") for x in (_NEAR, _COMP))
 
 
 def _exact_groups(spark, sf_dir) -> DataFrame:
@@ -218,10 +225,10 @@ def leakage_keys(spark, sf_dir):
     return R.leaked_keys(d, "h", "split")
 
 
-def leakage_pairs(spark, sf_dir):
+def leakage_pairs(spark, sf_dir, distance=2):
     items = fingerprints(spark, sf_dir)
     members = items.select("doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, "check").otherwise("tune").alias("split"))
-    return R.leaked_pairs(R.near_pairs(items, "doc_id", "bits", 2), members, "doc_id", "split")
+    return R.leaked_pairs(R.near_pairs(items, "doc_id", "bits", distance), members, "doc_id", "split")
 
 
 def log_gaps(spark, sf_dir):
@@ -258,6 +265,7 @@ QUERIES = {
     "q_status_counts": status_counts, "q_schema_errors": schema_errors, "q_field_diff": field_diff, "q_merge_precedence": merge_precedence, "q_reconcile_full_outer": reconcile,
     "q_semi_excluded": semi_excluded, "q_anti_missing": anti_missing, "q_near_pairs_hamming": near_pairs, "q_components": near_groups, "q_split_stratified": split_stratified, "q_split_summary": split_summary,
     "q_leakage_keys": leakage_keys, "q_leakage_pairs": leakage_pairs, "q_log_gaps": log_gaps, "q_upsert_newest": upsert, "q_newest_listing": newest_listing, "q_failure_stop": failure_stop, "q_size_stop": size_stop,
+    "q_near_pairs_radius4": partial(near_pairs, distance=NEAR_DISTANCE), "q_components_radius4": partial(near_groups, distance=NEAR_DISTANCE), "q_leakage_pairs_radius4": partial(leakage_pairs, distance=NEAR_DISTANCE),
 }
 
 _KEYCASE = "CASE WHEN tier >= 99 OR grade < 1 THEN NULL WHEN grade >= 10 THEN CASE company WHEN 'PSA' THEN 'manual-only-price' WHEN 'BGS' THEN CASE WHEN label LIKE '%Black Label%' THEN 'condition-20-price' ELSE 'bgs-10-price' END WHEN 'CGC' THEN CASE WHEN label LIKE '%Pristine%' THEN 'condition-19-price' ELSE 'condition-17-price' END ELSE 'condition-21-price' END " + " ".join(f"WHEN grade >= {g} THEN '{k}'" for g, k in P.GRADE_KEYS) + " END"
@@ -296,4 +304,7 @@ ORACLE_SQL = {
     "q_newest_listing": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 200",
     "q_failure_stop": "WITH f AS (SELECT user_id, event_id, event_type IN ('error', 'view') AS f FROM events), x AS (SELECT *, f AND lag(f) OVER w AND lag(f, 2) OVER w AS three FROM f WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), s AS (SELECT user_id, min(event_id) FILTER (WHERE three) AS stop FROM x GROUP BY user_id) SELECT x.user_id, event_id FROM x JOIN s USING (user_id) WHERE stop IS NULL OR event_id <= stop",
     "q_size_stop": "SELECT user_id, event_id FROM (SELECT user_id, event_id, coalesce(sum(floor(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM events) WHERE s < 200000",
+    "q_near_pairs_radius4": f"WITH {_NEAR4} SELECT a, b, distance FROM near",
+    "q_components_radius4": f"WITH RECURSIVE {_COMP4} SELECT doc_id, grp FROM comp",
+    "q_leakage_pairs_radius4": f"WITH {_NEAR4} SELECT a, CASE WHEN a % 3 = 0 THEN 'check' ELSE 'tune' END AS a_split, b, CASE WHEN b % 3 = 0 THEN 'check' ELSE 'tune' END AS b_split, distance FROM near WHERE (a % 3 = 0) <> (b % 3 = 0)",
 }
