@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 import __spark_entry__ as entry
 from tests.test_operators import brute_components
 
@@ -24,3 +26,19 @@ def test_near_pairs_at_the_reference_radius(spark, tmp_path):
     groups = {i: i for i in bits} | brute_components(want)
     assert {r.doc_id: r.grp for r in run("q_components_radius4")} == groups
     assert max(Counter(groups.values()).values()) > 2
+
+
+@pytest.mark.parametrize("name", ["q_link_score_best_all", "q_link_catalog_all", "q_decisive_candidate_all"])
+def test_every_part_is_a_reference(spark, tmp_path, name):
+    # equal names and sets at one number score the same, so the smallest key is the best of its block
+    parts = [(k, f"{'red green blue'.split()[k % 3]} tile{k % 150}", "Brand#1", "TIN") for k in range(1, 400)]
+    saved(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_brand string, p_type string")
+    got = {r.item: r for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [k for k, *_ in parts]
+    assert all(got[k].best % 150 == k % 150 for k in got)
+    if name == "q_link_catalog_all":
+        names = {k: n for k, n, *_ in parts}
+        want = lambda k: names[k].split()[0] if k % 3 == 0 else names[k]
+        fit = lambda k, e: 0.25 if names[e] == want(k) else 0.12 if want(k) in names[e] else -0.2
+        brute = {k: max((round(0.45 + fit(k, e) + 0.25, 6), -e) for e in names if e % 150 == k % 150) for k in names}
+        assert {k: (r.score, -r.best) for k, r in got.items()} == {k: (pytest.approx(s), e) for k, (s, e) in brute.items()}
