@@ -7,6 +7,10 @@ of the ranges give every range its offset. No group is sorted in one task.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,13 +103,23 @@ def hash_weight(replicate: Column, unit: Column) -> Column:
     return F.pmod(F.ascii(F.substring(h, 1, 1)) + F.ascii(F.substring(h, 2, 1)), F.lit(3))
 
 
-def bootstrap_auc_difference(df: DataFrame, unit: str, label: str, a: str, b: str, replicates: int = 200) -> DataFrame:
+#: Smallest 32-bit value, in hex, at which a Poisson(1) draw is at least 1, 2, ...; beyond 12 nothing is left of 32 bits.
+POISSON = [f"{round(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))):08x}" for k in range(12)]
+
+
+def poisson_weight(replicate: Column, unit: Column) -> Column:
+    """How often a unit is drawn: Poisson(1) from a hash, as in a resample with replacement of very many units."""
+    h = F.substring(F.md5(F.concat_ws("/", replicate.cast("string"), unit.cast("string"))), 1, 8)
+    return reduce(lambda a, x: a + x, [(h >= t).cast("int") for t in POISSON])
+
+
+def bootstrap_auc_difference(df: DataFrame, unit: str, label: str, a: str, b: str, replicates: int = 2000, weight: Callable[[Column, Column], Column] = poisson_weight) -> DataFrame:
     """Percentile interval of AUC(b) - AUC(a), resampling whole units. Scores are counted per unit first, so a replicate
     costs its distinct (unit, score, label) rows; replicates are drawn by hash, not by a random generator."""
     spark = df.sparkSession
     reps = spark.range(replicates).select(F.col("id").alias("replicate"))
     units = df.select(unit).distinct()
-    drawn = units.crossJoin(F.broadcast(reps)).withColumn("w", hash_weight(F.col("replicate"), F.col(unit))).where("w > 0")  # a bounded number of replicates
+    drawn = units.crossJoin(F.broadcast(reps)).withColumn("w", weight(F.col("replicate"), F.col(unit))).where("w > 0")  # a bounded number of replicates
 
     def one(score: str, into: str) -> DataFrame:
         counts = df.groupBy(unit, score, label).agg(F.count(F.lit(1)).alias("c")).join(drawn, unit)

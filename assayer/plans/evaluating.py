@@ -50,9 +50,9 @@ def paired_stats(spark, sf_dir):
     )
 
 
-def _boot(spark, sf_dir):
+def _boot(spark, sf_dir, replicates=100, weight=E.hash_weight):
     df = labelled(spark, sf_dir).select("source", "quality", F.col("n_chars").alias("a"), F.pmod(F.col("n_chars") * 7 + F.col("doc_id"), F.lit(1009)).alias("b"))
-    return E.bootstrap_auc_difference(df, "source", "quality", "a", "b", 100)
+    return E.bootstrap_auc_difference(df, "source", "quality", "a", "b", replicates, weight)
 
 
 def _auc_sql(group: str, source: str, score: str, w: str = "1") -> str:
@@ -71,6 +71,7 @@ QUERIES = {
     "q_recall_at_fpr": lambda spark, d: E.recall_at_fpr(labelled(spark, d), ["lang"], "n_chars", "quality"),
     "q_paired_stats": paired_stats,
     "q_bootstrap_ci": _boot,
+    "q_bootstrap_ci_2000": lambda spark, d: _boot(spark, d, 2000, E.poisson_weight),
     "q_eval_summary": lambda spark, d: E.error_summary(graded(spark, d), ["lang"], "truth", "pred"),
     "q_blind_summary": lambda spark, d: E.error_summary(graded(spark, d), ["source"], "truth", "pred").select("source", "n", "exact", "within_05", "within_1", "mae", "bias"),
     "q_repeat_agreement": lambda spark, d: E.repeat_agreement(graded(spark, d).where("pred is not null"), ["lang"], "item", "pred"),
@@ -99,3 +100,6 @@ ORACLE_SQL = {
     "q_true_to_answers": f"WITH {_GRADED} SELECT truth, string_agg(p, ',' ORDER BY p::DECIMAL(6,1)) AS answers FROM (SELECT DISTINCT truth, pred::DECIMAL(6,1)::VARCHAR AS p FROM g WHERE pred IS NOT NULL) GROUP BY truth",
     "q_status_rollup": "SELECT user_id, arg_max(event_type, CASE event_type WHEN 'error' THEN '3' WHEN 'purchase' THEN '2' WHEN 'click' THEN '1' ELSE '0' END || event_type) AS verdict, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY user_id",
 }
+_UNITS = "(ascii(md5(r.range || '/' || source)[1]) + ascii(md5(r.range || '/' || source)[2])) % 3 AS w"
+_POISSON = "(" + " + ".join(f"(md5(r.range || '/' || source)[:8] >= '{t}')::INT" for t in E.POISSON) + ") AS w"
+ORACLE_SQL["q_bootstrap_ci_2000"] = ORACLE_SQL["q_bootstrap_ci"].replace("range(100)", "range(2000)").replace(_UNITS, _POISSON)

@@ -1,10 +1,13 @@
 """Queries over everything that the reference covers, by brute force on small tables."""
 
+import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from assayer.operators import evaluation as E
 from tests.test_operators import brute_components
 
 
@@ -42,3 +45,21 @@ def test_every_part_is_a_reference(spark, tmp_path, name):
         fit = lambda k, e: 0.25 if names[e] == want(k) else 0.12 if want(k) in names[e] else -0.2
         brute = {k: max((round(0.45 + fit(k, e) + 0.25, 6), -e) for e in names if e % 150 == k % 150) for k in names}
         assert {k: (r.score, -r.best) for k, r in got.items()} == {k: (pytest.approx(s), e) for k, (s, e) in brute.items()}
+
+
+def test_bootstrap_draws_as_often_as_with_replacement(spark):
+    drawn = spark.range(20000).select(E.poisson_weight(F.col("id"), F.lit("u")).alias("w")).groupBy("w").count().collect()
+    share = {r.w: r["count"] / 20000 for r in drawn}
+    assert max(share) >= 5
+    for k in range(4):
+        assert abs(share[k] - math.exp(-1) / math.factorial(k)) < 0.015
+    mean = sum(k * p for k, p in share.items())
+    assert abs(mean - 1) < 0.03 and abs(sum((k - mean) ** 2 * p for k, p in share.items()) - 1) < 0.06
+
+
+def test_bootstrap_has_the_reference_replicates(spark, tmp_path):
+    n = 60
+    saved(spark, tmp_path, "documents", [(i, "en", f"s{i % 12}", 100 + i * 37 % 101) for i in range(n)], "doc_id long, lang string, source string, n_chars long")
+    saved(spark, tmp_path, "labels", [(i, i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    [row] = entry.queries()["q_bootstrap_ci_2000"](spark, str(tmp_path)).collect()
+    assert row.replicates > 1900 and row.low < row.high
