@@ -46,6 +46,11 @@ def plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
 
 
+def plain_any(c: Column) -> Column:
+    """``plain_text`` of any text."""
+    return vectorised(plain_text, "string")(c)
+
+
 # ---------------------------------------------------------------- numbers and keys
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.grades import num
-from assayer.functions.text import brackets, collector_number, plain
+from assayer.functions.text import brackets, collector_number, plain, plain_any
 
 ACCEPT = 0.5
 
@@ -43,6 +43,18 @@ def catalog_score(name: Column, number: Column, set_: Column, want_name: Column,
     return F.greatest(num(0), F.least(num(1), F.round(by_number + _three(plain(name), plain(want_name), 0.25, 0.12, -0.2) + by_set, 6)))
 
 
+def identify_score(base: Column, typed_name: Column, typed_number: Column, name: Column, total: Column) -> Column:
+    """Score of an identified card: the lookup's base, moved by the typed name and the printed total where both sides
+    have them; 0 to 1, two decimals half up."""
+    a, b = plain_any(typed_name), plain_any(name)
+    typed_total = F.get(F.split(F.regexp_replace(F.coalesce(typed_number, F.lit("")), r"\s+", ""), "/"), 1)
+    printed = F.when(typed_total.rlike(r"^[0-9]+$"), typed_total.try_cast("double"))
+    plus = F.when(base >= 0.85, num(0.05)).otherwise(num(0.2))
+    by_name = F.when((F.coalesce(typed_name, F.lit("")) == "") | (F.coalesce(name, F.lit("")) == ""), num(0)).when((a != "") & (F.contains(b, a) | F.contains(a, b)), plus).otherwise(num(-0.4))
+    by_total = F.when(printed.isNull() | total.isNull(), num(0)).when(printed == total, plus).otherwise(num(-0.15))
+    return F.floor(F.greatest(num(0), F.least(num(1), base + by_name + by_total)) * 100 + 0.5) / 100
+
+
 def best_match(scored: DataFrame, item: str, score: str, tie: str, accept: float = ACCEPT, rival: float = 0.05) -> DataFrame:
     """The best candidate of each item with score, runner-up's score and whether a person should choose."""
     w = Window.partitionBy(item).orderBy(F.col(score).desc(), F.col(tie))

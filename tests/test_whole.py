@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from assayer.operators import evaluation as E
+from assayer.operators import linkage as L
 from tests.test_operators import brute_components
 
 
@@ -63,3 +64,13 @@ def test_bootstrap_has_the_reference_replicates(spark, tmp_path):
     saved(spark, tmp_path, "labels", [(i, i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int")
     [row] = entry.queries()["q_bootstrap_ci_2000"](spark, str(tmp_path)).collect()
     assert row.replicates > 1900 and row.low < row.high
+
+
+def test_identify_score(spark):
+    rows = [
+        (0.9, "Pikachu", "25/102", "Pikachu", 102, 1.0), (0.9, "Pikachu", "25/102", "Raichu", 102, 0.55), (0.6, "Poke", "25/102", "Poké Ball", None, 0.8), (0.6, None, "25 / 099", "Mew", 99, 0.8),
+        (0.6, "Mew", "25/100", "Mew", 99, 0.65), (0.3, "Mew", "25", "Eevee", 99, 0.0), (0.95, "", "1/A", "Eevee", 99, 0.95), (0.9, "!!", "1", "Eevee", None, 0.5),
+    ]
+    df = spark.createDataFrame(rows, "base double, q string, n string, name string, total int, want double")
+    got = df.select("want", L.identify_score(F.col("base"), F.col("q"), F.col("n"), F.col("name"), F.col("total")).alias("score")).collect()
+    assert [r.score for r in got] == [r.want for r in got]
