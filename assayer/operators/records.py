@@ -94,10 +94,19 @@ def leaked_keys(members: DataFrame, key: str, split: str) -> DataFrame:
 
 
 def leaked_pairs(pairs: DataFrame, members: DataFrame, key: str, split: str) -> DataFrame:
-    """Near pairs across splits."""
-    a = members.select(F.col(key).alias("a"), F.col(split).alias("a_split"))
-    b = members.select(F.col(key).alias("b"), F.col(split).alias("b_split"))
-    return pairs.join(a, "a").join(b, "b").where("a_split <> b_split").select("a", "a_split", "b", "b_split", "distance")
+    """Near pairs across splits, of ``pairs`` as ``near_pairs`` gives them. Of two near classes of equal values, the
+    smallest keys of each split stand for their class's other keys of that split; inside a class, its smallest key is
+    paired with every key of another split."""
+    pairs = written(pairs, "leaks")
+    twins = pairs.where("distance = 0").select(F.col("b").alias("_k"), F.col("a").alias("_rep"))
+    placed = members.where(F.col(split).isNotNull()).select(F.col(key).alias("_k"), F.col(split).alias("_s")).join(twins, "_k", "left").select(F.coalesce("_rep", "_k").alias("_class"), "_k", "_s")
+    held = placed.groupBy("_class", "_s").agg(F.min("_k").alias("_k"))
+    a = held.select(F.col("_class").alias("a"), F.struct("_k", "_s").alias("x"))
+    b = held.select(F.col("_class").alias("b"), F.struct("_k", "_s").alias("y"))
+    far = pairs.where("distance > 0").join(a, "a").join(b, "b").where("x._s <> y._s").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "distance")
+    first = held.groupBy("_class").agg(F.min(F.struct("_k", "_s")).alias("x"))
+    same = placed.join(first, "_class").where("_s <> x._s").select("x", F.struct("_k", "_s").alias("y"), F.lit(0).alias("distance"))
+    return far.union(same).select(F.col("x._k").alias("a"), F.col("x._s").alias("a_split"), F.col("y._k").alias("b"), F.col("y._s").alias("b_split"), "distance")
 
 
 def membership_digest(members: DataFrame, key: str, split: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from assayer.operators import evaluation as E
 from assayer.operators import linkage as L
+from assayer.operators import records as R
 from tests.test_operators import brute_components
 
 
@@ -74,3 +75,10 @@ def test_identify_score(spark):
     df = spark.createDataFrame(rows, "base double, q string, n string, name string, total int, want double")
     got = df.select("want", L.identify_score(F.col("base"), F.col("q"), F.col("n"), F.col("name"), F.col("total")).alias("score")).collect()
     assert [r.score for r in got] == [r.want for r in got]
+
+
+def test_leaks_of_a_class_that_crosses_splits(spark):
+    items = [(1, 0, "tune"), (2, 0, "check"), (3, 1, "tune"), (4, 1, "tune"), (5, 255, "tune"), (6, 256 + 255, "check"), (7, 2**40, "check")]
+    df = spark.createDataFrame(items, "k long, v long, s string")
+    got = {tuple(r) for r in R.leaked_pairs(R.near_pairs(df, "k", "v", 4), df, "k", "s").collect()}
+    assert got == {(1, "tune", 2, "check", 0), (2, "check", 3, "tune", 1), (5, "tune", 6, "check", 1), (1, "tune", 7, "check", 1), (3, "tune", 7, "check", 2)}
