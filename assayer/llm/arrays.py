@@ -1,7 +1,14 @@
-"""Texts as numpy arrays: words, 64-bit hashes of words and of runs, sliding minima. All arithmetic is modulo 2**64."""
+"""Texts as numpy arrays: words, 64-bit hashes of words and of runs, exact comparison of byte ranges, sliding minima.
+
+Hashes are not polynomials: every step multiplies and folds the high bits back, so texts with a regular structure don't
+collide together. Hashes bring candidates together; what is deleted or linked is compared byte by byte (``same_bytes``)
+or word by word. Arithmetic is modulo 2**64.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -20,51 +27,64 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-BASE = 0x9DDFEA08EB382D69
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 BYTES = _splitmix(256, 7)
+LEFT, STIR = U(0x9DDFEA08EB382D69), U(0xD6E8FEB86659FD93)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-_powers: dict[int, np.ndarray] = {}
+#: Words longer than this many bytes are hashed by a digest function.
+SHORT = 32
+TAIL = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], U)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1)."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.ones(size, U)
-        if size > 1:
-            with np.errstate(over="ignore"):
-                have[1:] = U(base)
-                have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
-
-
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """P with run_hash(P, start, stop) a hash of values[start:stop]; P is one longer than values."""
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(BASE, len(values)), out=out[1:])
-    return out
-
-
-def run_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of runs of values; runs of other lengths hash apart."""
-    h = (prefix[stop] - prefix[start]) * powers(BASE_INVERSE, len(prefix))[start]
-    return mixed(h + (stop - start).astype(U) * U(0xD6E8FEB86659FD93))
+def stirred(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    x = left * LEFT
+    x += right
+    x ^= x >> U(29)
+    x *= STIR
+    x ^= x >> U(32)
+    return x
 
 
 def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k values, by start."""
+    """Hashes of all runs of k values, by start: runs of two, four, eight ... values, then two that overlap."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    p = prefix_hashes(values)
-    return mixed((p[k:] - p[:n]) * powers(BASE_INVERSE, n) + U(k * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+    h, size = values, 1
+    while 2 * size <= k:
+        h = stirred(h[:-size], h[size:])
+        size *= 2
+    return stirred(h[:n], h[k - size : k - size + n]) if size < k else h[:n]
+
+
+def eights(data: np.ndarray | bytes) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number; zeros follow the data."""
+    raw = (data.tobytes() if isinstance(data, np.ndarray) else data) + bytes(16)
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
+def common_bytes(x: np.ndarray, at: np.ndarray, y: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many bytes, at most ``most``, agree from ``at`` in x and from ``place`` in y on; x and y are ``eights``."""
+    out = np.array(most, np.int64)
+    left, done = np.flatnonzero(out > 0), 0
+    while len(left):
+        differ = x[at[left] + done] ^ y[place[left] + done]
+        some = differ != 0
+        low = differ[some]
+        ends = left[some]
+        out[ends] = np.minimum(out[ends], done + (np.bitwise_count((low & (~low + U(1))) - U(1)) >> 3))
+        done += 8
+        left = left[~some]
+        left = left[out[left] > done]
+    return out
+
+
+def same_bytes(x: np.ndarray, at: np.ndarray, y: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes from ``at`` in x and from ``place`` in y are equal."""
+    return common_bytes(x, at, y, place, size) == size
 
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
@@ -101,8 +121,24 @@ def words_in(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return a, b, np.searchsorted(a, starts)
 
 
-def word_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lower: bool = False) -> np.ndarray:
-    return run_hash(prefix_hashes(BYTES[LOWER[data]] if lower else BYTES[data]), a, b)
+def word_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """Hashes of the words data[a:b]: eight bytes a step, and a digest of words over SHORT bytes. Other seeds give
+    independent hashes."""
+    if lower:
+        data = LOWER[data]
+    raw = data.tobytes()
+    at, size = eights(raw), b - a
+    h = mixed(size.astype(U) + U(seed) * STIR)
+    left = np.flatnonzero(size <= SHORT)
+    for done in range(0, SHORT, 8):
+        left = left[size[left] > done]
+        if not len(left):
+            break
+        rest = np.minimum(size[left] - done, 8)
+        h[left] = stirred(h[left], mixed(at[a[left] + done] & TAIL[rest]))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[a[i] : b[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 def chunks(texts: list[bytes], limit: int = 1 << 20):

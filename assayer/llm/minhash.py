@@ -8,7 +8,8 @@ permutations each: two sets with J = 0.8 miss all bands with probability (1 - 0.
 Equal sets are one class, with its smallest doc_id; bands, candidates and links are between classes. A candidate is first
 compared with the smallest class of its band bucket (a star, never all pairs of a bucket), then, where a bucket still
 spans several components, with those members of the other components whose sizes and parity bitmaps allow the wanted
-similarity (a bound, not an estimate: no link is lost). Every link is confirmed on full shingle sets.
+similarity (a bound, not an estimate: no link is lost). Every link is confirmed on full shingle sets, by their words;
+classes of equal sets are found by two independent 64-bit sums and the size.
 Components are contracted by ``operators.components``.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; fewer words than a shingle are
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.tables import apart, one_row_per_id, written
-from assayer.llm.arrays import U, _splitmix, chunks, joined, mixed, run_hash, prefix_hashes, word_hashes, words_in
+from assayer.llm.arrays import LOWER, U, _splitmix, chunks, joined, mixed, stirred, window_hashes, word_hashes, words_in
 from assayer.operators.components import components
 
 PERMUTATIONS, BANDS = 64, 32
@@ -41,21 +42,34 @@ BAND = _splitmix(BANDS, 303)
 FOUR = _splitmix(4, 404) | U(1)
 
 
-def shingle_sets(texts: list[bytes], k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first text, sets of the texts from there on), chunk by chunk; sets are sorted distinct 64-bit hashes."""
+def shingle_sets(texts: list[bytes], k: int) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+    """(first text, sets of the texts from there on, an independent second hash of each member), chunk by chunk; a set is
+    sorted distinct 64-bit hashes."""
     for i, j in chunks(texts):
         data, starts = joined(texts[i:j])
         a, b, counts = words_in(data, starts)
-        prefix = prefix_hashes(word_hashes(data, a, b, lower=True))
-        sets = []
+        words = [word_hashes(data, a, b, lower=True, seed=seed) for seed in (0, 1)]
+        runs = [window_hashes(x, k) for x in words]
+        sets, others = [], []
         for low, high in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True):
             n = high - low
-            if n == 0:
-                sets.append(np.zeros(0, U))
+            if 0 < n < k:
+                one, two = (stirred(window_hashes(x[low:high], n), np.array([n], U)) for x in words)
             else:
-                at = np.arange(low, max(low + 1, high - k + 1))
-                sets.append(np.unique(run_hash(prefix, at, at + min(n, k))))
-        yield i, sets
+                one, two = (x[low : max(low, high - k + 1)] for x in runs)
+            order = np.argsort(one)
+            one = one[order]
+            new = np.ones(n and len(one), bool)
+            new[1:] = one[1:] != one[:-1]
+            sets.append(one[new])
+            others.append(two[order[new]])
+        yield i, sets, others
+
+
+def shingles(text: str | None, k: int) -> set[tuple[bytes, ...]]:
+    """The set itself, by its words."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(bytes(LOWER)).split()
+    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} if words else set()
 
 
 def min_max_bands(sets: list[np.ndarray]) -> np.ndarray:
@@ -90,7 +104,7 @@ def _signatures(k: int):
         for batch in slices(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            for first, sets in shingle_sets(texts, k):
+            for first, sets, others in shingle_sets(texts, k):
                 size = np.array([len(s) for s in sets])
                 full = np.flatnonzero(size)
                 bands, bits = np.zeros((len(sets), BANDS), U), np.zeros((len(sets), LONGS), np.int64)
@@ -99,9 +113,8 @@ def _signatures(k: int):
                     some = [sets[i] for i in full]
                     bands[full], bits[full] = min_max_bands(some), parity(some)
                     at = np.concatenate([[0], np.cumsum(size[full])[:-1]])
-                    flat = np.concatenate(some)
-                    s1[full] = mixed(np.add.reduceat(mixed(flat ^ U(0x5555)), at) + size[full].astype(U))
-                    s2[full] = np.add.reduceat(mixed(flat ^ U(0x123456789ABCDEF)), at)
+                    s1[full] = np.add.reduceat(mixed(np.concatenate(some)), at)
+                    s2[full] = np.add.reduceat(mixed(np.concatenate([others[i] for i in full])), at)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().view(np.int64))) for x in (bands, bits)]
                 yield pa.record_batch([pa.array(ids[first : first + len(sets)]), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *lists], ["doc_id", "n", "s1", "s2", "bands", "bits"])
 
@@ -113,15 +126,13 @@ def _confirm(k: int, percent: int):
         last: tuple = (None, None)
         for batch in slices(batches):
             rows = batch.to_pydict()
-            own = {}
-            for first, sets in shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]], k):
-                own.update((first + i, s) for i, s in enumerate(sets))
             a, b = [], []
-            for i, (x, y) in enumerate(zip(rows["x"], rows["y"], strict=True)):
+            for x, y, text, other in zip(rows["x"], rows["y"], rows["text"], rows["other"], strict=True):
                 if last[0] != y:
-                    last = (y, next(shingle_sets([(rows["other"][i] or "").encode("utf-8", "surrogatepass")], k))[1][0])
-                both = len(np.intersect1d(own[i], last[1], assume_unique=True))
-                if 100 * both >= percent * (len(own[i]) + len(last[1]) - both) and both:
+                    last = (y, shingles(other, k))
+                own = shingles(text, k)
+                both = len(own & last[1])
+                if both and 100 * both >= percent * (len(own) + len(last[1]) - both):
                     a.append(x)
                     b.append(y)
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -133,8 +144,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     docs = one_row_per_id(docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
     signed = written(docs.mapInArrow(_signatures(k), "doc_id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>, bits array<bigint>"), "signatures")
-    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"))
-    member = written(signed.where("n > 0").join(classes.select(*apart("s1", "s2"), "class"), ["s1", "s2"]).select("doc_id", "class", "n", "bands", "bits"), "members")
+    classes = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class"))
+    member = written(signed.where("n > 0").join(classes.select(*apart("s1", "s2", "n"), "class"), ["s1", "s2", "n"]).select("doc_id", "class", "n", "bands", "bits"), "members")
 
     firsts = member.where("doc_id = class")
     rows = firsts.select("doc_id", "n", F.explode("bands").alias("key"))

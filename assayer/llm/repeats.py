@@ -6,18 +6,18 @@ as one packed string to the bucket of the minimiser's hash; equal windows have e
 
 Documents are dealt to pages by a hash of doc_id, once; every later step reuses that exchange:
 
-1. each page sends the distinct minimiser hashes it has (8 bytes each) to buckets;
-2. a bucket answers each page with those that occur elsewhere too, and marks those that very many pages have, or one
-   page very often (*hot*);
+1. each page sends the distinct minimiser hashes it has, with how often (8 bytes each), to buckets;
+2. a bucket answers each page with those that occur elsewhere too, and marks the *hot* ones, with too many strings for
+   one group;
 3. a page packs the super-k-mers with these minimisers. Equal strings of a page travel once, the others are repeats
-   already. A hot minimiser's windows travel one by one as 128-bit digests, each to the bucket of its own hash, so that
-   a passage which a third of all documents share spreads out by its different surroundings, and a window meets as one
-   entry a page;
+   already. Hot minimisers are split: their super-k-mers are cut into windows, whose minimiser is the whole window, so
+   each goes to the bucket of its own hash and a passage which a third of all documents share spreads out;
 4. a bucket compares strings exactly and answers each page with runs of repeated windows;
 5. a page takes the covered units out of its documents.
 
-No step sees an unbounded group: a page is bounded by the paging, a bucket gets an entry a page at most for equal
-strings. Nothing is dropped or capped, nothing goes to the driver.
+No step sees an unbounded group: a page is bounded by the paging, a group holds fewer than HOT strings or one window, of
+which each page sends one. A page writes a row a bucket, and never more rows than it has minimisers, so the rows of an
+exchange grow with the text. Nothing is dropped or capped, nothing goes to the driver.
 """
 
 from __future__ import annotations
@@ -31,14 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.tables import one_row_per_id
-from assayer.llm.arrays import BYTES, U, chunks, joined, mixed, sliding_argmin, window_hashes, word_hashes, words_in
-
-#: A minimiser that this many pages have, or one page has this many times, is hot.
-HOT_PAGES, HOT_TIMES = 1024, 24
-#: Hashes without their two lowest bits, which say: more than once in a page (or: hot, in answers); hot.
-HASH = ~U(3)
-#: Bytes of a window's digest; packed strings are longer.
-DIGEST = 16
+from assayer.llm.arrays import BYTES, U, chunks, joined, sliding_argmin, window_hashes, word_hashes, words_in
+
+#: A minimiser that occurs this often (a page counts up to TIMES) is hot: its group is split into windows.
+HOT, TIMES = 2048, 255
+#: Hashes without their lowest byte, which holds how often the minimiser is in a page (or, in answers: hot).
+HASH = ~U(TIMES)
 #: Bytes of strings that a bucket compares at once; whole groups of a minimiser stay together.
 BATCH = 3 << 20
 RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
@@ -56,8 +54,8 @@ class Kind:
         return b" ".join(raw.split()) if self.unit == "word" else raw
 
     def cut(self, texts: list[bytes]) -> Iterator[tuple]:
-        """By chunk: data, and of each super-k-mer its text, first window, windows, minimiser hash, bytes from and to;
-        and a function of the same for single windows."""
+        """By chunk: data, and of each super-k-mer its text, first window, windows, minimiser hash, place in the chunk; and
+        two functions of places: the bytes from and to of n windows there, the hashes of windows."""
         w, m = self.w, self.m
         for i, j in chunks(texts):
             data, starts = joined(texts[i:j])
@@ -82,7 +80,7 @@ class Kind:
             def span(s, n, a=a, b=b):
                 return (a[s], b[s + n - 1 + w - 1]) if self.unit == "word" else (s, s + n - 1 + w)
 
-            yield data, i + text, s - counts[text], n, mh[place[s]], s, span, (lambda s, v=values: (window_hashes(v, w)[s], window_hashes(mixed(v), w)[s]))
+            yield data, i + text, s - counts[text], n, mh[place[s]], s, span, (lambda s, v=values: window_hashes(v, w)[s] & HASH)
 
 
 def pages(docs: DataFrame) -> int:
@@ -166,7 +164,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare:
         _, texts = _texts(table, kind)
         found = [c[4] for c in kind.cut(texts)]
         keys, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U), np.zeros(0, int))
-        keys = keys | (count > 1).astype(U) | ((count >= HOT_TIMES).astype(U) << U(1))
+        keys = keys | np.minimum(count, TIMES).astype(U)
         rows = [(b, keys[at].tobytes()) for b, at in _split(_bucket(keys & HASH, buckets), buckets)]
         page = _page(table)
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "page": pa.array([page] * len(rows), pa.int32()), "keys": pa.array([x for _, x in rows], pa.binary())})
@@ -185,9 +183,9 @@ def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare:
         own = keys & HASH
         head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         size = np.diff(np.append(head, len(own)))
-        flags = np.bitwise_or.reduceat(keys & ~HASH, head)
-        told = np.repeat((size > 1) | (flags > 0), size)
-        answer = own | np.repeat((size >= HOT_PAGES) | (flags > 1), size).astype(U)
+        times = np.add.reduceat(keys & ~HASH, head)
+        told = np.repeat(times > 1, size)
+        answer = own | np.repeat(times >= HOT, size).astype(U)
         own, at = answer[told], at[told]
         order = np.argsort(at, kind="stable")
         own, at = own[order], at[order]
@@ -216,10 +214,9 @@ def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare:
                 at = np.flatnonzero(which)
                 if len(at):
                     step = np.arange(int(n_[at].sum())) - np.repeat(np.cumsum(n_[at]) - n_[at], n_[at])
-                    s1 = np.repeat(s[at], n_[at]) + step
-                    h1, h2 = window_key(s1)
-                    digests = np.stack([h1, h2], 1).astype("<u8").tobytes()
-                    pieces += zip(np.repeat(docs_[text[at]], n_[at]).tolist(), (np.repeat(start[at], n_[at]) + step).tolist(), [1] * len(s1), (h1 & HASH).tolist(), [digests[i : i + DIGEST] for i in range(0, len(digests), DIGEST)], strict=True)
+                    each = np.repeat(s[at], n_[at]) + step
+                    a, b = span(each, np.ones(len(each), np.int64))
+                    pieces += zip(np.repeat(docs_[text[at]], n_[at]).tolist(), (np.repeat(start[at], n_[at]) + step).tolist(), [1] * len(each), window_key(each).tolist(), [data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)], strict=True)
             pieces.sort(key=lambda p: (p[0], p[1]))
             for doc, start, n_, key, string in pieces:
                 k = best.setdefault(string, len(entries))
@@ -274,8 +271,8 @@ def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare:
             for name in ("doc", "start", "n"):
                 whole[name] = head[name][again]
             yield _told(head["page"][again], whole)
-        # what is left is compared, batch by batch of whole groups; digests and strings alone in their group are done
-        at = np.flatnonzero(~again & (head["size"] != DIGEST))
+        # what is left is compared, batch by batch of whole groups; strings alone in their group are done
+        at = np.flatnonzero(~again)
         same = head["key"][at][1:] == head["key"][at][:-1]
         at = at[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(at) else at
         head, strings = head[at], [strings[i] for i in at]

@@ -4,14 +4,15 @@
 their first and last rows. ``pointers`` streams patterns through it from right to left, all patterns in step: while the
 pattern's byte continues the current run's, the row maps by LF; otherwise the row jumps to the end of the run before or
 the start of the run after that has the byte, whichever suffix shares more with the pattern. So each place of a pattern
-gets a pointer to a place of the text with its longest match (its matching statistics).
+gets a pointer to a place of the text with its longest match (its matching statistics). Which of the two shares more is
+read from the text itself, eight bytes at a time; so are the matches that are reported.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from assayer.llm.arrays import BASE_INVERSE, BYTES, U, powers, prefix_hashes, run_hash
+from assayer.llm.arrays import U, common_bytes, eights, same_bytes
 
 #: A byte that UTF-8 text never has, between and after strings.
 SEPARATOR = 0xFF
@@ -70,23 +71,13 @@ class RunLengthIndex:
         self.maps_to[by_byte] = before  # LF of the run's first row: all rows of smaller bytes, and of this byte before
         self.runs_of = (self.byte[by_byte] << 32) | by_byte
         self.runs = len(head)
-        self.prefix = prefix_hashes(BYTES[data])
+        self.text = eights(data)
 
-    def shared(self, prefix: np.ndarray, at: np.ndarray, stop: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
-        """Length, at most ``most``, that pattern[at:stop] and text[place:] have in common; by hashes and bisection."""
-        back = powers(BASE_INVERSE, max(self.n, len(prefix)) + 1)
-        a, b = back[at], back[place]
-        p, q = prefix[at], self.prefix[place]
-        low = np.zeros(len(at), np.int64)
-        high = np.minimum(np.minimum(stop - at, self.n - place), most)
-        while (low < high).any():
-            mid = (low + high + 1) >> 1
-            same = (prefix[at + mid] - p) * a == (self.prefix[place + mid] - q) * b
-            low = np.where(same, mid, low)
-            high = np.where(same, high, np.maximum(mid - 1, low))
-        return low
+    def shared(self, patterns: np.ndarray, at: np.ndarray, stop: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
+        """Length, at most ``most``, that pattern[at:stop] and text[place:] have in common."""
+        return common_bytes(patterns, at, self.text, place, np.minimum(np.minimum(stop - at, self.n - place), most))
 
-    def pointers(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, prefix: np.ndarray, most: int) -> np.ndarray:
+    def pointers(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, patterns: np.ndarray, most: int) -> np.ndarray:
         """For each place of ``data`` in a pattern [start, stop): a place of the text with its longest match, -1 if none."""
         out = np.full(len(data), -1, np.int64)
         lanes = np.argsort(starts - stops, kind="stable")  # longest first, so that lanes that are over lie at the end
@@ -112,7 +103,7 @@ class RunLengthIndex:
                 take_next = has_next.copy()
                 if len(both):
                     a, z = np.tile(at[off[both]] + 1, 2), np.tile(end[off[both]], 2)
-                    common = self.shared(prefix, a, z, np.concatenate([self.at_start[nxt[both]], self.at_end[prv[both]]]), most)
+                    common = self.shared(patterns, a, z, np.concatenate([self.at_start[nxt[both]], self.at_end[prv[both]]]), most)
                     take_next[both] = common[: len(both)] > common[len(both) :]
                 new_run = np.where(take_next, nxt, prv)
                 none = ~(has_next | has_prev)
@@ -138,11 +129,11 @@ def long_matches(index: RunLengthIndex, strings: list[bytes], length: int) -> li
     data = np.frombuffer(b"".join(strings), np.uint8)
     stops = np.cumsum([len(s) for s in strings])
     starts = stops - np.array([len(s) for s in strings])
-    prefix = prefix_hashes(BYTES[data])
-    place = index.pointers(data, starts, stops, prefix, length)
+    patterns = eights(data)
+    place = index.pointers(data, starts, stops, patterns, length)
     at = np.concatenate([np.arange(a, max(a, z - length + 1)) for a, z in zip(starts, stops, strict=True)])
     p = place[at]
     able = (p >= 0) & (p + length <= index.n)
     hit = np.zeros(len(at), bool)
-    hit[able] = run_hash(prefix, at[able], at[able] + length) == run_hash(index.prefix, p[able], p[able] + length)
+    hit[able] = same_bytes(patterns, at[able], index.text, p[able], np.full(int(able.sum()), length))
     return np.split(hit, np.cumsum([max(0, len(s) - length + 1) for s in strings])[:-1])

@@ -1,8 +1,9 @@
 """Substring deduplication: word windows by super-k-mer partitioning, and byte windows by a run-length index.
 
 ``dedup_words`` removes each word covered by a window of ``w`` words whose sequence also starts in a document with a
-smaller doc_id. In the bucket of a minimiser the windows of all strings are sorted by two 64-bit hashes (by their words,
-should those disagree), and every window gets the smallest document that has it.
+smaller doc_id. In the bucket of a minimiser the windows of all strings are sorted by a 64-bit hash, each is compared
+byte by byte with the first one that has its hash (if two differ, all are grouped by their words instead), and every
+window gets the smallest document that has it.
 
 ``dedup_bytes`` removes each byte covered by a string of ``w`` bytes that also starts earlier (smaller doc_id, or earlier
 in the same document). In a bucket, the earlier half of each minimiser's strings goes into a run-compressed Burrows-Wheeler
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.arrays import joined, mixed, window_hashes, word_hashes, words_in
+from assayer.llm.arrays import eights, joined, same_bytes, window_hashes, word_hashes, words_in
 from assayer.llm.repeats import Kind, applied, covered, repeated_windows
 from assayer.llm.rindex import RunLengthIndex, long_matches
 
@@ -31,16 +32,21 @@ def sorted_windows(head: np.ndarray, strings: list[bytes], w: int) -> tuple[np.n
     a, b, counts = words_in(data, starts)
     size = np.diff(counts) - w + 1
     at = np.arange(int(size.sum())) + np.repeat(counts[:-1] - (np.cumsum(size) - size), size)
-    words = word_hashes(data, a, b)
-    h, check = window_hashes(words, w)[at], window_hashes(mixed(words), w)[at]
+    h = window_hashes(word_hashes(data, a, b), w)[at]
     doc = np.repeat(head["doc"], size)
     order = np.lexsort((doc, h))
-    h, check, doc_ = h[order], check[order], doc[order]
+    h, doc_ = h[order], doc[order]
     new = np.concatenate([[True], h[1:] != h[:-1]])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    start, every = a[at[order]], eights(data)
+    length = b[at[order] + w - 1] - start
+    equal = length == length[first]
+    rest = np.flatnonzero(~new & equal)
+    equal[rest] = same_bytes(every, start[rest], every, start[first[rest]], length[rest])
     late = np.zeros(len(at), bool)
-    if (check[1:] == check[:-1])[~new[1:]].all():
-        late[order] = doc_ > doc_[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-    else:  # two different windows share a hash: compare the words themselves
+    if equal.all():
+        late[order] = doc_ > doc_[first]
+    else:  # two different windows share a hash: group by the words themselves
         raw, least = data.tobytes(), {}
         keys = [raw[a[i] : b[i + w - 1]] for i in at]
         for k, d in zip(keys, doc.tolist(), strict=True):

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from assayer.llm import decontaminate, embeddings, lines, minhash, queries, repeats, rindex, substrings
+from assayer.llm import arrays, decontaminate, embeddings, lines, minhash, queries, repeats, rindex, substrings
 from tests.llm import brute
 from tests.tests_support import check
 
@@ -58,17 +58,17 @@ def test_lines(spark):
     assert lines.dedup_lines(spark.createDataFrame([(1, "b"), (1, "a"), (1, None)], TEXT)).collect()[0].text == "a"
 
 
-@pytest.mark.parametrize("seed,times", [(1, 24), (2, 2), (3, 24)])
+@pytest.mark.parametrize("seed,times", [(1, 2048), (2, 2), (3, 24)])
 def test_word_windows(spark, monkeypatch, seed, times):
-    monkeypatch.setattr(repeats, "HOT_TIMES", times)  # 2: nearly all minimisers take the way of hot ones
+    monkeypatch.setattr(repeats, "HOT", times)  # 2: all repeated minimisers are split into windows
     docs = copies(seed)
     got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.text)) for r in substrings.dedup_words(frame(spark, docs)).collect()}
     assert got == brute.word_windows(docs)
 
 
-@pytest.mark.parametrize("seed,times", [(1, 24), (2, 2), (3, 24)])
+@pytest.mark.parametrize("seed,times", [(1, 2048), (2, 2), (3, 24)])
 def test_byte_windows(spark, monkeypatch, seed, times):
-    monkeypatch.setattr(repeats, "HOT_TIMES", times)
+    monkeypatch.setattr(repeats, "HOT", times)
     docs = copies(seed)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in substrings.dedup_bytes(frame(spark, docs)).collect()}
     assert got == brute.byte_windows(docs)
@@ -79,13 +79,7 @@ def test_windows_of_nothing(spark):
 
 
 def test_word_windows_of_equal_hashes_are_compared(monkeypatch):
-    real, calls = substrings.window_hashes, []
-
-    def colliding(v, k):  # the first hash is the same for all windows of a place, the second tells them apart
-        calls.append(1)
-        return real(v, k) if len(calls) > 1 else np.arange(len(v) - k + 1, dtype=np.uint64) % np.uint64(5)
-
-    monkeypatch.setattr(substrings, "window_hashes", colliding)
+    monkeypatch.setattr(substrings, "window_hashes", lambda v, k: np.arange(len(v) - k + 1, dtype=np.uint64) % np.uint64(5))
     head = np.zeros(2, repeats.ENTRY)
     head["doc"] = [1, 2]
     a, b = b"a b c d e", b"x b c d f"
@@ -93,6 +87,43 @@ def test_word_windows_of_equal_hashes_are_compared(monkeypatch):
     assert size.tolist() == [3, 3] and got.tolist() == [False] * 3 + [False, True, False]
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def structured():
+    """Different long words on which polynomial hashes modulo a power of two agree."""
+    flip = str.maketrans("ab", "ba")
+    docs, i = {}, 0
+    for n in (1024, 2048, 4096):
+        for t in (thue_morse(n), thue_morse(n).translate(flip)):
+            docs[i] = " ".join([t, *(f"w{n}x{j}" for j in range(14))])
+            docs[i + 100] = t
+            i += 1
+    return docs
+
+
+def test_structured_words(spark):
+    docs = structured()
+    words = [t.split()[0].encode() for t in docs.values()]
+    data, starts = arrays.joined(words)
+    a, b, _ = arrays.words_in(data, starts)
+    assert len(set(arrays.word_hashes(data, a, b).tolist())) == len(set(words)) == 6
+    df = frame(spark, docs)
+    assert {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.text)) for r in substrings.dedup_words(df).collect()} == brute.word_windows(docs)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in substrings.dedup_bytes(df).collect()} == brute.byte_windows(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, k=4).collect()} == brute.near(docs, 4)
+
+
+def test_bytes_in_common():
+    rng = random.Random(3)
+    x, y = (bytes(rng.choice(b"ab") for _ in range(300)) for _ in range(2))
+    at, place, most = (np.array([rng.randrange(m) for _ in range(500)]) for m in (200, 200, 100))
+    got = arrays.common_bytes(arrays.eights(x), at, arrays.eights(y), place, most)
+    for g, i, j, m in zip(got.tolist(), at.tolist(), place.tolist(), most.tolist()):
+        assert g == next((k for k in range(m) if x[i + k] != y[j + k]), m)
+
+
 def test_query_windows_on_data(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert {r.doc_id: tuple(r)[1:] for r in queries.op8_substring_dedup(spark, DATA).collect()} == brute.word_windows(docs)
