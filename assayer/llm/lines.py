@@ -5,8 +5,10 @@ compared by two independent 64-bit hashes. Only positions and hashes are shuffle
 to meet the positions to drop. A frequent line is counted from partial counts, and the positions of its copies are found
 by an equi-join whose large partitions can be split.
 
-Defined results: null or empty text is one empty line; if a doc_id repeats its rows are collapsed first
-(``one_row_per_id``); rows without doc_id are left out; extra columns are not read.
+Defined results: null or empty text is one empty line; texts are split whole, whatever their length (a text's lines are
+one array of its own row); of documents that share a frequent line the largest doc_id keeps all its copies of it; if a
+doc_id repeats its rows are collapsed first (``one_row_per_id``); rows without doc_id are left out; an empty table gives
+an empty one; extra columns are not read. Nothing depends on ANSI mode.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.tables import apart, one_row_per_id
+from assayer.functions.tables import apart, one_row_per_id, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\x0c\r"
@@ -35,10 +37,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", min_ch
     """One row per document: doc_id, text (kept lines joined by a line feed), n_lines, n_dropped."""
     docs = one_row_per_id(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line")).select("doc_id", "pos", line_key(F.col("line")).alias("key"))
-    lines = lines.where(F.length("key") >= min_chars).select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    # positions and hashes only, written once: counted, then looked up
+    lines = written(lines.where(F.length("key") >= min_chars).select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
     # per (hash, document) first, whatever the group's size; then per hash, with map-side combining
     held = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     frequent = held.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
     gone = lines.join(frequent.select(*apart("h1", "h2"), "keeper"), ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(F.collect_list("pos").alias("drops"))
     both = docs.join(gone, "doc_id", "left").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), "drops")
-    return both.select("doc_id", reassembled(F.col("lines"), F.col("drops")).alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    dropped = F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long")
+    return both.select("doc_id", reassembled(F.col("lines"), F.col("drops")).alias("text"), F.size("lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"))

@@ -1,15 +1,18 @@
 """Secret scanning with corpus-wide ownership frequency.
 
 Three base patterns (``assign``, ``access``, ``hex``) are found in every text. Beside them the scan notes ``wide``
-candidates: token-like strings of mixed classes and high entropy that no base pattern covers. The hash of every
-candidate's secret value is counted over the corpus by distinct repositories (documents) and distinct owners
-(``owner`` column, the source). A value that many owners or very many repositories hold is an example copied from place
-to place; one that stays with few owners looks live. Verdicts go back to the documents: base spans always stay, live
-wide spans are added, widely copied wide ones are not.
+candidates: token-like strings of mixed classes and high entropy that no base pattern covers. The digest of every
+candidate's secret value is counted over the corpus by distinct repositories (``repository`` column, the document unless
+the table names one) and distinct owners (``owner`` column, the source). A value that several owners hold is an example
+copied from place to place; one that stays with few owners looks live, however often they copied it. Verdicts go back to
+the documents: base spans always stay, live wide spans are added, widely copied wide ones are not.
 
 Counts are two-level aggregations with map-side combining, so one value held by a third of all rows reaches a task as
-one row per map task. Defined results: null text is empty; rows without a doc_id are scanned, but their wide candidates
-get no verdict and are not added; a null owner counts as one owner of its own; repeated rows are each returned.
+one row per map task; verdicts meet the spans in an equi-join whose large partitions can be split.
+
+Defined results: null text is empty; a text is scanned whole, whatever its length; a null repository or owner counts as
+one of its own; repeated rows are each returned, and count once; an empty table gives an empty one; ties between spans
+that start together go by kind; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -28,7 +32,8 @@ from assayer.functions.tables import apart, written
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-WIDE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,63}[0-9])[A-Za-z0-9+/_-]{24,}")
+WIDE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}")
+DIGIT, SMALL, LARGE = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")
 KINDS = ("assign", "access", "hex", "wide")
 
 
@@ -47,13 +52,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def wide_spans(text: str, base: list) -> list[tuple[int, int, int, str]]:
-    out, i = [], 0
+    """Candidates that overlap no base span. ``reach[i]`` is the furthest end of the first i base spans."""
+    starts, reach = [s[0] for s in base], [0]
+    for s in base:
+        reach.append(max(reach[-1], s[1]))
+    out = []
     for m in WIDE.finditer(text):
-        while i < len(base) and base[i][1] <= m.start():
-            i += 1
         s = m[0]
-        mixed = any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)
-        if mixed == 3 and entropy(s) >= 3.5 and not any(b[0] < m.end() and b[1] > m.start() for b in base[i : i + 50]):
+        if DIGIT.search(s) and SMALL.search(s) and LARGE.search(s) and entropy(s) >= 3.5 and reach[bisect_right(starts, m.end() - 1)] <= m.start():
             out.append((m.start(), m.end(), 3, s))
     return out
 
@@ -63,24 +69,30 @@ def spans_with_digests(t: str | None) -> list[tuple[int, int, int, str]]:
     return [(a, b, k, hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()) for a, b, k, v in sorted(base + wide_spans(t, base))]
 
 
-def scan(docs: DataFrame, text: str = "text", doc: str = "doc_id", owner: str = "source", owners_of_example: int = 3, repositories_of_example: int = 50) -> DataFrame:
-    """One row per document: doc, owner, spans (start, stop, kind, value's sha256, verdict ``live`` / ``example``).
-    ``wide`` spans are kept only if live. The scan's result, without texts, is written once and read twice."""
+def scan(docs: DataFrame, text: str = "text", doc: str = "doc_id", owner: str = "source", repository: str | None = None, owners_of_example: int = 3) -> DataFrame:
+    """One row per row of ``docs``: doc_id, owner, spans (start, stop, kind, value's sha256, repositories and owners that
+    hold it, verdict ``live`` / ``example``). ``wide`` spans are kept only if live. The scan's result, without texts, is
+    written once and read twice."""
 
     @F.pandas_udf("array<struct<start:int,stop:int,kind:int,value:string>>")
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([spans_with_digests(t) for t in texts], dtype=object)
 
-    raw = docs.select(F.col(doc).alias("doc_id"), F.col(owner).alias("owner"), found(F.col(text)).alias("found"))
-    seen = written(raw, "secrets")
-    held = seen.where("size(found) > 0").select("doc_id", "owner", F.explode(F.array_distinct(F.transform("found", lambda x: x["value"]))).alias("value")).distinct()
-    by_owner = held.groupBy("value", "owner").agg(F.count("doc_id").alias("n"))
-    counted = by_owner.groupBy("value").agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners"))
-    verdict = counted.select(*apart("value"), ((F.col("owners") >= owners_of_example) | (F.col("repositories") >= repositories_of_example)).alias("example"))
-    by_doc = held.join(verdict, "value").groupBy("doc_id").agg(F.collect_set(F.when(F.col("example"), F.col("value"))).alias("examples"), F.collect_set(F.when(~F.col("example"), F.col("value"))).alias("live"))
-    both = seen.join(by_doc, "doc_id", "left")
-    told = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"), x["value"].alias("value"), F.when(F.array_contains("live", x["value"]), "live").otherwise("example").alias("verdict")))
-    return both.select("doc_id", "owner", F.filter(told, lambda x: (x["kind"] < 3) | (x["verdict"] == "live")).alias("spans"))
+    names = [F.col(doc).alias("doc_id"), F.col(owner).alias("owner"), F.col(repository or doc).cast("string").alias("repository")]
+    seen = written(docs.select(*names, found(F.col(text)).alias("found")).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    each = seen.select("row", "owner", "repository", F.posexplode("found").alias("at", "span"))
+    # null-safe: struct keys keep a null repository or owner apart from all others
+    held = each.select(F.col("span.value").alias("value"), F.struct("owner").alias("o"), F.struct("repository").alias("r")).distinct()
+    by_owner = held.groupBy("value", "o").agg(F.count(F.lit(1)).alias("n"))
+    owners = by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
+    repositories = held.select("value", "r").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("repositories"))
+    verdict = owners.join(repositories, "value").select(*apart("value"), "owners", "repositories")
+    word = F.when(F.col("owners") >= owners_of_example, "example").otherwise("live")
+    told = each.select("row", "at", "span", F.col("span.value").alias("value")).join(verdict, "value").select("row", "at", "span", "repositories", "owners", word.alias("verdict"))
+    told = told.where((F.col("span.kind") < 3) | (F.col("verdict") == "live"))
+    spans = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", F.col("span.start").alias("start"), F.col("span.stop").alias("stop"), F.col("span.kind").alias("kind"), F.col("span.value").alias("value"), "repositories", "owners", "verdict"))).alias("spans"))
+    out = F.coalesce(F.transform("spans", lambda x: x.dropFields("at")), F.array().cast("array<struct<start:int,stop:int,kind:int,value:string,repositories:bigint,owners:bigint,verdict:string>>"))
+    return seen.select("row", "doc_id", "owner").join(spans, "row", "left").select("doc_id", "owner", out.alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -40,6 +40,38 @@ def secrets(text):
     return (*n, sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)))
 
 
+def secrets_of_corpus(docs, owners_of_example=3):
+    """doc_id -> (spans, n_live, n_example) of {doc_id: (text, owner)}."""
+    from math import log2
+
+    def bits(s):
+        return -sum(n / len(s) * log2(n / len(s)) for n in (s.count(c) for c in set(s)))
+
+    found, owners = {}, {}
+    for d, (text, owner) in docs.items():
+        text, own = text or "", []
+        for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+            if len(m[2]) >= 12:
+                own.append((m.start(), 0, "assign", m.end(), m[2]))
+        own += [(m.start(), 1, "access", m.end(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        own += [(m.start(), 2, "hex", m.end(), m[0]) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+        base = list(own)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+            s = m[0]
+            classes = (re.search(x, s) for x in ("[0-9]", "[a-z]", "[A-Z]"))
+            if len(s) >= 24 and all(classes) and bits(s) >= 3.5 and not any(a < m.end() and m.start() < b for a, _, _, b, _ in base):
+                own.append((m.start(), 3, "wide", m.end(), s))
+        found[d] = sorted(own)
+        for *_, value in own:
+            owners.setdefault(value, set()).add(owner)
+    out = {}
+    for d, own in found.items():
+        live = [len(owners[x[4]]) < owners_of_example for x in own]
+        shown = [x for x, y in zip(own, live) if y or x[1] < 3]
+        out[d] = (",".join(f"{k}:{a}:{b}" for a, _, k, b, _ in shown), sum(live), sum(len(owners[x[4]]) >= owners_of_example for x in shown))
+    return out
+
+
 def lines(docs, least=40, docs_needed=5):
     key = lambda s: s.encode().strip(SPACE).lower().decode()
     holds = {}

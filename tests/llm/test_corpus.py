@@ -49,7 +49,16 @@ def test_oracles(spark, name):
     check(spark, name, "sf0.001")
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_lines(spark, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        _lines(spark)
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def _lines(spark):
     long = "This line is long enough to count as one, certainly."
     docs = {1: long, 2: f" {long}\t\nother", 3: long.upper(), 4: f"x\n{long}\n{long}", 5: f"{long}\n", 6: None, 7: "", 8: "\n\n", 9: f"{long}É", 10: "short\n" * 5000, 11: long.lower()}
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(frame(spark, docs)).collect()}

@@ -142,9 +142,20 @@ def test_toxicity_odd_rows(spark):
 
 
 def test_secrets_query(spark):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    for r in queries.op2_secrets(spark, DATA).collect():
-        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == brute.secrets(texts[r.doc_id])
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    want = brute.secrets_of_corpus({d: (r.text, r.source) for d, r in docs.items()})
+    got = {r.doc_id: r for r in queries.op2_secrets(spark, DATA).collect()}
+    assert set(got) == set(want)
+    for d, r in got.items():
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == brute.secrets(docs[d].text)
+        assert (r.spans, r.n_live, r.n_example) == want[d], d
+
+
+def test_digits_late_in_a_token(spark):
+    late = "abcdefGHIJKLmnopQRSTuvwx" * 3 + "9z"
+    rows = [(1, f"x {late} y", "o"), (2, "token=" + "a1B2" * 8 + " " + "Zz9y" * 10, "o")]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert got[1] == f"wide:2:{2 + len(late)}" and got[2].startswith("assign:0:")
 
 
 def test_secrets_odd_texts(spark):
@@ -157,7 +168,7 @@ def test_secrets_odd_texts(spark):
 
 def test_owners_tell_examples_from_live_keys(spark):
     example, live = "EXAMPLEkey0aB1cD2eF3gH4iJ5kL", "Zq9Xw8Vy7Ut6Sr5Pn4Mk3Jh2Gf1Dd"
-    rows = [(i, f"see {example} here", f"owner{i}") for i in range(6)] + [(9, f"my {live} x", "me"), (10, f"{live}", "me"), (None, live, "me"), (12, None, None)]
+    rows = [(i, f"see {example} here", f"owner{i}") for i in range(6)] + [(9, f"my {live} x", "me"), (10, f"{live}", "me"), (None, live, "me"), (12, None, None)] + [(20 + i, f"{live}", "me") for i in range(60)]
     got = {r.doc_id: r for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
     assert got[9].spans == f"wide:3:{3 + len(live)}" and got[10].n_live == 1
     assert all(got[i].spans == "" for i in range(6)) and got[12].spans == ""
