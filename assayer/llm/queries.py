@@ -79,22 +79,25 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-#: Windows aligned to a shared shingle, compared exactly, without fingerprints.
+#: Every window that shares a shingle with an item, at every start, compared exactly, without fingerprints.
 LEAKS_SQL = r"""
-WITH w AS (SELECT doc_id AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT id, len(w) - 4 AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS s FROM w WHERE len(w) >= 5),
-bs AS (SELECT id, len(w) - 4 AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS s FROM b WHERE len(w) >= 5),
-de AS (SELECT id, n, unnest(s) AS h, unnest(range(0, n)) AS pos FROM ds),
-be AS (SELECT id, n, unnest(s) AS h, unnest(range(0, n)) AS pos FROM bs),
-win AS (SELECT DISTINCT de.id AS doc_id, be.n AS size, greatest(0, least(de.n - be.n, greatest(0, de.pos - be.pos))) AS start FROM de JOIN be USING (h)),
-ws AS (SELECT doc_id, size, start, least(size, len(s)) AS own, unnest(s[start + 1 : start + size]) AS h FROM win JOIN ds ON ds.id = doc_id),
-wc AS (SELECT doc_id, size, start, own, h, count(*) AS c FROM ws GROUP BY ALL),
-bc AS (SELECT id AS item_id, n AS size, h, count(*) AS c FROM be GROUP BY ALL),
-shared AS (SELECT doc_id, item_id, wc.size, start, own, sum(least(wc.c, bc.c)) AS both_n FROM wc JOIN bc ON wc.h = bc.h AND wc.size = bc.size GROUP BY ALL),
+WITH w AS (SELECT doc_id AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+b AS (SELECT item_id AS id, list_filter(string_split(trim(regexp_replace(lower(min(text)), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w
+      FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL GROUP BY item_id),
+bs AS (SELECT id, least(5, len(w)) AS k, len(w) - least(5, len(w)) + 1 AS n, w FROM b WHERE len(w) > 0),
+be AS (SELECT id, k, n, unnest(list_transform(range(1, n + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS h FROM bs),
+ds AS (SELECT id, k, len(w) - k + 1 AS n, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS s
+       FROM w, (SELECT DISTINCT k FROM bs) WHERE len(w) >= k),
+de AS (SELECT id, k, n, unnest(s) AS h, unnest(range(0, n)) AS pos FROM ds),
+hit AS (SELECT DISTINCT de.id AS doc_id, de.k, be.n AS size, least(de.n, be.n) AS own, de.n, pos FROM de JOIN be ON be.k = de.k AND be.h = de.h),
+win AS (SELECT DISTINCT doc_id, k, size, own, unnest(range(greatest(0, pos - own + 1), least(pos, n - own) + 1)) AS start FROM hit),
+ws AS (SELECT doc_id, win.k, size, own, start, unnest(s[start + 1 : start + own]) AS h FROM win JOIN ds ON ds.id = doc_id AND ds.k = win.k),
+wc AS (SELECT doc_id, k, size, own, start, h, count(*) AS c FROM ws GROUP BY ALL),
+bc AS (SELECT id AS item_id, k, n AS size, h, count(*) AS c FROM be GROUP BY ALL),
+shared AS (SELECT doc_id, item_id, wc.k, wc.size, start, own, sum(least(wc.c, bc.c)) AS both_n FROM wc JOIN bc ON wc.h = bc.h AND wc.size = bc.size AND wc.k = bc.k GROUP BY ALL),
 scored AS (SELECT *, both_n::DOUBLE / (own + size - both_n)::DOUBLE AS similarity FROM shared),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM scored WHERE similarity >= 0.8)
-SELECT doc_id, item_id, start AS start_word, size + 4 AS n_words, similarity FROM ranked WHERE r = 1"""
+SELECT doc_id, item_id, start AS start_word, size + k - 1 AS n_words, similarity FROM ranked WHERE r = 1"""
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 #: All pairs of vectors, then closure.

@@ -143,3 +143,34 @@ def vectors(rows, least=0.95):
                 edges.append((a, b))
     c = components(rows, edges)
     return {i: (n[i], c[i], c[i] == i) for i in rows}
+
+
+def leaks(docs, items, least=0.8, k=5):
+    """(doc, item) -> (start, words, similarity) over all item-sized windows at every start."""
+    from collections import Counter
+
+    def words(t):
+        return re.findall(r"[^\W_]+", (t or "").lower())
+
+    out = {}
+    for item, text in items.items():
+        w = words(text)
+        n = min(k, len(w))
+        if not n:
+            continue
+        own = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        size = sum(own.values())
+        for d, t in docs.items():
+            every = words(t)
+            runs = [tuple(every[i : i + n]) for i in range(len(every) - n + 1)]
+            best = None
+            for start in range(max(1, len(runs) - size + 1)):
+                window = Counter(runs[start : start + size])
+                both = sum((own & window).values())
+                if both:
+                    s = both / (size + sum(window.values()) - both)
+                    if s >= least and (best is None or s > best[2]):
+                        best = (start, size + n - 1, s)
+            if best:
+                out[d, item] = best
+    return out
