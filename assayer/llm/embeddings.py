@@ -1,17 +1,26 @@
 """Embedding near-dedup by an epsilon grid order join.
 
 Unit vectors with cosine >= c lie within epsilon = sqrt(2 - 2c). Vectors are projected on leading principal dimensions
-(any orthonormal directions are valid; they are fitted on at most ``SAMPLE`` rows), sorted by their grid cells of width
-epsilon in lexicographic order, and cut into sequence blocks. Two blocks are joined only if they share or neighbour a
-cell of the first dimension and their bounding boxes lie within epsilon; inside a block pair sequence intervals are halved
-recursively, skipping intervals whose boxes are provably distant, down to dense tiles compared in double precision.
+(any orthonormal directions are valid; they are fitted on at most ``SAMPLE`` rows of the commonest length, other lengths
+use their leading coordinates), sorted by their grid cells of width epsilon in lexicographic order, and cut into sequence
+blocks. Two blocks are joined only if they share or neighbour a cell of the first dimension and their bounding boxes lie
+within epsilon; inside a block pair sequence intervals are halved recursively, skipping intervals whose boxes are provably
+distant, down to dense tiles. A tile is computed in single precision; what lies within its error bound of the limit or
+above is decided in double precision.
+
+Blocks travel once for each block they can reach, so they are as large as a task can hold (``BLOCK_BYTES``), or a third of
+all vectors if that is less; values that are single precision numbers travel as such. Where the leading dimensions hold
+most of the spread, a block reaches few others. Where all directions spread alike (no projection can tell any two
+intervals apart), every pair of blocks is compared, and traffic grows with the square of the vectors over the block's
+size: that is the price of an exact result.
 
 Equal vectors are one class with a multiplicity, so a vector repeated in a third of all rows is compared once. A block
 pair returns for each class its number of links and its root within the pair, never the pairs themselves, so a dense
 group costs as many rows as it has classes; roots are contracted by ``operators.components``.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different length don't link; rows without vec_id are left out; a repeated vec_id is collapsed to its smallest vector.
+different length don't link; rows without vec_id are left out; a repeated vec_id is collapsed to its smallest vector; a
+cosine at the limit is a link; an empty table gives an empty one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +37,9 @@ from assayer.operators.components import components
 
 SAMPLE = 5000
 LEADING = 8
-BLOCK = 4096
-TILE = 256
+#: Vectors of a block at least, and bytes of its vectors (in single precision) at most.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
+TILE = 1024
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -59,6 +69,8 @@ class Pair:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, mx: np.ndarray, my: np.ndarray, least: float, same: bool) -> None:
         self.x, self.y, self.px, self.py, self.mx, self.my, self.least, self.same = x, y, px, py, mx, my, least, same
+        self.x4, self.y4 = x.astype(np.float32), y.astype(np.float32)
+        self.margin = 2e-7 * (x.shape[1] + 4)  # more than single precision can be off
         self.reach = (2 - 2 * least) * (1 + 1e-9) + 1e-12
         n = len(x) + (0 if same else len(y))
         self.links, self.root = np.zeros(n, np.int64), np.arange(n)
@@ -100,10 +112,11 @@ class Pair:
             self.join(a, b, m, d)
 
     def tile(self, a: int, b: int, c: int, d: int) -> None:
-        s = self.x[a:b] @ self.y[c:d].T
-        hit = s >= self.least
-        for i, j in np.argwhere(np.abs(s - self.least) < 1e-12):  # at the limit, in the plain order of operations
-            hit[i, j] = float(np.sum(self.x[a + i] * self.y[c + j])) >= self.least
+        near = self.x4[a:b] @ self.y4[c:d].T >= self.least - self.margin
+        hit = np.zeros(near.shape, bool)
+        for i in np.flatnonzero(near.any(1)):  # in the plain order of operations, whatever the tile
+            j = np.flatnonzero(near[i])
+            hit[i, j] = (self.x[a + i] * self.y[c + j]).sum(1) >= self.least
         if self.same and a == c:
             np.fill_diagonal(hit, False)
         rows, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
@@ -134,11 +147,8 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
     able = rows.where("embedding is not null")
     classes = written(able.groupBy("h1", "h2").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("copies")), "classes")
     owners = written(able.join(classes.select(F.col("class").alias("vec_id"), "copies"), "vec_id").select("vec_id", "copies", "embedding", F.size("embedding").alias("d")), "vectors")
-    sizes = {r["d"]: r["n"] for r in owners.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
-    links = None
-    for d, n in sorted(sizes.items()):
-        found = _links(owners.where(F.col("d") == d), n, least)
-        links = found if links is None else links.union(found)
+    common = owners.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    links = _links(owners, common["d"], common["n"], owners.count(), least) if common else None
     out = rows.join(classes, ["h1", "h2"], "left").withColumn("class", F.when(F.col("embedding").isNotNull(), F.col("class"))).select("vec_id", "class", F.when(F.col("class").isNotNull(), F.col("copies") - 1).otherwise(0).alias("twins"))
     if links is None:
         return out.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -150,66 +160,86 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
     return out.select("vec_id", (F.col("twins") + F.coalesce("links", F.lit(0))).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def _links(owners: DataFrame, n: int, least: float) -> DataFrame:
+def _links(owners: DataFrame, common: int, n_common: int, n: int, least: float) -> DataFrame:
     """class, links (vectors of other classes), root (smallest class of its group within a block pair)."""
     spark = owners.sparkSession
-    basis = directions(owners, n)
+    basis = directions(owners.where(F.col("d") == common), n_common)
     eps = float(np.sqrt(2 - 2 * least)) * (1 + 1e-9)
-    g = basis.shape[1]
+    g = LEADING
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = max(1, min(max(BLOCK, -(-n // 3)), max(1, BLOCK_BYTES // (4 * common))))
+
+    def leading(x: np.ndarray) -> np.ndarray:
+        y = x @ basis if x.shape[1] == common else x[:, :g]
+        return np.hstack([y, np.zeros((len(y), g - y.shape[1]))])
+
+    def packed(x: np.ndarray) -> list[bytes]:
+        single = x.astype(np.float32)
+        return [a.tobytes() if same else b.tobytes() for a, b, same in zip(single, x, (single == x).all(1))]
+
+    def unpacked(rows: list[bytes], d: int) -> np.ndarray:
+        return np.array([np.frombuffer(r, np.float32 if len(r) == 4 * d else np.float64) for r in rows], np.float64)
 
     def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = unit(_matrix(batch.column("embedding")))
-                y = x @ basis
-                cell = np.floor(y / eps).astype(np.int32)
-                out = {"vec_id": batch.column("vec_id"), "copies": batch.column("copies"), "x": pa.array([v.tobytes() for v in x], pa.binary()), "y": pa.array([v.tobytes() for v in y], pa.binary())}
+            lengths = batch.column("d").to_numpy()
+            for d in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == d))
+                x = _matrix(part.column("embedding"))
+                with np.errstate(over="ignore"):
+                    rows = packed(x)
+                cell = np.floor(leading(unit(x)) / eps).astype(np.int32)
+                out = {"d": part.column("d"), "vec_id": part.column("vec_id"), "copies": part.column("copies"), "x": pa.array(rows, pa.binary())}
                 yield pa.record_batch(out | {f"c{i}": pa.array(cell[:, i]) for i in range(g)})
 
     cells = [f"c{i}" for i in range(g)]
-    placed = owners.mapInArrow(projected, "vec_id bigint, copies bigint, x binary, y binary, " + ", ".join(f"{c} int" for c in cells))
-    ordered = placed.repartitionByRange(max(1, min(parts, -(-n // BLOCK))), *cells, "vec_id").sortWithinPartitions(*cells, "vec_id")
+    placed = owners.mapInArrow(projected, "d int, vec_id bigint, copies bigint, x binary, " + ", ".join(f"{c} int" for c in cells))
+    ordered = placed.repartitionByRange(max(1, min(parts, -(-n // size))), "d", *cells, "vec_id").sortWithinPartitions("d", *cells, "vec_id")
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(rows: list) -> pa.RecordBatch:
-            ids = np.array([r[0] for r in rows], np.int64)
-            y = np.frombuffer(b"".join(r[3] for r in rows), np.float64).reshape(len(rows), g)
-            box = [y.min(0).tolist(), y.max(0).tolist()]
-            first = [int(np.floor(y[:, 0].min() / eps)), int(np.floor(y[:, 0].max() / eps))]
-            return pa.record_batch([pa.array([int(ids[0])]), pa.array([first[0]], pa.int32()), pa.array([first[1]], pa.int32()), pa.array([box[0]], pa.list_(pa.float64())), pa.array([box[1]], pa.list_(pa.float64())), pa.array([ids.tobytes()], pa.binary()), pa.array([np.array([r[1] for r in rows], np.int64).tobytes()], pa.binary()), pa.array([b"".join(r[2] for r in rows)], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["block", "lo", "hi", "low", "high", "ids", "copies", "x", "y"])
+            d = rows[0][0]
+            y = leading(unit(unpacked([r[3] for r in rows], d)))
+            lengths = np.array([len(r[3]) for r in rows], np.int32)
+            first = np.floor(np.array([y[:, 0].min(), y[:, 0].max()]) / eps).astype(int).tolist()
+            box = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (y.min(0), y.max(0))]
+            data = [np.array([r[1] for r in rows], np.int64).tobytes(), np.array([r[2] for r in rows], np.int64).tobytes(), lengths.tobytes(), b"".join(r[3] for r in rows)]
+            return pa.record_batch([pa.array([rows[0][1]]), pa.array([d], pa.int32()), *(pa.array([c], pa.int32()) for c in first), *box, *(pa.array([v], pa.binary()) for v in data)], ["block", "d", "lo", "hi", "low", "high", "ids", "copies", "lengths", "x"])
 
         rows: list = []
         for batch in batches:
-            d = batch.to_pydict()
-            rows += zip(d["vec_id"], d["copies"], d["x"], d["y"], strict=True)
-            while len(rows) >= BLOCK:
-                yield block(rows[:BLOCK])
-                rows = rows[BLOCK:]
+            r = batch.to_pydict()
+            for row in zip(r["d"], r["vec_id"], r["copies"], r["x"], strict=True):
+                if rows and (len(rows) >= size or rows[0][0] != row[0] or len(rows) * 4 * row[0] >= BLOCK_BYTES):
+                    yield block(rows)
+                    rows = []
+                rows.append(row)
         if rows:
             yield block(rows)
 
     # a block is named by its first vector
-    blocks = written(ordered.mapInArrow(blocked, "block bigint, lo int, hi int, low array<double>, high array<double>, ids binary, copies binary, x binary, y binary"), "blocks")
-    left = blocks.select("block", "low", "high", F.explode(F.sequence("lo", "hi")).alias("cell"))
-    right = blocks.select(F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("cell"))
+    blocks = written(ordered.mapInArrow(blocked, "block bigint, d int, lo int, hi int, low array<double>, high array<double>, ids binary, copies binary, lengths binary, x binary"), "blocks")
+    left = blocks.select("d", "block", "low", "high", F.explode(F.sequence("lo", "hi")).alias("cell"))
+    right = blocks.select("d", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("cell"))
     gaps = F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     near = F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v * v) <= (2 - 2 * least) * (1 + 1e-9) + 1e-12
-    pairs = left.join(right, "cell").where((F.col("block") <= F.col("other")) & near).select("block", "other").distinct()
+    pairs = left.join(right, ["d", "cell"]).where((F.col("block") <= F.col("other")) & near).select("block", "other").distinct()
     # overlaps are symmetric only up to the neighbouring cells: list both orders, keep the smaller first
-    back = left.join(right, "cell").where((F.col("block") > F.col("other")) & near).select(F.col("other").alias("block"), F.col("block").alias("other")).distinct()
+    back = left.join(right, ["d", "cell"]).where((F.col("block") > F.col("other")) & near).select(F.col("other").alias("block"), F.col("block").alias("other")).distinct()
     pairs = pairs.union(back).distinct()
     sides = pairs.select("block", "other", F.explode(F.array_distinct(F.array("block", "other"))).alias("own"))
-    data = blocks.select(F.col("block").alias("own"), "ids", "copies", "x", "y")
-    dim = basis.shape[0]
+    data = blocks.select(F.col("block").alias("own"), "d", "ids", "copies", "lengths", "x")
 
     def joined(table: pa.Table) -> pa.Table:
         r = table.to_pydict()
         at = sorted(range(len(r["own"])), key=lambda i: r["own"][i])
         ids = [np.frombuffer(r["ids"][i], np.int64) for i in at]
         copies = [np.frombuffer(r["copies"][i], np.int64) for i in at]
-        x = [np.frombuffer(r["x"][i], np.float64).reshape(-1, dim) for i in at]
-        y = [np.frombuffer(r["y"][i], np.float64).reshape(-1, g) for i in at]
+        x = []
+        for i in at:
+            stops = np.cumsum(np.frombuffer(r["lengths"][i], np.int32)).tolist()
+            x.append(unit(unpacked([r["x"][i][a:b] for a, b in zip([0, *stops], stops)], r["d"][i])))
+        y = [leading(v) for v in x]
         p = Pair(x[0], x[-1], y[0], y[-1], copies[0], copies[-1], least, len(at) == 1)
         p.join(0, len(x[0]), 0, len(x[-1]))
         name = np.concatenate(ids)

@@ -206,7 +206,7 @@ def test_vectors(spark):
 
 @pytest.mark.parametrize("block,tile", [(16, 4), (64, 8)])
 def test_blocks_of_vectors(spark, monkeypatch, block, tile):
-    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", block * 24)
     monkeypatch.setattr(embeddings, "TILE", tile)
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(8, 6))
