@@ -6,14 +6,17 @@ bias and with less variance than as many independent minima would. ``BANDS`` ban
 permutations each: two sets with J = 0.8 miss all bands with probability (1 - 0.8**4)**32, about 5e-8.
 
 Equal sets are one class, with its smallest doc_id; bands, candidates and links are between classes. A candidate is first
-compared with the smallest class of its band bucket (a star, never all pairs of a bucket), then, where a bucket still
-spans several components, with those members of the other components whose sizes and parity bitmaps allow the wanted
+compared with the hub of its band bucket (a star, never all pairs of a bucket). The hub is the member with the most
+company over all its buckets: in a group of near copies, the text that the others were made from, so that one star joins
+nearly all of them. Then, where a bucket still spans several components, members are compared with those members of the
+other components whose sizes and parity bitmaps allow the wanted
 similarity (a bound, not an estimate: no link is lost). Every link is confirmed on full shingle sets, by their words;
 classes of equal sets are found by two independent 64-bit sums and the size.
 Components are contracted by ``operators.components``.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; fewer words than a shingle are
-one shingle; rows without doc_id are left out; a repeated doc_id is collapsed first; extra columns are not read.
+one shingle; a similarity at the limit is a link; long texts are read whole; rows without doc_id are left out; a repeated
+doc_id is collapsed first; an empty table gives an empty one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ PERMUTATIONS, BANDS = 64, 32
 LONGS = 32
 #: Longs of the bitmap folded on itself, which is a parity bitmap too: a cheaper bound that goes first.
 FOLDED = 8
+#: Members of a bucket that one key of the pairwise step holds, about.
+DEAL = 512
 FACTOR = _splitmix(PERMUTATIONS, 101) | U(1)
 SHIFT = _splitmix(PERMUTATIONS, 202)
 BAND = _splitmix(BANDS, 303)
@@ -149,8 +154,12 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
 
     firsts = member.where("doc_id = class")
     rows = firsts.select("doc_id", "n", F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    bucket = written(rows.join(hubs.select(*apart("key"), F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), "key"), "buckets")  # buckets with company
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    bucket = written(rows.join(sizes.select(*apart("key"), "size"), "key"), "buckets")  # buckets with company
+    company = bucket.groupBy("doc_id").agg(F.sum("size").alias("company"))
+    ranked = bucket.join(company.select(*apart("doc_id"), "company"), "doc_id")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("first"), "n")).alias("h"))
+    starred = bucket.join(hubs.select(*apart("key"), (-F.col("h.first")).alias("hub"), F.col("h.n").alias("hub_n")), "key")
     able = written(docs.join(bucket.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
     def alike(x: str, y: str):  # J cannot reach the limit otherwise
@@ -163,14 +172,18 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
         return written(both.mapInArrow(_confirm(k, percent), "a bigint, b bigint"), "links")
 
     # a star in each bucket, then members of different components in one bucket
-    stars = written(bucket.where((F.col("doc_id") != F.col("hub")) & alike("n", "hub_n")).select(F.col("doc_id").alias("x"), F.col("hub").alias("y")).distinct(), "pairs")
+    stars = written(starred.where((F.col("doc_id") != F.col("hub")) & alike("n", "hub_n")).select(F.col("doc_id").alias("x"), F.col("hub").alias("y")).distinct(), "pairs")
     links = confirmed(stars)
     label = components(links).select(F.col("id").alias("doc_id"), "component")
-    own = bucket.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    own = bucket.join(label, "doc_id", "left").select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     split = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(*apart("key"))
     folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.get("bits", j) for j in range(i, LONGS, FOLDED)]).alias(f"z{i}") for i in range(FOLDED)]
     own = own.join(split, "key").join(firsts.select("doc_id", "n", "bits", *folded), "doc_id")
-    other = own.select("key", F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("other_bits"), *[F.col(f"z{i}").alias(f"y{i}") for i in range(FOLDED)])
+    # a large bucket is dealt to several keys: one side by a hash, the other to all of them
+    dealt = F.ceil(F.col("size") / DEAL).cast("int")
+    other = own.withColumn("deal", F.explode(F.sequence(F.lit(0), dealt - 1)))
+    own = own.withColumn("deal", F.pmod(F.xxhash64("doc_id"), dealt).cast("int"))
+    other = other.select("key", "deal", F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("other_bits"), *[F.col(f"z{i}").alias(f"y{i}") for i in range(FOLDED)])
 
     def near(pairs: list) -> Column:
         """Sets with the wanted similarity differ in at most this share of their shingles, and bitmaps in no more bits."""
@@ -179,8 +192,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
 
     quick = near([(F.col(f"z{i}"), F.col(f"y{i}")) for i in range(FOLDED)])
     whole = near([(F.get("bits", i), F.get("other_bits", i)) for i in range(LONGS)])
-    met = own.join(other, (own["key"] == other["key"]) & (F.col("c") > F.col("d")) & alike("n", "m") & quick & whole)
-    rest = written(met.select(F.greatest("doc_id", "y").alias("x"), F.least("doc_id", "y").alias("y")).distinct().join(stars, ["x", "y"], "left_anti"), "pairs")
+    met = own.join(other, (own["key"] == other["key"]) & (own["deal"] == other["deal"]) & (F.col("c") > F.col("d")) & alike("n", "m") & quick & whole)
+    rest = written(met.select(F.greatest("doc_id", "y").alias("x"), F.least("doc_id", "y").alias("y")).distinct().join(stars.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")), ["x", "y"], "left_anti"), "pairs")
     if rest.limit(1).count():
         links = written(links.union(confirmed(rest)), "links")
         label = components(links).select(F.col("id").alias("doc_id"), "component")
