@@ -30,26 +30,42 @@ def test_bpe_equals_the_library(library, machine):
     rng = random.Random(1)
     letters = "abcdefghijklmnoprstuvw'' \t\n\x1c\x85\xa0éèßΣσςİıǅ012½²٣日本語🎉.,!?<>|-_́​"
     texts = [t or "" for t in ODD] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(3000)] + ["".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 25))) for _ in range(3000)]
-    for t in texts:
+    texts += ["ab" * 50, "qxz" * 40 + " " + "aeinrst" * 30, ""]
+    for t, ids in zip(texts, machine.encode(texts), strict=True):
         want = library.encode(t, add_special_tokens=False)
-        ids = machine.encode(t)
         assert np.frombuffer(ids, "<u4").tolist() == want.ids
         assert machine.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
-def test_accepted_token_pairs_are_the_only_encoding(machine):
-    """Every prefix of a word has one accepted token sequence."""
-    word = "internationalisation"
-    for n in range(1, len(word) + 1):
-        assert machine.encode_word(word[:n])
+def test_table_accepts_exactly_the_encodings_of_two_tokens(library, machine):
+    """An arc is open if and only if the two labels are how the library splits their joined text."""
+    rng = random.Random(4)
+    inner = [i for i, x in enumerate(machine.labels) if x and machine.reached[i] and x.isascii() and x.isalpha() and x.islower()]
+    last = [i for i, x in enumerate(machine.labels) if x.endswith("</w>") and machine.reached[i] and x[:-4].isascii() and x[:-4].isalpha() and x.islower()]
+    pairs = [(rng.choice(inner), rng.choice(last)) for _ in range(3000)]
+    got = machine.open(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    for (a, b), ok in zip(pairs, got.tolist(), strict=True):
+        ids = library.encode(machine.labels[a] + machine.labels[b][:-4], add_special_tokens=False).ids
+        assert (ids == [a, b]) == ok
+    assert 0 < got.sum() < len(pairs) and machine.bounds.dtype == np.int64 and len(machine.before) - 1 < len(machine.labels)
+
+
+def test_long_words_take_the_same_table(machine):
+    word = "internationalisation" * 3
+    label, came = machine._walk([*word[:-1].encode(), 256 + ord(word[-1])])
+    out, at = [], len(word)
+    while at:
+        out.append(label[at - 1])
+        at = came[at - 1]
+    assert machine.encode_words([word])[0] == np.array(out[::-1], "<u4").tobytes()
 
 
 def test_bpe_query(spark, library):
     rows = queries.op7_bpe(spark, DATA).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
     assert len(rows) == len(texts)
-    for r in rows[:200]:
-        e = library.encode(texts[r.doc_id], add_special_tokens=False)
+    for r in rows:
+        e = library.encode(texts[r.doc_id] or "", add_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(e.ids), brute.sha(np.array(e.ids, "<u4").tobytes()), brute.sha(library.decode(e.ids, skip_special_tokens=False)))
 
 
@@ -58,6 +74,8 @@ def test_bpe_odd_rows(spark):
     got = bpe.tokenized(df, queries.vocabulary()).collect()
     assert len(got) == 2 * len(ODD) and all(r.bpe.n_tokens * 4 == len(r.bpe.ids) for r in got)
     assert bpe.tokenized(df.limit(0), queries.vocabulary()).count() == 0
+    with pytest.raises(ValueError):
+        bpe.tokenized(df, queries.vocabulary(), into="text")
 
 
 def test_code_lengths_equal_a_plain_tree():
