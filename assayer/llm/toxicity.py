@@ -1,19 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are mapped to the grammar's symbols by small transducers: *insult* (a weighted lexicon of words and word stems,
-learned from labelled texts), *threat* (a verb of harm after a marker of intent), *target* (second and third person),
-*negation* and *reported speech*. They are composed over each clause: one pass over the clause's words moves through the
-states (negated, reported, targeted, intent) and emits each match under the state it was met in, so a negated or
-reported insult is another arc, with another weight, than a plain or targeted one. Matched clauses are scored, not
-isolated words: a document's features are the sums, over its clauses, of each arc's strongest match, and the arcs'
-weights are fitted by ridge-regularised logistic regression.
-
-The lexicon keeps a word or stem only if it was met in many different contexts (neighbouring words) of toxic texts and
-next to none of others; a copied document counts once, as its contexts repeat. Fitting uses a bounded sample of labelled
-rows (``SAMPLE_ROWS`` of each label, by a hash of doc_id); scoring covers every row and every clause.
+Words are mapped to symbol classes: *insult* (a weighted lexicon of words and word stems), *target* (second and third
+person), *negation*, *reported speech*, *intent* and *harm*. Small transducers read the classes: a countdown after a
+target, a negation or a marker of intent, a latch after reported speech. ``compose`` builds their product, one explicit
+table of states x classes, and an arc table says what a matched insult or threat is in the state it is met in: plain,
+targeted, negated, reported or a threat. What follows a match is read by the same target transducer from right to left.
+Matched clauses are scored, not isolated words: a document's features are the sums, over its clauses, of each arc's
+strongest match, and the arcs' weights are fitted by ridge-regularised logistic regression.
+
+Lexicon and operators are learned from labelled texts. A word or stem is an insult if it was met in many different
+contexts (neighbouring words) of toxic texts and next to none of others; a copied document counts once, as its contexts
+repeat. A word is a negation (it acts closely before) or reported speech (it acts from anywhere before in the clause) if
+insults behind it stand in harmless texts, and a target if insults near it stand in toxic ones; contexts under a learned
+negation or report then don't count against an insult. Small word lists of natural languages are what the classes start
+with. Fitting uses a bounded sample of labelled rows (``SAMPLE_ROWS`` of each label, by a hash of doc_id, in order of
+doc_id); scoring covers every row and every clause.
 
 Defined results: null and empty texts have no match and get the score of a text without one; with no usable labels the
-score is 0 for all; repeated rows are each scored; extra columns stay.
+score is 0 for all; whole texts are read, whatever their length; repeated rows are each scored; a document with two
+labels counts as toxic if one is; an empty table stays empty; extra columns stay, but a column named like the result is
+refused (ValueError).
 """
 
 from __future__ import annotations
@@ -33,28 +39,78 @@ STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.;:!?\n]+")
 
-TARGET = frozenset("you your yours yourself u he she they them him her tu toi vous ton ta du dich dir ihr euch sie usted tú te ti ellos".split())
-NEGATION = frozenset("not no never isn aren wasn don doesn neither nor nicht kein keine nie pas jamais nunca jamás tampoco".split())
-REPORT = frozenset("said says say wrote writes called calls quoted quote according reported claimed dit disait écrit selon sagte sagt schrieb laut dijo dice escribió según".split())
-INTENT = frozenset("will shall gonna going must should werde wirst vais vas voy".split())
-HARM = frozenset("kill hurt destroy beat stab shoot burn murder strangle tuer frapper töten schlagen matar golpear".split())
+CLASSES = ("other", "insult", "target", "negation", "report", "intent", "harm")
+OTHER, INSULT, TARGET, NEGATION, REPORT, INTENT, HARM = range(len(CLASSES))
+#: Words that the classes start with.
+SEEDS = {
+    TARGET: "you your yours yourself u he she they them him her tu toi vous ton ta du dich dir ihr euch sie usted tú te ti ellos",
+    NEGATION: "not no never isn aren wasn don doesn neither nor nicht kein keine nie pas jamais nunca jamás tampoco",
+    REPORT: "said says say wrote writes called calls quoted quote according reported claimed dit disait écrit selon sagte sagt schrieb laut dijo dice escribió según",
+    INTENT: "will shall gonna going must should werde wirst vais vas voy",
+    HARM: "kill hurt destroy beat stab shoot burn murder strangle tuer frapper töten schlagen matar golpear",
+}
 ARCS = ("plain", "targeted", "negated", "reported", "threat", "cluster")
+PLAIN, TARGETED, NEGATED, REPORTED, THREAT, CLUSTER = range(len(ARCS))
 #: How many words an operator's state lasts.
 NEGATION_SPAN, TARGET_SPAN, INTENT_SPAN = 3, 4, 4
 
 
+def countdown(trigger: int, span: int) -> np.ndarray:
+    """A transducer's table, states x classes -> state: ``span`` after the trigger, one less with each other word."""
+    table = np.repeat(np.maximum(np.arange(span + 1) - 1, 0)[:, None], len(CLASSES), 1)
+    table[:, trigger] = span
+    return table
+
+
+def latch(trigger: int) -> np.ndarray:
+    """State 1 for good after the trigger."""
+    table = np.repeat(np.arange(2)[:, None], len(CLASSES), 1)
+    table[:, trigger] = 1
+    return table
+
+
+def compose(*tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The product machine: states x classes -> state, and of each product state which parts are active."""
+    sizes = [len(t) for t in tables]
+    states = np.stack(np.unravel_index(np.arange(int(np.prod(sizes))), sizes))
+    product = np.ravel_multi_index([t[states[i]] for i, t in enumerate(tables)], sizes)
+    return product, states.T > 0
+
+
+def arcs(active: np.ndarray) -> np.ndarray:
+    """The arc of a word: by state, class, and whether a target follows; -1 for none."""
+    negated, reported, targeted, intent = active.T
+    out = np.full((len(active), len(CLASSES), 2), -1)
+    for follows in (0, 1):
+        out[:, INSULT, follows] = np.select([reported, negated, targeted | bool(follows)], [REPORTED, NEGATED, TARGETED], PLAIN)
+    out[:, HARM, 1] = np.where(intent & ~negated, THREAT, -1)
+    return out
+
+
+AHEAD = countdown(TARGET, TARGET_SPAN)
+TABLE, ACTIVE = compose(countdown(NEGATION, NEGATION_SPAN), latch(REPORT), AHEAD, countdown(INTENT, INTENT_SPAN))
+ARC = arcs(ACTIVE)
+#: The same as lists, which single look-ups read faster.
+NEXT, EMIT, BACK = TABLE.tolist(), ARC.tolist(), AHEAD.tolist()
+
+
+def seeds() -> dict[str, int]:
+    return {w: c for c, words in SEEDS.items() for w in words.split()}
+
+
 @dataclass
 class Grammar:
-    """The composed machine with its weights."""
+    """Symbol classes and weights of the composed machine."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(ARCS)))
     bias: float = -20.0
     fitted: bool = False
+    operators: dict[str, int] = field(default_factory=seeds)
 
     def insult(self, word: str) -> float:
-        """The insult transducer's weight of a word, 0 if it doesn't accept it."""
+        """The lexicon's weight of a word, 0 if it isn't in it."""
         w = self.words.get(word, 0.0)
         for n in STEMS:
             if len(word) > n:
@@ -62,49 +118,35 @@ class Grammar:
         return w
 
     def clause(self, words: list[str]) -> np.ndarray:
-        """Strongest match of each arc in one clause."""
+        """Strongest match of each arc in one clause: one pass from the right, one from the left."""
         out = np.zeros(len(ARCS))
-        negated = targeted = intent = -99
-        reported, matches = False, 0
-        for i, w in enumerate(words):
-            if w in NEGATION:
-                negated = i
-            elif w in REPORT:
-                reported = True
-            elif w in INTENT:
-                intent = i
-            if w in TARGET:
-                targeted = i
-            if w in HARM and i - intent <= INTENT_SPAN and i - negated > NEGATION_SPAN and any(x in TARGET for x in words[i + 1 : i + 1 + TARGET_SPAN]):
-                out[4] = 1.0
-            weight = self.insult(w)
-            if weight:
-                matches += 1
-                if reported:
-                    arc = 3
-                elif i - negated <= NEGATION_SPAN:
-                    arc = 2
-                elif i - targeted <= TARGET_SPAN or any(x in TARGET for x in words[i + 1 : i + 1 + TARGET_SPAN]):
-                    arc = 1
-                else:
-                    arc = 0
-                out[arc] = max(out[arc], weight)
+        weight = [self.insult(w) for w in words]
+        symbols = [INSULT if x else self.operators.get(w, OTHER) for w, x in zip(words, weight, strict=True)]
+        follows, state = [], 0
+        for c in reversed(symbols):
+            follows.append(state > 0)
+            state = BACK[state][c]
+        state, matches = 0, 0
+        for c, x, after in zip(symbols, weight, reversed(follows), strict=True):
+            arc = EMIT[state][c][after]
+            if arc >= 0:
+                out[arc] = max(out[arc], x or 1.0)
+                matches += c == INSULT
+            state = NEXT[state][c]
         if matches > 1:
-            out[5] = 1.0
+            out[CLUSTER] = 1.0
         return out
 
     def features(self, text: str | None) -> np.ndarray:
-        """Sums over the clauses, damped. Clauses are split only if some word matches at all."""
+        """Sums over the clauses, damped. Clauses are split only if some word can match at all."""
         out = np.zeros(len(ARCS))
         if not text:
             return out
         low = text.lower()
         seen = set(WORD.findall(low))
-        if (seen & HARM and seen & INTENT) or any(map(self.insult, seen)):
-            for part in CLAUSE.split(low):
-                words = WORD.findall(part)
-                if words:
-                    out += self.clause(words)
+        if {HARM, INTENT} <= {self.operators[w] for w in seen & self.operators.keys()} or any(map(self.insult, seen)):
+            for words in clauses(low):
+                out += self.clause(words)
         return np.log1p(out)
 
     def score(self, text: str | None) -> float:
@@ -114,6 +156,11 @@ class Grammar:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
+def clauses(low: str) -> list[list[str]]:
+    """The words of each clause of a lower-cased text."""
+    return [words for part in CLAUSE.split(low) if (words := WORD.findall(part))]
+
+
 def units(words: list[str]) -> set[str]:
     """A text's words, and their stems with an asterisk."""
     out = set(words)
@@ -122,32 +169,87 @@ def units(words: list[str]) -> set[str]:
     return out
 
 
-def learn_lexicon(texts: list[str], labels: list[int], min_contexts: int = MIN_CONTEXTS) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems with their log odds of contexts in toxic texts."""
-    split = [WORD.findall(t.lower()) for t in texts]
-    size, docs = [0, 0], [Counter(), Counter()]
-    for words, label in zip(split, labels, strict=True):
-        size[label] += len(words)
+def forms(word: str) -> list[str]:
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
+
+
+def more_than(mine: int, other: int, n: int, m: int, times: float) -> bool:
+    """Is ``mine`` of n at least ``times`` the rate of ``other`` of m, and by far more than chance allows?"""
+    expected = n * (mine + other) / (n + m)
+    return mine / n > times * (other + 0.5) / m and mine - expected > 5 * expected**0.5
+
+
+def candidates(texts: list[list[list[str]]], labels: list[int], least: int) -> set[str]:
+    """Words and stems of at least ``least`` / 2 toxic texts, twice as frequent in them as in others."""
+    docs = [Counter(), Counter()]
+    for text, label in zip(texts, labels, strict=True):
         if label:
-            docs[1].update(units(set(words)))
+            docs[1].update(units({w for words in text for w in words}))
+    some = {u for u, n in docs[1].items() if 2 * n >= least}
+    for text, label in zip(texts, labels, strict=True):
+        if not label:
+            docs[0].update(units({w for words in text for w in words}) & some)
+    n = max(1, sum(labels))
+    return {u for u in some if docs[0][u] <= 1 or more_than(docs[1][u], docs[0][u], n, max(1, len(labels) - n), 2)}
+
+
+def learn_operators(texts: list[list[list[str]]], labels: list[int], able: set[str], least: int = MIN_CONTEXTS) -> dict[str, int]:
+    """Negations, reports and targets, from the contexts of words that are more frequent in toxic texts but stand in
+    harmless ones too. Every different context counts once."""
+    near, far, after = ([defaultdict(set), defaultdict(set)] for _ in range(3))
+    every: list[set[int]] = [set(), set()]
+    for text, label in zip(texts, labels, strict=True):
+        for words in text:
+            for i, w in enumerate(words):
+                if not able.isdisjoint(forms(w)):
+                    before, behind = words[:i], words[i + 1 : i + 1 + TARGET_SPAN]
+                    context = hash((*before[-2:], w, *behind[:2]))
+                    every[label].add(context)
+                    for v in before[-NEGATION_SPAN:]:
+                        near[label][v].add(context)
+                    for v in before[:-NEGATION_SPAN]:
+                        far[label][v].add(context)
+                    for v in (*before[-TARGET_SPAN:], *behind):
+                        after[label][v].add(context)
+    n = [max(1, len(x)) for x in every]
+    found: dict[str, int] = {}
+    if len(every[0]) < least:
+        return found
+    for v in near[0].keys() | far[0].keys():
+        if v in able:
+            continue
+        for c, where in ((NEGATION, near), (REPORT, far)):
+            mine, other = len(where[0][v]), len(where[1][v])
+            if mine >= least and more_than(mine, other, n[0], n[1], 3):
+                found[v] = c
+    for v in after[1]:
+        mine, other = len(after[1][v]), len(after[0].get(v, ()))
+        if v not in able and mine >= least and 5 * len(every[0]) >= len(every[1]) and more_than(mine, other, n[1], n[0], 3):
+            found[v] = TARGET
+    return found
+
+
+def learn_lexicon(texts: list[list[list[str]]], labels: list[int], able: set[str], operators: dict[str, int], least: int = MIN_CONTEXTS) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems with their log odds of contexts in toxic texts; contexts in harmless texts under a negation or a
+    report don't count."""
+    size = [sum(len(words) for text, x in zip(texts, labels, strict=True) if x == label for words in text) for label in (0, 1)]
     if not size[0] or not size[1]:
         return {}, {}
-    docs[1] = Counter({w: n for w, n in docs[1].items() if 2 * n >= min_contexts})
-    for words, label in zip(split, labels, strict=True):
-        if not label:
-            docs[0].update(units(set(words)) & docs[1].keys())
-    able = {w for w, n in docs[1].items() if 2 * n >= min_contexts and docs[0].get(w, 0) <= max(1, 0.02 * n)}
     contexts: list[dict[str, set[int]]] = [defaultdict(set), defaultdict(set)]
-    for words, label in zip(split, labels, strict=True):
-        for i, w in enumerate(words):
-            for u in [w, *(w[:n] + "*" for n in STEMS if len(w) > n)]:
-                if u in able:
-                    contexts[label][u].add(hash((words[i - 1] if i else "", w, words[i + 1] if i + 1 < len(words) else "")))
+    shut = {w for w, c in operators.items() if c == REPORT}, {w for w, c in operators.items() if c == NEGATION}
+    for text, label in zip(texts, labels, strict=True):
+        for words in text:
+            for i, w in enumerate(words):
+                own = [u for u in forms(w) if u in able]
+                if own and (label or (shut[0].isdisjoint(words[:i]) and shut[1].isdisjoint(words[max(0, i - NEGATION_SPAN) : i]))):
+                    context = hash((words[i - 1] if i else "", w, words[i + 1] if i + 1 < len(words) else ""))
+                    for u in own:
+                        contexts[label][u].add(context)
     found, many = {}, {}
     for u, c in contexts[1].items():
         other = len(contexts[0].get(u, ()))
         rate, other_rate = len(c) / size[1], (other + 0.5) / size[0]
-        if len(c) >= min_contexts and other <= 0.02 * len(c) and rate > 8 * other_rate:
+        if len(c) >= least and other <= 0.02 * len(c) and rate > 8 * other_rate:
             found[u], many[u] = float(np.log(rate / other_rate)), len(c)
     kept: dict[str, float] = {}
     for u in sorted(found, key=lambda u: (len(u.rstrip("*")), u)):
@@ -164,7 +266,10 @@ def learn_lexicon(texts: list[str], labels: list[int], min_contexts: int = MIN_C
 def train(texts: list[str], labels: list[int]) -> Grammar:
     if not texts or len(set(labels)) < 2:
         return Grammar()
-    g = Grammar(*learn_lexicon(texts, labels))
+    split = [clauses(t.lower()) for t in texts]
+    able = candidates(split, labels, MIN_CONTEXTS)
+    operators = seeds() | learn_operators(split, labels, able)
+    g = Grammar(*learn_lexicon(split, labels, able, operators), operators=operators)
     x = np.array([g.features(t) for t in texts])
     y = np.array(labels, float)
     x1 = np.hstack([x, np.ones((len(x), 1))])
@@ -179,7 +284,7 @@ def train(texts: list[str], labels: list[int]) -> Grammar:
         w = w - step * min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:
             break
-    return Grammar(g.words, g.stems, np.maximum(w[:-1], 0.0), float(w[-1]), True)
+    return Grammar(g.words, g.stems, np.maximum(w[:-1], 0.0), float(w[-1]), True, operators)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
@@ -189,12 +294,15 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tupl
     rate = F.when(F.col("label") == 1, min(1.0, rows / max(1, counts.get(1, 0)))).otherwise(min(1.0, rows / max(1, counts.get(0, 0))))
     place = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
     chosen = labels.where(place < rate)  # about 2 x rows rows of two integers, whatever the corpus: broadcast
-    got = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "label").collect()
+    got = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["text"]))  # the same sums in the same order in every run
     return [r["text"] for r in got], [int(r["label"]) for r in got]
 
 
 def scored(docs: DataFrame, grammar: Grammar, text: str = "text", into: str = "toxicity") -> DataFrame:
     """``docs`` with a double column ``into``, 0 to 1."""
+    if into in docs.columns:
+        raise ValueError(f"column {into} exists")
     shared = docs.sparkSession.sparkContext.broadcast(grammar)  # bounded by the sample
 
     @F.pandas_udf("double")

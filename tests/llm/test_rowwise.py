@@ -142,6 +142,61 @@ def test_clauses_are_composed(insults):
     assert insults.score("you fool") > insults.score("not a fool") > insults.score("hello")
 
 
+def test_machine_equals_plain_rules(insults):
+    """The composed table against distances counted by hand."""
+    T, rng = toxicity, random.Random(6)
+    kinds = {"fool": T.INSULT, "scoundrel": T.INSULT, "not": T.NEGATION, "said": T.REPORT, "you": T.TARGET, "will": T.INTENT, "hurt": T.HARM, "tree": T.OTHER}
+
+    def plain(words):
+        out, k = [0.0] * len(T.ARCS), [kinds[w] for w in words]
+        near = lambda i, c, n: c in k[max(0, i - n) : i]
+        hits = 0
+        for i, c in enumerate(k):
+            ahead = T.TARGET in k[i + 1 : i + 1 + T.TARGET_SPAN]
+            if c == T.INSULT:
+                hits += 1
+                arc = T.REPORTED if T.REPORT in k[:i] else T.NEGATED if near(i, T.NEGATION, T.NEGATION_SPAN) else T.TARGETED if ahead or near(i, T.TARGET, T.TARGET_SPAN) else T.PLAIN
+                out[arc] = max(out[arc], insults.insult(words[i]))
+            elif c == T.HARM and ahead and near(i, T.INTENT, T.INTENT_SPAN) and not near(i, T.NEGATION, T.NEGATION_SPAN):
+                out[T.THREAT] = 1.0
+        out[T.CLUSTER] = float(hits > 1)
+        return out
+
+    for _ in range(3000):
+        words = rng.choices(list(kinds), [1, 1, 1, 0.3, 1, 1, 1, 6], k=rng.randint(1, 14))
+        assert insults.clause(words).tolist() == plain(words), words
+    assert toxicity.TABLE.shape == (4 * 2 * 5 * 5, len(toxicity.CLASSES))
+
+
+def test_learned_clause_arcs_change_predictions_for_the_better():
+    """Operators in words that no list holds: without the clause arcs the same lexicon is worse."""
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("ab", "eno", "ilu", "oru", "ima", "uke")]
+    bad, no, quoted = ["grolk", "vreth", "skirn"], "zorna", "quelam"
+
+    def text():
+        words, label = [rng.choice(vocabulary) for _ in range(rng.randint(20, 60))], 0
+        for _ in range(rng.randint(0, 2)):
+            w = [rng.choice(vocabulary) for _ in range(8)]
+            w[5] = rng.choice(bad)
+            how = rng.choice(["plain", "plain", "no", "quoted"])
+            if how == "no":
+                w[rng.choice([3, 4])] = no
+            elif how == "quoted":
+                w[0] = quoted
+            else:
+                label = 1
+            words += [".", *w, "."]
+        return " ".join(words), label
+
+    train, held = [text() for _ in range(1500)], [text() for _ in range(600)]
+    g = toxicity.train([t for t, _ in train], [x for _, x in train])
+    assert g.operators[no] == toxicity.NEGATION and g.operators[quoted] == toxicity.REPORT and set(bad) <= set(g.words)
+    right = lambda m: np.mean([(m.score(t) >= 0.5) == x for t, x in held])
+    flat = toxicity.Grammar(g.words, g.stems, g.weights, g.bias, True, {})
+    assert right(g) > 0.97 and right(flat) < right(g) - 0.1
+
+
 def test_toxicity_held_out(spark):
     got = {r.doc_id: r for r in queries.op1_toxicity(spark, "/root/testdata/sf0.1").collect()}
     true = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
@@ -157,6 +212,8 @@ def test_toxicity_odd_rows(spark):
     assert [r.score for r in toxicity.scored(docs, g, into="score").collect()] == [0.0] * 5
     one = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     assert toxicity.scored(docs, toxicity.fitted(docs, one, exclude=9), into="score").count() == 5
+    with pytest.raises(ValueError):
+        toxicity.scored(docs, g, into="text")
 
 
 def test_secrets_query(spark):
