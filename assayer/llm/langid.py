@@ -10,7 +10,10 @@ per order, so a text is scored by a few vectorised lookups a byte.
 The classifier is fitted on a bounded sample: rows are taken by a hash of doc_id at a rate that gives about
 ``SAMPLE_CHARS`` characters a language. Scoring covers every row and every byte. ASCII letters are lower-cased first.
 
-Defined results: null text or text without a letter is ``und`` with score 0; without any labelled row all is ``und``.
+Defined results: null text or text without a letter is ``und`` with score 0; without any labelled row all is ``und``; of
+languages with equal code lengths the first by name is told; long texts are scored whole, piece by piece; repeated rows
+are each predicted; an empty table stays empty; extra columns stay, but a column named like the result is refused
+(ValueError).
 """
 
 from __future__ import annotations
@@ -202,6 +205,8 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
     """``docs`` with a struct column ``into``: lang_pred, score."""
+    if into in docs.columns:
+        raise ValueError(f"column {into} exists")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, not by the corpus
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")

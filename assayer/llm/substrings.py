@@ -56,14 +56,14 @@ def sorted_windows(head: np.ndarray, strings: list[bytes], w: int) -> tuple[np.n
 
 
 def indexed_windows(head: np.ndarray, strings: list[bytes], w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of w bytes an earlier string has; strings are distinct and come by key, document and start.
+    """Which windows of w bytes an earlier string has; strings come by key, document and start.
 
     The strings of a minimiser are halved again and again: the earlier halves are indexed, the later halves stream
     through the index, and windows found are taken out of them. What is left of a later half has no window of an earlier
     one, so on the next level, where all pairs of halves share an index, nothing matches a later string."""
     out = [np.zeros(len(s) - w + 1, bool) for s in strings]
     key = head["key"]
-    groups: list[list[int]] = []  # places of the (distinct) strings with one key
+    groups: list[list[int]] = []  # places of the strings with one key
     for i in range(len(strings)):
         if groups and key[groups[-1][0]] == key[i]:
             groups[-1].append(i)

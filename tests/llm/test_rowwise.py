@@ -127,6 +127,9 @@ def test_language_odd_rows(spark):
     assert got[1] == got[2] == got[4] == got[5] == "und" and got[0] in ("en", "fr")
     assert {r.language.lang_pred for r in langid.predicted(df, langid.fit(df.limit(0))).collect()} == {"und"}
     assert langid.predicted(df.limit(0), model).count() == 0
+    assert langid.Model({"b": ["xy"], "a": ["xy"]}).predict(["xyx"])[0][0] == "a"  # equal lengths
+    with pytest.raises(ValueError):
+        langid.predicted(df, model, into="lang")
 
 
 @pytest.fixture(scope="module")
