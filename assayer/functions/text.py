@@ -100,7 +100,7 @@ def same_site(a: Column, b: Column) -> Column:
 
 
 def brackets(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[([^\]]+)\]"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[([^\]]+)\]"), 1), lambda x: F.trim(x))
 
 
 # ---------------------------------------------------------------- classifiers

@@ -68,13 +68,49 @@ def test_pending_flags(spark):
     assert [(r.location, r.confirmed) for r in K.pending_flags(flags, added, dismissed, "card").collect()] == [("left", False)]
 
 
-def test_numbers_and_names():
-    assert R.read_number("OBF EN l25/I97") == ("125/197", "OBF", "EN", "slash") and R.read_number("x TG05/TG30 y")[0] == "TG05/TG30"
-    assert R.read_number("999/12") is None and R.read_number("0/100") is None and R.read_number(None) is None
-    assert R.read_number("SWSH O50") == ("SWSH050", "", "", "promo") and R.read_number("5/10\nABC EN 6/10")[:2] == ("6/10", "ABC")
-    assert R.number_parts(" sp3 / 006") == ("SP3", "006", None, 6) and R.number_parts(None) == ("", "", None, None)
-    assert R.read_name("STAGE 2 Charizard ex HP 330") == ("Charizard ex", "Charizard") and R.read_name("hp 30") is None and R.read_name(None) is None
-    assert R.lookup_queries("A", "1/2", "OBF")[0] == (0, "A", "1/2", "OBF") and R.lookup_queries("", "", "") == []
+def read(spark, function, *rows):
+    """``function`` of text columns a, b, ... for each row; structs as tuples."""
+    width = max(len(r) for r in rows)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place int, " + ", ".join(f"{c} string" for c in "abcdefghi"[:width]))
+    return [tuple(r.x) if r.x is not None else None for r in df.select("place", function(*[F.col(c) for c in "abcdefghi"[:width]]).alias("x")).orderBy("place").collect()]
+
+
+def test_numbers(spark):
+    cases = {
+        ("2/102 ★", "pokemon"): ("2/102", "", ""), ("C 062/054 sR", "pokemon"): ("062/054", "", ""), ("i Q) £\\ SV55/5V94 eis", "pokemon"): ("SV55/SV94", "", ""),
+        ("G OBF EN 125/197", "pokemon"): ("125/197", "OBF", "EN"), ("RC5/RC25", "pokemon"): ("RC5/RC25", "", ""), ("113/1O5", "pokemon"): ("113/105", "", ""),
+        ("VEN + SP3/006 + EN", "riftbound"): ("SP3/006", "VEN", "EN"), ("OGN • 001/298", "riftbound"): ("001/298", "OGN", ""), ("SWSH050", "pokemon"): ("SWSH050", "", ""),
+        ("OBF EN l25/I97", "pokemon"): ("125/197", "OBF", "EN"), ("x TG05/TG30 y", "pokemon"): ("TG05/TG30", "", ""), ("5/10\nABC EN 6/10", "pokemon"): ("6/10", "ABC", "EN"),
+        ("SWSH O50", "pokemon"): ("SWSH050", "", ""), ("1|5/197 JA", "pokemon"): ("5/197", "", "JP"), ("3/10 4/10 KO", "pokemon"): ("3/10", "", "KO"),
+    }
+    got = read(spark, R.read_number, *cases)
+    for (case, want), r in zip(cases.items(), got, strict=True):
+        assert r[:3] == want, case
+    assert [r[3] for r in got].count("promo") == 2
+    assert read(spark, lambda c: R.read_number(c), *[(t,) for t in ("998.99", "MEFREAK. 9 *x", "©1995-2000 Nintendo", "", "LV. 45 #249", "999/12", "0/100", None)]) == [None] * 8
+    assert read(spark, R.number_parts, (" sp3 / 006",), (None,), ("12/034/5",)) == [("SP3", "006", None, 6), ("", "", None, None), ("12", "034", 12, 34)]
+
+
+def test_names(spark):
+    got = read(spark, R.read_name, ("Suicune ex A",), ("Shining Raichu",), ("Charizard DELTA SPECIES",), ("STAGE 1 Ninetales",), ("Dark Blastoise",), ("l ucia C",), ("",), (None,), ("STAGE 2 Charizard ex HP 330",), ("of the Ruler of the Black Flame\nMew",))
+    assert got == [("Suicune ex A", "Suicune"), ("Shining Raichu", "Shining"), ("Charizard DELTA SPECIES", "Charizard"), ("Ninetales", "Ninetales"), ("Dark Blastoise", "Blastoise"), None, None, None, ("Charizard ex", "Charizard"), ("Black Flame", "Black")]
+
+
+def test_collector_lines(spark):
+    got = read(spark, R.collector_line, ("VEN · SP3/006 · EN",), ("OGN-001/298 EN",), ("SV3 223/197 ja",), ("en de 25",), ("VEN-12a",), (None,))
+    assert got == [("SP3/006", "VEN", "EN"), ("001/298", "OGN", "EN"), ("223/197", "SV3", "JP"), ("25", "DE", "EN"), ("12A", "VEN", None), (None, None, None)]
+
+
+def test_model_readings_and_queries(spark):
+    answer = lambda *c: R.model_reading(F.struct(*[x.alias(n) for x, n in zip(c, "game name printed_name set_name set_code number language variant confidence".split())]))
+    got = read(spark, answer, ("pokemon", "Sabrina's Gengar", "ゲンガー", "Gym", "g2", " 14 / 132", "Japanese", None, "1.4"), ("other", None, None, None, "too long", "a b c d e f g h i j", "xx", "v\x01w", "nan"))
+    assert got[0] == (True, "pokemon", "Sabrina's Gengar", "ゲンガー", "Gengar", "14/132", "G2", "Gym", "JP", "", 1.0)
+    assert got[1] == (False, "", "", "", "", "", "", "", "", "v w", 0.0) or got[1][5] == "" and got[1][10] == 0.0
+    query = lambda *c: F.struct(R.lookup_queries(F.struct(*[x.alias(n) for x, n in zip(c, "name name_key printed_name number set_code language".split())])))
+    rows = read(spark, query, ("A B", "A", "ニャッス", "1/2", "OBF", "JP"), ("", "", "", "", "", ""), ("Mew", "Mew", "", "", "", "EN"))
+    assert [tuple(q) for q in rows[0][0]] == [("OBF", "", "ニャッス", "JP"), ("OBF", "", "ニヤツス", "JP"), ("OBF", "1/2", "A", "JP"), ("", "1/2", "A", "JP"), ("", "", "A B", "JP"), ("", "", "A B", "EN"), ("", "", "A", "JP")]
+    assert rows[1][0] == [] and [tuple(q) for q in rows[2][0]] == [("", "", "Mew", "EN")]
+    assert len({r for r in read(spark, lambda *c: F.struct(R.lookup_key(*c)), ("Pokemon", " OBF", "1", "Mew", None), ("pokemon", "obf", "1 ", "mew", ""))}) == 1
 
 
 def test_report():
