@@ -14,20 +14,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A folder of this application in the one that ``spark.checkpoint.dir`` names. Without one, a temporary folder, but
+    only if driver and executors are one process: elsewhere each executor would write to its own disk."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
-    made = getattr(spark.sparkContext, "_assayer_dir", None)
+        return f"{named.rstrip('/')}/assayer-{context.applicationId}"
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    made = getattr(context, "_assayer_dir", None)
     if made is None:
-        made = spark.sparkContext._assayer_dir = "file://" + tempfile.mkdtemp(prefix="assayer-")
+        made = context._assayer_dir = "file://" + tempfile.mkdtemp(prefix="assayer-")
     return made
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM knows them."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that were read from them are void afterwards."""
+    own, fs = hadoop_path(spark, shared_dir(spark))
+    fs.delete(own, True)
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: lineage is cut, lost executors cost nothing."""
+    """``df`` written once as Parquet in the shared folder and read back: lineage is cut, lost executors cost nothing.
+    ``remove_written`` clears the folder once results are stored."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/assayer-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

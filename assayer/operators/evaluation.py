@@ -97,12 +97,6 @@ def repeat_agreement(df: DataFrame, group: list[str], item: str, pred: str) -> D
     return per.groupBy(*group).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("spread") < 0.01).alias("identical"), F.avg("spread").alias("mean_spread"))
 
 
-def hash_weight(replicate: Column, unit: Column) -> Column:
-    """0, 1 or 2 from a hash, so that every engine draws the same resample."""
-    h = F.md5(F.concat_ws("/", replicate.cast("string"), unit.cast("string")))
-    return F.pmod(F.ascii(F.substring(h, 1, 1)) + F.ascii(F.substring(h, 2, 1)), F.lit(3))
-
-
 #: Smallest 32-bit value, in hex, at which a Poisson(1) draw is at least 1, 2, ...; beyond 12 nothing is left of 32 bits.
 POISSON = [f"{round(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))):08x}" for k in range(12)]
 
@@ -113,19 +107,70 @@ def poisson_weight(replicate: Column, unit: Column) -> Column:
     return reduce(lambda a, x: a + x, [(h >= t).cast("int") for t in POISSON])
 
 
+#: Units of a bootstrap whose pairs are counted at once.
+FEW_UNITS = 100
+
+
+def wins(df: DataFrame, unit: str, score: str, label: str) -> DataFrame:
+    """u, v, won: how often a positive of unit u scores above a negative of unit v, ties counting half. AUC of any
+    weighting of units is a bilinear form of this matrix, so resamples need no second look at the rows."""
+    per = df.groupBy(F.col(unit).alias("v"), F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
+    per = written(per, "counts")
+    units = [r["v"] for r in per.select("v").distinct().limit(FEW_UNITS).collect()]
+    grid = per.select("s").distinct().withColumn("v", F.explode(F.array(*map(F.lit, units))))
+    placed = running_before(grid.join(per.select("v", "s", "neg"), ["v", "s"], "left").select("v", "s", F.coalesce("neg", F.lit(0)).alias("neg")), ["v"], "s", ["neg"])
+    pos = per.where("pos > 0").select(F.col("v").alias("u"), "s", "pos")
+    return pos.join(placed, "s").groupBy("u", "v").agg(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("won"))
+
+
 def bootstrap_auc_difference(df: DataFrame, unit: str, label: str, a: str, b: str, replicates: int = 2000, weight: Callable[[Column, Column], Column] = poisson_weight) -> DataFrame:
-    """Percentile interval of AUC(b) - AUC(a), resampling whole units. Scores are counted per unit first, so a replicate
-    costs its distinct (unit, score, label) rows; replicates are drawn by hash, not by a random generator."""
-    spark = df.sparkSession
-    reps = spark.range(replicates).select(F.col("id").alias("replicate"))
+    """Percentile interval of AUC(b) - AUC(a), resampling whole units; replicates are drawn by hash, not by a random
+    generator. Up to FEW_UNITS units go through the matrix of ``wins``: a replicate costs the square of the units, whatever
+    the rows. More units are counted per replicate. Both are exact."""
     units = df.select(unit).distinct()
-    drawn = units.crossJoin(F.broadcast(reps)).withColumn("w", weight(F.col("replicate"), F.col(unit))).where("w > 0")  # a bounded number of replicates
+    drawn = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<bigint>"))).withColumn("w", weight(F.col("replicate"), F.col(unit))).where("w > 0")
+    few = len(units.limit(FEW_UNITS + 1).collect()) <= FEW_UNITS
 
-    def one(score: str, into: str) -> DataFrame:
+    def by_rows(score: str, into: str) -> DataFrame:
         counts = df.groupBy(unit, score, label).agg(F.count(F.lit(1)).alias("c")).join(drawn, unit)
         counts = _class_counts(counts, ["replicate"], score, label, F.col("w") * F.col("c"))
         return auc_of_counts(counts, ["replicate"], score).where("auc is not null").select("replicate", F.col("auc").alias(into))
 
+    def by_wins(score: str, into: str) -> DataFrame:
+        side = lambda name: drawn.select("replicate", F.col(unit).alias(name), F.col("w").alias(f"w_{name}"))
+        won = wins(df, unit, score, label).join(side("u"), "u").join(side("v"), ["replicate", "v"]).groupBy("replicate").agg(F.sum(F.col("w_u") * F.col("w_v") * F.col("won")).alias("won"))
+        sizes = df.groupBy(unit).agg(F.count_if(F.col(label) == 1).alias("p"), F.count(F.lit(1)).alias("n")).join(drawn, unit)
+        sizes = sizes.groupBy("replicate").agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * (F.col("n") - F.col("p"))).alias("q")).where("p > 0 and q > 0")
+        return sizes.join(won, "replicate", "left").select("replicate", (F.coalesce("won", F.lit(0.0)) / (F.col("p") * F.col("q")).cast("double")).alias(into))
+
+    one = by_wins if few else by_rows
     diffs = one(a, "x").join(one(b, "y"), "replicate").agg(F.array_sort(F.collect_list(F.col("y") - F.col("x"))).alias("d"))  # one value a replicate
     at = lambda share, back: F.get("d", (F.floor(F.size("d") * F.lit(share)) - back).cast("int"))
     return diffs.select(F.size("d").alias("replicates"), at(0.025, 0).alias("low"), at(0.975, 1).alias("high"))
+
+
+def axis_summary(df: DataFrame, group: list[str], error: str) -> DataFrame:
+    """By side and axis: how many were read, of how many, mean absolute error, how many lie within 2."""
+    e = F.abs(F.col(error))
+    return df.groupBy(*group).agg(F.count(error).alias("read"), F.count(F.lit(1)).alias("of"), F.round(F.avg(e), 2).alias("mae"), F.count_if(e <= 2).alias("within_2"))
+
+
+def defect_summary(df: DataFrame, listed: str, matched: str, extra: str, flags: str) -> DataFrame:
+    """Listed, matched and extra defects, and the flags on cards that list none."""
+    clean = F.col(listed) == 0
+    return df.agg(F.sum(listed).alias("listed"), F.sum(matched).alias("matched"), F.sum(extra).alias("extra_flags"), F.sum(F.when(clean, F.col(flags)).otherwise(0)).alias("extra_on_clean_cards"), F.count_if(clean).alias("clean_cards"))
+
+
+def paired(rows: DataFrame, key: list[str], arm: str, a: str, b: str, score: str, able: str) -> DataFrame:
+    """Areas that both arms could assess, with both scores."""
+    one = lambda name, into: rows.where((F.col(arm) == name) & F.col(able)).select(*key, F.col(score).alias(into))
+    return one(a, "a").join(one(b, "b"), key)
+
+
+def paired_stats(df: DataFrame, group: list[str], label: str, a: str = "a", b: str = "b") -> DataFrame:
+    """Sizes, AUC and recall at a tenth of false positives of either arm."""
+    out = df.groupBy(*group).agg(F.count(F.lit(1)).alias("areas"), F.count_if(F.col(label) == 1).alias("positive"), F.count_if(F.col(label) != 1).alias("clean"))
+    for name, score in (("a", a), ("b", b)):
+        out = out.join(auc(df, group, score, label).select(*group, F.col("auc").alias(f"auc_{name}")), group)
+        out = out.join(recall_at_fpr(df, group, score, label).select(*group, F.col("recall").alias(f"recall10_{name}")), group)
+    return out

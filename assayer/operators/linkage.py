@@ -1,6 +1,6 @@
 """Record linkage with weighted, explainable scores. Candidates are met by equi-joins on blocking keys that lose no
-acceptable match: with a different number the score cannot reach the limit, and without a number it takes equal names
-and sets."""
+acceptable match (``met``): with a different number the score cannot reach the limit, and where a side has no number it
+takes equal names and sets."""
 
 from __future__ import annotations
 
@@ -55,6 +55,17 @@ def identify_score(base: Column, typed_name: Column, typed_number: Column, name:
     return F.floor(F.greatest(num(0), F.least(num(1), base + by_name + by_total)) * 100 + 0.5) / 100
 
 
+def met(items: DataFrame, entries: DataFrame, item: tuple[Column, Column, Column], entry: tuple[Column, Column, Column]) -> DataFrame:
+    """Pairs that can be accepted, by (number, name, set) of either side: equal numbers, or, where either side has no
+    number, equal normalised names and sets. The two joins share no pair."""
+    keys = [[collector_number(n).alias("_n"), plain_any(a).alias("_a"), plain_any(s).alias("_s")] for n, a, s in (item, entry)]
+    left, right = items.select("*", *keys[0]), entries.select("*", *keys[1])
+    own = right.columns[:-3]
+    numbered = left.where("_n <> ''").drop("_a", "_s").join(right.where("_n <> ''").select("_n", *own), "_n").drop("_n")
+    named = left.join(right.withColumnRenamed("_n", "_m"), ["_a", "_s"]).where("(_n = '' or _m = '') and _a <> '' and _s <> ''").drop("_n", "_m", "_a", "_s")
+    return numbered.unionByName(named)
+
+
 def best_match(scored: DataFrame, item: str, score: str, tie: str, accept: float = ACCEPT, rival: float = 0.05) -> DataFrame:
     """The best candidate of each item with score, runner-up's score and whether a person should choose."""
     w = Window.partitionBy(item).orderBy(F.col(score).desc(), F.col(tie))

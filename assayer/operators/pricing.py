@@ -12,6 +12,13 @@ from assayer.functions.text import same_site
 GRADE_KEYS = ((9.5, "box-only-price"), (9, "graded-price"), (8, "new-price"), (7, "cib-price"), (6, "condition-16-price"), (5, "condition-15-price"), (4, "condition-14-price"), (3, "condition-13-price"), (2, "condition-10-price"), (1, "condition-9-price"))
 # Price keys of a 10, by company; the second one for the higher label.
 TEN_KEYS = {"PSA": ("manual-only-price", "manual-only-price"), "BGS": ("bgs-10-price", "condition-20-price"), "CGC": ("condition-17-price", "condition-19-price"), "TAG": ("condition-21-price", "condition-21-price")}
+# The whole ladder, from the lowest rung; labels and price keys.
+LADDER = (
+    ("Ungraded", "loose-price"), ("Grade 1", "condition-9-price"), ("Grade 2", "condition-10-price"), ("Grade 3", "condition-13-price"), ("Grade 4", "condition-14-price"), ("Grade 5", "condition-15-price"),
+    ("Grade 6", "condition-16-price"), ("Grade 7 / 7.5", "cib-price"), ("Grade 8 / 8.5", "new-price"), ("Grade 9", "graded-price"), ("Grade 9.5", "box-only-price"), ("PSA 10", "manual-only-price"),
+    ("BGS 10 (Pristine)", "bgs-10-price"), ("BGS 10 Black Label", "condition-20-price"), ("CGC 10 (Gem Mint)", "condition-17-price"), ("CGC Pristine 10", "condition-19-price"), ("TAG 10", "condition-21-price"),
+    ("SGC 10", "condition-18-price"), ("ACE 10", "condition-22-price"),
+)
 # Sites whose prices are not taken.
 BLOCKED = ("pricecharting.com",)
 
@@ -62,3 +69,34 @@ def top_listed(prices: DataFrame, by: str, market: str, mid: str, tie: str, k: i
     worth = F.coalesce(F.nullif(F.col(market), num(0)), F.col(mid), num(0))
     w = Window.partitionBy(by).orderBy(worth.desc(), tie)
     return prices.withColumn("worth", worth).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def full_ladder(products: DataFrame, key: str, prices: str) -> DataFrame:
+    """All rungs of each product with their price, null without one; ``prices``: map of price key to price."""
+    rungs = F.array(*[F.struct(F.lit(i).alias("rung"), F.lit(label).alias("label"), F.lit(k).alias("price_key")) for i, (label, k) in enumerate(LADDER)])
+    return products.select(key, prices, F.explode(rungs).alias("_r")).select(key, "_r.*", F.try_element_at(F.col(prices), F.col("_r.price_key")).alias("price"))
+
+
+def wanted_grades(grades: Column) -> Column:
+    """Grades to ask prices for, of an array of (company, grade, label, tier): ungraded, each company at its grade, and
+    two points of reference; each once, in this order."""
+
+    def asked(g: Column) -> Column:
+        label = F.lower(F.coalesce(g["label"], F.lit("")))
+        value = F.when(g["grade"] == F.floor(g["grade"]), g["grade"].cast("int").cast("string")).otherwise(F.format_number(g["grade"], 1))
+        black, pristine = (g["company"] == "BGS") & F.contains(label, F.lit("black label")), g["company"].isin("CGC", "TAG") & (g["grade"] >= 10) & F.contains(label, F.lit("pristine"))
+        name = F.when(black, "BGS 10 Black Label").when(pristine, F.concat(g["company"], F.lit(" Pristine 10"))).otherwise(F.concat_ws(" ", g["company"], value))
+        return F.when((F.coalesce(g["tier"], F.lit(0)) < 99) & (g["grade"] >= 1), name)
+
+    return F.array_distinct(F.concat(F.array(F.lit("Ungraded")), F.filter(F.transform(grades, asked), lambda x: x.isNotNull()), F.array(F.lit("PSA 10"), F.lit("PSA 9"))))
+
+
+def response_fields(body: Column) -> Column:
+    """Text, source addresses and queries of a search-grounded model answer, given as JSON."""
+    schema = "candidates array<struct<content:struct<parts:array<struct<text:string>>>,finishReason:string,groundingMetadata:struct<groundingChunks:array<struct<web:struct<uri:string,title:string>>>,webSearchQueries:array<string>>>>"
+    first = F.get(F.from_json(body, f"struct<{schema.replace('candidates array', 'candidates:array', 1)}>")["candidates"], 0)
+    meta = first["groundingMetadata"]
+    none = F.array().cast("array<string>")
+    sources = F.filter(F.coalesce(F.transform(meta["groundingChunks"], lambda c: c["web"]["uri"]), none), lambda u: F.coalesce(u, F.lit("")) != "")
+    text = F.array_join(F.coalesce(F.transform(first["content"]["parts"], lambda p: F.coalesce(p["text"], F.lit(""))), none), "")
+    return F.struct(text.alias("text"), sources.alias("sources"), F.coalesce(meta["webSearchQueries"], none).alias("queries"), (F.size(sources) > 0).alias("grounded"), F.coalesce(first["finishReason"], F.lit("")).alias("finish"))

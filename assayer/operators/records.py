@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,14 +53,19 @@ def reconcile(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def near_pairs(items: DataFrame, key: str, bits: str, distance: int) -> DataFrame:
-    """a < b with Hamming distance at most ``distance`` of their 64-bit values. Exact: of distance + 1 bands at least one
-    is equal (pigeonhole). Equal values are compared as one class, so a value that very many keys share makes no pairs
-    among them; they are chained instead: ``b`` with the class's smallest key ``a``, distance 0."""
-    bands = distance + 1
-    width = -(-64 // bands)
-    classes = items.where(F.col(bits).isNotNull()).groupBy(bits).agg(F.min(key).alias("rep"))
-    cut = F.array(*[F.shiftrightunsigned(F.col(bits), i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1).cast("long")) for i in range(bands)])
-    banded = classes.select("rep", bits, F.posexplode(cut).alias("band", "part"))
+    """a < b with Hamming distance at most ``distance`` of their 64-bit values. Exact by the pigeonhole principle: the bits
+    that vary are cut into distance + k parts, of which at least k are equal; k grows with the number of values, so that
+    the equal bits tell values apart (``shared_parts``), and each combination of k parts is an equi-join. Equal values
+    are compared as one class, so a value that very many keys share makes no pairs among them; they are chained
+    instead: ``b`` with the class's smallest key ``a``, distance 0."""
+    classes = written(items.where(F.col(bits).isNotNull()).groupBy(bits).agg(F.min(key).alias("rep")), "classes")
+    seen = classes.agg(F.count(F.lit(1)).alias("n"), F.bit_or(bits).alias("any"), F.bit_and(bits).alias("all")).first()
+    places = [i for i in range(64) if ((seen["any"] or 0) ^ (seen["all"] or 0)) >> i & 1]
+    k = shared_parts(seen["n"], len(places), distance)
+    parts = [places[i :: distance + k] for i in range(distance + k)]
+    masks = [sum(1 << i for part in chosen for i in part) for chosen in combinations(parts, k)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    banded = classes.select("rep", bits, F.posexplode(F.array(*[F.col(bits).bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("band", "part"))
     left, right = banded.alias("l"), banded.alias("r")
     met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.rep") < F.col("r.rep")))
     d = hamming(F.col(f"l.{bits}"), F.col(f"r.{bits}"))
@@ -67,6 +74,15 @@ def near_pairs(items: DataFrame, key: str, bits: str, distance: int) -> DataFram
     return far.union(twins)
 
 
+def shared_parts(values: int, bits: int, distance: int, most: int = 60) -> int:
+    """How many parts two values have to share: the fewest that leave about one value a key, if at most ``most``
+    combinations give it; else as many as that allows."""
+    k = 1
+    while k < 6 and comb(distance + k + 1, k + 1) <= most and 2 ** (bits * k / (distance + k)) < values:
+        k += 1
+    return k
+
+
 def grouped(items: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """``items`` with ``group``: the smallest key of its near-duplicate component."""
     found = components(pairs.select("a", "b"))
@@ -136,10 +152,11 @@ def upsert_newest(saved: DataFrame, incoming: DataFrame, key: str, order: str) -
     return both.withColumn("_p", F.row_number().over(w)).where("_p = 1").drop("_p", "_in")
 
 
-def merge_first_wins(saved: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Saved rows, and incoming ones with new keys (one each)."""
-    new = incoming.dropDuplicates([key]).join(saved.select(key), key, "left_anti")
-    return saved.unionByName(new)
+def merge_first_wins(saved: DataFrame, incoming: DataFrame, key: str, *order: str) -> DataFrame:
+    """Saved rows, and incoming ones with new keys: of several with one key the first by ``order``, then by content."""
+    w = Window.partitionBy(key).orderBy(*order, F.to_json(F.struct(*incoming.columns)))
+    first = incoming.join(saved.select(key), key, "left_anti").withColumn("_p", F.row_number().over(w)).where("_p = 1").drop("_p")
+    return saved.unionByName(first)
 
 
 def gaps(log: DataFrame, by: str, ts: str, short: float) -> DataFrame:
@@ -169,3 +186,42 @@ def size_stop(log: DataFrame, by: str, order: str, size: str, cap: float) -> Dat
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def has_report(grade: Column, name: Column) -> Column:
+    """A report is one with a number for its grade and a name."""
+    return grade.isNotNull() & ~F.isnan(grade.cast("double")) & (F.coalesce(name, F.lit("")) != "")
+
+
+def language_of(line: Column) -> Column:
+    return F.when(F.contains(F.upper(F.coalesce(line, F.lit(""))), F.lit("JAPANESE")), "japanese").otherwise("english")
+
+
+def with_prior(files: DataFrame, records: DataFrame, digest: str, measures: list[str]) -> DataFrame:
+    """``files`` with measures that an earlier build made of the same content; of several records the first by measures.
+    What is null was never measured."""
+    known = records.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(F.struct(*measures)).alias("_m"))
+    return files.join(known, digest, "left").select(*files.columns, *[F.col(f"_m.{m}").alias(m) for m in measures])
+
+
+def carried_forward(listed: DataFrame, recorded: DataFrame, excluded: DataFrame, key: str, pool: str) -> DataFrame:
+    """Listed keys, and recorded ones that no list has any more, with their pool; without the excluded ones."""
+    both = listed.select(key, pool, F.lit("listed").alias("origin")).unionByName(recorded.join(listed.select(key), key, "left_anti").select(key, pool, F.lit("recorded").alias("origin")))
+    return both.join(excluded.select(key).distinct(), key, "left_anti")
+
+
+def fetch_of_record(record: Column) -> Column:
+    """What the fetch said, as an earlier record keeps it; only images with a digest."""
+    images = F.map_filter(F.transform_values(record["images"], lambda k, i: F.struct(i["url"].alias("url"), i["sha256"].alias("sha256"), i["bytes"].alias("bytes"))), lambda k, i: i["sha256"].isNotNull())
+    return F.struct(record["source"]["report_url"].alias("source_url"), record["source"]["fetched_at"].alias("fetched_at"), record["source"]["agent"].alias("agent"), record["report_txt_sha256"].alias("report_txt_sha256"), images.alias("images"))
+
+
+def numeric_first(value: Column) -> Column:
+    """Sort key of counts by value: numbers in their order, what is no number as -1."""
+    return F.coalesce(value.try_cast("double"), F.lit(-1.0))
+
+
+def json_or_text(c: Column) -> Column:
+    """An option's value as JSON: itself if it is JSON, else as a JSON string."""
+    quoted = F.to_json(F.array(c))
+    return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))

@@ -35,8 +35,8 @@ def status_rollup(spark, sf_dir):
 
 
 def calibration(spark, sf_dir):
-    """True grade -> sorted answers."""
-    return graded(spark, sf_dir).where("pred is not null").groupBy("truth").agg(F.array_join(F.array_sort(F.collect_set(F.col("pred").cast("decimal(6,1)"))).cast("array<string>"), ",").alias("answers"))
+    """True grade -> sorted answers, repeated ones as often as given."""
+    return graded(spark, sf_dir).where("pred is not null").groupBy("truth").agg(F.array_join(F.array_sort(F.collect_list(F.col("pred").cast("decimal(6,1)"))).cast("array<string>"), ",").alias("answers"))
 
 
 def paired_stats(spark, sf_dir):
@@ -50,9 +50,9 @@ def paired_stats(spark, sf_dir):
     )
 
 
-def _boot(spark, sf_dir, replicates=100, weight=E.hash_weight):
+def _boot(spark, sf_dir, replicates=2000):
     df = labelled(spark, sf_dir).select("source", "quality", F.col("n_chars").alias("a"), F.pmod(F.col("n_chars") * 7 + F.col("doc_id"), F.lit(1009)).alias("b"))
-    return E.bootstrap_auc_difference(df, "source", "quality", "a", "b", replicates, weight)
+    return E.bootstrap_auc_difference(df, "source", "quality", "a", "b", replicates)
 
 
 def _auc_sql(group: str, source: str, score: str, w: str = "1") -> str:
@@ -71,7 +71,6 @@ QUERIES = {
     "q_recall_at_fpr": lambda spark, d: E.recall_at_fpr(labelled(spark, d), ["lang"], "n_chars", "quality"),
     "q_paired_stats": paired_stats,
     "q_bootstrap_ci": _boot,
-    "q_bootstrap_ci_2000": lambda spark, d: _boot(spark, d, 2000, E.poisson_weight),
     "q_eval_summary": lambda spark, d: E.error_summary(graded(spark, d), ["lang"], "truth", "pred"),
     "q_blind_summary": lambda spark, d: E.error_summary(graded(spark, d), ["source"], "truth", "pred").select("source", "n", "exact", "within_05", "within_1", "mae", "bias"),
     "q_repeat_agreement": lambda spark, d: E.repeat_agreement(graded(spark, d).where("pred is not null"), ["lang"], "item", "pred"),
@@ -79,6 +78,8 @@ QUERIES = {
     "q_status_rollup": status_rollup,
 }
 
+#: How often a unit is drawn: Poisson(1) from the same hash.
+_POISSON = "(" + " + ".join(f"(md5(r.range || '/' || source)[:8] >= '{t}')::INT" for t in E.POISSON) + ") AS w"
 _SUMMARY = "count(*) AS n, count(*) FILTER (WHERE abs(pred - truth) < 0.01) AS exact, count(*) FILTER (WHERE abs(pred - truth) <= 0.5) AS within_05, count(*) FILTER (WHERE abs(pred - truth) <= 1) AS within_1, avg(abs(pred - truth)) AS mae, avg(pred - truth) AS bias"
 ORACLE_SQL = {
     "q_rank_avg": f"WITH {_LABELLED} SELECT doc_id, {_RANKS.format(c='n_chars')} AS rank FROM l",
@@ -89,7 +90,7 @@ ORACLE_SQL = {
       SELECT lang, arg_min(tp::DOUBLE / p, thr) FILTER (WHERE p > 0 AND n > 0 AND fp::DOUBLE / n <= 0.10) AS recall FROM s GROUP BY lang""",
     "q_paired_stats": f"""WITH {_LABELLED} SELECT lang, count(*) AS areas, count(*) FILTER (WHERE quality = 1) AS positive, count(*) FILTER (WHERE quality <> 1) AS clean,
       avg((n_chars % 7 > 0)::INT) FILTER (WHERE quality <> 1) AS flag_rate_a, avg((doc_id % 5 > 0)::INT) FILTER (WHERE quality <> 1) AS flag_rate_b, avg((n_chars % 7 > 0)::INT) FILTER (WHERE quality = 1) AS recall_a, avg((doc_id % 5 > 0)::INT) FILTER (WHERE quality = 1) AS recall_b FROM l GROUP BY lang""",
-    "q_bootstrap_ci": f"""WITH {_LABELLED}, u AS (SELECT source, r.range AS replicate, (ascii(md5(r.range || '/' || source)[1]) + ascii(md5(r.range || '/' || source)[2])) % 3 AS w FROM (SELECT DISTINCT source FROM l), range(100) r),
+    "q_bootstrap_ci": f"""WITH {_LABELLED}, u AS (SELECT source, r.range AS replicate, {_POISSON} FROM (SELECT DISTINCT source FROM l), range(2000) r),
       x AS (SELECT replicate, w, quality, n_chars AS a, (n_chars * 7 + doc_id) % 1009 AS b FROM l JOIN u USING (source) WHERE w > 0),
       ra AS ({_auc_sql("replicate", "x", "a", "w")}), rb AS ({_auc_sql("replicate", "x", "b", "w")}),
       d AS (SELECT list_sort(list(rb.auc - ra.auc)) AS d FROM ra JOIN rb USING (replicate) WHERE ra.auc IS NOT NULL AND rb.auc IS NOT NULL)
@@ -97,9 +98,6 @@ ORACLE_SQL = {
     "q_eval_summary": f"WITH {_GRADED} SELECT lang, {_SUMMARY}, median(pred - truth) AS median_error, count(*) FILTER (WHERE pred >= truth) AS ceiling_ok FROM g WHERE pred IS NOT NULL GROUP BY lang",
     "q_blind_summary": f"WITH {_GRADED} SELECT source, {_SUMMARY} FROM g WHERE pred IS NOT NULL GROUP BY source",
     "q_repeat_agreement": f"WITH {_GRADED}, p AS (SELECT lang, item, max(pred) - min(pred) AS spread FROM g WHERE pred IS NOT NULL GROUP BY lang, item HAVING count(*) > 1) SELECT lang, count(*) AS items, count(*) FILTER (WHERE spread < 0.01) AS identical, avg(spread) AS mean_spread FROM p GROUP BY lang",
-    "q_true_to_answers": f"WITH {_GRADED} SELECT truth, string_agg(p, ',' ORDER BY p::DECIMAL(6,1)) AS answers FROM (SELECT DISTINCT truth, pred::DECIMAL(6,1)::VARCHAR AS p FROM g WHERE pred IS NOT NULL) GROUP BY truth",
+    "q_true_to_answers": f"WITH {_GRADED} SELECT truth, string_agg(p, ',' ORDER BY p::DECIMAL(6,1)) AS answers FROM (SELECT truth, pred::DECIMAL(6,1)::VARCHAR AS p FROM g WHERE pred IS NOT NULL) GROUP BY truth",
     "q_status_rollup": "SELECT user_id, arg_max(event_type, CASE event_type WHEN 'error' THEN '3' WHEN 'purchase' THEN '2' WHEN 'click' THEN '1' ELSE '0' END || event_type) AS verdict, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY user_id",
 }
-_UNITS = "(ascii(md5(r.range || '/' || source)[1]) + ascii(md5(r.range || '/' || source)[2])) % 3 AS w"
-_POISSON = "(" + " + ".join(f"(md5(r.range || '/' || source)[:8] >= '{t}')::INT" for t in E.POISSON) + ") AS w"
-ORACLE_SQL["q_bootstrap_ci_2000"] = ORACLE_SQL["q_bootstrap_ci"].replace("range(100)", "range(2000)").replace(_UNITS, _POISSON)

@@ -118,16 +118,27 @@ def in_time(requests: DataFrame, results: DataFrame, key: str, revision: str) ->
 
 
 def merged(batch: DataFrame, epoch: int, path: str, key: str, order: str) -> None:
-    """foreachBatch: merge a micro-batch into the table at ``path``; the newest row of a key stays. A batch that comes
-    again changes nothing."""
+    """foreachBatch: merge a micro-batch into the table at ``path``; the newest row of a key stays, the table's on a tie. A
+    batch that comes again changes nothing. Only a table that isn't there counts as empty: one that can't be read fails
+    the batch, to be tried again. The new table is written beside the old one, and takes its place when it is whole; an
+    interrupted swap is finished by the next batch."""
+    from assayer.functions.tables import hadoop_path
+
     spark = batch.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # no table yet
-        old = batch.limit(0)
-    both = old.unionByName(batch)
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    out = both.withColumn("_p", F.row_number().over(w)).where("_p = 1").drop("_p")
-    from assayer.functions.tables import written
-
-    written(out, "merge").write.mode("overwrite").parquet(path)
+    own, fs = hadoop_path(spark, path)
+    old, _ = hadoop_path(spark, f"{path}.old")
+    new, _ = hadoop_path(spark, f"{path}.new")
+    if fs.exists(old) and not fs.exists(own):
+        fs.rename(old, own)
+    fs.delete(old, True)
+    fs.delete(new, True)
+    rows = batch.withColumn("_new", F.lit(1))
+    if fs.exists(own):
+        rows = spark.read.parquet(path).withColumn("_new", F.lit(0)).unionByName(rows)
+    w = Window.partitionBy(key).orderBy(F.col(order).desc(), "_new")
+    rows.withColumn("_p", F.row_number().over(w)).where("_p = 1").drop("_p", "_new").write.parquet(f"{path}.new")
+    if fs.exists(own) and not fs.rename(own, old):
+        raise RuntimeError(f"cannot move {path}")
+    if not fs.rename(new, own):
+        raise RuntimeError(f"cannot move {path}.new")
+    fs.delete(old, True)

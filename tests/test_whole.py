@@ -63,7 +63,7 @@ def test_bootstrap_has_the_reference_replicates(spark, tmp_path):
     n = 60
     saved(spark, tmp_path, "documents", [(i, "en", f"s{i % 12}", 100 + i * 37 % 101) for i in range(n)], "doc_id long, lang string, source string, n_chars long")
     saved(spark, tmp_path, "labels", [(i, i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int")
-    [row] = entry.queries()["q_bootstrap_ci_2000"](spark, str(tmp_path)).collect()
+    [row] = entry.queries()["q_bootstrap_ci"](spark, str(tmp_path)).collect()
     assert row.replicates > 1900 and row.low < row.high
 
 
@@ -82,3 +82,100 @@ def test_leaks_of_a_class_that_crosses_splits(spark):
     df = spark.createDataFrame(items, "k long, v long, s string")
     got = {tuple(r) for r in R.leaked_pairs(R.near_pairs(df, "k", "v", 4), df, "k", "s").collect()}
     assert got == {(1, "tune", 2, "check", 0), (2, "check", 3, "tune", 1), (5, "tune", 6, "check", 1), (1, "tune", 7, "check", 1), (3, "tune", 7, "check", 2)}
+
+
+def test_products_without_a_number_are_met(spark):
+    items = spark.createDataFrame([(1, "Mew ex", "12/100", "Base"), (2, "Pikachu", "", "Jungle"), (3, "Mew ex", "13", "Base")], "item int, name string, want string, set string")
+    entries = spark.createDataFrame([(10, "mew EX", "", "base"), (11, "Mew ex", "12", "Base"), (12, "Pikachu", "7", "Jungle"), (13, "Other", "12", "Fossil"), (14, "", "", "")], "product int, n string, number string, s string")
+    c = F.col
+    got = {(r.item, r.product) for r in L.met(items, entries, (c("want"), c("name"), c("set")), (c("number"), c("n"), c("s"))).collect()}
+    assert got == {(1, 10), (1, 11), (1, 13), (2, 12), (3, 10)}
+
+
+def test_near_pairs_of_random_values(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(63) for _ in range(60)]
+    rows = [(i, b ^ sum(1 << j for j in rng.sample(range(64), rng.randint(0, 5)))) for i, b in enumerate(base * 5)]
+    rows = [(i, v - (1 << 64) if v >> 63 else v) for i, v in rows] + [(999, None)]
+    got = {(r.a, r.b) for r in R.near_pairs(spark.createDataFrame(rows, "k long, v long"), "k", "v", 4).where("distance > 0").collect()}
+    far = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
+    first = {}
+    for k, v in rows:
+        if v is not None:
+            first[v] = min(k, first.get(v, k))
+    want = {(min(first[x], first[y]), max(first[x], first[y])) for x in first for y in first if first[x] < first[y] and far(x, y) <= 4}
+    assert got == want and want
+    assert R.shared_parts(10, 64, 4) == 1 and R.shared_parts(10**9, 64, 4) == 3
+
+
+def test_bootstrap_by_rows_equals_by_units(spark, monkeypatch):
+    rows = [(f"u{i % 7}", i % 3 == 0, i * 37 % 11, i * 5 % 13) for i in range(90)]
+    df = spark.createDataFrame([(u, int(x), a, b) for u, x, a, b in rows], "u string, l int, a int, b int")
+    one = tuple(E.bootstrap_auc_difference(df, "u", "l", "a", "b", 60).first())
+    monkeypatch.setattr(E, "FEW_UNITS", 3)
+    other = tuple(E.bootstrap_auc_difference(df, "u", "l", "a", "b", 60).first())
+    assert one[0] == other[0] and all(abs(x - y) < 1e-12 for x, y in zip(one[1:], other[1:]))
+
+
+def test_bootstrap_width_is_that_of_a_resample(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    units = [(f"u{i}", int(y), float(y + rng.normal()), float(2 * y + rng.normal())) for i in range(60) for y in (0, 1)]
+    r = E.bootstrap_auc_difference(spark.createDataFrame(units, "u string, l int, a double, b double"), "u", "l", "a", "b", 1000).first()
+
+    def auc(rows, k):
+        p, n = (np.array([x[k] for x in rows if x[1] == y]) for y in (1, 0))
+        return float((p[:, None] > n[None, :]).mean() + 0.5 * (p[:, None] == n[None, :]).mean())
+
+    by = {}
+    for x in units:
+        by.setdefault(x[0], []).append(x)
+    diffs = []
+    for _ in range(1000):
+        drawn = [x for u in rng.choice(list(by), len(by)) for x in by[u]]
+        diffs.append(auc(drawn, 3) - auc(drawn, 2))
+    width = np.quantile(diffs, 0.975) - np.quantile(diffs, 0.025)
+    assert abs((r.high - r.low) / width - 1) < 0.15
+
+
+def test_first_of_several_new_rows_wins(spark):
+    saved_, more = spark.createDataFrame([(1, "a", 0)], "k int, s string, at int"), spark.createDataFrame([(2, "z", 1), (2, "b", 5), (1, "x", 0), (3, "d", 1), (3, "c", 1)], "k int, s string, at int")
+    assert sorted(r.s for r in R.merge_first_wins(saved_, more, "k", "at").collect()) == ["a", "c", "z"]
+
+
+def test_merge_keeps_the_table_if_it_cannot_be_read(spark, tmp_path):
+    from assayer.streaming import latest as S
+
+    path = f"{tmp_path}/t"
+    a, b = spark.createDataFrame([(1, 5, "a"), (2, 5, "b")], "k int, at int, v string"), spark.createDataFrame([(2, 6, "c"), (1, 5, "late")], "k int, at int, v string")
+    S.merged(a, 0, path, "k", "at")
+    S.merged(b, 1, path, "k", "at")
+    S.merged(b, 1, path, "k", "at")
+    read = lambda: {(r.k, r.v) for r in spark.read.parquet(path).collect()}
+    assert read() == {(1, "a"), (2, "c")}
+    part = next(tmp_path.glob("t/part-*"))
+    content = part.read_bytes()
+    for p in tmp_path.glob("t/part-*"):
+        p.write_bytes(b"broken")
+    for p in tmp_path.glob("t/.*crc"):
+        p.unlink()
+    with pytest.raises(Exception):
+        S.merged(a, 2, path, "k", "at")
+    assert part.read_bytes() == b"broken" and content  # the batch failed and the table was left alone
+    assert not (tmp_path / "t.old").exists()
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from assayer.functions import tables
+
+    conf = SimpleNamespace(get=lambda key, default=None: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="app-1"))
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(far)
+    far.conf = SimpleNamespace(get=lambda key, default=None: "hdfs:///c/")
+    assert tables.shared_dir(far) == "hdfs:///c/assayer-app-1"
