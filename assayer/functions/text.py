@@ -140,9 +140,7 @@ def jpeg_size(content: bytes | None) -> tuple[int, int] | None:
     if not content or content[:2] != b"\xff\xd8":
         return None
     i = 2
-    while i + 9 < len(content):
-        if content[i] != 0xFF:
-            return None
+    while (i := content.find(b"\xff", i)) >= 0 and i + 9 < len(content):  # stray bytes between segments are skipped
         marker = content[i + 1]
         if marker == 0xFF:
             i += 1

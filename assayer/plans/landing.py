@@ -70,12 +70,21 @@ def _records(spark, sf_dir) -> DataFrame:
     o, item = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     ding = F.struct(F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("k"), F.when(F.pmod("l_suppkey", F.lit(2)) == 0, "front").otherwise("back").alias("side"), F.lit("edge").alias("location"), F.concat(F.lit("type "), F.pmod("l_partkey", F.lit(21)).cast("string")).alias("type"))
     lists = item.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(ding)).alias("ding_list"))
-    d = F.struct(F.pmod("o_orderkey", F.lit(3)).cast("int").alias("front"), F.pmod("o_orderkey", F.lit(2)).cast("int").alias("back"))
-    image = lambda side: F.struct(F.sha2(F.concat(F.col("o_orderkey").cast("string"), F.lit(side)), 256).alias("sha256"), F.lit(750).alias("width"))
+    k = F.col("o_orderkey")
+    flag = lambda n: F.when(F.pmod(k, F.lit(n)) == 0, False).otherwise(True)
+    image = lambda side: F.struct(F.sha2(F.concat(k.cast("string"), F.lit(side)), 256).alias("sha256"), F.lit(750).alias("width"), F.lit(1050).alias("height"), (k * 3).alias("bytes"), F.when(F.pmod(k, F.lit(5)) != 0, F.hex(k)).alias("phash"), F.concat(k.cast("string"), F.lit(f"/{side}.jpg")).alias("path"))
+    d = F.struct(F.when(F.pmod(k, F.lit(4)) != 0, F.pmod(k, F.lit(3)).cast("int")).alias("front"), F.when(F.pmod(k, F.lit(6)) != 0, F.pmod(k, F.lit(2)).cast("int")).alias("back"))
     return o.join(lists, "o_orderkey", "left").select(
-        F.col("o_orderkey").cast("string").alias("cert"), F.when(F.pmod("o_orderkey", F.lit(10)) == 0, "test").otherwise("dev").alias("pool"), F.concat(F.lit("K"), F.pmod("o_orderkey", F.lit(500)).cast("string")).alias("card_key"),
-        F.struct(F.lit("n").alias("name"), F.col("o_orderpriority").alias("set"), F.year(F.col("o_orderdate").cast("timestamp")).alias("year"), F.lit("en").alias("language"), F.col("o_custkey").cast("string").alias("number")).alias("card"),
-        F.struct((F.pmod("o_orderkey", F.lit(19)) / 2 + 1).alias("grade"), F.pmod("o_orderkey", F.lit(901)).cast("int").alias("score"), F.create_map(F.lit("corners"), d, F.lit("edges"), d).alias("dings"), F.coalesce("ding_list", F.array().cast("array<struct<pos:int,k:bigint,side:string,location:string,type:string>>")).alias("ding_list")).alias("tag"),
+        k.cast("string").alias("cert"), F.when(F.pmod(k, F.lit(10)) == 0, "test").otherwise("dev").alias("pool"), F.concat(F.lit("K"), F.pmod(k, F.lit(500)).cast("string")).alias("card_key"),
+        F.struct(F.lit("n").alias("name"), F.col("o_orderpriority").alias("set"), F.year(F.col("o_orderdate").cast("timestamp")).alias("year"), F.lit("en").alias("language"), F.col("o_orderstatus").alias("variant"), F.col("o_custkey").cast("string").alias("number")).alias("card"),
+        F.struct(
+            (F.pmod(k, F.lit(19)) / 2 + 1).alias("grade"), F.concat(F.lit("L"), F.pmod(k, F.lit(19)).cast("string")).alias("grade_label"), F.pmod(k, F.lit(901)).cast("int").alias("score"),
+            F.create_map(F.lit("front"), F.concat(F.pmod(k, F.lit(50)).cast("string"), F.lit("L"))).alias("centering"), F.create_map(F.lit("corners"), d, F.lit("edges"), d).alias("dings"),
+            F.coalesce("ding_list", F.array().cast("array<struct<pos:int,k:bigint,side:string,location:string,type:string>>")).alias("ding_list"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd").alias("graded_on"),
+        ).alias("tag"),
+        F.struct(F.concat(F.lit("u/"), k.cast("string")).alias("report_url"), F.lit("t").alias("fetched_at"), F.lit("a").alias("agent"), F.create_map(F.lit("front"), F.lit("f.jpg")).alias("image_urls")).alias("source"),
+        F.sha2(k.cast("string"), 256).alias("report_txt_sha256"), F.lit("p1").alias("parser_version"), F.when(F.pmod(k, F.lit(9)) == 0, F.array(F.lit("grade"), F.lit("score"))).alias("report_changed_on_refetch"),
+        F.struct(flag(8).alias("present"), F.when(F.pmod(k, F.lit(12)) != 0, flag(7)).alias("hash_ok")).alias("cache"),
         F.create_map(F.lit("front"), image("front"), F.lit("back"), image("back")).alias("images"),
     )
 
@@ -119,12 +128,20 @@ def in_time(spark, sf_dir):
 
 QUERIES = {
     "q_parse_centering": parse_centering, "q_parse_number": parse_number, "q_card_key": card_keys, "q_year": first_years, "q_domain": domains, "q_json_props": json_props, "q_split_ratio": split_ratios, "q_defect_kind": defect_kinds, "q_flag_match": flag_match,
-    "q_views_certs": view("certs", ["cert", "pool", "card_key", "split", "set", "year", "grade", "score", "corners_dings", "edges_dings", "surface_dings", "ding_text"]),
-    "q_views_dings": view("dings", ["cert", "idx", "side", "type"]), "q_views_images": view("images", ["cert", "side", "sha256", "width"]), "q_views_splits": view("splits", ["cert", "split", "card_key"]),
+    "q_views_certs": view("certs", ["cert", "pool", "split", "card_key", "card_name", "card_set", "year", "language", "variant", "grade", "grade_label", "score", "centering_front", "centering_back", "corner_dings", "edge_dings", "surface_dings", "graded_on", "report_url", "fetched_at", "agent", "report_txt_sha256", "parser_version", "report_changed_on_refetch", "cache_present", "cache_hash_ok", "image_cache"]),
+    "q_views_csv": view("csv", list(sinks.CSV_COLUMNS)),
+    "q_views_dings": view("dings", ["cert", "idx", "side", "type"]), "q_views_images": view("images", ["cert", "side", "sha256", "width", "height", "bytes", "phash", "path", "url"]), "q_views_splits": view("splits", ["cert", "split", "card_key"]),
     "q_latest_wins": latest_wins, "q_ttl_dedup": ttl_dedup, "q_rate_slots": rate_slots, "q_sessions": sessions, "q_hourly": hourly, "q_in_time": in_time,
 }
 
 _MICROS = "epoch_us(ts)"
+_SPLIT = "CASE WHEN o_orderkey % 10 = 0 THEN 'test' ELSE 'dev-tune' END"
+_ORDER = "(SELECT *, CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 3)::INT END AS f, CASE WHEN o_orderkey % 6 <> 0 THEN (o_orderkey % 2)::INT END AS b, o_orderkey % 8 <> 0 AS present, CASE WHEN o_orderkey % 12 <> 0 THEN o_orderkey % 7 <> 0 END AS ok FROM orders)"
+_COUNT = "CASE WHEN f IS NOT NULL OR b IS NOT NULL THEN coalesce(f, 0) + coalesce(b, 0) END"
+_CERTS = f"""o_orderkey::VARCHAR AS cert, CASE WHEN o_orderkey % 10 = 0 THEN 'test' ELSE 'dev' END AS pool, 'K' || (o_orderkey % 500) AS card_key, 'n' AS card_name, o_orderpriority AS card_set, year(o_orderdate)::INT AS year, 'en' AS language, o_orderstatus AS variant,
+  (o_orderkey % 19) / 2.0 + 1 AS grade, 'L' || (o_orderkey % 19) AS grade_label, (o_orderkey % 901)::INT AS score, (o_orderkey % 50) || 'L' AS centering_front, NULL::VARCHAR AS centering_back, {_COUNT} AS corner_dings, {_COUNT} AS edge_dings, NULL::INT AS surface_dings, strftime(o_orderdate, '%Y-%m-%d') AS graded_on,
+  'u/' || o_orderkey AS report_url, 't' AS fetched_at, 'a' AS agent, sha256(o_orderkey::VARCHAR) AS report_txt_sha256, 'p1' AS parser_version, CASE WHEN o_orderkey % 9 = 0 THEN 'grade,score' END AS report_changed_on_refetch,
+  present::INT AS cache_present, ok::INT AS cache_hash_ok, CASE WHEN NOT present THEN 'missing' WHEN ok IS NULL THEN 'unverified' WHEN ok THEN 'ok' ELSE 'hash_mismatch' END AS image_cache"""
 ORACLE_SQL = {
     "q_parse_centering": "SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN greatest(p_partkey % 50 + 30, 70 - p_partkey % 50)::DOUBLE END AS lr, CASE WHEN p_partkey % 9 <> 0 THEN greatest(p_partkey * 3 % 41 + 40, 60 - p_partkey * 3 % 41)::DOUBLE END AS tb FROM part",
     "q_parse_number": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'SP' ELSE '' END || (p_partkey % 300) || '/' || (p_partkey % 97) AS key, CASE WHEN p_partkey % 5 = 0 THEN 'SP' ELSE '' END || (p_partkey % 300) AS number FROM part",
@@ -137,11 +154,12 @@ ORACLE_SQL = {
     "q_flag_match": """WITH d AS (SELECT l_orderkey, l_suppkey % 2 AS side, ['topleft','top','bottom edge','surface'][l_partkey % 4 + 1] AS location, CASE WHEN l_partkey % 4 = 0 THEN 1 ELSE 0 END AS corner FROM lineitem WHERE l_linenumber % 2 = 0),
       f AS (SELECT DISTINCT l_orderkey, l_suppkey % 2 AS side, l_partkey % 3 = 0 AS c FROM lineitem WHERE l_linenumber % 2 = 1)
       SELECT location, count(*) AS matched FROM d WHERE EXISTS (SELECT 1 FROM f WHERE f.l_orderkey = d.l_orderkey AND f.side = d.side AND ((d.location = 'topleft' AND f.c) OR (d.corner = 0 AND NOT f.c AND contains(d.location, 'top')))) GROUP BY location""",
-    "q_views_certs": """WITH d AS (SELECT l_orderkey, string_agg(CASE WHEN l_suppkey % 2 = 0 THEN 'front' ELSE 'back' END || ' edge: type ' || (l_partkey % 21), '; ' ORDER BY l_linenumber, l_partkey, CASE WHEN l_suppkey % 2 = 0 THEN 'front' ELSE 'back' END) AS t FROM lineitem GROUP BY 1)
-      SELECT o_orderkey::VARCHAR AS cert, CASE WHEN o_orderkey % 10 = 0 THEN 'test' ELSE 'dev' END AS pool, 'K' || (o_orderkey % 500) AS card_key, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 10 = 0 THEN 'test' ELSE 'dev-tune' END AS split, o_orderpriority AS set, year(o_orderdate)::INT AS year, (o_orderkey % 19) / 2.0 + 1 AS grade, (o_orderkey % 901)::INT AS score,
-        (o_orderkey % 3 + o_orderkey % 2)::INT AS corners_dings, (o_orderkey % 3 + o_orderkey % 2)::INT AS edges_dings, 0 AS surface_dings, coalesce(t, '') AS ding_text FROM orders LEFT JOIN d ON l_orderkey = o_orderkey""",
+    "q_views_certs": f"SELECT {_CERTS}, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE {_SPLIT} END AS split FROM {_ORDER}",
+    "q_views_csv": f"""WITH d AS (SELECT l_orderkey, string_agg(CASE WHEN l_suppkey % 2 = 0 THEN 'front' ELSE 'back' END || ' edge: type ' || (l_partkey % 21), '; ' ORDER BY l_linenumber, l_partkey, CASE WHEN l_suppkey % 2 = 0 THEN 'front' ELSE 'back' END) AS t FROM lineitem GROUP BY 1),
+      c AS (SELECT o_orderkey, {_CERTS} FROM {_ORDER})
+      SELECT cert, card_name AS card, card_set AS set, year, language, grade, score, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE {_SPLIT} END AS split, centering_front, centering_back, corner_dings, edge_dings, surface_dings, coalesce(t, '') AS ding_list, image_cache FROM c LEFT JOIN d ON l_orderkey = o_orderkey""",
     "q_views_dings": "SELECT l_orderkey::VARCHAR AS cert, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CASE WHEN l_suppkey % 2 = 0 THEN 'front' ELSE 'back' END) - 1)::INT AS idx, CASE WHEN l_suppkey % 2 = 0 THEN 'front' ELSE 'back' END AS side, 'type ' || (l_partkey % 21) AS type FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
-    "q_views_images": "SELECT o_orderkey::VARCHAR AS cert, s AS side, sha256(o_orderkey || s) AS sha256, 750 AS width FROM orders, (VALUES ('front'), ('back')) v(s)",
+    "q_views_images": "SELECT o_orderkey::VARCHAR AS cert, s AS side, sha256(o_orderkey || s) AS sha256, 750 AS width, 1050 AS height, o_orderkey * 3 AS bytes, CASE WHEN o_orderkey % 5 <> 0 THEN to_hex(o_orderkey) END AS phash, o_orderkey || '/' || s || '.jpg' AS path, CASE WHEN s = 'front' THEN 'f.jpg' END AS url FROM orders, (VALUES ('front'), ('back')) v(s)",
     "q_views_splits": "SELECT o_orderkey::VARCHAR AS cert, CASE WHEN o_orderkey % 10 = 0 THEN 'test' ELSE 'dev-tune' END AS split, 'K' || (o_orderkey % 500) AS card_key FROM orders WHERE o_orderkey % 7 <> 0",
     "q_latest_wins": "SELECT user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS event_type FROM events GROUP BY user_id",
     "q_ttl_dedup": f"""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, {_MICROS} AS us FROM events), k AS (

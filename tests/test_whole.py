@@ -11,6 +11,7 @@ from assayer.operators import evaluation as E
 from assayer.operators import linkage as L
 from assayer.operators import records as R
 from tests.test_operators import brute_components
+from tests.tests_support import check
 
 
 def saved(spark, folder, name, rows, schema):
@@ -179,3 +180,25 @@ def test_intermediate_tables_need_a_shared_folder_on_a_cluster(spark):
         tables.shared_dir(far)
     far.conf = SimpleNamespace(get=lambda key, default=None: "hdfs:///c/")
     assert tables.shared_dir(far) == "hdfs:///c/assayer-app-1"
+
+
+@pytest.mark.parametrize("name", ["q_views_certs", "q_views_csv", "q_views_images", "q_true_to_answers", "q_bootstrap_ci", "q_near_pairs_radius4", "q_components"])
+def test_oracles(spark, name):
+    check(spark, name, "sf0.001")
+
+
+def test_equal_records_give_equal_lines(spark):
+    from assayer.sources import sinks
+
+    schema = "cert string, m map<string,struct<z:int,a:array<map<string,int>>>>"
+    a = spark.createDataFrame([("1", {"x": (1, [{"p": 1, "q": 2}]), "b": (2, [])})], schema)
+    b = spark.createDataFrame([("1", {"b": (2, []), "x": (1, [{"q": 2, "p": 1}])})], schema)
+    lines = [sinks.canonical_lines(d, "cert").first().line for d in (a, b)]
+    assert lines[0] == lines[1] == '{"cert":"1","m":{"b":{"a":[],"z":2},"x":{"a":[{"p":1,"q":2}],"z":1}}}'
+
+
+def test_jpeg_headers_with_stray_bytes():
+    from assayer.functions.text import jpeg_size
+
+    frame = b"\xff\xc0\x00\x0b\x08\x00\x10\x00\x20\x01\x00\x00\x00"
+    assert jpeg_size(b"\xff\xd8" + frame) == (32, 16) and jpeg_size(b"\xff\xd8\xff\xe0\x00\x04ab" + b"\x00\x01" + frame) == (32, 16) and jpeg_size(b"\xff\xd8abc") is None
