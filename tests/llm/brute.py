@@ -163,6 +163,8 @@ def leaks(docs, items, least=0.8, k=5):
         for d, t in docs.items():
             every = words(t)
             runs = [tuple(every[i : i + n]) for i in range(len(every) - n + 1)]
+            if own.keys().isdisjoint(runs):
+                continue
             best = None
             for start in range(max(1, len(runs) - size + 1)):
                 window = Counter(runs[start : start + size])
