@@ -117,6 +117,11 @@ class Grammar:
                 w = max(w, self.stems.get(word[:n], 0.0))
         return w
 
+    def threatens(self, seen: set[str]) -> bool:
+        """Are there words of intent and of harm?"""
+        found = {c for w, c in self.operators.items() if c in (INTENT, HARM) and w in seen}
+        return len(found) == 2
+
     def clause(self, words: list[str]) -> np.ndarray:
         """Strongest match of each arc in one clause: one pass from the right, one from the left."""
         out = np.zeros(len(ARCS))
@@ -144,7 +149,7 @@ class Grammar:
             return out
         low = text.lower()
         seen = set(WORD.findall(low))
-        if {HARM, INTENT} <= {self.operators[w] for w in seen & self.operators.keys()} or any(map(self.insult, seen)):
+        if self.threatens(seen) or any(map(self.insult, seen)):
             for words in clauses(low):
                 out += self.clause(words)
         return np.log1p(out)
@@ -179,72 +184,75 @@ def more_than(mine: int, other: int, n: int, m: int, times: float) -> bool:
     return mine / n > times * (other + 0.5) / m and mine - expected > 5 * expected**0.5
 
 
-def candidates(texts: list[list[list[str]]], labels: list[int], least: int) -> set[str]:
+def candidates(texts: list[str], labels: list[int], least: int) -> set[str]:
     """Words and stems of at least ``least`` / 2 toxic texts, twice as frequent in them as in others."""
     docs = [Counter(), Counter()]
     for text, label in zip(texts, labels, strict=True):
         if label:
-            docs[1].update(units({w for words in text for w in words}))
+            docs[1].update(units(set(WORD.findall(text.lower()))))
     some = {u for u, n in docs[1].items() if 2 * n >= least}
+    docs[1] = Counter({u: docs[1][u] for u in some})
     for text, label in zip(texts, labels, strict=True):
         if not label:
-            docs[0].update(units({w for words in text for w in words}) & some)
+            docs[0].update(units(set(WORD.findall(text.lower()))) & some)
     n = max(1, sum(labels))
     return {u for u in some if docs[0][u] <= 1 or more_than(docs[1][u], docs[0][u], n, max(1, len(labels) - n), 2)}
 
 
-def learn_operators(texts: list[list[list[str]]], labels: list[int], able: set[str], least: int = MIN_CONTEXTS) -> dict[str, int]:
+def learn_operators(texts: list[str], labels: list[int], able: set[str], least: int = MIN_CONTEXTS) -> dict[str, int]:
     """Negations, reports and targets, from the contexts of words that are more frequent in toxic texts but stand in
-    harmless ones too. Every different context counts once."""
-    near, far, after = ([defaultdict(set), defaultdict(set)] for _ in range(3))
+    harmless ones too. Every different context counts once. Texts are split anew, not held as words."""
+    near, far, around = ([Counter(), Counter()] for _ in range(3))
     every: list[set[int]] = [set(), set()]
     for text, label in zip(texts, labels, strict=True):
-        for words in text:
+        low = text.lower()
+        hits = {w for w in set(WORD.findall(low)) if not able.isdisjoint(forms(w))}
+        for words in clauses(low) if hits else ():
             for i, w in enumerate(words):
-                if not able.isdisjoint(forms(w)):
+                if w in hits:
                     before, behind = words[:i], words[i + 1 : i + 1 + TARGET_SPAN]
                     context = hash((*before[-2:], w, *behind[:2]))
+                    if context in every[label]:
+                        continue
                     every[label].add(context)
-                    for v in before[-NEGATION_SPAN:]:
-                        near[label][v].add(context)
-                    for v in before[:-NEGATION_SPAN]:
-                        far[label][v].add(context)
-                    for v in (*before[-TARGET_SPAN:], *behind):
-                        after[label][v].add(context)
+                    near[label].update(set(before[-NEGATION_SPAN:]))
+                    far[label].update(set(before[:-NEGATION_SPAN]))
+                    around[label].update({*before[-TARGET_SPAN:], *behind})
     n = [max(1, len(x)) for x in every]
     found: dict[str, int] = {}
     if len(every[0]) < least:
         return found
-    for v in near[0].keys() | far[0].keys():
-        if v in able:
-            continue
-        for c, where in ((NEGATION, near), (REPORT, far)):
-            mine, other = len(where[0][v]), len(where[1][v])
-            if mine >= least and more_than(mine, other, n[0], n[1], 3):
+    for c, where in ((NEGATION, near), (REPORT, far)):
+        for v, mine in where[0].items():
+            if v not in able and mine >= least and more_than(mine, where[1][v], n[0], n[1], 3):
                 found[v] = c
-    for v in after[1]:
-        mine, other = len(after[1][v]), len(after[0].get(v, ()))
-        if v not in able and mine >= least and 5 * len(every[0]) >= len(every[1]) and more_than(mine, other, n[1], n[0], 3):
-            found[v] = TARGET
+    if 5 * len(every[0]) >= len(every[1]):
+        for v, mine in around[1].items():
+            if v not in able and mine >= least and more_than(mine, around[0][v], n[1], n[0], 3):
+                found[v] = TARGET
     return found
 
 
-def learn_lexicon(texts: list[list[list[str]]], labels: list[int], able: set[str], operators: dict[str, int], least: int = MIN_CONTEXTS) -> tuple[dict[str, float], dict[str, float]]:
+def learn_lexicon(texts: list[str], labels: list[int], able: set[str], operators: dict[str, int], least: int = MIN_CONTEXTS) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with their log odds of contexts in toxic texts; contexts in harmless texts under a negation or a
     report don't count."""
-    size = [sum(len(words) for text, x in zip(texts, labels, strict=True) if x == label for words in text) for label in (0, 1)]
-    if not size[0] or not size[1]:
-        return {}, {}
+    size = [0, 0]
     contexts: list[dict[str, set[int]]] = [defaultdict(set), defaultdict(set)]
     shut = {w for w, c in operators.items() if c == REPORT}, {w for w, c in operators.items() if c == NEGATION}
     for text, label in zip(texts, labels, strict=True):
-        for words in text:
+        low = text.lower()
+        every = WORD.findall(low)
+        size[label] += len(every)
+        hits = {w: own for w in set(every) if (own := [u for u in forms(w) if u in able])}
+        for words in clauses(low) if hits else ():
             for i, w in enumerate(words):
-                own = [u for u in forms(w) if u in able]
+                own = hits.get(w)
                 if own and (label or (shut[0].isdisjoint(words[:i]) and shut[1].isdisjoint(words[max(0, i - NEGATION_SPAN) : i]))):
                     context = hash((words[i - 1] if i else "", w, words[i + 1] if i + 1 < len(words) else ""))
                     for u in own:
                         contexts[label][u].add(context)
+    if not size[0] or not size[1]:
+        return {}, {}
     found, many = {}, {}
     for u, c in contexts[1].items():
         other = len(contexts[0].get(u, ()))
@@ -266,10 +274,9 @@ def learn_lexicon(texts: list[list[list[str]]], labels: list[int], able: set[str
 def train(texts: list[str], labels: list[int]) -> Grammar:
     if not texts or len(set(labels)) < 2:
         return Grammar()
-    split = [clauses(t.lower()) for t in texts]
-    able = candidates(split, labels, MIN_CONTEXTS)
-    operators = seeds() | learn_operators(split, labels, able)
-    g = Grammar(*learn_lexicon(split, labels, able, operators), operators=operators)
+    able = candidates(texts, labels, MIN_CONTEXTS)
+    operators = seeds() | learn_operators(texts, labels, able)
+    g = Grammar(*learn_lexicon(texts, labels, able, operators), operators=operators)
     x = np.array([g.features(t) for t in texts])
     y = np.array(labels, float)
     x1 = np.hstack([x, np.ones((len(x), 1))])
