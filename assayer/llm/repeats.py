@@ -130,6 +130,12 @@ def _told(page: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"page": pa.array(page[edges[:-1]], pa.int32()), "runs": pa.array([runs[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
 
 
+def _again(head: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Which strings came before as a whole, byte by byte; strings are sorted by key, document and start."""
+    first: dict[bytes, int] = {}
+    return np.array([first.setdefault(s, i) for i, s in enumerate(strings)]) != np.arange(len(strings))
+
+
 def _runs(head: np.ndarray, hit: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Runs of marked windows, by page; hit: all windows of all strings, size: windows of each string."""
     if not hit.any():
@@ -258,10 +264,18 @@ def repeated_windows(docs: DataFrame, kind: Kind, same_document: bool, compare:
         order = np.lexsort((head["start"], head["doc"], head["key"]))
         head = head[order]
         strings = [strings[i] for i in order]
-        # batch by batch of whole groups; strings alone in their group are done
         at = np.arange(len(head))
+        if same_document:  # equal strings are one: only the first goes on, the others are repeats
+            again = _again(head, strings)
+            whole = np.zeros(int(again.sum()), RUN)
+            for name in ("doc", "start", "n"):
+                whole[name] = head[name][again]
+            if len(whole):
+                yield _told(head["page"][again], whole)
+            at = np.flatnonzero(~again)
+        # batch by batch of whole groups; strings alone in their group are done
         same = head["key"][at][1:] == head["key"][at][:-1]
-        at = at[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        at = at[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(at) else at
         head, strings = head[at], [strings[i] for i in at]
         if not len(head):
             return
