@@ -23,45 +23,45 @@ def products(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("product"), name.alias("product_name"), F.concat(F.lit("Pokemon "), F.col("p_brand")).alias("console"), F.pmod(k, F.lit(150)).cast("string").alias("number"))
 
 
-def wanted(spark, sf_dir, whole=False) -> DataFrame:
-    """Free-text references to every part, or without ``whole`` to every tenth; some with only a part of the name."""
+def wanted(spark, sf_dir) -> DataFrame:
+    """Free-text references to every part; some with only a part of the name."""
     k = F.col("p_partkey")
     name = F.when(F.pmod(k, F.lit(3)) == 0, F.get(F.split("p_name", " "), 0)).otherwise(F.upper("p_name"))
     number = F.concat(F.lit("0"), F.pmod(k, F.lit(150)).cast("string"), F.lit("/150"))
     parts = table(spark, sf_dir, "part")
-    return (parts if whole else parts.where(F.pmod(k, F.lit(10)) == 3)).select(k.alias("item"), name.alias("name"), number.alias("want"), F.lower("p_brand").alias("set"), F.when(F.pmod(k, F.lit(2)) == 0, "reverse holo").otherwise("").alias("finish"))
+    return parts.select(k.alias("item"), name.alias("name"), number.alias("want"), F.lower("p_brand").alias("set"), F.when(F.pmod(k, F.lit(2)) == 0, "reverse holo").otherwise("").alias("finish"))
 
 
-def candidates(spark, sf_dir, whole=False) -> DataFrame:
-    items, priced = wanted(spark, sf_dir, whole), products(spark, sf_dir)
+def candidates(spark, sf_dir) -> DataFrame:
+    items, priced = wanted(spark, sf_dir), products(spark, sf_dir)
     met = items.withColumn("number", X.collector_number(F.col("want"))).join(priced, "number")
     score = L.product_score(F.col("product_name"), F.col("console"), F.col("name"), F.col("want"), F.col("set"), F.col("finish"))
     return met.select("item", "product", score.alias("score"))
 
 
 _PRODUCTS = """prod AS (SELECT p_partkey AS product, p_partkey % 150 AS n, lower(p_name) AS nm, lower(replace(p_brand, '#', ' ')) AS st, p_partkey % 7 = 0 AS special FROM part),
-want AS (SELECT p_partkey AS item, p_partkey % 150 AS n, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE lower(p_name) END AS nm, lower(replace(p_brand, '#', ' ')) AS st, p_partkey % 2 = 0 AS rev FROM part WHERE p_partkey % 10 = 3),
+want AS (SELECT p_partkey AS item, p_partkey % 150 AS n, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE lower(p_name) END AS nm, lower(replace(p_brand, '#', ' ')) AS st, p_partkey % 2 = 0 AS rev FROM part),
 cand AS (SELECT item, product, greatest(0.0, least(1.0, round(0.45 + CASE WHEN p.nm = w.nm THEN 0.25 WHEN contains(p.nm, w.nm) OR contains(w.nm, p.nm) THEN 0.12 ELSE -0.2 END
    + CASE WHEN p.st = w.st THEN 0.25 WHEN contains(p.st, w.st) OR contains(w.st, p.st) THEN 0.1 ELSE -0.15 END + CASE WHEN NOT special THEN 0.05 WHEN rev THEN 0.05 ELSE -0.1 END, 6))) AS score FROM want w JOIN prod p USING (n)),
 best AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, product) AS r FROM cand)"""
 
 
-def link_score_best(spark, sf_dir, whole=False):
-    out = L.best_match(candidates(spark, sf_dir, whole), "item", "score", "product")
+def link_score_best(spark, sf_dir):
+    out = L.best_match(candidates(spark, sf_dir), "item", "score", "product")
     return out.select("item", "best", "score", "runner_up", F.col("accepted").cast("int").alias("accepted"), F.col("needs_choice").cast("int").alias("needs_choice"))
 
 
-def link_catalog(spark, sf_dir, whole=False):
+def link_catalog(spark, sf_dir):
     """The other scorer, against bare catalog entries."""
-    items = wanted(spark, sf_dir, whole).withColumn("number", X.collector_number(F.col("want")))
+    items = wanted(spark, sf_dir).withColumn("number", X.collector_number(F.col("want")))
     entries = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), "p_name", F.concat(F.col("p_brand"), F.lit(" "), F.col("p_type")).alias("release"), F.pmod("p_partkey", F.lit(150)).cast("string").alias("number"))
     met = items.join(entries, "number")
     score = L.catalog_score(F.col("p_name"), F.col("number"), F.col("release"), F.col("name"), F.col("want"), F.col("set"))
     return L.best_match(met.select("item", "entry", score.alias("score")), "item", "score", "entry").select("item", "best", "score")
 
 
-def decisive(spark, sf_dir, whole=False):
-    return L.decisive(candidates(spark, sf_dir, whole), "item", "score", "product", 0.9, 0.3).withColumn("decisive", F.col("decisive").cast("int"))
+def decisive(spark, sf_dir):
+    return L.decisive(candidates(spark, sf_dir), "item", "score", "product", 0.9, 0.3).withColumn("decisive", F.col("decisive").cast("int"))
 
 
 def link_fallback(spark, sf_dir):
@@ -267,13 +267,12 @@ QUERIES = {
     "q_semi_excluded": semi_excluded, "q_anti_missing": anti_missing, "q_near_pairs_hamming": near_pairs, "q_components": near_groups, "q_split_stratified": split_stratified, "q_split_summary": split_summary,
     "q_leakage_keys": leakage_keys, "q_leakage_pairs": leakage_pairs, "q_log_gaps": log_gaps, "q_upsert_newest": upsert, "q_newest_listing": newest_listing, "q_failure_stop": failure_stop, "q_size_stop": size_stop,
     "q_near_pairs_radius4": partial(near_pairs, distance=NEAR_DISTANCE), "q_components_radius4": partial(near_groups, distance=NEAR_DISTANCE), "q_leakage_pairs_radius4": partial(leakage_pairs, distance=NEAR_DISTANCE),
-    "q_link_score_best_all": partial(link_score_best, whole=True), "q_link_catalog_all": partial(link_catalog, whole=True), "q_decisive_candidate_all": partial(decisive, whole=True),
 }
 
 _KEYCASE = "CASE WHEN tier >= 99 OR grade < 1 THEN NULL WHEN grade >= 10 THEN CASE company WHEN 'PSA' THEN 'manual-only-price' WHEN 'BGS' THEN CASE WHEN label LIKE '%Black Label%' THEN 'condition-20-price' ELSE 'bgs-10-price' END WHEN 'CGC' THEN CASE WHEN label LIKE '%Pristine%' THEN 'condition-19-price' ELSE 'condition-17-price' END ELSE 'condition-21-price' END " + " ".join(f"WHEN grade >= {g} THEN '{k}'" for g, k in P.GRADE_KEYS) + " END"
 ORACLE_SQL = {
     "q_link_score_best": f"WITH {_PRODUCTS} SELECT item, max(product) FILTER (WHERE r = 1) AS best, max(score) AS score, max(score) FILTER (WHERE r = 2) AS runner_up, (max(score) >= 0.5)::INT AS accepted, (max(score) < 0.5 OR coalesce(max(score) FILTER (WHERE r = 2), -1) >= max(score) - 0.05)::INT AS needs_choice FROM best GROUP BY item",
-    "q_link_catalog": """WITH w AS (SELECT p_partkey AS item, p_partkey % 150 AS n, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE lower(p_name) END AS nm, lower(replace(p_brand, '#', ' ')) AS st FROM part WHERE p_partkey % 10 = 3),
+    "q_link_catalog": """WITH w AS (SELECT p_partkey AS item, p_partkey % 150 AS n, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE lower(p_name) END AS nm, lower(replace(p_brand, '#', ' ')) AS st FROM part),
       e AS (SELECT p_partkey AS entry, p_partkey % 150 AS n, lower(p_name) AS nm, lower(replace(p_brand, '#', ' ') || ' ' || p_type) AS st FROM part),
       s AS (SELECT item, entry, greatest(0.0, least(1.0, round(0.45 + CASE WHEN e.nm = w.nm THEN 0.25 WHEN contains(e.nm, w.nm) OR contains(w.nm, e.nm) THEN 0.12 ELSE -0.2 END + CASE WHEN e.st = w.st OR ends_with(e.st, ' ' || w.st) OR starts_with(e.st, w.st || ' ') THEN 0.25 WHEN contains(e.st, w.st) OR contains(w.st, e.st) THEN 0.12 ELSE -0.15 END, 6))) AS score FROM w JOIN e USING (n))
       SELECT item, entry AS best, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, entry) AS r FROM s) WHERE r = 1""",
@@ -310,5 +309,3 @@ ORACLE_SQL = {
     "q_components_radius4": f"WITH RECURSIVE {_COMP4} SELECT doc_id, grp FROM comp",
     "q_leakage_pairs_radius4": f"WITH {_NEAR4} SELECT a, CASE WHEN a % 3 = 0 THEN 'check' ELSE 'tune' END AS a_split, b, CASE WHEN b % 3 = 0 THEN 'check' ELSE 'tune' END AS b_split, distance FROM near WHERE (a % 3 = 0) <> (b % 3 = 0)",
 }
-#: Without the filter to every tenth reference.
-ORACLE_SQL |= {f"{q}_all": ORACLE_SQL[q].replace(" WHERE p_partkey % 10 = 3", "") for q in ("q_link_score_best", "q_link_catalog", "q_decisive_candidate")}
