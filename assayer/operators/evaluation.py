@@ -27,7 +27,8 @@ def running_before(counts: DataFrame, group: list[str], value: str, sums: list[s
     totals = ranged.groupBy("_range", *group).agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
     outer = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_range", *group, *[F.coalesce(F.sum(f"_sum_{s}").over(outer), F.lit(0)).alias(f"_off_{s}") for s in sums])
-    out = own.join(offsets, ["_range", *group])
+    there = offsets.select(F.col("_range").alias("_part"), *[F.col(g).alias(f"_of_{g}") for g in group], *[f"_off_{s}" for s in sums])
+    out = own.join(there, reduce(lambda x, g: x & F.col(g).eqNullSafe(F.col(f"_of_{g}")), group, F.col("_range") == F.col("_part")))
     return out.select(*counts.columns, *[(F.col(f"_own_{s}") + F.col(f"_off_{s}")).alias(f"{s}_before") for s in sums])
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.grades import first_row, num
 from assayer.functions.text import same_site
+from assayer.operators.evaluation import running_before
 
 # Price keys by lowest grade, best first.
 GRADE_KEYS = ((9.5, "box-only-price"), (9, "graded-price"), (8, "new-price"), (7, "cib-price"), (6, "condition-16-price"), (5, "condition-15-price"), (4, "condition-14-price"), (3, "condition-13-price"), (2, "condition-10-price"), (1, "condition-9-price"))
@@ -24,10 +27,23 @@ BLOCKED = ("pricecharting.com",)
 
 
 def sales_stats(sales: DataFrame, by: list[str], price: str, when: str, tie: list[str], fixed: Column) -> DataFrame:
-    """count, median, low, high and the latest price of the sales that are no fixed-price listings."""
+    """count, median, low, high and the latest price of the sales that are no fixed-price listings. The median is exact:
+    the mean of the prices in the two middle places, found by running counts over the distinct prices of a group, so that
+    no group's prices are held in one task."""
     ok = sales.where(~fixed & (F.col(price) > 0))
     last = F.max(F.struct(when, *tie, price))
-    return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median(price).alias("median"), F.min(price).alias("low"), F.max(price).alias("high"), last.alias("_last")).withColumn("last", F.col("_last")[price]).drop("_last")
+    counts = ok.groupBy(*by, price).agg(F.count(F.lit(1)).alias("_n"), last.alias("_last"))
+    groups = counts.groupBy(*by).agg(F.sum("_n").alias("n"), F.min(price).alias("low"), F.max(price).alias("high"), F.max("_last").alias("_last"))
+    groups = groups.withColumn("last", F.col("_last")[price]).drop("_last")
+    totals = groups.select(F.col("n").alias("_total"), *[F.col(g).alias(f"_of_{g}") for g in by])
+    placed = running_before(counts.drop("_last"), by, price, ["_n"])
+    placed = placed.join(totals, reduce(lambda x, g: x & F.col(g).eqNullSafe(F.col(f"_of_{g}")), by, F.lit(True)))
+    # places count from 0; the middle ones are the same if the count is odd
+    at = lambda place: (F.col("_n_before") <= place) & (F.col("_n_before") + F.col("_n") > place)
+    halves = [F.max(F.when(at(F.expr(place)), F.col(price))).cast("double") for place in ("(_total - 1) div 2", "_total div 2")]
+    medians = placed.groupBy(*[f"_of_{g}" for g in by]).agg(((halves[0] + halves[1]) / 2).alias("median"))
+    out = groups.join(medians, reduce(lambda x, g: x & F.col(g).eqNullSafe(F.col(f"_of_{g}")), by, F.lit(True)))
+    return out.select(*by, "n", "median", "low", "high", "last")
 
 
 def versions(sales: DataFrame, by: str, version: str) -> DataFrame:

@@ -4,12 +4,17 @@ bursts, late results and paced slots. Each has a batch twin with the same result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from assayer.functions.tables import hadoop_path, written
+
 
 def timed(events: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """Event time with a watermark; timestamps without zone have to be cast first."""
@@ -61,20 +66,28 @@ def latest_by_aggregate(events: DataFrame, key: str, ts: str, id_: str) -> DataF
 
 
 def ttl_dedup(events: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame:
-    """Batch: a row is kept if no row of its key was kept within ``seconds`` before it. The chain of kept rows is a
-    sequential recurrence, so it runs per key over sorted batches."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "_tie"])
-        keep, last = [], None
-        for us in pdf["_us"]:
-            ok = last is None or us - last >= seconds * 1_000_000
-            keep.append(ok)
-            last = us if ok else last
-        return pdf[keep].drop(columns=["_us", "_tie"])
-
-    rows = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_tie", F.xxhash64(*events.columns))
-    return rows.groupBy(*key).applyInPandas(run, events.schema)
+    """Batch: a row is kept if no row of its key was kept within ``seconds`` before it; rows without a time are left
+    out. The chain of kept rows is a sequential recurrence, so a key is one task's work, but its rows stream through in
+    order: only the time of the last kept row is held, and rows between two kept ones are skipped by binary search."""
+    rows = events.where(F.col(ts).isNotNull()).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_tie", F.xxhash64(*events.columns))
+    rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy(*key).orderBy("_us", "_tie")) == 1)
+    columns, ttl = events.columns, seconds * 1_000_000
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            us, first = batch["_us"].to_numpy(), batch["_first"].to_numpy(zero_copy_only=False)
+            keep = np.zeros(len(us), bool)
+            for a, b in pairwise(np.unique(np.concatenate([[0], np.flatnonzero(first), [len(us)]])).tolist()):
+                own = us[a:b]
+                last = None if first[a] else last
+                i = 0 if last is None else int(np.searchsorted(own, last + ttl))
+                while i < len(own):
+                    keep[a + i], last = True, int(own[i])
+                    i = max(i + 1, int(np.searchsorted(own, last + ttl)))
+            yield batch.filter(pa.array(keep)).select(columns)
+
+    return rows.drop("_tie").mapInArrow(kept, events.schema)
 
 
 def ttl_dedup_stream(events: DataFrame, key: list[str], ts: str = "ts", ttl: str = "24 hours") -> DataFrame:
@@ -87,13 +100,23 @@ def ttl_dedup_stream(events: DataFrame, key: list[str], ts: str = "ts", ttl: str
 
 def paced_slots(requests: DataFrame, lane: str, ts: str, spacing_ms: int) -> DataFrame:
     """Start time of each request if starts of a lane lie at least ``spacing_ms`` apart, in order of arrival.
-    start_i = max(t_i, start_(i-1) + s) = i*s + max over j <= i of (t_j - j*s): a running maximum, no recurrence."""
-    w = Window.partitionBy(lane).orderBy("_us", "_tie")
+    start_i = max(t_i, start_(i-1) + s) = i*s + max over j <= i of (t_j - j*s): a running count and a running maximum, no
+    recurrence. Both are taken inside ranges of (lane, time); a row a range and lane carries them on to later ranges."""
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_tie", F.xxhash64(*requests.columns))
+    # written once: a second evaluation could cut other ranges
+    ranged = written(rows.repartitionByRange(n, lane, "_us", "_tie").withColumn("_range", F.spark_partition_id()), "lanes")
     step = F.lit(spacing_ms * 1000).cast("bigint")
-    i = F.row_number().over(w).cast("bigint")
-    rows = rows.withColumn("_i", i).withColumn("_d", F.col("_us") - F.col("_i") * step)
-    return rows.withColumn("start_us", F.max("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i") * step).drop("_i", "_d", "_tie", "_us")
+    inner = Window.partitionBy("_range", lane).orderBy("_us", "_tie")
+    own = ranged.withColumn("_i", F.row_number().over(inner).cast("bigint")).withColumn("_d", F.col("_us") - F.col("_i") * step)
+    own = own.withColumn("_most", F.max("_d").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = Window.partitionBy("_lane").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = own.groupBy(F.col("_range").alias("_part"), F.col(lane).alias("_lane")).agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_top"))
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    ends = ends.withColumn("_best", F.max(F.col("_top") - F.col("_before") * step).over(earlier))
+    placed = own.join(ends, (F.col("_range") == F.col("_part")) & F.col(lane).eqNullSafe(F.col("_lane")))
+    start = F.greatest(F.col("_most") - F.col("_before") * step, "_best") + (F.col("_before") + F.col("_i")) * step
+    return placed.select(*requests.columns, start.alias("start_us"))
 
 
 # ---------------------------------------------------------------- bursts, gaps, late results
@@ -122,8 +145,6 @@ def merged(batch: DataFrame, epoch: int, path: str, key: str, order: str) -> Non
     batch that comes again changes nothing. Only a table that isn't there counts as empty: one that can't be read fails
     the batch, to be tried again. The new table is written beside the old one, and takes its place when it is whole; an
     interrupted swap is finished by the next batch."""
-    from assayer.functions.tables import hadoop_path
-
     spark = batch.sparkSession
     own, fs = hadoop_path(spark, path)
     old, _ = hadoop_path(spark, f"{path}.old")

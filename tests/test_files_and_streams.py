@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,43 @@ def test_paced_slots_equal_the_recurrence(spark):
     assert got == [("a", 0), ("a", 2_000_000), ("a", 4_000_000), ("a", 10_000_000), ("b", 5_000_000)]
 
 
+def test_paced_slots_of_a_hot_lane_and_of_none(spark):
+    rng = random.Random(5)
+    rows = [(lane, rng.randint(0, 900)) for lane in ["hot"] * 400 + ["b", None, None, None]]
+    df = spark.createDataFrame(rows, "lane string, s long").withColumn("ts", F.timestamp_seconds("s")).withColumn("s", F.monotonically_increasing_id())
+    got = sorted((r.lane or "", r.start_us) for r in S.paced_slots(df, "lane", "ts", 2000).collect())
+    want = []
+    for lane in ("hot", "b", None):
+        last = None
+        for s in sorted(s for x, s in rows if x == lane):
+            last = s if last is None else max(s, last + 2)
+            want.append((lane or "", last * 1_000_000))
+    assert got == sorted(want)
+    assert S.paced_slots(df.limit(0), "lane", "ts", 2000).collect() == []
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+def test_ttl_dedup_equals_the_recurrence(spark, batch):
+    rng = random.Random(batch)
+    rows = [(i, rng.choice(["hot", "hot", "b", None]), rng.choice([rng.randint(0, 5000), rng.randint(0, 5000), None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want = []
+    for key in ("hot", "b", None):
+        last = None
+        for s in sorted(s for _, k, s in rows if k == key and s is not None):
+            if last is None or s - last >= 60:
+                want.append((key or "", s))
+                last = s
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted((r.k or "", r.s) for r in S.ttl_dedup(df, ["k"], "ts", 60).collect())
+        assert got == sorted(want)
+        assert S.ttl_dedup(df.limit(0), ["k"], "ts", 60).collect() == []
+        assert S.ttl_dedup(df.where("s is not null"), ["k"], "ts", 0).count() == sum(s is not None for *_, s in rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_latest_with_state_equals_batch(events, tmp_path):
     batch, stream = events
     spark = batch.sparkSession

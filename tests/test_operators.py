@@ -1,9 +1,11 @@
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import evaluation as E
+from assayer.operators import pricing as P
 from assayer.operators import records as R
 from assayer.operators.components import components
 from assayer.operators.linkage import keep_best
@@ -102,3 +104,17 @@ def test_keep_best_and_merges(spark):
 def test_membership_digest_does_not_depend_on_order(spark):
     a = spark.createDataFrame([("x", "test"), ("y", "dev")], "cert string, split string")
     assert R.membership_digest(a, "cert", "split") == R.membership_digest(a.orderBy("split"), "cert", "split")
+
+
+def test_sales_stats_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([1.5, 2.0, -1.0, None, rng.randint(1, 50) / 4]), rng.randint(0, 9), i, i % 7 == 0) for i in range(400)] + [("one", 3.0, 1, 400, False), ("two", 3.0, 1, 401, False), ("two", 4.0, 1, 402, False)]
+    df = spark.createDataFrame(rows, "k string, price double, day int, i long, fixed boolean")
+    got = {r.k: tuple(r)[1:] for r in P.sales_stats(df, ["k"], "price", "day", ["i"], F.col("fixed")).collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key and not r[4] and r[1] is not None and r[1] > 0]
+        prices = [r[1] for r in own]
+        want[key] = (len(own), statistics.median(prices), min(prices), max(prices), max(own, key=lambda r: (r[2], r[3]))[1])
+    assert got == want
+    assert P.sales_stats(df.limit(0), ["k"], "price", "day", ["i"], F.col("fixed")).collect() == []
