@@ -75,7 +75,8 @@ def common_bytes(x: np.ndarray, at: np.ndarray, y: np.ndarray, place: np.ndarray
         some = differ != 0
         low = differ[some]
         ends = left[some]
-        out[ends] = np.minimum(out[ends], done + (np.bitwise_count((low & (~low + U(1))) - U(1)) >> 3))
+        same = np.bitwise_count((low & (~low + U(1))) - U(1)).astype(np.int64) >> 3
+        out[ends] = np.minimum(out[ends], done + same)
         done += 8
         left = left[~some]
         left = left[out[left] > done]

@@ -134,6 +134,21 @@ def test_bytes_in_common():
         assert g == next((k for k in range(m) if x[i + k] != y[j + k]), m)
 
 
+def test_many_bytes_in_common():
+    x = bytes(range(256)) * 8
+    cut = [0, 1, 7, 8, 255, 256, 257, 263, 264, 1000, 2047, 2048]
+    for n in cut:
+        y = x[:n] + bytes(b ^ 1 for b in x[n:])
+        assert arrays.common_bytes(arrays.eights(x), np.zeros(1, np.int64), arrays.eights(y), np.zeros(1, np.int64), np.array([2048])).tolist() == [n]
+
+
+def test_windows_of_many_bytes(spark):
+    words = [f"{'verylongword' * 4}{i}" for i in range(40)]  # 13 of them are over 600 bytes
+    docs = {1: " ".join(words), 2: " ".join(words[:30]), 3: " ".join(["x", *words[10:], "y"]), 4: " ".join(words[:13][:-1] + ["other"]), 5: " ".join(words[::-1])}
+    assert {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.text)) for r in substrings.dedup_words(frame(spark, docs)).collect()} == brute.word_windows(docs)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in substrings.dedup_bytes(frame(spark, docs)).collect()} == brute.byte_windows(docs)
+
+
 def test_query_windows_on_data(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert {r.doc_id: tuple(r)[1:] for r in queries.op8_substring_dedup(spark, DATA).collect()} == brute.word_windows(docs)
