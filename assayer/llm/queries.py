@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.tables import table
-from assayer.llm import bpe, decontaminate, embeddings, langid, lines, minhash, secrets, substrings, toxicity
+from assayer.llm import align, bpe, centroids, decontaminate, embeddings, langid, lines, minhash, secrets, substrings, toxicity, urls
 from assayer.llm.session import tuned
 
 
-def vocabulary() -> str:
+#: Fixed values of op13: what a rule's host and path say.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +70,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(table(tuned(spark), sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
@@ -77,6 +93,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
+    "op11_alignment": op11_alignment,
+    "op12_clusters": op12_clusters,
+    "op13_url_filter": op13_url_filter,
 }
 
 #: Every window that shares a shingle with an item, at every start, compared exactly, without fingerprints.
@@ -140,7 +159,28 @@ lab(id, l) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, l.l FROM l
 c AS (SELECT id, min(l) AS component_id FROM lab GROUP BY id)
 SELECT id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.id"""
 
+
+
+def clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """All distances in every round; sums and floors in integers."""
+    out = """WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS n, e AS c FROM (SELECT * FROM v ORDER BY sha256('2:' || vec_id), e LIMIT {k}))""".format(k=k)
+    for i in range(rounds + 1):
+        out += f""",
+a{i} AS MATERIALIZED (SELECT vec_id, e, min(struct_pack(d := (list_inner_product(e, e) - 2 * list_inner_product(e, c) + list_inner_product(c, c))::BIGINT, n := n)) AS best FROM v, c{i} GROUP BY vec_id, e)"""
+        if i < rounds:
+            out += f""",
+s{i} AS (SELECT n, place, sum(x::BIGINT) AS s, count(*) AS m FROM (SELECT best.n AS n, unnest(e) AS x, unnest(range(64)) AS place FROM a{i}) GROUP BY n, place),
+m{i} AS (SELECT n, list(((s - ((s % m) + m) % m) // m)::DOUBLE ORDER BY place) AS c FROM s{i} GROUP BY n),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.n, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON m{i}.n = c{i}.n)"""
+    return out + f"""
+SELECT vec_id, best.n::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.n)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON n = best.n"""
+
+
 ORACLE_SQL = {
+    "op12_clusters": clusters_sql(),
     "op4_embedding_dedup": VECTORS_SQL,
     "op5_suffix_dedup": BYTES_SQL,
     "op8_substring_dedup": WINDOWS_SQL,
