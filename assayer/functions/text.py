@@ -47,8 +47,9 @@ def plain(c: Column) -> Column:
 
 
 def plain_any(c: Column) -> Column:
-    """``plain_text`` of any text."""
-    return vectorised(plain_text, "string")(c)
+    """``plain_text`` of any text; ASCII text, which SQL functions can do, is not sent to Python."""
+    ascii_ = F.coalesce(c, F.lit("")).rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_, plain(c)).otherwise(vectorised(plain_text, "string")(F.when(~ascii_, c)))
 
 
 # ---------------------------------------------------------------- numbers and keys

@@ -1,14 +1,25 @@
-"""Record linkage with weighted, explainable scores. Candidates are met by equi-joins on blocking keys that lose no
-acceptable match (``met``): with a different number the score cannot reach the limit, and where a side has no number it
-takes equal names and sets."""
+"""Record linkage with weighted, explainable scores, and the best candidates of each item by bounded postings.
+
+A score is a sum of gains: number, name, set, version. What an entry can give an item in one respect is one of few kinds
+(equal, one text inside the other, something else), so entries are posted under *tags* of each respect, and an item looks
+up the tags under which its entries must lie, each with its gain. All entries of a posting give the item at least the sum
+of its tags' gains, and exactly that in the most particular posting that holds them. So the k best of an item are among
+the k smallest keys of its postings: only those are kept, whatever a posting's size, and nothing acceptable is lost.
+Postings that can reach ``ACCEPT`` are looked up first; only items with fewer than k entries in them go on to the rest.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.grades import num
-from assayer.functions.text import brackets, collector_number, plain, plain_any
+from assayer.functions.tables import written
+from assayer.functions.text import brackets, collector_number, plain_any
 
 ACCEPT = 0.5
 
@@ -24,12 +35,12 @@ def product_score(name: Column, console: Column, want_name: Column, want_number:
     found = F.regexp_extract(name, r"#\s*([A-Za-z]*\d+[A-Za-z]*)", 1)
     number, wanted = collector_number(found), collector_number(want_number)
     by_number = F.when((wanted != "") & (number == wanted), num(0.45)).when((wanted != "") & (number != ""), num(-0.5)).otherwise(num(0))
-    base = plain(F.regexp_replace(F.regexp_replace(name, r"\[[^\]]*\]", ""), r"#\s*\S+", ""))
-    set_ = plain(F.regexp_replace(console, r"^(?i)(pokemon|riftbound)\s+", ""))
-    version, look = plain(F.array_join(brackets(name), ", ")), plain(finish)
+    base = plain_any(F.regexp_replace(F.regexp_replace(name, r"\[[^\]]*\]", ""), r"#\s*\S+", ""))
+    set_ = plain_any(F.regexp_replace(console, r"^(?i)(pokemon|riftbound)\s+", ""))
+    version, look = plain_any(F.array_join(brackets(name), ", ")), plain_any(finish)
     hit = ((look != "") & F.contains(version, look)) | (F.contains(look, F.lit("reverse")) & F.contains(version, F.lit("reverse"))) | (F.contains(look, F.lit("foil")) & F.contains(version, F.lit("foil")))
     by_version = F.when(F.size(brackets(name)) == 0, num(0.05)).when(hit, num(0.05)).otherwise(num(-0.1))
-    total = by_number + _three(base, plain(want_name), 0.25, 0.12, -0.2) + _three(set_, plain(want_set), 0.25, 0.1, -0.15) + by_version
+    total = by_number + _three(base, plain_any(want_name), 0.25, 0.12, -0.2) + _three(set_, plain_any(want_set), 0.25, 0.1, -0.15) + by_version
     return F.greatest(num(0), F.least(num(1), F.round(total, 6)))
 
 
@@ -37,10 +48,10 @@ def catalog_score(name: Column, number: Column, set_: Column, want_name: Column,
     """Score of a catalog card; a set also matches as whole words at either end."""
     n, w = collector_number(number), collector_number(want_number)
     by_number = F.when((w != "") & (n == w), num(0.45)).when((w != "") & (n != ""), num(-0.5)).otherwise(num(0))
-    s, t = plain(set_), plain(want_set)
+    s, t = plain_any(set_), plain_any(want_set)
     ends = (s == t) | F.endswith(s, F.concat(F.lit(" "), t)) | F.startswith(s, F.concat(t, F.lit(" ")))
     by_set = F.when(t == "", num(0)).when((s != "") & ends, num(0.25)).when((s != "") & (F.contains(s, t) | F.contains(t, s)), num(0.12)).otherwise(num(-0.15))
-    return F.greatest(num(0), F.least(num(1), F.round(by_number + _three(plain(name), plain(want_name), 0.25, 0.12, -0.2) + by_set, 6)))
+    return F.greatest(num(0), F.least(num(1), F.round(by_number + _three(plain_any(name), plain_any(want_name), 0.25, 0.12, -0.2) + by_set, 6)))
 
 
 def identify_score(base: Column, typed_name: Column, typed_number: Column, name: Column, total: Column) -> Column:
@@ -55,15 +66,161 @@ def identify_score(base: Column, typed_name: Column, typed_number: Column, name:
     return F.floor(F.greatest(num(0), F.least(num(1), base + by_name + by_total)) * 100 + 0.5) / 100
 
 
-def met(items: DataFrame, entries: DataFrame, item: tuple[Column, Column, Column], entry: tuple[Column, Column, Column]) -> DataFrame:
-    """Pairs that can be accepted, by (number, name, set) of either side: equal numbers, or, where either side has no
-    number, equal normalised names and sets. The two joins share no pair."""
-    keys = [[collector_number(n).alias("_n"), plain_any(a).alias("_a"), plain_any(s).alias("_s")] for n, a, s in (item, entry)]
-    left, right = items.select("*", *keys[0]), entries.select("*", *keys[1])
-    own = right.columns[:-3]
-    numbered = left.where("_n <> ''").drop("_a", "_s").join(right.where("_n <> ''").select("_n", *own), "_n").drop("_n")
-    named = left.join(right.withColumnRenamed("_n", "_m"), ["_a", "_s"]).where("(_n = '' or _m = '') and _a <> '' and _s <> ''").drop("_n", "_m", "_a", "_s")
-    return numbered.unionByName(named)
+# ---------------------------------------------------------------- postings
+
+#: Tags are a letter and a text: "*" any entry; "=" the entry's own text; "<" a wanted text inside the entry's; "|" a
+#: wanted text at either end of the entry's as whole words; "~" a word that a version and a look share; "-" no version.
+#: Longest prefix of a wanted text by which the entries that hold it are found.
+PREFIX = 8
+
+
+@dataclass(frozen=True)
+class Gains:
+    """What a scorer gives. ``ends``: a wanted set at either end counts as equal; ``blank``: an entry's empty set lies in
+    every wanted one; ``version``: gains with and without a fitting version, if the scorer looks at versions."""
+
+    number: float = 0.45
+    name: tuple[float, float, float] = (0.25, 0.12, -0.2)
+    set: tuple[float, float, float] = (0.25, 0.1, -0.15)
+    ends: bool = False
+    blank: bool = True
+    version: tuple[float, float] | None = (0.05, -0.1)
+
+
+PRODUCT = Gains()
+CATALOG = Gains(set=(0.25, 0.12, -0.15), ends=True, blank=False, version=None)
+#: Words that fit each other in a version and a look, wherever they stand (fixed values).
+LOOK_WORDS = ("reverse", "foil")
+
+
+def _inside(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text, inside: the wanted texts that lie in each entry's text without being it. Both sides are distinct texts. A
+    wanted text is found by its first PREFIX characters, then compared."""
+    text = F.col("text")
+    starts = lambda q: F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(text, i, F.lit(q)))
+    empty = F.array().cast("array<string>")
+    grams = F.array_distinct(F.concat(*[F.when(F.length(text) >= q, starts(q)).otherwise(empty) for q in range(1, PREFIX + 1)]))
+    own = entries.where("text <> ''").select("text", F.explode(grams).alias("gram"))
+    found = own.join(wanted.where("text <> ''").select(F.col("text").alias("inside"), F.substring("text", 1, PREFIX).alias("gram")), "gram")
+    return found.where(F.contains("text", F.col("inside")) & (F.col("text") != F.col("inside"))).select("text", "inside").distinct()
+
+
+def _collected(pairs: DataFrame) -> DataFrame:
+    """text, held: what lies inside each text, as one array (no longer than the text has parts)."""
+    return pairs.groupBy("text").agg(F.collect_set("inside").alias("held"))
+
+
+def _joined(df: DataFrame, column: str, held: DataFrame) -> DataFrame:
+    """``df`` with ``column``_held, empty where nothing is held."""
+    out = df.join(held.select(F.col("text").alias(column), F.col("held").alias(f"{column}_held")), column, "left")
+    return out.withColumn(f"{column}_held", F.coalesce(f"{column}_held", F.array().cast("array<string>")))
+
+
+def _tag(kind: str, text: Column) -> Column:
+    return F.concat(F.lit(kind), text)
+
+
+def _entry_tags(text: str, ends: bool) -> Column:
+    """Tags under which an entry is posted in one respect."""
+    own, held = F.col(text), F.col(f"{text}_held")
+    at_end = lambda w: F.endswith(own, F.concat(F.lit(" "), w)) | F.startswith(own, F.concat(w, F.lit(" ")))
+    inside = F.transform(held, lambda w: F.when(at_end(w), _tag("|", w)).otherwise(_tag("<", w)) if ends else _tag("<", w))
+    return F.concat(F.array(F.lit("*"), _tag("=", own)), inside)
+
+
+def _gain(tag: Column, gain: float) -> Column:
+    return F.struct(tag.alias("tag"), num(gain).alias("gain"))
+
+
+def _item_tags(text: str, gains: tuple[float, float, float], ends: bool, blank: bool) -> Column:
+    """Tags that an item looks up in one respect, with their gains; nothing is gained or lost by an empty text."""
+    own, held = F.col(text), F.col(f"{text}_held")
+    same, part, other = gains
+    tags = [_gain(F.lit("*"), other), _gain(_tag("=", own), same), _gain(_tag("<", own), part)]
+    tags += [_gain(_tag("|", own), same)] if ends else []
+    tags += [_gain(F.lit("="), part)] if blank else []
+    return F.when(own == "", F.array(_gain(F.lit("*"), 0.0))).otherwise(F.concat(F.array(*tags), F.transform(held, lambda w: _gain(_tag("=", w), part))))
+
+
+def _keys(numbers: Column, *tags: Column, gains: bool) -> Column:
+    """All combinations of the tags, with the sum of the gains on the item's side."""
+
+    def both(left: Column, right: Column) -> Column:
+        if gains:
+            return F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.struct(F.concat(a["tag"], F.lit("\n"), b["tag"]).alias("tag"), (a["gain"] + b["gain"]).alias("gain")))))
+        return F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.concat(a, F.lit("\n"), b))))
+
+    return reduce(both, tags, numbers)
+
+
+def _without(tags: Column, kinds: tuple[str, ...], gains: bool) -> Column:
+    return F.filter(tags, lambda t: ~F.substring(t["tag"] if gains else t, 1, 1).isin(*kinds))
+
+
+def top_matches(items: DataFrame, entries: DataFrame, gains: Gains, k: int = 2, accept: float = ACCEPT) -> DataFrame:
+    """item, entry, score: the k best entries of each item, the smaller entry first among equals. ``items`` has item,
+    number, name, set and (for scorers with versions) look; ``entries`` has entry, number, name, set and version (null:
+    none), all normalised once by the caller. Candidates are all pairs of equal numbers, and pairs of which a side has
+    no number if the names are equal and the sets equal or one in the other; no other pair is acceptable."""
+    items, entries = written(items, "items"), written(entries, "entries")
+    for c in ("name", "set"):
+        texts = [d.select(F.col(c).alias("text")).distinct() for d in (items, entries)]
+        entries_hold, items_hold = _collected(_inside(texts[1], texts[0])), _collected(_inside(texts[0], texts[1]))
+        entries, items = _joined(entries, c, entries_hold), _joined(items, c, items_hold)
+    if gains.version is not None:
+        pairs = _inside(entries.where("version is not null").select(F.col("version").alias("text")).distinct(), items.select(F.col("look").alias("text")).distinct())
+        entries = _joined(entries, "version", _collected(pairs))
+        shared = lambda c: F.filter(F.array(*map(F.lit, LOOK_WORDS)), lambda w: F.contains(F.col(c), w))
+        version = F.when(F.col("version").isNull(), F.array(F.lit("-"))).otherwise(F.concat(_entry_tags("version", False), F.transform(shared("version"), lambda w: _tag("~", w))))
+        hit, miss = gains.version
+        own = F.when(F.col("look") == "", F.array().cast("array<struct<tag:string,gain:double>>")).otherwise(F.array(_gain(_tag("=", F.col("look")), hit), _gain(_tag("<", F.col("look")), hit)))
+        look = F.concat(F.array(_gain(F.lit("-"), hit), _gain(F.lit("*"), miss)), own, F.transform(shared("look"), lambda w: _gain(_tag("~", w), hit)))
+    else:
+        version, look = F.array(F.lit("*")), F.array(_gain(F.lit("*"), 0.0))
+    has = F.col("number") != ""
+    e_name, e_set = _entry_tags("name", False), _entry_tags("set", gains.ends)
+    by_number = F.when(has, _keys(F.array(_tag("#", F.col("number"))), e_name, e_set, version, gains=False)).otherwise(F.array().cast("array<string>"))
+    unnumbered = _keys(F.array(F.when(has, "1").otherwise("0")), F.array(_tag("=", F.col("name"))), _without(e_set, ("*",), False), version, gains=False)
+    posted = entries.select("entry", F.explode(F.concat(by_number, unnumbered)).alias("key"))
+    first = Window.partitionBy("key").orderBy("entry")
+    postings = written(posted.withColumn("_p", F.row_number().over(first)).where(F.col("_p") <= k).drop("_p"), "postings")
+    i_name, i_set = _item_tags("name", gains.name, False, True), _item_tags("set", gains.set, gains.ends, gains.blank)
+    none = F.array().cast("array<struct<tag:string,gain:double>>")
+    by_number = F.when(has, _keys(F.array(_gain(_tag("#", F.col("number")), gains.number)), i_name, i_set, look, gains=True)).otherwise(none)
+    lacking = F.when(has, F.array(_gain(F.lit("0"), 0.0))).otherwise(F.array(_gain(F.lit("0"), 0.0), _gain(F.lit("1"), 0.0)))
+    unnumbered = F.when((F.col("name") != "") & (F.col("set") != ""), _keys(lacking, F.array(_gain(_tag("=", F.col("name")), gains.name[0])), _without(i_set, ("*",), True), look, gains=True)).otherwise(none)
+    asked = items.select("item", F.explode(F.concat(by_number, unnumbered)).alias("k"))
+    asked = written(asked.select("item", F.col("k.tag").alias("key"), F.round("k.gain", 6).alias("bound")), "asked")
+
+    def found(part: DataFrame) -> DataFrame:
+        """An entry's score is the bound of the most particular posting that holds it."""
+        return part.join(postings, "key").groupBy("item", "entry").agg(F.max("bound").alias("bound"))
+
+    high = written(found(asked.where(F.col("bound") >= accept)), "high")
+    done = high.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("item")
+    rest = asked.where(F.col("bound") < accept).join(done, "item", "left_anti")
+    both = high.unionByName(found(rest)).groupBy("item", "entry").agg(F.max("bound").alias("bound"))
+    score = F.greatest(num(0), F.least(num(1), F.col("bound")))
+    best = Window.partitionBy("item").orderBy(F.col("score").desc(), "entry")
+    return both.select("item", "entry", score.alias("score")).withColumn("_p", F.row_number().over(best)).where(F.col("_p") <= k).drop("_p")
+
+
+def wanted_items(items: DataFrame, item: str, name: Column, number: Column, set_: Column, look: Column | None = None, normal: Callable[[Column], Column] = plain_any) -> DataFrame:
+    """Items as ``top_matches`` takes them."""
+    return items.select(F.col(item).alias("item"), collector_number(number).alias("number"), normal(name).alias("name"), normal(set_).alias("set"), normal(F.lit("") if look is None else look).alias("look"))
+
+
+def product_entries(products: DataFrame, entry: str, name: Column, console: Column, normal: Callable[[Column], Column] = plain_any) -> DataFrame:
+    """Priced products as ``top_matches`` takes them: number, bare name and bracketed version are taken from the name."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"\[[^\]]*\]", ""), r"#\s*\S+", "")
+    version = F.when(F.size(brackets(name)) > 0, normal(F.array_join(brackets(name), ", ")))
+    number = collector_number(F.regexp_extract(F.coalesce(name, F.lit("")), r"#\s*([A-Za-z]*\d+[A-Za-z]*)", 1))
+    return products.select(F.col(entry).alias("entry"), number.alias("number"), normal(bare).alias("name"), normal(F.regexp_replace(console, r"^(?i)(pokemon|riftbound)\s+", "")).alias("set"), version.alias("version"))
+
+
+def catalog_entries(cards: DataFrame, entry: str, name: Column, number: Column, set_: Column, normal: Callable[[Column], Column] = plain_any) -> DataFrame:
+    """Catalog cards as ``top_matches`` takes them."""
+    return cards.select(F.col(entry).alias("entry"), collector_number(number).alias("number"), normal(name).alias("name"), normal(set_).alias("set"))
 
 
 def best_match(scored: DataFrame, item: str, score: str, tie: str, accept: float = ACCEPT, rival: float = 0.05) -> DataFrame:

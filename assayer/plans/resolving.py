@@ -33,10 +33,10 @@ def wanted(spark, sf_dir) -> DataFrame:
 
 
 def candidates(spark, sf_dir) -> DataFrame:
-    items, priced = wanted(spark, sf_dir), products(spark, sf_dir)
-    met = items.withColumn("number", X.collector_number(F.col("want"))).join(priced, "number")
-    score = L.product_score(F.col("product_name"), F.col("console"), F.col("name"), F.col("want"), F.col("set"), F.col("finish"))
-    return met.select("item", "product", score.alias("score"))
+    """The two best products of each item."""
+    items = L.wanted_items(wanted(spark, sf_dir), "item", F.col("name"), F.col("want"), F.col("set"), F.col("finish"))
+    entries = L.product_entries(products(spark, sf_dir), "product", F.col("product_name"), F.col("console"))
+    return L.top_matches(items, entries, L.PRODUCT).withColumnRenamed("entry", "product")
 
 
 _PRODUCTS = """prod AS (SELECT p_partkey AS product, p_partkey % 150 AS n, lower(p_name) AS nm, lower(replace(p_brand, '#', ' ')) AS st, p_partkey % 7 = 0 AS special FROM part),
@@ -53,11 +53,22 @@ def link_score_best(spark, sf_dir):
 
 def link_catalog(spark, sf_dir):
     """The other scorer, against bare catalog entries."""
-    items = wanted(spark, sf_dir).withColumn("number", X.collector_number(F.col("want")))
-    entries = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), "p_name", F.concat(F.col("p_brand"), F.lit(" "), F.col("p_type")).alias("release"), F.pmod("p_partkey", F.lit(150)).cast("string").alias("number"))
-    met = items.join(entries, "number")
-    score = L.catalog_score(F.col("p_name"), F.col("number"), F.col("release"), F.col("name"), F.col("want"), F.col("set"))
-    return L.best_match(met.select("item", "entry", score.alias("score")), "item", "score", "entry").select("item", "best", "score")
+    release = F.concat(F.col("p_brand"), F.lit(" "), F.col("p_type"))
+    items = L.wanted_items(wanted(spark, sf_dir), "item", F.col("name"), F.col("want"), F.col("set"))
+    cards = L.catalog_entries(table(spark, sf_dir, "part"), "p_partkey", F.col("p_name"), F.pmod("p_partkey", F.lit(150)).cast("string"), release)
+    return L.best_match(L.top_matches(items, cards, L.CATALOG), "item", "score", "entry").select("item", "best", "score")
+
+
+def link_open(spark, sf_dir):
+    """Catalog links where some items and some entries have no number, and some sets match at one end only."""
+    k = F.col("p_partkey")
+    release = F.concat(F.when(F.pmod(k, F.lit(4)) == 0, F.concat(F.col("p_type"), F.lit(" "))).otherwise(""), F.col("p_brand"))
+    number = F.when(F.pmod(k, F.lit(3)) != 0, F.pmod(k, F.lit(150)).cast("string"))
+    some = wanted(spark, sf_dir).withColumn("want", F.when(F.pmod("item", F.lit(5)) != 0, F.col("want")))
+    items = L.wanted_items(some, "item", F.col("name"), F.col("want"), F.col("set"))
+    cards = L.catalog_entries(table(spark, sf_dir, "part"), "p_partkey", F.col("p_name"), number, release)
+    out = L.best_match(L.top_matches(items, cards, L.CATALOG), "item", "score", "entry")
+    return out.where("accepted").select("item", "best", "score", F.col("needs_choice").cast("int").alias("needs_choice"))
 
 
 def decisive(spark, sf_dir):
@@ -261,7 +272,7 @@ def size_stop(spark, sf_dir):
 
 
 QUERIES = {
-    "q_link_score_best": link_score_best, "q_link_catalog": link_catalog, "q_decisive_candidate": decisive, "q_link_fallback": link_fallback, "q_dedupe_keep_best": dedupe_keep_best, "q_vote_top": vote_top,
+    "q_link_score_best": link_score_best, "q_link_catalog": link_catalog, "q_link_open": link_open, "q_decisive_candidate": decisive, "q_link_fallback": link_fallback, "q_dedupe_keep_best": dedupe_keep_best, "q_vote_top": vote_top,
     "q_sales_stats": sales_stats, "q_versions": versions, "q_price_ladder": price_ladder, "q_catalog_nest": catalog_nest, "q_checked_prices": checked_prices, "q_top_listed": top_listed,
     "q_status_counts": status_counts, "q_schema_errors": schema_errors, "q_field_diff": field_diff, "q_merge_precedence": merge_precedence, "q_reconcile_full_outer": reconcile,
     "q_semi_excluded": semi_excluded, "q_anti_missing": anti_missing, "q_near_pairs_hamming": near_pairs, "q_components": near_groups, "q_split_stratified": split_stratified, "q_split_summary": split_summary,
@@ -276,6 +287,16 @@ ORACLE_SQL = {
       e AS (SELECT p_partkey AS entry, p_partkey % 150 AS n, lower(p_name) AS nm, lower(replace(p_brand, '#', ' ') || ' ' || p_type) AS st FROM part),
       s AS (SELECT item, entry, greatest(0.0, least(1.0, round(0.45 + CASE WHEN e.nm = w.nm THEN 0.25 WHEN contains(e.nm, w.nm) OR contains(w.nm, e.nm) THEN 0.12 ELSE -0.2 END + CASE WHEN e.st = w.st OR ends_with(e.st, ' ' || w.st) OR starts_with(e.st, w.st || ' ') THEN 0.25 WHEN contains(e.st, w.st) OR contains(w.st, e.st) THEN 0.12 ELSE -0.15 END, 6))) AS score FROM w JOIN e USING (n))
       SELECT item, entry AS best, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, entry) AS r FROM s) WHERE r = 1""",
+    "q_link_open": """WITH w AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 150 END AS n, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE lower(p_name) END AS nm, lower(replace(p_brand, '#', ' ')) AS st FROM part),
+      e AS (SELECT p_partkey AS entry, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 150 END AS n, lower(p_name) AS nm, CASE WHEN p_partkey % 4 = 0 THEN lower(p_type) || ' ' ELSE '' END || lower(replace(p_brand, '#', ' ')) AS st FROM part),
+      wc AS (SELECT DISTINCT n, nm, st FROM w), ec AS (SELECT n, nm, st, min(entry) AS first, CASE WHEN count(*) > 1 THEN min(entry) FILTER (WHERE entry > low) END AS second FROM (SELECT *, min(entry) OVER (PARTITION BY n, nm, st) AS low FROM e) GROUP BY n, nm, st),
+      s AS (SELECT wc.n, wc.nm, wc.st, first, second, greatest(0.0, least(1.0, round(CASE WHEN wc.n = ec.n THEN 0.45 WHEN wc.n IS NOT NULL AND ec.n IS NOT NULL THEN -0.5 ELSE 0 END
+        + CASE WHEN ec.nm = wc.nm THEN 0.25 WHEN contains(ec.nm, wc.nm) OR contains(wc.nm, ec.nm) THEN 0.12 ELSE -0.2 END
+        + CASE WHEN ec.st = wc.st OR ends_with(ec.st, ' ' || wc.st) OR starts_with(ec.st, wc.st || ' ') THEN 0.25 WHEN contains(ec.st, wc.st) OR contains(wc.st, ec.st) THEN 0.12 ELSE -0.15 END, 6))) AS score FROM wc, ec),
+      u AS (SELECT n, nm, st, first AS entry, score FROM s WHERE score >= 0.45 UNION ALL SELECT n, nm, st, second, score FROM s WHERE score >= 0.45 AND second IS NOT NULL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY n, nm, st ORDER BY score DESC, entry) AS r FROM u)
+      SELECT item, max(entry) FILTER (WHERE r = 1) AS best, max(score) AS score, (coalesce(max(score) FILTER (WHERE r = 2), -1) >= max(score) - 0.05)::INT AS needs_choice
+      FROM w JOIN r ON w.nm = r.nm AND w.st = r.st AND w.n IS NOT DISTINCT FROM r.n WHERE r.r <= 2 GROUP BY item HAVING max(score) >= 0.5""",
     "q_decisive_candidate": f"WITH {_PRODUCTS} SELECT item, max(product) FILTER (WHERE r = 1) AS best, max(score) AS score, (max(score) >= 0.9 AND max(score) - coalesce(max(score) FILTER (WHERE r = 2), 0) >= 0.3)::INT AS decisive FROM best GROUP BY item",
     "q_link_fallback": "WITH pr AS (SELECT c_nationkey, c_mktsegment, min(c_name) AS nm FROM customer GROUP BY ALL) SELECT o_orderkey, coalesce(CASE WHEN c.c_custkey % 3 <> 0 THEN c.c_name END, pr.nm) AS name, CASE WHEN c.c_custkey % 3 <> 0 THEN 'id' WHEN pr.nm IS NOT NULL THEN 'pair' END AS source FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey LEFT JOIN pr USING (c_nationkey, c_mktsegment)",
     "q_dedupe_keep_best": "SELECT doc_id, h FROM (SELECT doc_id, sha256(text) AS h, row_number() OVER (PARTITION BY sha256(text) ORDER BY length(source) DESC, doc_id) AS r FROM documents) WHERE r = 1",

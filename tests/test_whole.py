@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from assayer.functions import text as X
 from assayer.operators import evaluation as E
 from assayer.operators import linkage as L
 from assayer.operators import records as R
@@ -85,12 +86,42 @@ def test_leaks_of_a_class_that_crosses_splits(spark):
     assert got == {(1, "tune", 2, "check", 0), (2, "check", 3, "tune", 1), (5, "tune", 6, "check", 1), (1, "tune", 7, "check", 1), (3, "tune", 7, "check", 2)}
 
 
-def test_products_without_a_number_are_met(spark):
-    items = spark.createDataFrame([(1, "Mew ex", "12/100", "Base"), (2, "Pikachu", "", "Jungle"), (3, "Mew ex", "13", "Base")], "item int, name string, want string, set string")
-    entries = spark.createDataFrame([(10, "mew EX", "", "base"), (11, "Mew ex", "12", "Base"), (12, "Pikachu", "7", "Jungle"), (13, "Other", "12", "Fossil"), (14, "", "", "")], "product int, n string, number string, s string")
+def test_best_matches_equal_all_pairs(spark):
+    """Both scorers over every pair; postings lose no acceptable one, nor one of equal numbers."""
+    import random
+
+    rng = random.Random(8)
+    names = ["Mew", "Mew ex", "Mewtwo", "Pikachu", "Pika", "ex", "", "Dark Mew", "Pokémon Mew", "mew EX", "M e w"]
+    sets = ["Base", "Base Set", "Sword Shield Base", "Sword", "Jungle", "", "base set 2"]
+    numbers = ["", "12/100", "012", "7", "TG05"]
+    looks = ["", "reverse holo", "foil", "Reverse", "1st"]
+    versions = ["", " [Reverse Holo]", " [Cosmos Foil]", " [Foil] [1st]", " [Shadowless]"]
+    pick = rng.choice
+    items = [(i, pick(names), pick(numbers), pick(sets), pick(looks)) for i in range(150)] + [(500, None, None, None, None), (501, "Pikachu", "25/100", "Base", "")]
+    cards = [(i, pick(names), pick(numbers), pick(sets)) for i in range(150)] + [(500, None, None, None), (501, "Pikachu", None, "Sword Shield Base")]
+    priced = [(i, f"{pick(names)}{pick(versions)}" + (f" #{n}" if (n := pick(["", "12", "7", "TG05", "012"])) else ""), f"Pokemon {pick(sets)}") for i in range(150)] + [(500, None, None)]
+    items = spark.createDataFrame(items, "item int, name string, want string, wanted_set string, finish string")
+    cards = spark.createDataFrame(cards, "entry int, n string, number string, s string")
+    priced = spark.createDataFrame(priced, "entry int, product string, console string")
     c = F.col
-    got = {(r.item, r.product) for r in L.met(items, entries, (c("want"), c("name"), c("set")), (c("number"), c("n"), c("s"))).collect()}
-    assert got == {(1, 10), (1, 11), (1, 13), (2, 12), (3, 10)}
+    want = L.wanted_items(items, "item", c("name"), c("want"), c("wanted_set"), c("finish"))
+    cases = [
+        (L.top_matches(want, L.catalog_entries(cards, "entry", c("n"), c("number"), c("s")), L.CATALOG), items.crossJoin(cards), L.catalog_score(c("n"), c("number"), c("s"), c("name"), c("want"), c("wanted_set")), X.collector_number(c("number"))),
+        (L.top_matches(want, L.product_entries(priced, "entry", c("product"), c("console")), L.PRODUCT), items.crossJoin(priced), L.product_score(c("product"), c("console"), c("name"), c("want"), c("wanted_set"), c("finish")), X.collector_number(F.regexp_extract(F.coalesce(c("product"), F.lit("")), r"#\s*([A-Za-z]*\d+[A-Za-z]*)", 1))),
+    ]
+    for top, pairs, score, number in cases:
+        got = {}
+        for r in top.collect():
+            got.setdefault(r.item, []).append((-r.score, r.entry))
+        scored, equal = {}, {}
+        for r in pairs.select("item", "entry", F.coalesce(score, F.lit(0.0)).alias("score"), (number == X.collector_number(c("want"))).alias("same"), (X.collector_number(c("want")) != "").alias("has")).collect():
+            scored.setdefault(r.item, []).append((-r.score, r.entry))
+            if r.same and r.has:
+                equal.setdefault(r.item, []).append((-r.score, r.entry))
+        for item, own in scored.items():
+            best = [x for x in sorted(own)[:2] if x[0] <= -0.5]
+            assert sorted(got.get(item, []))[: len(best)] == best
+            assert all(x in got[item] or x > max(got[item]) for x in equal.get(item, []))
 
 
 def test_near_pairs_of_random_values(spark):
