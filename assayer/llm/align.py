@@ -27,7 +27,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -41,7 +40,7 @@ from assayer.functions.tables import apart, written
 from assayer.llm.bpe import byte_symbols
 
 #: Characters of text a chunk; characters of words that a worker remembers before it starts anew.
-CHUNK, MEMO = 8 << 20, 2 << 20
+CHUNK, MEMO = 8 << 20, 4 << 20
 #: A space where a text is not cut: nothing visible stands before it.
 KEPT_SPACE = re.compile(r"(?<![!-~\w]) ")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -65,6 +64,11 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        most = max(vocab.values()) + 1
+        self.bytes_a = [self.bytes_a.get(i, b"") for i in range(most)]
+        self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.text_a = np.array([[b"%d%c" % (i, end) for i in range(most)] for end in b",|"], object)
+        self.text_b = np.array([[b"%d%c" % (i, end) for i in range(len(pieces))] for end in b",;\n"], object)
         self.shift = len(pieces).bit_length()
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.forget()
@@ -72,8 +76,8 @@ class Aligner:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.told: list[bytes] = []
-        self.sizes: list[tuple[int, int, int, int, bool]] = []
-        self.links: list[list[int]] = []
+        self.sizes = np.zeros((0, 5), np.int64)  # COUNTS, and whether the bytes spell the word
+        self.links = np.zeros(0, np.int64)  # of all words, one after the other
         self.characters = 0
 
     def words(self, text: str) -> list[str]:
@@ -93,36 +97,55 @@ class Aligner:
             out[-2:] = [f"{out[-2]} "]
         return out
 
-    def align(self, raw: bytes, a: list[int], b: list[int]) -> tuple[bytes, tuple[int, int, int, int, bool], list[int]]:
-        """Groups as text, sizes, and links as numbers, of one word with its space."""
-        of_a, of_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return b"", (0, 0, 0, 0, False), []
-        at_a = dict(zip(accumulate(map(len, of_a)), range(1, len(a) + 1), strict=True))
-        at_b = dict(zip(accumulate(map(len, of_b)), range(1, len(b) + 1), strict=True))
-        groups, links, i, j = [], [], 0, 0
-        ends_a, ends_b = list(at_a), list(at_b)
-        for end in sorted(at_a.keys() & at_b.keys()):
-            to_a, to_b = at_a[end], at_b[end]
-            groups.append(f"{','.join(map(str, a[i:to_a]))}|{','.join(map(str, b[j:to_b]))}")
-            while i < to_a and j < to_b:
-                links.append(a[i] << self.shift | b[j])
-                x, y = ends_a[i], ends_b[j]
-                i += x <= y
-                j += y <= x
-        return ";".join(groups).encode(), (len(a), len(b), len(groups), len(links), True), links
+    def spelled(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Do both sides' bytes spell each word?"""
+        whole = b"".join(raw)
+        if all(b"".join(map(table.__getitem__, (i for x in ids for i in x))) == whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b))) and all(x and y for x, y in zip(a, b, strict=True)):
+            return [True] * len(raw)
+        return [b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for r, x, y in zip(raw, a, b, strict=True)]
+
+    def align(self, a: list[list[int]], b: list[list[int]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Groups as text and COUNTS of each word, and the links of all; each word's two sides spell the same."""
+        ids_a, ids_b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (a, b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a, b))
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        at_a = dict(zip(ends_a.tolist(), range(1, len(ids_a) + 1), strict=True))
+        at_b = dict(zip(ends_b.tolist(), range(1, len(ids_b) + 1), strict=True))
+        common = sorted(at_a.keys() & at_b.keys())
+        to_a, to_b = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
+        from_a, from_b = (np.concatenate([[0], to])[:-1] for to in (to_a, to_b))
+        # every id with what follows it: the slice's A ids, then its B ids
+        texts = np.empty(len(ids_a) + len(ids_b), object)
+        last_a, last_b = np.zeros(len(ids_a), bool), np.zeros(len(ids_b), np.int64)
+        last_a[to_a - 1], last_b[to_b - 1] = True, 1
+        last_b[np.cumsum(n_b) - 1] = 2
+        texts[np.arange(len(ids_a)) + np.repeat(from_b, to_a - from_a)] = self.text_a[last_a.astype(np.int64), ids_a]
+        texts[np.arange(len(ids_b)) + np.repeat(to_a, to_b - from_b)] = self.text_b[last_b, ids_b]
+        told = b"".join(texts.tolist()).split(b"\n")[:-1]
+        # a slice's links: from one end of either side to the next the same two tokens overlap, and no other time
+        edges = np.union1d(ends_a, ends_b)
+        links = ids_a[np.searchsorted(ends_a, edges)] << self.shift | ids_b[np.searchsorted(ends_b, edges)]
+        stops = ends_a[np.cumsum(n_a) - 1] if len(n_a) else ends_a
+        within = lambda x: np.diff(np.searchsorted(x, stops, "right"), prepend=0)
+        return told, np.stack([n_a, n_b, within(np.array(common)), within(edges), np.ones(len(n_a), np.int64)], axis=1), links
 
     def learn(self, words: set[str]) -> None:
         """Align words that are not known yet."""
         new = [w for w in words if w not in self.known]
         if not new:
             return
-        a, b = self.a.encode_batch_fast([f" {w}" for w in new], add_special_tokens=False), self.b.encode(new, num_threads=1)
-        for w, x, y in zip(new, a, b, strict=True):
-            self.known[w] = len(self.told)
-            self.characters += len(w)
-            for own, made in zip((self.told, self.sizes, self.links), self.align(f" {w}".encode(), x.ids, y), strict=True):
-                own.append(made)
+        a = [x.ids for x in self.a.encode_batch_fast([f" {w}" for w in new], add_special_tokens=False)]
+        b = self.b.encode(new, num_threads=1)
+        fine = self.spelled([f" {w}".encode() for w in new], a, b)
+        good = [i for i, ok in enumerate(fine) if ok]
+        told, sizes, links = self.align([a[i] for i in good], [b[i] for i in good])
+        odd = [i for i, ok in enumerate(fine) if not ok]
+        first = len(self.told)
+        self.known.update((new[i], first + n) for n, i in enumerate(good + odd))
+        self.told += told + [b""] * len(odd)
+        self.sizes = np.concatenate([self.sizes, sizes, np.zeros((len(odd), 5), np.int64)])
+        self.links = np.concatenate([self.links, links])
+        self.characters += sum(map(len, new))
 
     def batch(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text its groups and COUNTS; for each text and distinct link, in order: text, link, how often."""
@@ -132,22 +155,18 @@ class Aligner:
         self.learn({w for ws in words for w in ws})
         which = [list(map(self.known.__getitem__, ws)) for ws in words]
         owner = np.repeat(np.arange(len(texts)), [len(w) for w in which])
-        flat = np.fromiter((i for w in which for i in w), np.int64, len(owner))
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 5)
+        flat = np.array([i for w in which for i in w], np.int64)
+        sizes = self.sizes
         ok = np.bincount(owner, 1 - sizes[flat, 4], len(texts)) == 0
         counts = np.stack([np.bincount(owner, sizes[flat, c], len(texts)).astype(np.int64) * ok for c in range(4)], axis=1)
         groups = [b";".join(map(self.told.__getitem__, w)) if fine else b"" for w, fine in zip(which, ok.tolist(), strict=True)]
         # distinct words of each text, then their links
         word, often = np.unique((owner << 32 | flat)[ok[owner]], return_counts=True)
         owner, word = word >> 32, word & 0xFFFFFFFF
-        own = np.unique(word)
-        size = np.array([len(self.links[i]) for i in own.tolist()], np.int64)
-        links = np.array([x for i in own.tolist() for x in self.links[i]], np.int64)
-        at = np.searchsorted(own, word)
-        n = size[at] if len(own) else np.zeros(0, np.int64)
-        start = (np.cumsum(size) - size)[at] if len(own) else n
+        n = sizes[word, 3]
+        start = (np.cumsum(sizes[:, 3]) - sizes[:, 3])[word]
         place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        text, link, often = np.repeat(owner, n), links[place], np.repeat(often, n)
+        text, link, often = np.repeat(owner, n), self.links[place], np.repeat(often, n)
         order = np.lexsort((link, text))
         text, link, often = text[order], link[order], often[order]
         first = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(link) != 0)])[: len(text)])
