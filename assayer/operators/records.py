@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -168,26 +167,6 @@ def gaps(log: DataFrame, by: str, ts: str, short: float) -> DataFrame:
     return with_gap.groupBy(by).agg(F.count(F.lit(1)).alias("n"), first.alias("_m"), F.count_if(F.col("_gap") < short).alias("short_gaps")).select(by, "n", F.col("_m._gap").alias("min_gap"), F.col(f"_m.{ts}").alias("min_gap_at"), "short_gaps")
 
 
-def failure_stop(log: DataFrame, by: str, order: str, failed: Column, limit: int) -> DataFrame:
-    """Rows up to the ``limit``-th failure in a row of each agent: gaps and islands, no row-by-row loop."""
-    w = Window.partitionBy(by).orderBy(order)
-    ok_before = F.sum(F.when(failed, 0).otherwise(1)).over(w)
-    out = log.withColumn("_f", failed).withColumn("_island", ok_before)
-    run = F.sum(F.col("_f").cast("int")).over(Window.partitionBy(by, "_island").orderBy(order))
-    stops = out.withColumn("_run", F.when(F.col("_f"), run).otherwise(0)).withColumn("_stop", F.min(F.when(F.col("_run") >= limit, F.col(order))).over(Window.partitionBy(by)))
-    return stops.where(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_f", "_island", "_run", "_stop")
-
-
-def size_stop(log: DataFrame, by: str, order: str, size: str, cap: float) -> DataFrame:
-    """Rows until the running size reaches ``cap``; the row that reaches it is the last."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("_s", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("_s") < cap).drop("_s")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def has_report(grade: Column, name: Column) -> Column:
     """A report is one with a number for its grade and a name."""
     return grade.isNotNull() & ~F.isnan(grade.cast("double")) & (F.coalesce(name, F.lit("")) != "")

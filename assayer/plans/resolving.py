@@ -12,6 +12,7 @@ from assayer.functions.tables import table
 from assayer.operators import linkage as L
 from assayer.operators import pricing as P
 from assayer.operators import records as R
+from assayer.operators import runs
 
 # ---------------------------------------------------------------- derived inputs
 
@@ -263,12 +264,12 @@ def newest_listing(spark, sf_dir):
 
 def failure_stop(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return R.failure_stop(e, "user_id", "event_id", F.col("event_type").isin("error", "view"), 3).select("user_id", "event_id")
+    return runs.failure_stop(e, "user_id", "event_id", F.col("event_type").isin("error", "view"), 3).select("user_id", "event_id")
 
 
 def size_stop(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") * 100).cast("bigint").alias("size"))
-    return R.size_stop(e, "user_id", "event_id", "size", 200000).select("user_id", "event_id")
+    return runs.size_stop(e, "user_id", "event_id", "size", 200000).select("user_id", "event_id")
 
 
 QUERIES = {

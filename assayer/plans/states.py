@@ -48,7 +48,7 @@ QUERIES = {"q_job_lanes": job_lanes, "q_answer_cache": answer_cache, "q_late_res
 _CAP = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CAPS.items()) + f" ELSE {OTHER} END"
 ORACLE_SQL = {
     "q_job_lanes": f"""
-WITH RECURSIVE o AS (SELECT *, epoch_ms(ts) AS "at", lag(event_id) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS before,
+WITH RECURSIVE o AS (SELECT *, epoch_us(ts) // 1000 AS "at", lag(event_id) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS before,
     CASE WHEN event_id % 23 = 0 THEN 'cancel' WHEN event_id % 7 IN (1, 4) THEN 'result' WHEN event_id % 7 = 2 THEN 'supersede' ELSE 'request' END AS action FROM events),
   e AS (SELECT user_id::VARCHAR AS key, "at", action, {_CAP}::BIGINT AS cap, CASE WHEN action = 'result' THEN coalesce(before, -1) ELSE event_id END AS job,
     row_number() OVER (PARTITION BY user_id ORDER BY "at", event_id) AS r FROM o),
@@ -72,7 +72,7 @@ WITH RECURSIVE o AS (SELECT *, epoch_ms(ts) AS "at", lag(event_id) OVER (PARTITI
     UNION ALL SELECT key, struct_pack(job := p, outcome := 'timeout', "at" := d + c) FROM last WHERE p IS NOT NULL)
 SELECT key, s.job AS job, s.outcome AS outcome, s."at" AS "at" FROM told""",
     "q_answer_cache": f"""
-WITH RECURSIVE e AS (SELECT event_type || '/' || (user_id % 4) AS key, (user_id % 40)::VARCHAR AS item, event_id, epoch_ms(ts) AS "at", event_id % 197 = 0 AS purge FROM events),
+WITH RECURSIVE e AS (SELECT event_type || '/' || (user_id % 4) AS key, (user_id % 40)::VARCHAR AS item, event_id, epoch_us(ts) // 1000 AS "at", event_id % 197 = 0 AS purge FROM events),
   g AS (SELECT *, count(*) FILTER (WHERE purge) OVER (PARTITION BY key ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING) AS g FROM e),
   l AS (SELECT * FROM g WHERE NOT purge),
   k AS (SELECT key, item, g, min("at") AS "at" FROM l GROUP BY key, item, g

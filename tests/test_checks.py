@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from assayer.functions import reading as R
+from assayer.functions import reports as P
 from assayer.operators import checks as K
 
 
@@ -113,10 +114,16 @@ def test_model_readings_and_queries(spark):
     assert len({r for r in read(spark, lambda *c: F.struct(R.lookup_key(*c)), ("Pokemon", " OBF", "1", "Mew", None), ("pokemon", "obf", "1 ", "mew", ""))}) == 1
 
 
-def test_report():
+def test_report(spark):
     text = "x\nEN\nCharizard\n1999 #4/102\nBase\nHolo\n945\nTAG SCORE\n9\nMINT\nCORNERS\nF:\n2 DINGS\nB:\n0 DINGS\nCENTERING\nF:\n55L/45R 50T/50B\nB:\n50L/50R 50T/50B\nSnapshot Of Defects\nBack / TOP RIGHT\nCORNER WEAR\nVIEW\nFront\nCentering\n56L/44R 48T/52B\nDINGS MAP\nGRADED 2026-01-02"
-    r = R.read_report(text, "C1")
+    texts = [text, "A\nVIEW SCORE\n8.5\nNM", None, "", "TAG SCORE", "EN\nTAG SCORE", "a\n\u3000VIEW SCORE\u00a0\nTAG SCORE\nx", "Snapshot Of Defects\nFront / EDGE\nBack", "Snapshot Of Defects\nfront\nCENTERING", "SURFACE\nB:", "Snapshot Of Defects\nBack / A / B\nSURFACE / WRINKLE\nFronted\nx", "y\n" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("lines", P.lines_of(F.col("text")))
+    got = [r.r.asDict(True) for r in df.select("i", P.report_record(F.col("lines")).alias("r")).orderBy("i").collect()]
+    r = got[0]
     assert (r["score"], r["card_name"], r["year_line"], r["set_line"], r["variant"], r["grade"], r["grade_label"]) == (945, "Charizard", "1999 #4/102", "Base", "Holo", 9.0, "MINT")
-    assert r["dings"] == {"corners": {"front": 2, "back": 0}} and r["surface"] is None and r["graded_on"] == "2026-01-02"
+    assert r["dings"]["corners"] == {"front": 2, "back": 0} and r["surface"] is None and r["dings"]["surface"] == {"front": None, "back": None} and r["graded_on"] == "2026-01-02"
     assert r["ding_list"] == [{"side": "back", "location": "topright", "type": "corner wear"}, {"side": "front", "location": "card", "type": "centering 56L/44R 48T/52B"}]
-    assert R.read_report("A\nVIEW SCORE\n8.5\nNM")["grade"] == 8.5 and R.read_report(None)["grade"] is None
+    assert (got[1]["grade"], got[1]["card_name"], got[1]["score"]) == (8.5, "A", None) and got[2]["grade"] is None and got[3]["card_name"] == got[4]["card_name"] == got[5]["card_name"] == ""
+    assert (got[6]["card_name"], got[6]["grade"], got[6]["grade_label"]) == ("a", None, "") and got[7]["ding_list"] == []
+    assert got[8]["ding_list"] == [{"side": "front", "location": "card", "type": "centering "}] and got[9]["surface"] == {"front": None, "back": None}
+    assert got[10]["ding_list"] == [{"side": "back", "location": "a", "type": "surface / wrinkle"}]
