@@ -210,7 +210,7 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=0)
 
 
-def _chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def _chunks(docs: DataFrame, path_a: str, path_b: str, limit: int) -> DataFrame:
     """A row for each chunk: its documents, its distinct links with their documents' number, and which documents hold
     which of them, how often."""
     kind = docs.schema["doc_id"].dataType
@@ -242,13 +242,13 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             at = 0
             while at < len(texts):
                 to = at
-                while to < len(texts) and (to == at or size < CHUNK):  # stops a chunk as soon as it is full
+                while to < len(texts) and (to == at or size < limit):  # stops a chunk as soon as it is full
                     size += len(texts[to] or "")
                     to += 1
                 told, counts, text, link, often = a.batch(texts[at:to])
                 digests = [hashlib.sha256(g).hexdigest() if g else "" for g in told]
                 parts.append((batch.column("doc_id").slice(at, to - at), counts, digests, link, often, np.bincount(text, minlength=to - at).astype(np.int64)))
-                if size >= CHUNK:
+                if size >= limit:
                     yield chunk()
                 at = to
         if parts:
@@ -257,12 +257,12 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
-def aligned(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc: str = "doc_id") -> DataFrame:
+def aligned(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     docs = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType
     shift = aligner(path_a, path_b).shift
-    chunks = written(_chunks(docs, path_a, path_b), "aligned")
+    chunks = written(_chunks(docs, path_a, path_b, chunk), "aligned")
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each link of each chunk."""

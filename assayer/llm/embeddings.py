@@ -8,11 +8,12 @@ within epsilon; inside a block pair sequence intervals are halved recursively, s
 distant, down to dense tiles. A tile is computed in single precision; what lies within its error bound of the limit or
 above is decided in double precision.
 
-Blocks travel once for each block they can reach, so they are as large as a task can hold (``BLOCK_BYTES``), or a third of
-all vectors if that is less; values that are single precision numbers travel as such. Where the leading dimensions hold
-most of the spread, a block reaches few others. Where all directions spread alike (no projection can tell any two
-intervals apart), every pair of blocks is compared, and traffic grows with the square of the vectors over the block's
-size: that is the price of an exact result.
+Blocks travel once for each block they can reach. Their number follows the session's partitions (pairs of blocks make
+about twice as many tasks, so a vector travels to about the root of the tasks, and traffic grows with the vectors) until
+a block is as large as a task can hold (``BLOCK_BYTES``); values that are single precision numbers travel as such. Where
+the leading dimensions hold most of the spread, a block reaches few others. Where all directions spread alike (no
+projection can tell any two intervals apart), every pair of blocks is compared, and beyond the largest block traffic grows
+with the square of the vectors over the block's size: that is the price of an exact result.
 
 Equal vectors are one class with a multiplicity, so a vector repeated in a third of all rows is compared once. A block
 pair returns for each class its number of links and its root within the pair, never the pairs themselves, so a dense
@@ -26,6 +27,7 @@ cosine at the limit is a link; an empty table gives an empty one; extra columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +169,8 @@ def _links(owners: DataFrame, common: int, n_common: int, n: int, least: float)
     eps = float(np.sqrt(2 - 2 * least)) * (1 + 1e-9)
     g = LEADING
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = max(1, min(max(BLOCK, -(-n // 3)), max(1, BLOCK_BYTES // (4 * common))))
+    # pairs of blocks are about twice the session's partitions: a vector travels to about the root of the tasks
+    size = max(1, min(max(BLOCK, -(-n // max(2, isqrt(4 * parts)))), BLOCK_BYTES // (4 * common)))
 
     def leading(x: np.ndarray) -> np.ndarray:
         y = x @ basis if x.shape[1] == common else x[:, :g]

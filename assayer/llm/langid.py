@@ -7,8 +7,8 @@ C); unseen contexts charge nothing; below order 0 all 256 bytes cost 8 bits. A t
 code length, over every byte of the text. The frozen lengths and escapes of all languages lie side by side in one table
 per order, so a text is scored by a few vectorised lookups a byte.
 
-The classifier is fitted on a bounded sample: rows are taken by a hash of doc_id at a rate that gives about
-``SAMPLE_CHARS`` characters a language. Scoring covers every row and every byte. ASCII letters are lower-cased first.
+The classifier is fitted on a bounded sample: ``SAMPLE_CHARS`` characters of each language, in hash order of doc_id
+(``samples.drawn``); every language with a character is learned. Scoring covers every row and every byte. ASCII letters are lower-cased first.
 
 Defined results: null text or text without a letter is ``und`` with score 0; without any labelled row all is ``und``; of
 languages with equal code lengths the first by name is told; long texts are scored whole, piece by piece; repeated rows
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.samples import drawn
+
 ORDER = 4
 SAMPLE_CHARS = 2_000_000
 PAD = b"\n" * ORDER
@@ -189,17 +191,11 @@ def remainder(doc: Column, n: int) -> Column:
 
 
 def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """``labelled``: doc_id, text, lang. Fits on about ``sample_chars`` characters of each language."""
-    labelled = labelled.where("text is not null and lang is not null")
-    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()
-    rates = {r["lang"]: min(1.0, sample_chars / max(1, r["n"])) for r in sizes}
-    if not rates:
-        return Model({})
-    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
-    place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
-    samples: dict[str, list[str]] = {lang: [] for lang in rates}
-    for r in labelled.where(place < rate).select("lang", "text").collect():  # about sample_chars a language
-        samples[r["lang"]].append(r["text"])
+    """``labelled``: doc_id, text, lang. Fits on ``sample_chars`` characters of each language; each language that has a
+    character is learned."""
+    samples: dict[str, list[str]] = {}
+    for lang, _, text in drawn(labelled.select(F.col("lang").alias("group"), F.col("doc_id").alias("id"), "text"), "langid", None, sample_chars):
+        samples.setdefault(lang, []).append(text)
     return Model(samples)
 
 

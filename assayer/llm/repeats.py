@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from assayer.functions.tables import one_row_per_id
 from assayer.llm.arrays import BYTES, U, chunks, joined, sliding_argmin, window_hashes, word_hashes, words_in
 
-#: A minimiser that occurs this often (a page counts up to TIMES) is hot: its group is split into windows.
-HOT, TIMES = 2048, 255
-#: Hashes without their lowest byte, which holds how often the minimiser is in a page (or, in answers: hot).
+#: A minimiser that occurs this often is hot: its group is split into windows. A page counts up to TIMES, which is more,
+#: so a group is known as hot whether its strings lie in one page or in many.
+HOT, TIMES = 2048, 4095
+#: Hashes without their lowest bits, which hold how often the minimiser is in a page (or, in answers: hot).
 HASH = ~U(TIMES)
 #: Bytes of strings that a bucket compares at once; whole groups of a minimiser stay together.
 BATCH = 3 << 20

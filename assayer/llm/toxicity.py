@@ -13,8 +13,8 @@ contexts (neighbouring words) of toxic texts and next to none of others; a copie
 repeat. A word is a negation (it acts closely before) or reported speech (it acts from anywhere before in the clause) if
 insults behind it stand in harmless texts, and a target if insults near it stand in toxic ones; contexts under a learned
 negation or report then don't count against an insult. Small word lists of natural languages are what the classes start
-with. Fitting uses a bounded sample of labelled rows (``SAMPLE_ROWS`` of each label, by a hash of doc_id, in order of
-doc_id); scoring covers every row and every clause.
+with. Fitting uses a bounded sample of labelled rows (``SAMPLE_ROWS`` and ``SAMPLE_CHARS`` of each label, by a hash of
+doc_id, in order of doc_id); scoring covers every row and every clause.
 
 Defined results: null and empty texts have no match and get the score of a text without one; with no usable labels the
 score is 0 for all; whole texts are read, whatever their length; repeated rows are each scored; a document with two
@@ -33,7 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.samples import drawn
+
 SAMPLE_ROWS = 3000
+#: And at most so many characters of each label; the last text is cut there.
+SAMPLE_CHARS = 12_000_000
 MIN_CONTEXTS = 8
 STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
@@ -295,15 +299,12 @@ def train(texts: list[str], labels: list[int]) -> Grammar:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """About ``rows`` texts of each label, chosen by a hash of doc_id; both tables: doc_id and text / label."""
+    """At most ``rows`` texts and SAMPLE_CHARS characters of each label, in hash order of doc_id; both tables: doc_id and
+    text / label."""
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = F.when(F.col("label") == 1, min(1.0, rows / max(1, counts.get(1, 0)))).otherwise(min(1.0, rows / max(1, counts.get(0, 0))))
-    place = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
-    chosen = labels.where(place < rate)  # about 2 x rows rows of two integers, whatever the corpus: broadcast
-    got = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))  # the same sums in the same order in every run
-    return [r["text"] for r in got], [int(r["label"]) for r in got]
+    own = docs.join(labels, "doc_id").select(F.col("label").alias("group"), F.col("doc_id").alias("id"), "text")
+    got = sorted((i, t, int(y)) for y, i, t in drawn(own, "toxicity", rows, SAMPLE_CHARS))  # one order in every run
+    return [t for _, t, _ in got], [y for *_, y in got]
 
 
 def scored(docs: DataFrame, grammar: Grammar, text: str = "text", into: str = "toxicity") -> DataFrame:
