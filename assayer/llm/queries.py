@@ -179,7 +179,39 @@ SELECT vec_id, best.n::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER
   sha256(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON n = best.n"""
 
 
+def urls_sql(levels: int = 4, support: int = 20) -> str:
+    """Rules, then the tree level by level with windows over whole nodes."""
+    rules = sorted(URL_RULES, key=lambda r: (-len(r), r))
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{rest}') THEN '{h}/{rest}'" for h, _, rest in (r.partition("/") for r in rules))
+    verdict = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in URL_RULES.items())
+    literal = "coalesce(s <> '' AND NOT starts_with(s, '<'), false)"
+    end = r"(\.[a-z]{1,5})?$"
+    out = rf"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT *, CASE {fits} END AS rule, string_split(regexp_replace(replace(path, '<', '%3C'), '^/', ''), '/') AS seg FROM p),
+k AS (SELECT * EXCLUDE (seg), CASE rule {verdict} END AS said, array_to_string(list_transform(CASE WHEN len(seg) > {levels} THEN list_append(seg[1:{levels}], '<**>') ELSE seg END, lambda s:
+  CASE WHEN regexp_matches(s, '^[0-9a-f-]{{16,}}{end}') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[a-f]') THEN regexp_replace(s, '^[0-9a-f-]+{end}', '<x>\1') ELSE regexp_replace(s, '^[0-9]+{end}', '<n>\1') END), '/') AS shape FROM r),
+t0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (WHERE said = 'block') AS block, count(*) FILTER (WHERE said = 'allow') AS allow, '' AS template FROM k GROUP BY host, shape)"""
+    for i in range(levels + 1):
+        out += rf""",
+t{i + 1} AS (SELECT host, shape, n, block, allow, CASE WHEN s IS NULL THEN template WHEN {literal} AND pages < {support} THEN template || '/<*>' || regexp_extract(s, '\.[a-z]{{1,5}}$') ELSE template || '/' || s END AS template
+  FROM (SELECT *, sum(n) OVER (PARTITION BY host, template, s) AS pages FROM (SELECT *, string_split(shape, '/')[{i + 1}] AS s FROM t{i})))"""
+    at = levels + 1
+    term = lambda c: f"CASE WHEN w.all_{c} > 0 THEN (w.{c} * w.m - (w.all_{c} - w.{c}) * w.n) * (w.{c} * w.m - (w.all_{c} - w.{c}) * w.n) / (w.n * w.m * w.all_{c}) ELSE 0.0 END"
+    for i in range(levels):
+        out += f""",
+b{i} AS (SELECT *, string_split(template, '/') AS place, string_split(template, '/')[{i + 2}] AS s FROM (SELECT host, template, sum(block)::DOUBLE AS block, sum(allow)::DOUBLE AS allow, sum(n - block - allow)::DOUBLE AS none FROM t{at + i} GROUP BY host, template)),
+g{i} AS (SELECT *, array_to_string(list_concat(place[1:{i + 1}], ['<+>'], place[{i + 3}:]), '/') AS general, CASE WHEN block >= allow AND block >= none THEN 'block' WHEN allow >= none THEN 'allow' ELSE 'none' END AS label FROM b{i} WHERE {literal}),
+w{i} AS (SELECT *, all_block + all_allow + all_none - n AS m FROM (SELECT *, block + allow + none AS n, sum(block) OVER x AS all_block, sum(allow) OVER x AS all_allow, sum(none) OVER x AS all_none FROM g{i} WINDOW x AS (PARTITION BY host, general, label))),
+t{at + i + 1} AS (SELECT t.host, t.shape, t.n, t.block, t.allow, coalesce(w.general, t.template) AS template FROM t{at + i} t LEFT JOIN w{i} w ON w.host = t.host AND w.template = t.template AND w.m > 0 AND {term("block")} + {term("allow")} + {term("none")} <= {urls.CHI_SQUARE})"""
+    return out + f""",
+f AS (SELECT host, shape, (sum(allow) OVER x + 5.0) / (sum(allow) OVER x + sum(block) OVER x + 10.0) < 0.25 AS bad FROM t{at + levels} WINDOW x AS (PARTITION BY host, template))
+SELECT page_id, k.host, path, rule, coalesce(said, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict, bad AS template_rejected FROM k JOIN f ON f.host = k.host AND f.shape = k.shape"""
+
+
 ORACLE_SQL = {
+    "op13_url_filter": urls_sql(),
     "op12_clusters": clusters_sql(),
     "op4_embedding_dedup": VECTORS_SQL,
     "op5_suffix_dedup": BYTES_SQL,
