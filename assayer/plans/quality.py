@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.tables import table
+from assayer.functions.tables import shared_dir, table
+from assayer.operators import rebuild as B
 from assayer.operators import runs
 from assayer.operators import schema as S
 
@@ -67,7 +70,22 @@ def first_run(spark, sf_dir):
     return runs.first_run(_marked(spark, sf_dir), "user_id", "pos", F.col("marked"), 3)
 
 
-QUERIES = {"q_record_schema": record_schema, "q_marked_runs": marked_runs, "q_first_run": first_run}
+def incremental_rebuild(spark, sf_dir):
+    """The store after a second build: some orders are new, some changed, some lost their input, some failed to be fetched
+    again, some are excluded. Only the changed ones are computed; the result is that of a build from scratch."""
+    o, k = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_totalprice"), F.col("o_orderkey")
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    compute = lambda d: d.select("o_orderkey", "o_orderstatus", F.floor(F.col("o_totalprice") * 100 + 0.5).cast("bigint").alias("cents"))
+    told = lambda d: d.withColumn("digest", B.digest_of("o_orderstatus", "o_custkey", "o_totalprice"))
+    B.rebuild(told(o.where("o_orderkey % 10 <> 9")).withColumn("failed", F.lit(False)), path, compute, "o_orderkey", "v1", parts=256)
+    moved = (F.pmod(k, F.lit(97)) == 0) | (F.pmod(k, F.lit(89)) == 0) | (F.pmod(k, F.lit(83)) == 0)
+    later = told(o.withColumn("o_totalprice", F.col("o_totalprice") + F.when(moved, 1.0).otherwise(0.0))).withColumn("failed", F.pmod(k, F.lit(83)) == 0)
+    later = later.withColumn("digest", F.when(F.pmod(k, F.lit(89)) != 0, F.col("digest")))
+    B.rebuild(later, path, compute, "o_orderkey", "v1", o.where("o_orderkey % 79 = 0").select("o_orderkey"), parts=256)
+    return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "cents")
+
+
+QUERIES = {"q_incremental_rebuild": incremental_rebuild, "q_record_schema": record_schema, "q_marked_runs": marked_runs, "q_first_run": first_run}
 
 _RECORDS = """
 d AS (SELECT l_orderkey, string_agg('{"side":"' || side || CASE WHEN l_partkey % 50 = 0 THEN '"}' ELSE '","pos":' || CASE WHEN l_linenumber = 6 THEN '"6"' ELSE l_linenumber::VARCHAR END || '}' END, ',' ORDER BY l_linenumber, l_partkey,
@@ -83,6 +101,8 @@ ding AS (SELECT o_orderkey, unnest(json_extract(r, '$.tag.ding_list[*]')) AS x,
 img AS (SELECT o_orderkey, unnest(json_keys(r, '$.images')) AS side, r FROM j), im AS (SELECT o_orderkey, side, json_extract(r, '$.images.' || side) AS x FROM img)"""
 _BY_USER = "e AS (SELECT user_id, event_type IN ('view', 'click') AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events), k AS (SELECT user_id, pos FROM e WHERE m)"
 ORACLE_SQL = {
+    "q_incremental_rebuild": """SELECT o_orderkey, o_orderstatus, floor((o_totalprice + CASE WHEN o_orderkey % 89 = 0 OR o_orderkey % 83 = 0 THEN 0 WHEN o_orderkey % 97 = 0 THEN 1.0 ELSE 0 END) * 100 + 0.5)::BIGINT AS cents
+      FROM orders WHERE o_orderkey % 79 <> 0 AND (o_orderkey % 10 <> 9 OR (o_orderkey % 89 <> 0 AND o_orderkey % 83 <> 0))""",
     "q_record_schema": f"""WITH {_RECORDS.replace("(o_orderkey % 19) / 2.0 + 1 END", "((o_orderkey % 19) / 2.0 + 1)::VARCHAR END")}
 SELECT o_orderkey, '$: not JSON' AS error FROM t WHERE NOT json_valid(record)
 UNION ALL SELECT o_orderkey, CASE WHEN json_type(r, '$.cert') <> 'VARCHAR' THEN '$.cert: not string' ELSE '$.cert: malformed' END FROM j WHERE json_type(r, '$.cert') <> 'VARCHAR' OR NOT regexp_full_match(r->>'$.cert', '[0-9]{{3,}}')
