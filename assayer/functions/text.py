@@ -41,6 +41,23 @@ def vectorised(function, kind: str):
     return run
 
 
+def of_any(c: Column, sql, python) -> Column:
+    """``sql`` of ASCII text; only other text is sent to Python. Null is empty."""
+    text = F.coalesce(c, F.lit(""))
+    ascii_ = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_, sql(text)).otherwise(vectorised(python, "string")(F.when(~ascii_, text)))
+
+
+def upper_key(c: Column) -> Column:
+    """``upper_key_text`` of any text."""
+    return of_any(c, lambda t: F.upper(F.btrim(F.regexp_replace(t, r"[\s\x1c-\x1f]+", " "))), upper_key_text)
+
+
+def loose(c: Column) -> Column:
+    """``loose_text`` of any text."""
+    return of_any(c, lambda t: F.trim(F.regexp_replace(F.lower(t), r"[^\w']+", " ")), loose_text)
+
+
 def plain(c: Column) -> Column:
     """``plain_text`` of ASCII text, with SQL functions alone."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
@@ -48,12 +65,13 @@ def plain(c: Column) -> Column:
 
 def plain_any(c: Column) -> Column:
     """``plain_text`` of any text; ASCII text, which SQL functions can do, is not sent to Python."""
-    ascii_ = F.coalesce(c, F.lit("")).rlike(r"^[\x00-\x7F]*$")
-    return F.when(ascii_, plain(c)).otherwise(vectorised(plain_text, "string")(F.when(~ascii_, c)))
+    return of_any(c, plain, plain_text)
 
 
 # ---------------------------------------------------------------- numbers and keys
 
+# The patterns of numbers, years, centerings and kinds of defects in the functions below.
+
 
 def collector_number(c: Column) -> Column:
     """Upper-cased part before the slash without blanks; digits lose leading zeros."""
@@ -82,7 +100,8 @@ def first_year(c: Column) -> Column:
 
 
 def card_key(name: Column, set_: Column, number: Column) -> Column:
-    return F.concat_ws("|", name, set_, number)
+    """Normalised name, set and number, so that spellings of one card give one key."""
+    return F.concat_ws("|", *map(upper_key, (name, set_, number)))
 
 
 def centering_shares(c: Column) -> Column:

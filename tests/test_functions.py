@@ -49,3 +49,12 @@ def test_python_round():
 def test_sites(spark):
     df = spark.createDataFrame([("a.com", "a.com", True), ("x.a.com", "a.com", True), ("xa.com", "a.com", False)], "a string, b string, want boolean")
     assert all(r.want == r.got for r in df.select("want", X.same_site(F.col("a"), F.col("b")).alias("got")).collect())
+
+
+def test_normal_forms_as_columns_equal_the_functions(spark):
+    texts = ["", None, "  a\tB  c\n", "ﬁ Ａ", "Pokémon’s  Ñ", "x_y-z'", "\x1ca\x1fb", "ß straße", "日本 語", "A1/B2", "é́"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.upper_key(F.col("t")).alias("u"), X.loose(F.col("t")).alias("l"), X.plain_any(F.col("t")).alias("p")).orderBy("i")
+    for r, t in zip(df.collect(), texts, strict=True):
+        assert (r.u, r.l, r.p) == (X.upper_key_text(t), X.loose_text(t), X.plain_text(t))
+    keys = spark.createDataFrame([(" mew  ex", "Bäse", "1"), ("MEW EX", "Bäse", "1")], "a string, b string, c string").select(X.card_key(F.col("a"), F.col("b"), F.col("c")).alias("k")).collect()
+    assert keys[0].k == keys[1].k == "MEW EX|BÄSE|1"
