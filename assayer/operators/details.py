@@ -3,6 +3,7 @@ summaries, candidates of both catalogs, data by name, durations, and a perceptua
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -229,20 +230,23 @@ def cosines() -> np.ndarray:
     return np.cos(np.pi * (2 * i + 1) * u / (2 * SIZE)) * np.where(u == 0, np.sqrt(1 / SIZE), np.sqrt(2 / SIZE))
 
 
-def perceptual_hash(grey: Column) -> Column:
-    """64 bits of a landed grey matrix (SIZE x SIZE values by row, as one array): bit 63 - (8 u + v) tells whether the
-    low-frequency coefficient (u, v) is above the median of all 64. Null for other sizes and for missing values."""
-
-    @F.pandas_udf("bigint")
-    def run(values: pd.Series) -> pd.Series:
-        ok = values.map(lambda v: v is not None and len(v) == SIZE * SIZE)
-        out = pd.Series([None] * len(values), dtype="Int64", index=values.index)
-        if ok.any():
-            m = np.stack(values[ok].to_list()).astype(np.float64).reshape(-1, SIZE, SIZE)
-            low = (cosines() @ m @ cosines().T).reshape(len(m), -1)
-            bits = low > np.median(low, axis=1, keepdims=True)
-            words = np.packbits(bits, axis=1).view(">i8").ravel()
-            out[ok] = pd.array([None if np.isnan(x).any() else int(w) for x, w in zip(low, words, strict=True)], dtype="Int64")
-        return out
-
-    return run(grey)
+def perceptual_hashes(landed: DataFrame, key: str, grey: str) -> DataFrame:
+    """key and phash: 64 bits of each landed grey matrix (SIZE x SIZE values by row, as one array): bit 63 - (8 u + v) tells
+    whether the low-frequency coefficient (u, v) is above the median of all 64. Null for other sizes and for missing
+    values. A batch takes two products with a constant matrix."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = cosines()
+        for batch in batches:
+            values = batch["grey"]
+            ok = values.map(lambda v: v is not None and len(v) == SIZE * SIZE)
+            out = pd.Series([None] * len(values), dtype="Int64", index=values.index)
+            if ok.any():
+                m = np.stack(values[ok].to_list()).astype(np.float64).reshape(-1, SIZE, SIZE)
+                low = (d @ m @ d.T).reshape(len(m), -1)
+                words = np.packbits(low > np.median(low, axis=1, keepdims=True), axis=1).view(">i8").ravel()
+                out[ok] = pd.array([None if np.isnan(x).any() else int(w) for x, w in zip(low, words, strict=True)], dtype="Int64")
+            yield pd.DataFrame({"key": batch["key"], "phash": out})
+
+    kind = landed.schema[key].dataType.simpleString()
+    return landed.select(F.col(key).alias("key"), F.col(grey).alias("grey")).mapInPandas(run, f"key {kind}, phash bigint").withColumnRenamed("key", key)

@@ -79,7 +79,7 @@ def test_hashes_of_near_copies_are_near(spark):
     base = rng.normal(size=(40, 32, 32)).cumsum(1).cumsum(2)
     near = base * 1.01 + 3 + rng.normal(scale=1e-4, size=base.shape)
     rows = [(i, m.ravel().tolist()) for i, m in enumerate([*base, *near])] + [(200, None), (201, [1.0]), (202, [float("nan")] * 1024)]
-    hashed = spark.createDataFrame(rows, "k long, m array<double>").select("k", D.perceptual_hash(F.col("m")).alias("v"))
+    hashed = D.perceptual_hashes(spark.createDataFrame(rows, "k long, m array<double>"), "k", "m").withColumnRenamed("phash", "v")
     got = {r.k: r.v for r in hashed.collect()}
     d = D.cosines()
     assert np.allclose(d @ d.T, np.eye(8)) and got[200] is None and got[201] is None and got[202] is None
