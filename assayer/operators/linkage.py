@@ -105,24 +105,19 @@ def _inside(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.where(F.contains("text", F.col("inside")) & (F.col("text") != F.col("inside"))).select("text", "inside").distinct()
 
 
-def _collected(pairs: DataFrame) -> DataFrame:
-    """text, held: what lies inside each text, as one array (no longer than the text has parts)."""
-    return pairs.groupBy("text").agg(F.collect_set("inside").alias("held"))
-
-
-def _joined(df: DataFrame, column: str, held: DataFrame) -> DataFrame:
-    """``df`` with ``column``_held, empty where nothing is held."""
-    out = df.join(held.select(F.col("text").alias(column), F.col("held").alias(f"{column}_held")), column, "left")
-    return out.withColumn(f"{column}_held", F.coalesce(f"{column}_held", F.array().cast("array<string>")))
+def _holding(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """text, held: distinct texts with what lies inside each (no more than a text has parts)."""
+    held = pairs.groupBy("text").agg(F.collect_set("inside").alias("held"))
+    return texts.join(held, "text", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
 
 
 def _tag(kind: str, text: Column) -> Column:
     return F.concat(F.lit(kind), text)
 
 
-def _entry_tags(text: str, ends: bool) -> Column:
-    """Tags under which an entry is posted in one respect."""
-    own, held = F.col(text), F.col(f"{text}_held")
+def _entry_tags(ends: bool) -> Column:
+    """Tags under which an entry's text is posted in one respect."""
+    own, held = F.col("text"), F.col("held")
     at_end = lambda w: F.endswith(own, F.concat(F.lit(" "), w)) | F.startswith(own, F.concat(w, F.lit(" ")))
     inside = F.transform(held, lambda w: F.when(at_end(w), _tag("|", w)).otherwise(_tag("<", w)) if ends else _tag("<", w))
     return F.concat(F.array(F.lit("*"), _tag("=", own)), inside)
@@ -132,9 +127,9 @@ def _gain(tag: Column, gain: float) -> Column:
     return F.struct(tag.alias("tag"), num(gain).alias("gain"))
 
 
-def _item_tags(text: str, gains: tuple[float, float, float], ends: bool, blank: bool) -> Column:
-    """Tags that an item looks up in one respect, with their gains; nothing is gained or lost by an empty text."""
-    own, held = F.col(text), F.col(f"{text}_held")
+def _item_tags(gains: tuple[float, float, float], ends: bool, blank: bool) -> Column:
+    """Tags that an item's text looks up in one respect, with their gains; nothing is gained or lost by an empty text."""
+    own, held = F.col("text"), F.col("held")
     same, part, other = gains
     tags = [_gain(F.lit("*"), other), _gain(_tag("=", own), same), _gain(_tag("<", own), part)]
     tags += [_gain(_tag("|", own), same)] if ends else []
@@ -142,6 +137,31 @@ def _item_tags(text: str, gains: tuple[float, float, float], ends: bool, blank:
     return F.when(own == "", F.array(_gain(F.lit("*"), 0.0))).otherwise(F.concat(F.array(*tags), F.transform(held, lambda w: _gain(_tag("=", w), part))))
 
 
+def _look_tags(hit: float, miss: float) -> Column:
+    """Tags that a look looks up among versions; an entry without a version fits any."""
+    own = F.when(F.col("text") == "", F.array().cast("array<struct<tag:string,gain:double>>")).otherwise(F.array(_gain(_tag("=", F.col("text")), hit), _gain(_tag("<", F.col("text")), hit)))
+    return F.concat(F.array(_gain(F.lit("-"), hit), _gain(F.lit("*"), miss)), own, F.transform(_words(), lambda w: _gain(_tag("~", w), hit)))
+
+
+def _words() -> Column:
+    return F.filter(F.array(*map(F.lit, LOOK_WORDS)), lambda w: F.contains(F.col("text"), w))
+
+
+def _met(entry_tags: DataFrame, item_tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables of distinct texts and tags (arrays) without the tags that the other side hasn't; an entry keeps ``*``,
+    as an item's number may stand alone."""
+    told = written(entry_tags.select("text", F.explode("tags").alias("tag")), "tags")
+    asked = written(item_tags.select("text", F.explode("tags").alias("t")).select("text", "t.tag", "t.gain"), "tags")
+    own = told.join(asked.select("tag").distinct(), "tag", "left_semi").groupBy("text").agg(F.collect_set("tag").alias("tags"))
+    wanted = asked.join(told.select("tag").distinct(), "tag", "left_semi").groupBy("text").agg(F.collect_set(F.struct("tag", "gain")).alias("tags"))
+    return own, wanted
+
+
+def _tagged(df: DataFrame, column: str, tags: DataFrame) -> DataFrame:
+    """``df`` with ``column``_tags; rows whose text meets nothing have none."""
+    return df.join(tags.select(F.col("text").alias("_text"), F.col("tags").alias(f"{column}_tags")), F.coalesce(column, F.lit("\t")) == F.col("_text"), "left").drop("_text")
+
+
 def _keys(numbers: Column, *tags: Column, gains: bool) -> Column:
     """All combinations of the tags, with the sum of the gains on the item's side."""
 
@@ -163,33 +183,34 @@ def top_matches(items: DataFrame, entries: DataFrame, gains: Gains, k: int = 2,
     none), all normalised once by the caller. Candidates are all pairs of equal numbers, and pairs of which a side has
     no number if the names are equal and the sets equal or one in the other; no other pair is acceptable."""
     items, entries = written(items, "items"), written(entries, "entries")
-    for c in ("name", "set"):
-        texts = [d.select(F.col(c).alias("text")).distinct() for d in (items, entries)]
-        entries_hold, items_hold = _collected(_inside(texts[1], texts[0])), _collected(_inside(texts[0], texts[1]))
-        entries, items = _joined(entries, c, entries_hold), _joined(items, c, items_hold)
+    parts = {"name": (gains.name, False, True), "set": (gains.set, gains.ends, gains.blank)}
+    for c, (of, ends, blank) in parts.items():
+        e, i = (d.select(F.col(c).alias("text")).distinct() for d in (entries, items))
+        own = _holding(e, _inside(e, i)).select("text", _entry_tags(ends).alias("tags"))
+        wanted = _holding(i, _inside(i, e)).select("text", _item_tags(of, ends, blank).alias("tags"))
+        own, wanted = _met(own, wanted)
+        entries, items = _tagged(entries, c, own), _tagged(items, c, wanted)
     if gains.version is not None:
-        pairs = _inside(entries.where("version is not null").select(F.col("version").alias("text")).distinct(), items.select(F.col("look").alias("text")).distinct())
-        entries = _joined(entries, "version", _collected(pairs))
-        shared = lambda c: F.filter(F.array(*map(F.lit, LOOK_WORDS)), lambda w: F.contains(F.col(c), w))
-        version = F.when(F.col("version").isNull(), F.array(F.lit("-"))).otherwise(F.concat(_entry_tags("version", False), F.transform(shared("version"), lambda w: _tag("~", w))))
-        hit, miss = gains.version
-        own = F.when(F.col("look") == "", F.array().cast("array<struct<tag:string,gain:double>>")).otherwise(F.array(_gain(_tag("=", F.col("look")), hit), _gain(_tag("<", F.col("look")), hit)))
-        look = F.concat(F.array(_gain(F.lit("-"), hit), _gain(F.lit("*"), miss)), own, F.transform(shared("look"), lambda w: _gain(_tag("~", w), hit)))
+        # a tab stands for no version: no normalised text has one
+        e, i = entries.select(F.coalesce("version", F.lit("\t")).alias("text")).distinct(), items.select(F.col("look").alias("text")).distinct()
+        own = _holding(e, _inside(e, i)).select("text", F.when(F.col("text") == "\t", F.array(F.lit("-"))).otherwise(F.concat(_entry_tags(False), F.transform(_words(), lambda w: _tag("~", w)))).alias("tags"))
+        own, wanted = _met(own, i.select("text", _look_tags(*gains.version).alias("tags")))
+        entries, items = _tagged(entries, "version", own), _tagged(items, "look", wanted)
+        version, look = F.col("version_tags"), F.col("look_tags")
     else:
         version, look = F.array(F.lit("*")), F.array(_gain(F.lit("*"), 0.0))
     has = F.col("number") != ""
-    e_name, e_set = _entry_tags("name", False), _entry_tags("set", gains.ends)
-    by_number = F.when(has, _keys(F.array(_tag("#", F.col("number"))), e_name, e_set, version, gains=False)).otherwise(F.array().cast("array<string>"))
-    unnumbered = _keys(F.array(F.when(has, "1").otherwise("0")), F.array(_tag("=", F.col("name"))), _without(e_set, ("*",), False), version, gains=False)
-    posted = entries.select("entry", F.explode(F.concat(by_number, unnumbered)).alias("key"))
+    only = lambda tags, text, gained: F.filter(tags, lambda t: (t["tag"] if gained else t) == _tag("=", F.col(text)))
+    by_number = F.when(has, _keys(F.array(_tag("#", F.col("number"))), F.col("name_tags"), F.col("set_tags"), version, gains=False))
+    unnumbered = _keys(F.array(F.when(has, "1").otherwise("0")), only(F.col("name_tags"), "name", False), _without(F.col("set_tags"), ("*",), False), version, gains=False)
+    posted = entries.select("entry", F.explode(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in (by_number, unnumbered)])).alias("key"))
     first = Window.partitionBy("key").orderBy("entry")
     postings = written(posted.withColumn("_p", F.row_number().over(first)).where(F.col("_p") <= k).drop("_p"), "postings")
-    i_name, i_set = _item_tags("name", gains.name, False, True), _item_tags("set", gains.set, gains.ends, gains.blank)
-    none = F.array().cast("array<struct<tag:string,gain:double>>")
-    by_number = F.when(has, _keys(F.array(_gain(_tag("#", F.col("number")), gains.number)), i_name, i_set, look, gains=True)).otherwise(none)
+    by_number = F.when(has, _keys(F.array(_gain(_tag("#", F.col("number")), gains.number)), F.col("name_tags"), F.col("set_tags"), look, gains=True))
     lacking = F.when(has, F.array(_gain(F.lit("0"), 0.0))).otherwise(F.array(_gain(F.lit("0"), 0.0), _gain(F.lit("1"), 0.0)))
-    unnumbered = F.when((F.col("name") != "") & (F.col("set") != ""), _keys(lacking, F.array(_gain(_tag("=", F.col("name")), gains.name[0])), _without(i_set, ("*",), True), look, gains=True)).otherwise(none)
-    asked = items.select("item", F.explode(F.concat(by_number, unnumbered)).alias("k"))
+    unnumbered = F.when((F.col("name") != "") & (F.col("set") != ""), _keys(lacking, only(F.col("name_tags"), "name", True), _without(F.col("set_tags"), ("*",), True), look, gains=True))
+    none = F.array().cast("array<struct<tag:string,gain:double>>")
+    asked = items.select("item", F.explode(F.concat(*[F.coalesce(x, none) for x in (by_number, unnumbered)])).alias("k"))
     asked = written(asked.select("item", F.col("k.tag").alias("key"), F.round("k.gain", 6).alias("bound")), "asked")
 
     def found(part: DataFrame) -> DataFrame:

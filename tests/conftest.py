@@ -18,4 +18,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from assayer.functions.tables import remove_written
+
+    remove_written(s)
     s.stop()
