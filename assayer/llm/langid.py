@@ -194,7 +194,8 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
     """``labelled``: doc_id, text, lang. Fits on ``sample_chars`` characters of each language; each language that has a
     character is learned."""
     samples: dict[str, list[str]] = {}
-    for lang, _, text in drawn(labelled.select(F.col("lang").alias("group"), F.col("doc_id").alias("id"), "text"), "langid", None, sample_chars):
+    known = labelled.where(F.length("text") > 0).select(F.col("lang").alias("group"), F.col("doc_id").alias("id"), F.length("text").alias("n"), F.xxhash64("text").alias("tie"))
+    for lang, _, text in drawn(known, labelled.select("doc_id", "text", "lang"), "langid", None, sample_chars):
         samples.setdefault(lang, []).append(text)
     return Model(samples)
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.samples import drawn
+from assayer.llm.samples import drawn, told
 
 SAMPLE_ROWS = 3000
 #: And at most so many characters of each label; the last text is cut there.
@@ -302,8 +302,8 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tupl
     """At most ``rows`` texts and SAMPLE_CHARS characters of each label, in hash order of doc_id; both tables: doc_id and
     text / label."""
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    own = docs.join(labels, "doc_id").select(F.col("label").alias("group"), F.col("doc_id").alias("id"), "text")
-    got = sorted((i, t, int(y)) for y, i, t in drawn(own, "toxicity", rows, SAMPLE_CHARS))  # one order in every run
+    known = told(docs).join(labels.withColumnsRenamed({"doc_id": "id", "label": "group"}), "id")
+    got = sorted((i, t, int(y)) for y, i, t in drawn(known, docs.select("doc_id", "text"), "toxicity", rows, SAMPLE_CHARS))  # one order in every run
     return [t for _, t, _ in got], [y for *_, y in got]
 
 

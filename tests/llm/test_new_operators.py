@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from assayer.llm import align, centroids, langid, queries, repeats, samples, substrings, toxicity, urls
@@ -310,10 +311,11 @@ def test_every_language_is_learned_from_a_full_budget(spark):
     model = langid.fit(df.select("doc_id", "text", "lang"), sample_chars=500)
     assert sorted(model.languages) == sorted(texts)
     assert [p for p, _ in model.predict([t * 3 for t in texts.values()])] == list(texts)
-    many = spark.createDataFrame([("a", i, "x" * (i % 50)) for i in range(2000)] + [("b", 1, "y" * 100000)], "group string, id long, text string")
-    got = samples.drawn(many, "s", None, 300)
+    many = spark.createDataFrame([("a", i, "x" * (i % 50)) for i in range(2000)] + [("b", 5000, "y" * 100000)], "group string, id long, text string")
+    known = samples.told(many, "id").join(many.select("id", "group", F.xxhash64("text").alias("tie")).distinct(), ["id", "tie"])
+    got = samples.drawn(known, many.drop("group"), "s", None, 300, "id")
     assert Counter({g: sum(len(t) for h, _, t in got if h == g) for g in "ab"}) == {"a": 300, "b": 300}
-    assert len(samples.drawn(many, "s", 7, 10**6)) == 8 and samples.drawn(many.limit(0), "s", 7, 10) == []
+    assert len(samples.drawn(known, many.drop("group"), "s", 7, 10**6, "id")) == 8 and samples.drawn(known.limit(0), many.drop("group"), "s", 7, 10, "id") == []
     rows, labels = toxicity.sampled(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "doc_id long, label int"), 5)
     assert (rows, labels) == (["a"], [1])
 
