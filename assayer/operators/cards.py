@@ -32,10 +32,14 @@ def game_of(game: Column, set_code: Column, number: Column) -> Column:
     return F.when(F.startswith(g, F.lit("pok")), "pokemon").when(F.startswith(g, F.lit("rift")), "riftbound").when(second, "riftbound").otherwise("pokemon")
 
 
+# Set ids that may lack the zero before a single digit; letters behind a number; numbers that have a total.
+ONE_DIGIT_SET, LETTERS_BEHIND, TOTALLED = r"^(sv|me)(\d)(?=$|\.)", "[a-z*]+$", "^(sp|[0-9])"
+
+
 def set_guesses(code: Column) -> Column:
     """Spellings of a set's id to try: as typed, lower-cased, with a zero before a single digit."""
     raw = F.trim(text_or_empty(code))
-    return F.array_distinct(F.array(raw, F.lower(raw), F.regexp_replace(F.lower(raw), r"^(sv|me)(\d)(?=$|\.)", "$10$2")))
+    return F.array_distinct(F.array(raw, F.lower(raw), F.regexp_replace(F.lower(raw), ONE_DIGIT_SET, "$10$2")))
 
 
 def resolved_sets(wanted: DataFrame, sets: DataFrame, code: str = "code", most: int = 4) -> DataFrame:
@@ -82,13 +86,13 @@ def rift_parts(id_: Column) -> Column:
 def rift_number(id_: Column) -> Column:
     """The number as shown: with the total where the number is one that has one."""
     p = rift_parts(id_)
-    return F.when((p["total"] != "") & p["num"].rlike("^(sp|[0-9])"), F.upper(F.concat(p["num"], F.lit("/"), p["total"]))).otherwise(F.upper(p["num"]))
+    return F.when((p["total"] != "") & p["num"].rlike(TOTALLED), F.upper(F.concat(p["num"], F.lit("/"), p["total"]))).otherwise(F.upper(p["num"]))
 
 
 def rift_number_matches(id_: Column, number: Column) -> Column:
     """Digits match as numbers, without the letters behind; others match as written."""
     num, wanted = rift_parts(id_)["num"], number_parts(number)
-    bare = F.regexp_replace(num, "[a-z*]+$", "")
+    bare = F.regexp_replace(num, LETTERS_BEHIND, "")
     return F.when(wanted["left_int"].isNotNull(), bare.rlike("^[0-9]+$") & F.coalesce(bare.try_cast("int") == wanted["left_int"], F.lit(False))).otherwise(num == F.lower(wanted["left"]))
 
 
@@ -116,19 +120,29 @@ def dedupe_listed_twice(cards: DataFrame, id_: str, price_id: str, order: str) -
     return cards.withColumn("_p", F.row_number().over(w)).where("_p = 1").drop("_p")
 
 
+# Forms of addresses and of keys.
+INLINE_IMAGE, ADDRESS = "(?i)^data:image/(png|jpeg|webp);base64,", r"(?i)^[a-z][a-z0-9+.-]*://[^/?#\s]+"
+SECURE, LOGIN = "(?i)^https://", "(?i)^https://[^/?#]*@"
+KEY_FORMS = (("prices", "^[0-9a-fA-F]{40}$"), ("model", r"^\S{30,120}$"), ("catalog", r"^\S{20,200}$"))
+
+
+def _first(problems: list[tuple[str, Column]]) -> Column:
+    """The name of the first problem that a thing has; null without one."""
+    return F.coalesce(*[F.when(has, F.lit(name)) for name, has in problems])
+
+
 def reference_problem(kind: Column, size: Column, url: Column) -> Column:
     """Why a reference image can't be taken; null if it can. A file (kind, size) goes before an address."""
-    kind_ = F.lower(text_or_empty(kind))
-    file = F.when(~kind_.isin(*IMAGE_TYPES), "type").when(~F.coalesce(size > 0, F.lit(False)), "empty").when(size > MAX_BYTES, "too large")
     raw = F.trim(text_or_empty(url))
-    inline = raw.rlike("(?i)^data:image/(png|jpeg|webp);base64,")
-    address = F.when(inline, F.when(F.length(raw) > MAX_BYTES * 1.4, "too large")).when(~raw.rlike(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#\s]+"), "address").when(~raw.rlike("(?i)^https://"), "https").when(raw.rlike("(?i)^https://[^/?#]*@"), "login")
-    return F.when(kind.isNotNull() | size.isNotNull(), file).when(raw == "", "missing").otherwise(address)
+    inline = raw.rlike(INLINE_IMAGE)
+    of_file = [("type", ~F.lower(text_or_empty(kind)).isin(*IMAGE_TYPES)), ("empty", size.isNull() | (size <= 0)), ("too large", size > MAX_BYTES)]
+    of_address = [("missing", raw == ""), ("too large", inline & (F.length(raw) > MAX_BYTES * 1.4)), ("address", ~inline & ~raw.rlike(ADDRESS)), ("https", ~inline & ~raw.rlike(SECURE)), ("login", raw.rlike(LOGIN))]
+    return F.when(kind.isNotNull() | size.isNotNull(), _first(of_file)).otherwise(_first(of_address))
 
 
 def key_kind(c: Column) -> Column:
     """Which services a key's form fits: forty hexadecimal digits, 30 to 120 characters, 20 to 200."""
-    return F.array_compact(F.array(F.when(c.rlike("^[0-9a-fA-F]{40}$"), "prices"), F.when(c.rlike(r"^\S{30,120}$"), "model"), F.when(c.rlike(r"^\S{20,200}$"), "catalog")))
+    return F.array_compact(F.array(*[F.when(c.rlike(form), F.lit(name)) for name, form in KEY_FORMS]))
 
 
 def name_matches(name: Column, names: Column) -> Column:
@@ -172,7 +186,7 @@ def weakest_areas(areas: Column, most: int = 3) -> Column:
 
 
 def unread_note(unread: Column) -> Column:
-    """The note about centering that wasn't measured, of an array of sides and axes; null if all were."""
+    """The note (a fixed text) about centering that wasn't measured, of an array of sides and axes; null if all were."""
     share = f"{UNREAD_SHARE}/{100 - UNREAD_SHARE}"
     text = F.concat(F.lit("Centering wasn't measured ("), F.array_join(unread, ", "), F.lit(f"), so it counts as {share}, just making Gem Mint. That's this lab's convention, not a grading company's rule."))
     return F.when(F.size(unread) > 0, text)
