@@ -109,9 +109,11 @@ def exact_total_first(hits: DataFrame, item: str, total: str, wanted: str, order
 
 def listed(candidates: DataFrame, item: str, score: str, tie: str, most: int = LISTED) -> DataFrame:
     """The ``most`` best candidates of an item, with how many there were and how many are not shown."""
-    w = Window.partitionBy(item)
-    out = candidates.withColumns({"place": F.row_number().over(w.orderBy(F.col(score).desc(), tie)), "total_matches": F.count(F.lit(1)).over(w)})
-    return out.where(F.col("place") <= most).withColumn("not_shown", F.greatest(F.lit(0), F.col("total_matches") - most))
+    # only the first ones of each task are sorted together, and the count is an aggregation
+    top = candidates.withColumn("place", F.row_number().over(Window.partitionBy(item).orderBy(F.col(score).desc(), tie))).where(F.col("place") <= most)
+    totals = candidates.groupBy(F.col(item).alias("_item")).agg(F.count(F.lit(1)).alias("total_matches"))
+    out = top.join(totals, F.col(item).eqNullSafe(F.col("_item"))).drop("_item")
+    return out.withColumn("not_shown", F.greatest(F.lit(0), F.col("total_matches") - most))
 
 
 def dedupe_listed_twice(cards: DataFrame, id_: str, price_id: str, order: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assayer.functions.grades import hamming
 from assayer.functions.tables import written
 from assayer.operators.components import components
+from assayer.operators.runs import lagged
 
 
 def precedence(keys: DataFrame, key: str, sources: list[tuple[str, DataFrame, Column]], fields: list[str]) -> DataFrame:
@@ -160,9 +161,8 @@ def merge_first_wins(saved: DataFrame, incoming: DataFrame, key: str, *order: st
 
 def gaps(log: DataFrame, by: str, ts: str, short: float) -> DataFrame:
     """Of each agent: events, smallest gap in seconds, when it ended (the first such), gaps below ``short`` seconds."""
-    w = Window.partitionBy(by).orderBy(ts)
-    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) / 1e6
-    with_gap = log.withColumn("_gap", gap)
+    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))) / 1e6
+    with_gap = lagged(log.select(by, ts), by, ts, "_before").withColumn("_gap", gap)
     first = F.min(F.when(F.col("_gap").isNotNull(), F.struct("_gap", ts)))
     return with_gap.groupBy(by).agg(F.count(F.lit(1)).alias("n"), first.alias("_m"), F.count_if(F.col("_gap") < short).alias("short_gaps")).select(by, "n", F.col("_m._gap").alias("min_gap"), F.col(f"_m.{ts}").alias("min_gap_at"), "short_gaps")
 

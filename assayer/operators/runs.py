@@ -44,6 +44,15 @@ def numbered(df: DataFrame, key: str, order: str, into: str = "pos", size: Colum
     return out.drop("_own", "_n", "_s", "_size", "_range")
 
 
+def lagged(df: DataFrame, key: str, order: str, into: str) -> DataFrame:
+    """``df`` with the value of ``order`` of the row before in its key; null for the first."""
+    ranged = _ranged(df, key, order)
+    edges = _edges(ranged, key, F.max(order).alias("_last"))
+    edges = edges.select("_k", "_r", F.lag("_last").over(Window.partitionBy("_k").orderBy("_r")).alias("_last"))
+    own = F.lag(order).over(Window.partitionBy("_range", key).orderBy(order))
+    return _with(ranged.withColumn(into, own), edges, key).withColumn(into, F.coalesce(into, "_last")).drop("_last", "_range")
+
+
 def marked_runs(df: DataFrame, key: str, pos: str, marked: Column, gap: int = 0, least: int = 1) -> DataFrame:
     """key, start, end, marks: runs of marked positions that lie at most ``gap`` unmarked ones apart, from the first mark
     to the last, of at least ``least`` positions. ``pos`` is a whole number, once in a key."""

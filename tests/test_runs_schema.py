@@ -55,6 +55,17 @@ def test_numbers_first_runs_and_stops(spark):
     assert sorted(r.i for r in R.size_stop(df, "k", "i", "size", 60).collect()) == sorted(sized)
 
 
+def test_rows_before_cross_ranges(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randint(0, 300)) for _ in range(400)]
+    got = sorted((str(r.k), r.t, -1 if r.p is None else r.p) for r in R.lagged(spark.createDataFrame(rows, "k string, t int"), "k", "t", "p").collect())
+    want = []
+    for key in ("hot", "b", None):
+        own = sorted(t for k, t in rows if k == key)
+        want += [(str(key), t, p) for t, p in zip(own, [-1, *own])]
+    assert got == sorted(want)
+
+
 def test_schema_errors(spark):
     rules = [("a", "string", True, "x|y", None), ("m", "object", False, None, None), ("m.*", "object", False, None, None), ("m.*.n", "integer|null", True, None, None), ("l", "array", True, None, None), ("l[]", "object", False, None, None), ("l[].p", "string", True, None, "[a-z]+")]
     document = S.schema_of_rules([dict(zip(("path", "type", "required", "enum", "pattern"), r)) for r in rules])
