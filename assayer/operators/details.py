@@ -3,12 +3,12 @@ summaries, candidates of both catalogs, data by name, durations, and a perceptua
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.grades import num
@@ -144,6 +144,29 @@ def blind_summary(answers: DataFrame, group: list[str]) -> DataFrame:
     return out.withColumn("spearman", F.when(F.col("n") > 2, F.col("spearman"))).drop("_n", "median_error", "ceiling_ok")
 
 
+def blind_listing(answers: DataFrame) -> DataFrame:
+    """Every answer, by set, true grade, card and round."""
+    return answers.orderBy("set", "true", "card", "round")
+
+
+# ---------------------------------------------------------------- records and jobs
+
+
+def record_of(records: DataFrame, key: str, value) -> DataFrame:
+    """The record of a key, or none."""
+    return records.where(F.col(key) == F.lit(value))
+
+
+def handled(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """job, result, error of jobs (job, kind, payload): each kind's rows go through its own handler, which gives job and
+    result; jobs of a kind without a handler have an error. Handlers are transforms of frames, so a new kind is an entry."""
+    known = F.coalesce(F.col("kind").isin(*handlers), F.lit(False)) if handlers else F.lit(False)
+    out = jobs.where(~known).select("job", F.lit(None).cast("string").alias("result"), F.concat(F.lit("unknown kind: "), F.coalesce("kind", F.lit(""))).alias("error"))
+    for kind, handler in handlers.items():
+        out = out.unionByName(handler(jobs.where(F.col("kind") == kind)).select("job", F.col("result").cast("string").alias("result"), F.lit(None).cast("string").alias("error")))
+    return out
+
+
 # ---------------------------------------------------------------- prices and splits
 
 

@@ -43,6 +43,17 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
+# How the rows of the three trackers are ordered.
+TRACKERS = {"agent_cards": ("agent", "company", "true_grade"), "agent_steps": ("agent", "id", "step_order"), "tag_reports": ("tag_grade",)}
+
+
+def write_trackers(frames: dict[str, DataFrame], path: str) -> None:
+    """The trackers as delimited files below ``path``, in their order; one without rows is left as it was."""
+    for name, order in TRACKERS.items():
+        if name in frames and frames[name].limit(1).count():
+            write_csv(frames[name].orderBy(*order), f"{path}/{name}", frames[name].columns)
+
+
 def write_unless_empty(df: DataFrame, path: str) -> bool:
     """Replace the table only if there is something to write."""
     if not df.limit(1).count():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import details as D
 from assayer.operators import records as R
+from assayer.sources import sinks
 
 GOOD = {"blur": 1.0, "px_per_mm": 11.9, "glare": 0.0, "glare_zones": [0.0] * 8, "card_px": 800.0, "inset": [50.0] * 4, "photo_px": 1000.0, "full_frame": False, "cropped": False, "rounded": [1.0] * 4, "keystone": 0.0, "aspect_error": 0.0, "angle_error": 0.0, "detection": 0.9, "sleeve": False}
 SCHEMA = "blur double, px_per_mm double, glare double, glare_zones array<double>, card_px double, inset array<double>, photo_px double, full_frame boolean, cropped boolean, rounded array<double>, keystone double, aspect_error double, angle_error double, detection double, sleeve boolean"
@@ -91,12 +92,25 @@ def test_hashes_of_near_copies_are_near(spark):
     assert all((i, i + 40) in pairs for i in range(40))
 
 
+def test_jobs_records_and_trackers(spark, tmp_path):
+    jobs = spark.createDataFrame([(1, "up", "a"), (2, "count", "abc"), (3, "none", "x"), (4, None, "y")], "job int, kind string, payload string")
+    got = D.handled(jobs, {"up": lambda d: d.withColumn("result", F.upper("payload")), "count": lambda d: d.withColumn("result", F.length("payload"))})
+    assert sorted(map(tuple, got.collect())) == [(1, "A", None), (2, "3", None), (3, None, "unknown kind: none"), (4, None, "unknown kind: ")]
+    assert D.handled(jobs, {}).where("error is null").count() == 0 and D.record_of(jobs, "job", 2).first().payload == "abc" and D.record_of(jobs, "job", 9).count() == 0
+    steps = spark.createDataFrame([("b", "x", 1, None), ("a", "y", 2, "s"), ("a", "y", 1, "t")], "agent string, id string, step_order int, detail string")
+    sinks.write_trackers({"agent_steps": steps, "tag_reports": spark.createDataFrame([], "tag_grade double")}, str(tmp_path))
+    rows = [r.value for r in spark.read.text(f"{tmp_path}/agent_steps").collect()]
+    assert [r for r in rows if not r.startswith("agent,")] == ["a,y,1,t", "a,y,2,s", "b,x,1,"] and not (tmp_path / "tag_reports").exists()
+
+
 def test_blind_test_and_histogram(spark):
     rng = random.Random(1)
     key = [(r, f"c{i}", "s" if i < 12 else "t", rng.choice(["TAG", "PSA"]) if i < 12 else "PSA", rng.randint(2, 20) / 2) for r in ("A", "B") for i in range(14)]
     results = [(r, c, co, rng.choice([10.5, 9.0, 8.5, 5.0]), True) for r, c, *_ in key if c != "c3" for co in ("TAG", "PSA")]
     answers = D.blind_answers(spark.createDataFrame(key, "round string, card string, set string, company string, grade double"), spark.createDataFrame(results, "round string, card string, company string, grade double, complete boolean"))
     own = {(r.round, r.card): r.pred for r in answers.collect()}
+    listing = [(r.set, r.true, r.card, r.round) for r in D.blind_listing(answers).collect()]
+    assert listing == sorted(listing)
     want = {(r, c): min(10.0, p) if co == "TAG" else p for r, c, _, co, _ in key for r2, c2, co2, p, _ in results if (r, c, co) == (r2, c2, co2)}
     assert own == want and len(own) == 26
     got = {r.set: r for r in D.blind_summary(answers, ["set"]).collect()}
