@@ -27,6 +27,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -100,13 +101,13 @@ class Aligner:
     def spelled(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[bool]:
         """Do both sides' bytes spell each word?"""
         whole = b"".join(raw)
-        if all(b"".join(map(table.__getitem__, (i for x in ids for i in x))) == whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b))) and all(x and y for x, y in zip(a, b, strict=True)):
+        if all(b"".join(map(table.__getitem__, chain.from_iterable(ids))) == whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b))) and all(x and y for x, y in zip(a, b, strict=True)):
             return [True] * len(raw)
         return [b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for r, x, y in zip(raw, a, b, strict=True)]
 
     def align(self, a: list[list[int]], b: list[list[int]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Groups as text and COUNTS of each word, and the links of all; each word's two sides spell the same."""
-        ids_a, ids_b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
         n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a, b))
         ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
         at_a = dict(zip(ends_a.tolist(), range(1, len(ids_a) + 1), strict=True))
@@ -152,10 +153,10 @@ class Aligner:
         if self.characters > MEMO:
             self.forget()
         words = [self.words(t) if t else [] for t in texts]
-        self.learn({w for ws in words for w in ws})
+        self.learn(set(chain.from_iterable(words)))
         which = [list(map(self.known.__getitem__, ws)) for ws in words]
         owner = np.repeat(np.arange(len(texts)), [len(w) for w in which])
-        flat = np.array([i for w in which for i in w], np.int64)
+        flat = np.fromiter(chain.from_iterable(which), np.int64, len(owner))
         sizes = self.sizes
         ok = np.bincount(owner, 1 - sizes[flat, 4], len(texts)) == 0
         counts = np.stack([np.bincount(owner, sizes[flat, c], len(texts)).astype(np.int64) * ok for c in range(4)], axis=1)
