@@ -180,10 +180,15 @@ def found_prices(items: DataFrame, listed: DataFrame) -> DataFrame:
     first = F.get(F.split("_name", " "), 0)
     matches = (F.col("_name") == "") | F.contains("_plain", F.col("_name")) | F.contains("_name", F.col("_bare")) | F.startswith("_plain", first)
     by_id = a.join(own, a["_id"] == own["id"]).select("item", "id", F.lit("id").alias("how"), matches.alias("name_matches"), F.lit(0).cast("bigint").alias("others"))
-    rest = a.join(by_id.select("item"), "item", "left_anti").where("_key <> ''")
-    hits = rest.join(own, (F.col("_key") == F.col("_number")) & ((F.col("_set") == "") | (F.col("_set") == F.col("_of")))).withColumn("name_matches", matches)
-    best = hits.groupBy("item").agg(F.min(F.struct((~F.col("name_matches")).alias("n"), "_marked", "id")).alias("b"), (F.count(F.lit(1)) - 1).alias("others"))
-    return by_id.unionByName(best.select("item", "b.id", F.lit("number").alias("how"), (~F.col("b.n")).alias("name_matches"), "others"))
+    rest = a.join(by_id.select("item"), "item", "left_anti").where("_key <> ''").drop("_id")
+    # a name is compared once for each number and set, whatever the number of items and cards that bear it
+    sold = own.select("*", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("_of", F.lit(""))))).alias("_for")).groupBy("_number", "_for", "_plain", "_bare").agg(F.min(F.struct("_marked", "id")).alias("_least"), F.count(F.lit(1)).alias("_n"))
+    asked = rest.select("_key", "_set", "_name").distinct()
+    hits = asked.join(sold, (F.col("_key") == F.col("_number")) & (F.col("_set") == F.col("_for")))
+    hits = hits.groupBy(F.col("_key").alias("_k"), F.col("_set").alias("_s"), F.col("_name").alias("_m")).agg(F.min(F.struct((~matches).alias("n"), "_least")).alias("b"), F.sum("_n").alias("_n"))
+    best = rest.join(hits, (F.col("_key") == F.col("_k")) & (F.col("_set") == F.col("_s")) & F.col("_name").eqNullSafe(F.col("_m")))
+    best = best.groupBy("item").agg(F.min("b").alias("b"), (F.sum("_n") - 1).alias("others")).select("item", "b.n", "b._least.id", "others")
+    return by_id.unionByName(best.select("item", "id", F.lit("number").alias("how"), (~F.col("n")).alias("name_matches"), "others"))
 
 
 def split_histogram(records: DataFrame, members: DataFrame) -> DataFrame:

@@ -75,6 +75,28 @@ def test_found_prices(spark):
     assert got == {1: ("3", "id", False, 0), 2: ("2", "number", True, 1), 3: ("3", "number", True, 2), 4: ("4", "number", True, 1), 7: ("2", "number", True, 2)}
 
 
+def test_found_prices_compares_names_not_copies(spark):
+    """1,200 copies of two cards and as many items: rows between the joins stay below the 1,440,000 pairs."""
+    listed = spark.range(1200).select(F.col("id").cast("string").alias("id"), F.lit("OGN").alias("set"), F.lit("1/298").alias("number"), F.when(F.col("id") % 2 == 0, "Jinx (Alt)").otherwise("Vi").alias("name"))
+    items = spark.range(1200).select((F.col("id") + 5000).alias("item"), F.lit(None).cast("string").alias("id"), F.when(F.col("id") % 3 != 0, "ogn").alias("set"), F.lit("1/298").alias("number"), F.when(F.col("id") % 2 == 0, "Jinx").otherwise("Vi").alias("name"))
+    found = D.found_prices(items, listed)
+    got = {(r.item % 2, r.id, r.how, r.name_matches, r.others) for r in found.collect()}
+    assert got == {(0, "0", "number", True, 1199), (1, "1", "number", True, 1199)} and found.count() == 1200
+    # what the joins and the steps between them made, by the executed plan's own counters
+    made, todo = [], [found._jdf.queryExecution().executedPlan()]
+    found._jdf.queryExecution().executedPlan().executeCollect()
+    while todo:
+        plan = todo.pop()
+        if "AdaptiveSparkPlan" in plan.nodeName():
+            plan = plan.executedPlan()
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            plan = plan.plan()
+        rows = plan.metrics().get("numOutputRows")
+        made += [rows.get().value()] if rows.isDefined() else []
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert 1200 <= max(made) <= 5000
+
+
 def test_hashes_of_near_copies_are_near(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 32, 32)).cumsum(1).cumsum(2)
