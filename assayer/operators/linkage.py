@@ -177,12 +177,32 @@ def _without(tags: Column, kinds: tuple[str, ...], gains: bool) -> Column:
     return F.filter(tags, lambda t: ~F.substring(t["tag"] if gains else t, 1, 1).isin(*kinds))
 
 
+def _smallest(df: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
+    """The k rows of each group with the smallest ``order``. Rows are dealt out by group and a sixteenth of its rows first:
+    a task sorts no more than its partition, and of a group of any size only k rows a part meet in one task."""
+    dealt = df.repartition(*by, F.pmod(F.xxhash64(order), F.lit(16)))
+    first = Window.partitionBy(*by).orderBy(order)
+    return dealt.withColumn("_p", F.row_number().over(first)).where(F.col("_p") <= k).drop("_p")
+
+
+def _same(names: list[str]) -> Column:
+    """Equal texts on both sides, nulls included; the right side's names end with ``_of``."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in names])
+
+
 def top_matches(items: DataFrame, entries: DataFrame, gains: Gains, k: int = 2, accept: float = ACCEPT) -> DataFrame:
     """item, entry, score: the k best entries of each item, the smaller entry first among equals. ``items`` has item,
     number, name, set and (for scorers with versions) look; ``entries`` has entry, number, name, set and version (null:
     none), all normalised once by the caller. Candidates are all pairs of equal numbers, and pairs of which a side has
-    no number if the names are equal and the sets equal or one in the other; no other pair is acceptable."""
-    items, entries = written(items, "items"), written(entries, "entries")
+    no number if the names are equal and the sets equal or one in the other; no other pair is acceptable. Entries with
+    the same texts score alike, so only the k smallest of them are posted; items with the same texts are looked up once."""
+    texts = ["number", "name", "set"]
+    told, asked_by = ([*texts, *c] if gains.version is not None else texts for c in (["version"], ["look"]))
+    every = written(items.select("item", *asked_by), "every")
+    entries = written(_smallest(entries.select("entry", *told), told, "entry", k), "entries")
+    # from here on an item is a number that stands for its texts; written once, so the numbers stay
+    items = written(every.select(*asked_by).distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    stands = items.select(F.col("item").alias("_stands"), *[F.col(c).alias(f"{c}_of") for c in asked_by])
     parts = {"name": (gains.name, False, True), "set": (gains.set, gains.ends, gains.blank)}
     for c, (of, ends, blank) in parts.items():
         e, i = (d.select(F.col(c).alias("text")).distinct() for d in (entries, items))
@@ -204,8 +224,7 @@ def top_matches(items: DataFrame, entries: DataFrame, gains: Gains, k: int = 2,
     by_number = F.when(has, _keys(F.array(_tag("#", F.col("number"))), F.col("name_tags"), F.col("set_tags"), version, gains=False))
     unnumbered = _keys(F.array(F.when(has, "1").otherwise("0")), only(F.col("name_tags"), "name", False), _without(F.col("set_tags"), ("*",), False), version, gains=False)
     posted = entries.select("entry", F.explode(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in (by_number, unnumbered)])).alias("key"))
-    first = Window.partitionBy("key").orderBy("entry")
-    postings = written(posted.withColumn("_p", F.row_number().over(first)).where(F.col("_p") <= k).drop("_p"), "postings")
+    postings = written(_smallest(posted, ["key"], "entry", k), "postings")
     by_number = F.when(has, _keys(F.array(_gain(_tag("#", F.col("number")), gains.number)), F.col("name_tags"), F.col("set_tags"), look, gains=True))
     lacking = F.when(has, F.array(_gain(F.lit("0"), 0.0))).otherwise(F.array(_gain(F.lit("0"), 0.0), _gain(F.lit("1"), 0.0)))
     unnumbered = F.when((F.col("name") != "") & (F.col("set") != ""), _keys(lacking, only(F.col("name_tags"), "name", True), _without(F.col("set_tags"), ("*",), True), look, gains=True))
@@ -223,7 +242,11 @@ def top_matches(items: DataFrame, entries: DataFrame, gains: Gains, k: int = 2,
     both = high.unionByName(found(rest)).groupBy("item", "entry").agg(F.max("bound").alias("bound"))
     score = F.greatest(num(0), F.least(num(1), F.col("bound")))
     best = Window.partitionBy("item").orderBy(F.col("score").desc(), "entry")
-    return both.select("item", "entry", score.alias("score")).withColumn("_p", F.row_number().over(best)).where(F.col("_p") <= k).drop("_p")
+    top = lambda d: d.withColumn("_p", F.row_number().over(best)).where(F.col("_p") <= k).drop("_p")
+    found_by_texts = written(top(both.select("item", "entry", score.alias("score"))), "top")
+    own = every.join(stands, _same(asked_by)).select("item", "_stands").join(found_by_texts.withColumnRenamed("item", "_stands"), "_stands")
+    # an item that is given with several texts has the best of all
+    return top(own.groupBy("item", "entry").agg(F.max("score").alias("score")))
 
 
 def wanted_items(items: DataFrame, item: str, name: Column, number: Column, set_: Column, look: Column | None = None, normal: Callable[[Column], Column] = plain_any) -> DataFrame:

@@ -233,3 +233,26 @@ def test_jpeg_headers_with_stray_bytes():
 
     frame = b"\xff\xc0\x00\x0b\x08\x00\x10\x00\x20\x01\x00\x00\x00"
     assert jpeg_size(b"\xff\xd8" + frame) == (32, 16) and jpeg_size(b"\xff\xd8\xff\xe0\x00\x04ab" + b"\x00\x01" + frame) == (32, 16) and jpeg_size(b"\xff\xd8abc") is None
+
+
+def test_linkage_grows_with_texts_not_with_copies(spark, monkeypatch):
+    """50 copies of the same items and entries ask and post as much as few, and find the same."""
+    from assayer.operators import linkage as L
+
+    names = ["red tile", "green tile", "red", "blue ring"]
+    rows = {}
+    monkeypatch.setattr(L, "written", lambda df, name="stage", old=L.written: rows.__setitem__(name, (out := old(df, name)).count()) or out)
+
+    def run(copies: int):
+        texts = [(i + 4 * j, names[i], str(i % 3), "base") for j in range(copies) for i in range(4)]
+        items = spark.createDataFrame([(k, n, m, s, "") for k, m, n, s in texts], "item long, number string, name string, set string, look string")
+        entries = spark.createDataFrame([(k, n, m, s) for k, m, n, s in texts], "entry long, number string, name string, set string")
+        got = {}
+        for r in L.top_matches(items, entries, L.CATALOG).collect():
+            got.setdefault(r.item, set()).add((r.entry, r.score))
+        return got, rows["asked"], rows["postings"]
+
+    few, asked, posted = run(2)
+    many, asked_of_many, posted_of_many = run(50)
+    assert (asked_of_many, posted_of_many) == (asked, posted) and len(many) == 200
+    assert all(v == few[k % 4] for k, v in many.items())
