@@ -139,3 +139,22 @@ def test_random_records_match_plain_python(spark):
         for k in C.COMPONENTS:
             own = [(CAPS[n][v], v, ok) for _, b, n, v, ok in defects if b == k]
             assert r[f"cond_{k}"] == brute_condition(own, r[f"assessed_front_{k}"] and r[f"assessed_back_{k}"])
+
+
+def test_floor_to_searches_nothing(spark):
+    """The largest allowed grade by a table, whatever the value; no filter over an array a row."""
+    from assayer.functions import grades as A
+
+    allowed = [10, 9, 8.5, 8, 1.5, 1]
+    values = [None, float("nan"), float("inf"), -1e300, -2.0, 0.0, 1.0, 1.49, 1.4999999999, 1.5, 3.0, 8.49, 8.4999999995, 9.9, 10.0, 10.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", A.floor_to(allowed, F.col("v")).alias("g"))
+    want = lambda v: 1.0 if v is None else 10.0 if v != v else max((g for g in allowed if g <= v + 1e-9), default=1)
+    assert [r.g for r in df.collect()] == [float(want(v)) for v in values]
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_qualifiers_filter_is_not_pushed_below_the_rules(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["q_psa_qualifiers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(" not in plan
