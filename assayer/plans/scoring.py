@@ -71,7 +71,9 @@ def psa_whatif(spark, sf_dir):
 
 def qualifiers(spark, sf_dir):
     df = G.psa(_conditions(spark, sf_dir))
-    return df.where(F.size("psa_qualifiers") > 0).select("id", F.array_join("psa_qualifiers", ",").alias("qualifiers"))
+    # the test is on an exploded column: a filter on the stages' own columns would be pushed below them, with all their rules written out
+    told = F.array(F.when(F.size("psa_qualifiers") > 0, F.array_join("psa_qualifiers", ",")))
+    return df.select("id", F.explode(told).alias("qualifiers")).where("qualifiers is not null")
 
 
 def tag_interpolate(spark, sf_dir):
