@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,28 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Columns by name from columns by name.
+Step = Callable[[dict[str, Column]], dict[str, Column]]
+
+
+def composed(given: dict[str, Column], steps: Sequence[Step]) -> dict[str, Column]:
+    """What ``steps`` make of ``given``, each from all that came before it, as one expression a name."""
+    for step in steps:
+        given = given | step(given)
+    return given
+
+
+def in_steps(df: DataFrame, given: dict[str, Column], steps: Sequence[Step], name: str) -> DataFrame:
+    """``df`` and the column ``name`` of ``composed(given, steps)``. What a step makes is a column for the next ones, so that
+    Spark evaluates it once a row, however often they use it."""
+    known, out = dict(given), df
+    for i, step in enumerate(steps):
+        made = {k: c.alias(f"_{i}_{k}") for k, c in step(known).items()}
+        out = out.select("*", *made.values())
+        known |= {k: F.col(f"_{i}_{k}") for k in made}
+    return out.select(*df.columns, known[name].alias(name))
+
+
 def one_row_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
     """``df`` with one row per non-null ``key``. Only if some key repeats (counted on the keys alone) are the rows
     collapsed, to the smallest non-null ``value``; rows without a key have no identity and are left out."""

@@ -24,9 +24,10 @@ def photo_gate(spark, sf_dir):
         (F.pmod(k, F.lit(31)) == 0).alias("cropped"), F.array(*[F.pmod(k + i * p, F.lit(7)) / 20.0 for i in range(4)]).alias("rounded"), share(k, 50, 250.0).alias("keystone"), share(p, 33, 300.0).alias("aspect_error"), share(k, 23, 2.0).alias("angle_error"),
         F.when(F.pmod(p, F.lit(41)) != 0, share(p, 20, 20.0) + 0.1).alias("detection"), (F.pmod(p, F.lit(5)) == 0).alias("sleeve"),
     )
-    g = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", m.alias("m")).select("l_orderkey", "l_linenumber", "l_partkey", D.photo_gate(F.col("m")).alias("g"))
-    why = F.array_join(F.transform("g.blocked", lambda i: F.concat(i, F.lit("="), F.array_join(F.element_at("g.reasons", i), "+"))), ",")
-    return g.select("l_orderkey", "l_linenumber", "l_partkey", *[f"g.{c}" for c in D.CHECKS], why.alias("blocked"), "g.verdict")
+    photos = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", m.alias("m"))
+    g = D.photo_gates(photos, F.col("m"))
+    why = F.array_join(F.transform(F.map_entries("gate.reasons"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ",")
+    return g.select("l_orderkey", "l_linenumber", "l_partkey", *[f"gate.{c}" for c in D.CHECKS], why.alias("blocked"), "gate.verdict")
 
 
 def blind_test(spark, sf_dir):

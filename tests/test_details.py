@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from assayer.operators import details as D
 from assayer.operators import records as R
 from assayer.sources import sinks
@@ -43,6 +44,20 @@ def test_photo_gate(spark):
         assert r.g.verdict == verdict and dict(r.g.reasons) == why and list(r.g.blocked) == [i for i in D.ITEMS if i in why], (r, why)
 
 
+def test_photo_gates_equal_the_expression_and_round_each_zone_once(spark):
+    rng = random.Random(4)
+    some = lambda *v: rng.choice([None, *v, *v, *v])
+    row = lambda: (some(1.0, 1.5, 2.01), some(11.9), some(0.0, 0.2), some([some(0.0, 0.03) for _ in range(8)]), some(800.0, 400.0, 300.0), some([some(50.0, 9.0, 1.0) for _ in range(rng.choice((3, 4, 5)))]), some(1000.0), some(False, False, True), some(False, False, True), some([some(0.0, 1.0) for _ in range(4)]), some(0.0, 0.2), some(0.0), some(0.0, 9.0), some(0.9, 0.4), some(False, True))
+    df = spark.createDataFrame([(i, row()) for i in range(300)], f"i int, m struct<{', '.join(f.replace(' ', ':', 1) for f in SCHEMA.split(', '))}>")
+    gates = D.photo_gates(df, F.col("m"))
+    assert gates.columns == ["i", "m", "gate"]
+    got, want = gates.drop("m").orderBy("i").collect(), df.select("i", D.photo_gate(F.col("m")).alias("gate")).orderBy("i").collect()
+    assert got == want and {r.gate.verdict for r in got} == {"rescan", "warn"} and any(r.gate.reasons for r in got)
+    # all of the query's tests once each: 3 rounded values of sharpness, the width and the zones (thousands when each item tested them anew)
+    plan = entry.queries()["q_photo_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FLOOR") < 20 and plan.count("map_filter") <= 2, (plan.count("FLOOR"), plan.count("map_filter"))
+
+
 def test_cautions_subgrades_and_places(spark):
     m = lambda **x: F.create_map(*[F.lit(y) for p in x.items() for y in p]) if x else F.lit(None).cast("map<string,string>")
     got = spark.range(1).select(
