@@ -35,7 +35,7 @@ def report_pages(spark, sf_dir) -> DataFrame:
 
 def report_records(spark, sf_dir):
     pages = report_pages(spark, sf_dir).select("o_orderkey", P.lines_of(F.col("text")).alias("lines"))
-    r = pages.select("o_orderkey", P.report_record(F.col("lines")).alias("r"))
+    r = P.report_records(pages, F.col("lines")).withColumnRenamed("record", "r")
     dings = F.array_join(F.transform("r.ding_list", lambda d: F.concat(d["side"], F.lit(" "), d["location"], F.lit(": "), d["type"])), "; ")
     return r.select(
         "o_orderkey", "r.card_name", "r.year_line", "r.set_line", "r.variant", "r.score", "r.grade", "r.grade_label", "r.graded_on", F.col("r.corners.front").alias("corners_front"), F.col("r.dings.corners.back").alias("corner_dings_back"),

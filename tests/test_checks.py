@@ -1,5 +1,9 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from assayer.functions import reading as R
 from assayer.functions import reports as P
 from assayer.operators import checks as K
@@ -127,3 +131,42 @@ def test_report(spark):
     assert (got[6]["card_name"], got[6]["grade"], got[6]["grade_label"]) == ("a", None, "") and got[7]["ding_list"] == []
     assert got[8]["ding_list"] == [{"side": "front", "location": "card", "type": "centering "}] and got[9]["surface"] == {"front": None, "back": None}
     assert got[10]["ding_list"] == [{"side": "back", "location": "a", "type": "surface / wrinkle"}]
+
+
+def test_report_records_equal_the_expression_and_search_the_heading_once(spark):
+    rng = random.Random(11)
+    some = ["EN", "TAG SCORE", "VIEW SCORE", "945", "8.5", "x", "CORNERS", "EDGES", "SURFACE", "F:", "B:", "2 DINGS", "1 DING", "VIEW", "GRADED 2026-01-02", "", " \u2003"]
+    listed = ["Front", "Back / TOP LEFT", "front / a / b", "Fronted", "CENTERING", "Centering", "56L/44R", "CORNER  WEAR", "VIEW", "BACK /\tA B\u00a0", "back\r"]
+    text = lambda: "\n".join(rng.choices(some, k=rng.randrange(14)) + ["Snapshot Of Defects (all)"] * rng.randrange(2) + rng.choices(listed, k=rng.randrange(9)))
+    texts = [text() for _ in range(400)] + ["".join(f"{chr(c)}{c:x}{chr(c)}\n" for c in range(1, 0x3100) if c != 10), " " * 200000 + "a" + " " * 200000 + "b"]
+
+    def plain(lines):
+        """The list by a loop, a line at a time."""
+        at = [i for i, x in enumerate(lines) if x.startswith("Snapshot Of Defects")]
+        rest, out = [x for x in lines[at[0] + 1 :] if x != "VIEW"] if at else [], []
+        placed = lambda x: re.match(r"(?i)(front|back)\b", x, re.ASCII)
+        while len(rest) > 1 and placed(rest[0]):
+            parts, kind = [p.strip(" ") for p in rest[0].split("/")], rest[1].lower()
+            if len(parts) == 1 and kind == "centering":
+                out.append((parts[0].lower(), "card", "centering " + "".join(rest[2:3])))
+                rest = rest[3:]
+            elif placed(rest[1]):
+                break
+            else:
+                out.append((parts[0].lower(), re.sub(r"\s+", "", "".join(parts[1:2]).lower(), flags=re.ASCII), kind))
+                rest = rest[2:]
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", "text", P.lines_of(F.col("text")).alias("lines"))
+    records = P.report_records(df, F.col("lines"))
+    assert records.columns == ["i", "text", "lines", "record"]
+    got, want = records.orderBy("i").collect(), df.select("i", P.report_record(F.col("lines")).alias("record")).orderBy("i").collect()
+    assert [r.record for r in got] == [r.record for r in want]
+    white = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+    for r in got:
+        assert r.lines == [x for x in (x.strip(white) for x in r.text.split("\n")) if x]
+        assert [tuple(d) for d in r.record.ding_list] == plain(r.lines), r.text
+    assert sum(len(r.record.ding_list) for r in got) > 40
+    # the heading's search for a language, in one step (dozens of times when each line of the heading searched anew)
+    plan = entry.queries()["q_report_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", EN)") + plan.count(" = EN)") <= 4 and plan.count("TAG SCORE)") <= 2, (plan.count("EN)"), plan.count("TAG SCORE)"))
