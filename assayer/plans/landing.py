@@ -110,7 +110,7 @@ def ttl_dedup(spark, sf_dir):
 
 def rate_slots(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
-    return S.paced_slots(e, "event_type", "ts", 1_100_000).select("event_id", "start_us")
+    return S.paced_slots(e, "event_type", "ts", 1_100_000, "event_id").select("event_id", "start_us")
 
 
 def sessions(spark, sf_dir):

@@ -97,16 +97,18 @@ def ttl_dedup_stream(events: DataFrame, key: list[str], ts: str = "ts", ttl: str
 # ---------------------------------------------------------------- paced slots
 
 
-def paced_slots(requests: DataFrame, lane: str, ts: str, spacing_ms: int) -> DataFrame:
-    """Start time of each request if starts of a lane lie at least ``spacing_ms`` apart, in order of arrival.
+def paced_slots(requests: DataFrame, lane: str, ts: str, spacing_ms: int, tie: str | None = None) -> DataFrame:
+    """Start time of each request if starts of a lane lie at least ``spacing_ms`` apart, in order of arrival: by ``ts``, then
+    by ``tie`` (by a hash of the row if it isn't given or equal too); requests without a time come last.
     start_i = max(t_i, start_(i-1) + s) = i*s + max over j <= i of (t_j - j*s): a running count and a running maximum, no
     recurrence. Both are taken inside ranges of (lane, time); a row a range and lane carries them on to later ranges."""
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_tie", F.xxhash64(*requests.columns))
+    arrival = [F.asc_nulls_last("_us"), *([tie] if tie else []), "_tie"]
     # written once: a second evaluation could cut other ranges
-    ranged = written(rows.repartitionByRange(n, lane, "_us", "_tie").withColumn("_range", F.spark_partition_id()), "lanes")
+    ranged = written(rows.repartitionByRange(n, lane, *arrival).withColumn("_range", F.spark_partition_id()), "lanes")
     step = F.lit(spacing_ms * 1000).cast("bigint")
-    inner = Window.partitionBy("_range", lane).orderBy("_us", "_tie")
+    inner = Window.partitionBy("_range", lane).orderBy(*arrival)
     own = ranged.withColumn("_i", F.row_number().over(inner).cast("bigint")).withColumn("_d", F.col("_us") - F.col("_i") * step)
     own = own.withColumn("_most", F.max("_d").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     earlier = Window.partitionBy("_lane").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.plans import landing
 from assayer.sources import files, sinks
 from assayer.streaming import latest as S
 
@@ -122,6 +123,19 @@ def test_paced_slots_of_a_hot_lane_and_of_none(spark):
     assert S.paced_slots(df.limit(0), "lane", "ts", 2000).collect() == []
 
 
+def test_rate_slots_of_equal_times_go_by_event_and_those_without_a_time_last(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["click", "view"]), rng.choice([None, *range(1000, 4000, 400)])) for i in rng.sample(range(9000), 300)]
+    spark.createDataFrame(rows, "event_id long, event_type string, s long").select("event_id", "event_type", F.timestamp_seconds("s").alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for kind in ("click", "view"):
+        last = None
+        for s, i in sorted((float("inf") if s is None else s, i) for i, x, s in rows if x == kind):
+            last = s if last is None else last + 1100 if s == float("inf") else max(s, last + 1100)
+            want[i] = last * 1_000_000
+    assert {r.event_id: r.start_us for r in landing.rate_slots(spark, str(tmp_path)).collect()} == want
+
+
 @pytest.mark.parametrize("batch", [1, 7, 10000])
 def test_ttl_dedup_equals_the_recurrence(spark, batch):
     rng = random.Random(batch)
